@@ -48,8 +48,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), _sha256(base).alias("base_sha256"), as_text(F.col("s")).alias("spans"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op6_secrets)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op6_secrets, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
