@@ -55,8 +55,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    found = identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", F.col("lang").alias("lang_pred"), "score")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op6_secrets, op7_simhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op6_secrets, op7_simhash, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
