@@ -35,7 +35,7 @@ KEPT_WORDS = 400_000
 #: Words up to this length are searched together.
 LONGEST_TOGETHER = 40
 #: Texts are encoded in slices of about so many characters.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 4 << 20
 BEST = 4
 
 _WORD = re.compile(" +[^ ]*|[^ ]+")
@@ -115,17 +115,17 @@ class _Slots:
     def __init__(self, scores: dict[str, tuple[int, float]]):
         self.longest = max(map(len, scores))
         self.power = [np.uint64(pow(int(self.MUL), k, 1 << 64)) for k in range(self.longest + 1)]
-        self.keys, self.ids, self.scores = np.zeros((2, 1 << self.BITS), np.uint64), np.full((2, 1 << self.BITS), -1, np.int32), np.full((2, 1 << self.BITS), -np.inf)
+        slots = 2 << self.BITS  # and one more for what isn't found
+        self.keys, self.ids, self.scores = np.zeros(slots + 1, np.uint64), np.full(slots + 1, -1, np.int32), np.full(slots + 1, -np.inf)
         for piece, (i, score) in scores.items():
             h = 0
             for c in piece:
                 h = (h * int(self.MUL) + ord(c) + 1) % (1 << 64)
             entry = (h, i, score)
             for turn in range(200):  # cuckoo: who is in the way moves to its other slot
-                t = turn % 2
-                at = int(self._at(np.uint64(entry[0]), t))
-                before = (int(self.keys[t, at]), int(self.ids[t, at]), float(self.scores[t, at]))
-                self.keys[t, at], self.ids[t, at], self.scores[t, at] = entry
+                at = int(self._at(np.uint64(entry[0]), turn % 2))
+                before = (int(self.keys[at]), int(self.ids[at]), float(self.scores[at]))
+                self.keys[at], self.ids[at], self.scores[at] = entry
                 if before[1] < 0:
                     break
                 entry = before
@@ -134,15 +134,12 @@ class _Slots:
 
     def _at(self, h, table: int):
         with np.errstate(over="ignore"):
-            return (h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[table])) >> np.uint64(64 - self.BITS)
+            return ((h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[table])) >> np.uint64(64 - self.BITS)).astype(np.int64) + (table << self.BITS)
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores; -1 and -inf where there is no piece."""
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash; the last one where there is no piece."""
         a, b = self._at(h, 0), self._at(h, 1)
-        in_a = (self.keys[0][a] == h) & (self.ids[0][a] >= 0)
-        in_b = self.keys[1][b] == h
-        ids = np.where(in_a, self.ids[0][a], np.where(in_b, self.ids[1][b], -1))
-        return ids, np.where(in_a, self.scores[0][a], np.where(in_b, self.scores[1][b], -np.inf))
+        return np.where(self.keys[a] == h, a, np.where(self.keys[b] == h, b, len(self.keys) - 1))
 
 
 class Pieces:
@@ -215,7 +212,11 @@ class Pieces:
         edges = {}
         for j in range(1, n + 1):
             for i in range(max(0, j - self.slots.longest), j):
-                ids, scores = self.slots.find(total[j] - total[i] * self.slots.power[j - i])
+                slot = self.slots.find(total[j] - total[i] * self.slots.power[j - i])
+                scores = self.slots.scores[slot]
+                if j > i + 1 and not (scores > -np.inf).any():
+                    continue
+                ids = self.slots.ids[slot]
                 if j == i + 1:
                     lone = ids < 0
                     scores = np.where(lone, self.unknown, scores)
@@ -223,10 +224,13 @@ class Pieces:
                 edges[i, j] = scores
                 through = best[i] + scores
                 up = through > best[j]
-                best[j][up], back[j][up], piece[j][up] = through[up], i, ids[up]
+                np.copyto(best[j], through, where=up)
+                np.copyto(back[j], np.int16(i), where=up)
+                np.copyto(piece[j], ids, where=up, casting="same_kind")
         for i in range(n - 1, -1, -1):
             for j in range(i + 1, min(n, i + self.slots.longest) + 1):
-                np.maximum(rest[i], edges[i, j] + rest[j], out=rest[i])
+                if (i, j) in edges:
+                    np.maximum(rest[i], edges[i, j] + rest[j], out=rest[i])
         on = np.zeros((n + 1, m), bool)
         on[n] = True
         each = np.arange(m)
@@ -264,7 +268,7 @@ class Pieces:
             self.forget()
         new = set(chain.from_iterable(words)).difference(self.place)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         return [self._encoded(w) for w in words]
 
     def encode(self, text: str) -> tuple[bytes, float, list[tuple[float, int, str]]]:

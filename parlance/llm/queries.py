@@ -38,6 +38,18 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), _sha256(base).alias("base_sha256"), as_text(F.col("s")).alias("spans"))
 
 
+def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import mux_text, parse
+
+    stored = _table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), mux_text(F.col("text")).alias("media"))
+    read = stored.select("doc_id", "n_bytes", "media", parse(F.col("media")).alias("p"))
+    last = F.expr("substring(p.payload, -32, 32)")
+    names = ("tracks", "clusters", "blocks", "cues", "cues_hit", "duration_ms", "mean_sample")
+    feature = F.concat_ws(";", F.concat(F.lit("packets="), F.size("p.packets")), *(F.concat(F.lit(f"{n}="), F.col(f"p.{n}")) for n in names))
+    payload = (F.octet_length("p.payload").cast("bigint").alias("payload_bytes"), F.sha2("p.payload", 256).alias("payload_sha256"), F.crc32(last).alias("tail_crc32"))
+    return read.select("doc_id", "n_bytes", *payload, F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import as_text
     from .secret_scan import BASE, secrets
@@ -55,6 +67,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import decode_udf, encode_udf
+
+    found = _table(spark, sf_dir, "documents").select("doc_id", "text", encode_udf()(F.col("text")).alias("e"))
+    back = found.select("doc_id", "text", "e", decode_udf()(F.col("e.ids")).alias("decoded"))
+    same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return back.select("doc_id", F.size("e.ids").cast("bigint").alias("n_pieces"), "e.score", F.get("e.nbest", F.lit(0))["ids_sha256"].alias("ids_sha256"), "e.nbest", same)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -63,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op6_secrets, op7_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
