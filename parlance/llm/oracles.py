@@ -18,4 +18,12 @@ ids as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct i
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
        sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs d left join hit using (doc_id) left join ids using (doc_id)""",
+    "op4_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, strlen(h)::bigint as payload_bytes, sha1(h) as payload_digest from p),
+m as (select *, max(page_id) over (partition by payload_digest) as last from d)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
+from m""",
 }

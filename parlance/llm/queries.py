@@ -38,6 +38,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, BASE), _sha256(base).alias("base_sha256"), as_text(F.col("s")).alias("spans"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import lookup, surt, write
+
+    pages = _table(spark, sf_dir, "pages")
+    read = lookup(write(pages), pages.select(surt(F.col("url")).alias("key"), "page_id"), payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import mux_text, parse
 
@@ -84,7 +92,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
