@@ -26,4 +26,13 @@ select page_id, payload_bytes, payload_digest,
        case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
        case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
 from m""",
+    "op9_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+wins as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as g from (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) as r from wins) where r > 1),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 20)) as p from later)),
+each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select e.doc_id, count(*) as n, string_agg(word, ' ' order by e.p) as s from each e anti join gone g on e.doc_id = g.doc_id and e.p = g.p group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
+from d left join kept using (doc_id)""",
 }

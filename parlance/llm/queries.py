@@ -84,6 +84,13 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("e.ids").cast("bigint").alias("n_pieces"), "e.score", F.get("e.nbest", F.lit(0))["ids_sha256"].alias("ids_sha256"), "e.nbest", same)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removed
+
+    found = removed(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", _sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -92,7 +99,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
