@@ -38,13 +38,13 @@ _INSIDE[[0x20, *range(0x09, 0x0E)]] = False
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers):
-    """Words (starts, ends, row) of a slice, and its stretches: anchor, first word, number of windows."""
+    """Words (starts, ends, row) of a slice, and its stretches: anchor, first word, number of windows, whether the anchor is in two places."""
     s, e, row = word_bounds(data, offsets, _INSIDE)
     n = len(s) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return s, e, row, none, none, none
-    least = window_hashes(word_hashes(data, s, e, powers), GRAM).view(np.int64)
+        return s, e, row, none, none, none, none
+    grams = least = window_hashes(word_hashes(data, s, e, powers), GRAM).view(np.int64)
     span, width = WINDOW - GRAM + 1, 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -57,7 +57,12 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers):
     first = np.flatnonzero(begins)
     total = np.concatenate([[0], np.cumsum(valid)])
     ends = np.concatenate([first[1:], [n]])
-    return s, e, row, least[first], first, total[ends] - total[first]
+    count = total[ends] - total[first]
+    inner = count + span - 1  # runs of GRAM words in a stretch
+    begin = np.cumsum(inner) - inner
+    within = np.arange(int(inner.sum())) + np.repeat(first - begin, inner)
+    places = np.add.reduceat(grams[within] == np.repeat(least[first], inner), begin, dtype=np.int64) if len(first) else first
+    return s, e, row, least[first], first, count, places > 1
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -65,8 +70,8 @@ def _anchors(texts: pa.Array) -> pa.Array:
     data, offsets = utf8(texts)
     powers, flat, sizes = Powers(), [], []
     for a, b in slices(offsets):
-        _, _, row, anchor, first, count = _stretches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], powers)
-        twice = 1 + (count > WINDOW - GRAM + 1)  # a stretch with its anchor in two places counts as two
+        _, _, row, anchor, first, _, again = _stretches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], powers)
+        twice = 1 + again  # a stretch with its anchor in two places counts as two
         flat.append(np.repeat(anchor, twice))
         sizes.append(np.bincount(row[first], weights=twice, minlength=b - a).astype(np.int64) if len(first) else np.zeros(b - a, np.int64))
     ends = np.cumsum(np.concatenate([[0], *sizes]))
@@ -103,7 +108,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ords, dks, listed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
         for a, b in slices(offsets):
             part = data[offsets[a] : offsets[b]]
-            s, e, row, anchor, first, count = _stretches(part, offsets[a : b + 1] - offsets[a], powers)
+            s, e, row, anchor, first, count, _ = _stretches(part, offsets[a : b + 1] - offsets[a], powers)
             own = listed.slice(a, b - a)
             flat, sizes = own.flatten().to_numpy(), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False)
             wanted = set(zip(np.repeat(np.arange(b - a), sizes).tolist(), flat.tolist(), strict=True))
