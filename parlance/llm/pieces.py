@@ -12,14 +12,14 @@ import hashlib
 import heapq
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,11 @@ LEAST_SCORE = -1e8
 #: A character without a piece costs this more than the worst piece, and is spelled in bytes.
 UNKNOWN_COST = 10.0
 #: So many words with their segmentations are kept by each worker; then it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Words up to this length are searched together.
 LONGEST_TOGETHER = 40
 #: Texts are encoded in slices of about so many characters.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 BEST = 4
 
 _WORD = re.compile(" +[^ ]*|[^ ]+")
@@ -117,11 +117,13 @@ class _Slots:
         self.power = [np.uint64(pow(int(self.MUL), k, 1 << 64)) for k in range(self.longest + 1)]
         slots = 2 << self.BITS  # and one more for what isn't found
         self.keys, self.ids, self.scores = np.zeros(slots + 1, np.uint64), np.full(slots + 1, -1, np.int32), np.full(slots + 1, -np.inf)
+        self.passes = np.zeros(1 << 22, bool)
         for piece, (i, score) in scores.items():
             h = 0
             for c in piece:
                 h = (h * int(self.MUL) + ord(c) + 1) % (1 << 64)
             entry = (h, i, score)
+            self.passes[h >> 42] = True
             for turn in range(200):  # cuckoo: who is in the way moves to its other slot
                 at = int(self._at(np.uint64(entry[0]), turn % 2))
                 before = (int(self.keys[at]), int(self.ids[at]), float(self.scores[at]))
@@ -136,6 +138,10 @@ class _Slots:
         with np.errstate(over="ignore"):
             return ((h * np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[table])) >> np.uint64(64 - self.BITS)).astype(np.int64) + (table << self.BITS)
 
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be of a piece: few others pass."""
+        return np.flatnonzero(self.passes[(h >> np.uint64(42)).astype(np.int64)])
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slot of each hash; the last one where there is no piece."""
         a, b = self._at(h, 0), self._at(h, 1)
@@ -209,36 +215,41 @@ class Pieces:
         best, rest = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
         back, piece = np.zeros((n + 1, m), np.int16), np.zeros((n + 1, m), np.int32)
         best[0], rest[n] = 0.0, 0.0
-        edges = {}
+        edges: list[list] = [[] for _ in range(n)]  # from each node: (to, words that have the edge, its score there)
         for j in range(1, n + 1):
             for i in range(max(0, j - self.slots.longest), j):
-                slot = self.slots.find(total[j] - total[i] * self.slots.power[j - i])
-                scores = self.slots.scores[slot]
-                if j > i + 1 and not (scores > -np.inf).any():
-                    continue
-                ids = self.slots.ids[slot]
                 if j == i + 1:
-                    lone = ids < 0
-                    scores = np.where(lone, self.unknown, scores)
-                    ids = np.where(lone, np.where(code[:, i] < 128, self.ascii[np.minimum(code[:, i], np.uint64(127)).astype(np.int64)], -1), ids)
-                edges[i, j] = scores
-                through = best[i] + scores
-                up = through > best[j]
-                np.copyto(best[j], through, where=up)
-                np.copyto(back[j], np.int16(i), where=up)
-                np.copyto(piece[j], ids, where=up, casting="same_kind")
+                    words_at, ids, scores = slice(None), *self._single(code[:, i])
+                else:
+                    h = total[j] - total[i] * self.slots.power[j - i]
+                    words_at = self.slots.maybe(h)
+                    slot = self.slots.find(h[words_at])
+                    scores, ids = self.slots.scores[slot], self.slots.ids[slot]
+                    if not len(ids):
+                        continue
+                edges[i].append((j, words_at, scores))
+                through = best[i][words_at] + scores
+                up = through > best[j][words_at]
+                if j == i + 1:
+                    np.copyto(best[j], through, where=up)
+                    np.copyto(back[j], np.int16(i), where=up)
+                    np.copyto(piece[j], ids, where=up)
+                else:
+                    at = words_at[up]
+                    best[j][at], back[j][at], piece[j][at] = through[up], i, ids[up]
         for i in range(n - 1, -1, -1):
-            for j in range(i + 1, min(n, i + self.slots.longest) + 1):
-                if (i, j) in edges:
-                    np.maximum(rest[i], edges[i, j] + rest[j], out=rest[i])
+            for j, words_at, scores in edges[i]:
+                rest[i][words_at] = np.maximum(rest[i][words_at], scores + rest[j][words_at])
         on = np.zeros((n + 1, m), bool)
         on[n] = True
         each = np.arange(m)
         for j in range(n, 0, -1):
             on[back[j][on[j]], each[on[j]]] = True
         second = np.full(m, -np.inf)
-        for (i, j), scores in edges.items():
-            np.maximum(second, np.where(on[j] & (back[j] == i), -np.inf, best[i] + scores + rest[j]), out=second)
+        for i in range(n):
+            for j, words_at, scores in edges[i]:
+                through = np.where(on[j][words_at] & (back[j][words_at] == i), -np.inf, best[i][words_at] + scores + rest[j][words_at])
+                second[words_at] = np.maximum(second[words_at], through)
         on, piece = on[1:].T, piece[1:].T
         flat = piece[on].astype("<i4").tobytes()
         ends = np.cumsum(on.sum(axis=1)).tolist()
@@ -247,6 +258,16 @@ class Pieces:
             ids[k] = self._alone([words[k]])[0][0]
         return ids, best[n].copy(), best[n] - second
 
+    def _single(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of single characters; one without a piece has its byte, or -1 if it has several."""
+        slot = self.slots.find(code + np.uint64(1))
+        scores, ids = self.slots.scores[slot], self.slots.ids[slot]
+        lone = ids < 0
+        if lone.any():
+            scores = np.where(lone, self.unknown, scores)
+            ids = np.where(lone & (code < 128), self.ascii[np.minimum(code, np.uint64(127)).astype(np.int64)], ids)
+        return ids, scores
+
     def others(self, word: str) -> list[tuple[float, bytes]]:
         """(extra cost, ids) of the best - 1 segmentations of a word after its best one."""
         if word not in self.kept_others:
@@ -295,7 +316,8 @@ class Pieces:
         cheap = cheap[np.isfinite(gaps[cheap])].tolist()
         if cheap:
             others = [self.others(words[i]) for i in cheap]
-            ends = [sum(map(len, parts[: i + 1])) for i in cheap]
+            sizes = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+            ends = sizes[cheap].tolist()
             for cost, choice in self._combined(others):
                 pieces_, last = [], 0
                 for i, end, take, other in zip(cheap, ends, choice, others, strict=True):
@@ -326,35 +348,39 @@ class Pieces:
         return b"".join(map(self.plain.__getitem__, ids.tolist())).decode()[1:]
 
 
+def _int32(raw: bytes) -> pa.Array:
+    return pa.Array.from_buffers(pa.int32(), len(raw) // 4, [None, pa.py_buffer(raw)])
+
+
 @cache
 def pieces(path: str, best: int) -> Pieces:
     return Pieces(path, best)
 
 
-def encode_udf(path: str = MODEL, best: int = BEST) -> Callable[[Column], Column]:
-    """A Column function text -> ENCODED: the best segmentation's ids and score, and the `best` best ones by digest.
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, best: int = BEST) -> DataFrame:
+    """(key, text, ids, score, nbest) of each row: the best segmentation's ids and score, and the `best` best ones by digest.
 
     A null or empty text has no pieces, score 0 and no segmentations. White space is kept as it is; a
     character without a piece, a literal space mark too, becomes byte pieces, so decoding gives the same text.
+    Repeated rows each have a row; other columns are left out.
     """
+    out = T.StructType([docs.schema[key], docs.schema[text], *ENCODED.fields])
 
-    @F.arrow_udf(ENCODED)
-    def encode(texts: pa.Array) -> pa.Array:
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, best)
-        ids, scores, nbest = [], [], []
-        texts = [t or "" for t in texts.to_pylist()]
-        size = np.cumsum([len(t) for t in texts]) // SLICE_CHARS
-        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            for x in model.encode_all(texts[a:b]):
-                ids.append(x[0])
-                scores.append(x[1])
-                nbest.append([{"score": s, "n_pieces": n, "ids_sha256": h} for s, n, h in x[2]])
-        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))]) // 4
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-        return pa.StructArray.from_arrays([lists, pa.array(scores, pa.float64()), pa.array(nbest, _NBEST)], ["ids", "score", "nbest"])
-
-    return encode
+        for batch in rows:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            size = np.cumsum([len(t) for t in texts]) // SLICE_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                found = model.encode_all(texts[a:b])
+                offsets = np.concatenate([[0], np.cumsum(np.fromiter((len(x[0]) // 4 for x in found), np.int64, b - a))])
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _int32(b"".join([x[0] for x in found])))
+                nbest = [[{"score": s, "n_pieces": n, "ids_sha256": h} for s, n, h in x[2]] for x in found]
+                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids, pa.array([x[1] for x in found], pa.float64()), pa.array(nbest, _NBEST)]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return docs.select(key, text).mapInArrow(batches, out)
 
 
 def decode_udf(path: str = MODEL) -> Callable[[Column], Column]:

@@ -76,12 +76,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pieces import decode_udf, encode_udf
+    from .pieces import decode_udf, encode
 
-    found = _table(spark, sf_dir, "documents").select("doc_id", "text", encode_udf()(F.col("text")).alias("e"))
-    back = found.select("doc_id", "text", "e", decode_udf()(F.col("e.ids")).alias("decoded"))
+    found = encode(_table(spark, sf_dir, "documents"))
+    back = found.withColumn("decoded", decode_udf()(F.col("ids")))
     same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
-    return back.select("doc_id", F.size("e.ids").cast("bigint").alias("n_pieces"), "e.score", F.get("e.nbest", F.lit(0))["ids_sha256"].alias("ids_sha256"), "e.nbest", same)
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "score", F.get("nbest", F.lit(0))["ids_sha256"].alias("ids_sha256"), "nbest", same)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
