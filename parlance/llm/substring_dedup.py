@@ -6,8 +6,8 @@ each shard builds an FM-index (a wavelet matrix over the Burrows-Wheeler transfo
 and streams them through it: backward search gives each window's interval, those of two occurrences or more are
 reported, and a window goes if the first of its occurrences is an earlier one.
 
-Anchors that hold more than HOT of all stretches aren't dealt to one shard: their windows are grouped by
-digest with partial aggregation instead, which gives the same result.
+Anchors that hold more than HOT of all stretches aren't dealt to one shard: equal stretches, then the
+windows of distinct ones, are grouped by digest with partial aggregation instead, which gives the same result.
 """
 
 from __future__ import annotations
@@ -340,11 +340,16 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ranges = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed, RANGE)
     if any_hot:
         only = F.broadcast(hot)
-        windows = stored(stretches.join(only, "anchor", "left_semi").select("anchor", "ord", "dk", "start", "words").mapInArrow(_windows, "w binary, ord long, dk long, start int"), "windows")
+        own = stretches.join(only, "anchor", "left_semi").select("anchor", F.md5("words").alias("digest"), "ord", "dk", "start", "words")
+        own = stored(own.withColumn("n", F.size(F.split(F.col("words").cast("string"), " "))), "hot-stretches")
         place = F.struct("ord", "dk", "start")
+        distinct = stored(own.groupBy("digest").agg(F.min(F.struct("ord", "dk", "start", "anchor", "words")).alias("f"), F.count("*").alias("copies")), "distinct")
+        before = F.struct("f.ord", "f.dk", "f.start")
+        whole = own.select("digest", "ord", "dk", "start", "n").join(distinct.filter("copies > 1").select("digest", before.alias("first")), "digest").filter(place > F.col("first"))
+        windows = stored(distinct.select("f.anchor", "f.ord", "f.dk", "f.start", "f.words").mapInArrow(_windows, "w binary, ord long, dk long, start int"), "windows")
         least = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
         later = windows.join(least, "w").filter(place > F.col("first"))
-        ranges = ranges.unionByName(later.select("dk", "start", F.lit(WINDOW).alias("n")))
+        ranges = ranges.unionByName(whole.select("dk", "start", "n")).unionByName(later.select("dk", "start", F.lit(WINDOW).alias("n")))
     cut = ranges.groupBy("dk").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     out = joined.join(cut, "dk", "left").select("id", _kept(F.col("text"), F.coalesce("copy", F.lit(False)), F.col("ranges")).alias("k"))
     return out.select(F.col("id").alias(key), "k.n_words", "k.n_removed", "k.kept")
