@@ -28,7 +28,10 @@ FISHER_PARTITIONS = [
     ("fe_03_p2_tran", 100, 108, "fe_03_p2_sph6"),
     ("fe_03_p2_tran", 109, 116, "fe_03_p2_sph7"),
 ]
-IN_FILE = Window.partitionBy("file_id")
+
+
+def in_file() -> Window:
+    return Window.partitionBy("file_id")
 
 
 def letter(i: Column) -> Column:
@@ -83,7 +86,7 @@ def expand_time_marks(df: DataFrame, text: str = "text") -> DataFrame:
 
 def backfill_time_marks(df: DataFrame) -> DataFrame:
     """Untimed utterances get the times of the next timed one of the file; trailing ones go. Blank ones must be gone before."""
-    ahead = IN_FILE.orderBy("line_idx").rowsBetween(0, Window.unboundedFollowing)
+    ahead = in_file().orderBy("line_idx").rowsBetween(0, Window.unboundedFollowing)
     times = F.first(F.when(F.col("start_secs").isNotNull(), F.struct("start_secs", "end_secs")), ignorenulls=True).over(ahead)
     return df.withColumn("_t", times).filter("_t is not null").withColumn("start_secs", F.col("_t.start_secs")).withColumn("end_secs", F.col("_t.end_secs")).drop("_t")
 
@@ -91,7 +94,7 @@ def backfill_time_marks(df: DataFrame) -> DataFrame:
 def letters_by_first_seen(df: DataFrame) -> DataFrame:
     """Speakers of a file as letters in the order of their first line, empty lines included."""
     rows = df.withColumn("_first", F.min("line_idx").over(Window.partitionBy("file_id", "speaker")))
-    return rows.withColumn("speaker", letter(F.dense_rank().over(IN_FILE.orderBy("_first")) - 1)).drop("_first")
+    return rows.withColumn("speaker", letter(F.dense_rank().over(in_file().orderBy("_first")) - 1)).drop("_first")
 
 
 def letters_by_header(df: DataFrame, participants: str = "participants") -> DataFrame:
@@ -123,19 +126,19 @@ def dedupe_overlaps(df: DataFrame, key: str = "file_id") -> DataFrame:
 
 def sort_lines(df: DataFrame) -> DataFrame:
     """line_no: the place in the file by start, end and original index."""
-    return df.withColumn("line_no", F.row_number().over(IN_FILE.orderBy("start_secs", "end_secs", "line_idx")) - 1)
+    return df.withColumn("line_no", F.row_number().over(in_file().orderBy("start_secs", "end_secs", "line_idx")) - 1)
 
 
 def speaker_proportions(df: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(file_id, speaker, duration_secs, share) of the speakers whose share of the file is the threshold or more; a file without any duration has null shares and keeps all."""
     each = df.groupBy("file_id", "speaker").agg(F.sum(F.col("end_secs") - F.col("start_secs")).alias("duration_secs"))
-    shares = each.withColumn("share", F.try_divide("duration_secs", F.sum("duration_secs").over(IN_FILE)))
+    shares = each.withColumn("share", F.try_divide("duration_secs", F.sum("duration_secs").over(in_file())))
     return shares.filter(F.coalesce(F.col("share") >= threshold, F.lit(True)))
 
 
 def remap_speakers(kept: DataFrame) -> DataFrame:
     """(file_id, speaker, letter): the kept speakers in sorted order without gaps."""
-    return kept.select("file_id", "speaker", letter(F.dense_rank().over(IN_FILE.orderBy("speaker")) - 1).alias("letter"))
+    return kept.select("file_id", "speaker", letter(F.dense_rank().over(in_file().orderBy("speaker")) - 1).alias("letter"))
 
 
 def load_transcripts(df: DataFrame, threshold: float = 0.0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sends the library to the executors."""
+"""Makes a session ready: the library on the executors, and batches that small workers can hold."""
 
 from __future__ import annotations
 
@@ -24,3 +24,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(here.parent))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """ship(), and batches for Python of 1000 rows and 8 MB at most, so that a worker needs little memory."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
