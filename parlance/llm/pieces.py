@@ -34,8 +34,8 @@ UNKNOWN_COST = 10.0
 KEPT_WORDS = 250_000
 #: Words up to this length are searched together.
 LONGEST_TOGETHER = 40
-#: Texts are encoded in slices of about so many characters.
-SLICE_CHARS = 2 << 20
+#: Texts are encoded in slices of about so many bytes.
+SLICE_BYTES = 2 << 20
 BEST = 4
 
 _WORD = re.compile(" +[^ ]*|[^ ]+")
@@ -369,11 +369,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path, best)
         for batch in rows:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            size = np.cumsum([len(t) for t in texts]) // SLICE_CHARS
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+            size = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                found = model.encode_all(texts[a:b])
+                found = model.encode_all([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 offsets = np.concatenate([[0], np.cumsum(np.fromiter((len(x[0]) // 4 for x in found), np.int64, b - a))])
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _int32(b"".join([x[0] for x in found])))
                 nbest = [[{"score": s, "n_pieces": n, "ids_sha256": h} for s, n, h in x[2]] for x in found]

@@ -110,25 +110,28 @@ def spans(text: Column) -> Column:
     return _spans(text)
 
 
-@F.arrow_udf(T.StringType())
-def _redacted(texts: pa.Array, found: pa.Array, least: pa.Array) -> pa.Array:
-    out = []
-    for t, x, low in zip(texts, found, least, strict=True):
-        if len(x) == 0:
-            out.append(t.as_py())
-            continue
-        t, kept, at = t.as_py(), [], 0
-        for s in sorted((s for s in x.as_py() if s["score"] >= low.as_py()), key=lambda s: (s["start"], -s["end"])):
-            if s["start"] >= at:
-                kept += [t[at : s["start"]], f"[{s['kind'].upper()}]"]
-            at = max(at, s["end"])
-        out.append("".join([*kept, t[at:]]))
-    return pa.array(out, pa.string())
+def redacted(text: str, least: float) -> str:
+    """A text with spans that score at least `least` replaced by their kind in brackets; of spans that meet, the first is named."""
+    kept, at = [], 0
+    for k, a, b in sorted(find(text), key=lambda s: (s[1], -s[2])):
+        if score(text, k, a, b) >= least:
+            if a >= at:
+                kept += [text[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+    return "".join([*kept, text[at:]])
+
+
+def _redacted(least: float):
+    @F.arrow_udf(T.StringType())
+    def udf(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else redacted(t, least) for x in texts], pa.string())
+
+    return udf
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs, all columns and rows kept, with spans that score at least `least` replaced by their kind in brackets."""
-    return docs.withColumn(text, _redacted(F.col(text), spans(F.col(text)), F.lit(least)))
+    """docs, all columns and rows kept, with redacted() texts; null stays null."""
+    return docs.withColumn(text, _redacted(least)(F.col(text)))
 
 
 def as_text(found: Column) -> Column:
