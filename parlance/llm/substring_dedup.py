@@ -30,6 +30,8 @@ GRAM = 6
 HOT = 1e-3
 #: Hot anchors are looked for in a sample of about so many stretches.
 HOT_SAMPLE = 2_000_000
+#: So many windows of hot anchors, the most frequent ones, are broadcast with their first places at most.
+MANY, LEAST_OFTEN = 100_000, 100
 #: A shard's index is built when so many words have come together.
 SHARD_WORDS = 250_000
 
@@ -261,16 +263,38 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-_WINDOW = pa.schema([("w", pa.binary()), ("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32())])
+_PLACE = pa.schema([("w", pa.binary()), ("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+PLACE = "w binary, ord long, dk long, start int, n int"
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, o, d, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = w.split(b" ")
-            n = len(words) - WINDOW + 1
-            digests = [hashlib.md5(b" ".join(words[i : i + WINDOW])).digest() for i in range(n)]
-            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array([o] * n, pa.int64()), pa.array([d] * n, pa.int64()), pa.array(range(s, s + n), pa.int32())], schema=_WINDOW)
+def _windows(frequent=None):
+    """Of stretches (ord, dk, start, words) the windows (digest, ord, dk, start, null).
+
+    With `frequent`, a broadcast {digest: first place}, its windows aren't given one by one: ranges
+    (null, ord, dk, start, words) take their place where they don't come first.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = frequent.value if frequent else {}
+        for batch in batches:
+            out: list[tuple] = []
+            for o, d, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, last = w.split(b" "), None
+                for i in range(len(words) - WINDOW + 1):
+                    digest = hashlib.md5(b" ".join(words[i : i + WINDOW])).digest()
+                    place = first.get(digest)
+                    if place is None:
+                        out.append((digest, o, d, s + i, None))
+                    elif place < (o, d, s + i):
+                        if last is not None and out[last][3] + out[last][4] >= s + i:
+                            out[last] = (None, o, d, out[last][3], s + i + WINDOW - out[last][3])
+                        else:
+                            last = len(out)
+                            out.append((None, o, d, s + i, WINDOW))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PLACE, strict=True)], schema=_PLACE)
+
+    return each
 
 
 KEPT = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string")
@@ -346,10 +370,16 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         distinct = stored(own.groupBy("digest").agg(F.min(F.struct("ord", "dk", "start", "anchor", "words")).alias("f"), F.count("*").alias("copies")), "distinct")
         before = F.struct("f.ord", "f.dk", "f.start")
         whole = own.select("digest", "ord", "dk", "start", "n").join(distinct.filter("copies > 1").select("digest", before.alias("first")), "digest").filter(place > F.col("first"))
-        windows = stored(distinct.select("f.anchor", "f.ord", "f.dk", "f.start", "f.words").mapInArrow(_windows, "w binary, ord long, dk long, start int"), "windows")
-        least = windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        later = windows.join(least, "w").filter(place > F.col("first"))
-        ranges = ranges.unionByName(whole.select("dk", "start", "n")).unionByName(later.select("dk", "start", F.lit(WINDOW).alias("n")))
+        chosen = distinct.select("f.ord", "f.dk", "f.start", "f.words")
+        windows = stored(chosen.mapInArrow(_windows(), PLACE).drop("n"), "windows")
+        counted = stored(windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated")
+        most = max(LEAST_OFTEN, windows.count() // MANY)  # windows above it are MANY at most
+        frequent = {bytes(r["w"]): tuple(r["first"]) for r in counted.filter(F.col("n") > most).select("w", "first").collect()}
+        split = stored(chosen.mapInArrow(_windows(docs.sparkSession.sparkContext.broadcast(frequent)), PLACE), "windows")
+        often = split.filter("w is null").select("dk", "start", "n")
+        rare = split.filter("w is not null").join(counted.filter(F.col("n") <= most).select("w", "first"), "w").filter(place > F.col("first"))
+        later = often.unionByName(rare.select("dk", "start", F.lit(WINDOW).alias("n")))
+        ranges = ranges.unionByName(whole.select("dk", "start", "n")).unionByName(later)
     cut = ranges.groupBy("dk").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     out = joined.join(cut, "dk", "left").select("id", _kept(F.col("text"), F.coalesce("copy", F.lit(False)), F.col("ranges")).alias("k"))
     return out.select(F.col("id").alias(key), "k.n_words", "k.n_removed", "k.kept")
