@@ -14,9 +14,7 @@ def codes_to_chars(codes: Column, offset: int = OFFSET) -> Column:
 
 
 def chars_to_codes(chars: Column, offset: int = OFFSET) -> Column:
-    raw = F.hex(F.encode(chars, "UTF-32"))
-    n = F.length(chars)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.conv(F.substring(raw, i * 8 - 7, F.lit(8)), 16, 10).cast("int") - offset)))
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(chars, "UTF-32")), F.lit("[0-9A-F]{8}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int") - offset)
 
 
 def frame_major(codebooks: Column, size: int) -> Column:
@@ -26,21 +24,22 @@ def frame_major(codebooks: Column, size: int) -> Column:
 
 
 def interleave_channels(channels: Column) -> Column:
-    """Round robin over the channels (array of arrays), as long as all of them have a code."""
+    """Round robin over the channels (array of arrays), as long as all of them have a code. A fold over channels, linear in codes."""
     n = F.array_min(F.transform(channels, F.size))
-    return F.when(n <= 0, F.array().cast("array<int>")).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda t: F.transform(channels, lambda c: F.get(c, t)))))
+    first = F.transform(F.get(channels, F.lit(0)), lambda x: F.array(x))
+    rest = F.slice(channels, 2, F.greatest(F.size(channels) - 1, F.lit(0)))
+    frames = F.aggregate(rest, first, lambda acc, c: F.zip_with(acc, c, lambda a, x: F.concat(a, F.array(x))))
+    return F.flatten(F.slice(frames, 1, n))
 
 
 def split_channel(codes: Column, channel: int, channels: int) -> Column:
     """Every n-th code; codes of an incomplete last frame are left out (see hanging_codes)."""
-    whole = F.size(codes) - F.size(codes) % channels
-    return F.filter(codes, lambda x, i: (i % channels == channel) & (i < whole))
+    return F.filter(F.slice(codes, 1, F.size(codes) - F.size(codes) % channels), lambda x, i: i % channels == channel)
 
 
 def hanging_codes(codes: Column, channels: int) -> Column:
     """The codes of the incomplete last frame."""
-    whole = F.size(codes) - F.size(codes) % channels
-    return F.filter(codes, lambda x, i: i >= whole)
+    return F.slice(codes, F.size(codes) - F.size(codes) % channels + 1, channels)
 
 
 def swap_agent_channel(channels: Column, agent: Column) -> Column:

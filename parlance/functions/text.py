@@ -104,7 +104,8 @@ def strip_non_audio(c: Column) -> Column:
 
 def shorten_codes(c: Column) -> Column:
     """Runs of more than eight code characters as four, dots, and four."""
-    return F.regexp_replace(c, "(?<=[\\x{E000}-\\x{10FFFF}]{4})[\\x{E000}-\\x{10FFFF}]+(?=[\\x{E000}-\\x{10FFFF}]{4})", ".........")
+    code = "[\\x{E000}-\\x{10FFFF}]"
+    return F.regexp_replace(c, f"({code}{{4}}){code}+({code}{{4}})", "$1.........$2")
 
 
 def turns_of_sequence(c: Column) -> Column:

@@ -169,11 +169,13 @@ def render(spans: DataFrame, placed: DataFrame, codes: DataFrame, codec: CodecPa
     a = (F.col("s") / F.col("num_channels")).cast("int")
     n = ((F.col("e") - F.col("s")) / F.col("num_channels")).cast("int")
     part = F.transform(channels, lambda c: F.slice(c, F.col("skip") + a + 1, F.greatest(n, F.lit(0))))
-    rows = rows.withColumn("audio", codes_to_chars(interleave_channels(part), codec.unicode_offset))
-    nothing = F.struct(F.col("s").alias("at"), F.lit("").alias("t"))
-    step = lambda acc, p: F.struct(p["q"].alias("at"), F.concat(acc["t"], F.substring(F.col("audio"), (acc["at"] - F.col("s") + 1).cast("int"), (p["q"] - acc["at"]).cast("int")), p["piece"]).alias("t"))
-    done = lambda acc: F.concat(acc["t"], F.substring(F.col("audio"), (acc["at"] - F.col("s") + 1).cast("int"), F.lit(2147483647)))
-    body = F.aggregate(F.coalesce("pieces", F.array().cast("array<struct<q:bigint,piece:string>>")), nothing, step, done)
+    # the audio is carried by the fold, so that it is made once and not for every piece
+    audio = codes_to_chars(interleave_channels(part), codec.unicode_offset)
+    start = F.struct(F.col("s").alias("from"), F.col("s").alias("at"), audio.alias("audio"), F.lit("").alias("t"))
+    cut = lambda acc, n: F.substring(acc["audio"], (acc["at"] - acc["from"] + 1).cast("int"), n)
+    step = lambda acc, p: F.struct(acc["from"].alias("from"), p["q"].alias("at"), acc["audio"].alias("audio"), F.concat(acc["t"], cut(acc, (p["q"] - acc["at"]).cast("int")), p["piece"]).alias("t"))
+    done = lambda acc: F.concat(acc["t"], cut(acc, F.lit(2147483647)))
+    body = F.aggregate(F.coalesce("pieces", F.array().cast("array<struct<q:bigint,piece:string>>")), start, step, done)
     return rows.select(*KEYS, "example_index", "s", "e", "length", body.alias("body"))
 
 
