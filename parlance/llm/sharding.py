@@ -54,21 +54,23 @@ def plan_map(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
 def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     """The next version of a map for `shards` shards: slots move only from shards over the new mean.
 
-    In each shard, in order of slot, those that still fit under the mean stay; the rest fill the shards under it, by bytes.
+    In each shard, in order of slot, those that still fit under the mean stay; the rest fill the new shards by bytes, or, if
+    there are none, the shards under the mean.
     """
     by_shard = Window.partitionBy("shard").orderBy("virtual_slot")
-    mean = (slot_map.agg(F.sum("bytes")).first()[0] or 0) / shards
+    total, last = slot_map.agg(F.sum("bytes"), F.max("shard")).first()
+    mean, grows = (total or 0) / shards, last is not None and shards > last + 1
     marked = slot_map.withColumn("upto", F.sum("bytes").over(by_shard))
     stays = (F.col("upto") <= mean) & (F.col("shard") < shards)
     kept = marked.filter(stays)
     loads = F.broadcast(kept.groupBy("shard").agg(F.sum("bytes").alias("load")))
     room = slot_map.sparkSession.range(shards).select(F.col("id").cast("int").alias("to")).join(loads, F.col("to") == F.col("shard"), "left")
-    room = room.select("to", F.greatest(F.lit(0.0), F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room"))
+    room = room.select("to", F.greatest(F.lit(0.0), F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room")).filter(F.col("to") > last if grows else F.lit(True))
     ends = Window.orderBy("to")  # as many rows as shards
     room = room.select("to", (F.sum("room").over(ends) - F.col("room")).alias("lo"), F.sum("room").over(ends).alias("hi"))
-    total = room.agg(F.max("hi")).first()[0]
+    free = room.agg(F.max("hi")).first()[0] or 0
     moved = marked.filter(~stays).withColumn("at", F.sum("bytes").over(Window.orderBy("virtual_slot")) - F.col("bytes") / 2)  # as many rows as slots
-    moved = moved.withColumn("at", F.least("at", F.lit(total * 0.999999)))
+    moved = moved.withColumn("at", F.least("at", F.lit(free * 0.999999)))
     moved = moved.join(F.broadcast(room), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
     cols = [(F.col("version") + 1).alias("version"), "virtual_slot"]
     return kept.select(*cols, "shard", "bytes", "n").unionByName(moved.select(*cols, F.coalesce("to", F.lit(shards - 1)).alias("shard"), "bytes", "n"))

@@ -7,7 +7,7 @@ and streams them through it: backward search gives each window's interval, those
 reported, and a window goes if the first of its occurrences is an earlier one.
 
 Anchors that hold more than HOT of all stretches aren't dealt to one shard: equal stretches, then the
-windows of distinct ones, are grouped by digest with partial aggregation instead, which gives the same result.
+windows of distinct ones, are grouped by digest, equal ones first where they are, which gives the same result.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ GRAM = 6
 HOT = 1e-3
 #: Hot anchors are looked for in a sample of about so many stretches.
 HOT_SAMPLE = 2_000_000
-#: So many windows of hot anchors, the most frequent ones, are broadcast with their first places at most.
-MANY, LEAST_OFTEN = 100_000, 100
+#: Windows of hot anchors are compared so many at a time before they are dealt by digest, in buckets of about so many.
+MANY = 100_000
 #: A shard's index is built when so many words have come together.
 SHARD_WORDS = 250_000
 
@@ -263,40 +263,68 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-_PLACE = pa.schema([("w", pa.binary()), ("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-PLACE = "w binary, ord long, dk long, start int, n int"
-
-
-def _windows(frequent=None):
-    """Of stretches (ord, dk, start, words) the windows (digest, ord, dk, start, null).
-
-    With `frequent`, a broadcast {digest: first place}, its windows aren't given one by one: ranges
-    (null, ord, dk, start, words) take their place where they don't come first.
-    """
+LOCAL = "bucket int, blob binary, dk long, start int, n int"
+_LOCAL = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_ROW = np.dtype([("high", "<u8"), ("low", "<u8"), ("ord", "<i8"), ("dk", "<i8"), ("start", "<i4"), ("seg", "<i4")])
+
+
+def _not_first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rows sorted by digest and place, and which of them aren't the first of their digest."""
+    rows = rows[np.lexsort((rows["start"], rows["dk"], rows["ord"], rows["low"], rows["high"]))]
+    later = np.zeros(len(rows), bool)
+    later[1:] = (rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])
+    return rows, later
+
+
+def _local_windows(buckets: int):
+    """Of stretches (ord, dk, start, words): ranges of windows that come later than an equal one among the same
+    MANY or so windows, and the others packed by bucket of their digest, a row a bucket and not a window."""
+
+    def packed(digests: list[bytes], places: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        rows = np.zeros(len(digests), _ROW)
+        both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        rows["high"], rows["low"] = both[:, 0], both[:, 1]
+        of, counts = np.array([p[:3] for p in places], np.int64), np.array([p[3] for p in places])
+        rows["seg"] = np.repeat(np.arange(len(places)), counts)
+        rows["ord"], rows["dk"] = of[rows["seg"], 0], of[rows["seg"], 1]
+        rows["start"] = of[rows["seg"], 2] + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        rows, later = _not_first(rows)
+        gone, kept = rows[later], rows[~later]
+        gone = gone[np.lexsort((gone["start"], gone["seg"]))]
+        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(gone["start"]) > 1) | (np.diff(gone["seg"]) > 0)])) if len(gone) else np.zeros(0, int)
+        last = np.concatenate([cuts[1:], [len(gone)]])[: len(cuts)] - 1
+        out = [{"dk": int(gone["dk"][a]), "start": int(gone["start"][a]), "n": int(gone["start"][b] - gone["start"][a]) + WINDOW} for a, b in zip(cuts.tolist(), last.tolist(), strict=True)]
+        bucket = (kept["high"] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        kept, bucket = kept[order], bucket[order]
+        ends = np.searchsorted(bucket, np.arange(buckets + 1))
+        out += [{"bucket": k, "blob": kept[ends[k] : ends[k + 1]].tobytes()} for k in np.unique(bucket).tolist()]
+        return pa.RecordBatch.from_pylist(out, schema=_LOCAL)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = frequent.value if frequent else {}
+        digests, places = [], []
         for batch in batches:
-            out: list[tuple] = []
             for o, d, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, last = w.split(b" "), None
-                for i in range(len(words) - WINDOW + 1):
-                    digest = hashlib.md5(b" ".join(words[i : i + WINDOW])).digest()
-                    place = first.get(digest)
-                    if place is None:
-                        out.append((digest, o, d, s + i, None))
-                    elif place < (o, d, s + i):
-                        if last is not None and out[last][3] + out[last][4] >= s + i:
-                            out[last] = (None, o, d, out[last][3], s + i + WINDOW - out[last][3])
-                        else:
-                            last = len(out)
-                            out.append((None, o, d, s + i, WINDOW))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _PLACE, strict=True)], schema=_PLACE)
+                words = w.split(b" ")
+                n = len(words) - WINDOW + 1
+                digests += [hashlib.md5(b" ".join(words[i : i + WINDOW])).digest() for i in range(n)]
+                places.append((o, d, s, n))
+            if len(digests) >= MANY:
+                yield packed(digests, places)
+                digests, places = [], []
+        if digests:
+            yield packed(digests, places)
 
     return each
 
 
+def _bucket(table: pa.Table) -> pa.Table:
+    """The windows of a bucket that aren't the first of their digest."""
+    rows, later = _not_first(np.frombuffer(b"".join(table["blob"].to_pylist()), _ROW))
+    gone = rows[later]
+    return pa.table([pa.array(gone["dk"]), pa.array(gone["start"]), pa.array(np.full(len(gone), WINDOW, np.int32))], schema=_RANGE)
+
+
 KEPT = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
 
@@ -370,15 +398,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         distinct = stored(own.groupBy("digest").agg(F.min(F.struct("ord", "dk", "start", "anchor", "words")).alias("f"), F.count("*").alias("copies")), "distinct")
         before = F.struct("f.ord", "f.dk", "f.start")
         whole = own.select("digest", "ord", "dk", "start", "n").join(distinct.filter("copies > 1").select("digest", before.alias("first")), "digest").filter(place > F.col("first"))
-        chosen = distinct.select("f.ord", "f.dk", "f.start", "f.words")
-        windows = stored(chosen.mapInArrow(_windows(), PLACE).drop("n"), "windows")
-        counted = stored(windows.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "repeated")
-        most = max(LEAST_OFTEN, windows.count() // MANY)  # windows above it are MANY at most
-        frequent = {bytes(r["w"]): tuple(r["first"]) for r in counted.filter(F.col("n") > most).select("w", "first").collect()}
-        split = stored(chosen.mapInArrow(_windows(docs.sparkSession.sparkContext.broadcast(frequent)), PLACE), "windows")
-        often = split.filter("w is null").select("dk", "start", "n")
-        rare = split.filter("w is not null").join(counted.filter(F.col("n") <= most).select("w", "first"), "w").filter(place > F.col("first"))
-        later = often.unionByName(rare.select("dk", "start", F.lit(WINDOW).alias("n")))
+        buckets = int(distinct.agg(F.sum(F.octet_length("f.words"))).first()[0] or 0) // (MANY * 20) + 1
+        local = stored(distinct.select("f.ord", "f.dk", "f.start", "f.words").mapInArrow(_local_windows(buckets), LOCAL), "windows")
+        later = local.filter("bucket is not null").groupBy("bucket").applyInArrow(_bucket, RANGE)
+        later = later.unionByName(local.filter("bucket is null").select("dk", "start", "n"))
         ranges = ranges.unionByName(whole.select("dk", "start", "n")).unionByName(later)
     cut = ranges.groupBy("dk").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     out = joined.join(cut, "dk", "left").select("id", _kept(F.col("text"), F.coalesce("copy", F.lit(False)), F.col("ranges")).alias("k"))
