@@ -83,27 +83,37 @@ class Lattice:
         top = set(self.top)
         return self.best[self.n] - max((self.best[e[0]] + e[3] + rest[e[1]] for e in self.edges if e not in top), default=-math.inf)
 
-    def segmentations(self):
-        """(score, edges) in falling order of score: A-star from the end to the start, the forward score being what remains.
+    def segmentations(self, most: int):
+        """The `most` best (score, edges) in falling order: A-star from the end to the start, the forward score being what remains.
 
-        Of equal scores the one found first comes first, which is the same on every run.
+        As that is exact, a hypothesis that is popped runs straight to the start along best edges, and leaves
+        one hypothesis at each node that it passes, with the node's next edge. Each leads to a segmentation,
+        so no more than are still wanted are kept. Of equal scores the one found first comes first, on every run.
         """
         into: list[list] = [[] for _ in range(self.n + 1)]
         for edge in self.edges:
             into[edge[1]].append(edge)
+        for edges in into:
+            edges.sort(key=lambda e: -(self.best[e[0]] + e[3]))
         tie = count()
-        heap = [(-self.best[self.n], next(tie), self.n, 0.0, None)]
-        while heap:
-            f, _, node, done, tail = heapq.heappop(heap)
-            if node == 0:
-                edges = []
-                while tail is not None:
-                    edge, tail = tail
-                    edges.append(edge)
-                yield -f, edges
-                continue
-            for edge in into[node]:
-                heapq.heappush(heap, (-(done + edge[3] + self.best[edge[0]]), next(tie), edge[0], done + edge[3], (edge, tail)))
+        heap = [(-self.best[self.n], next(tie), self.n, 0, 0.0, None)]
+        while heap and most:
+            f, _, node, rank, done, tail = heap.pop(0)
+            while node:
+                if rank + 1 < len(into[node]):
+                    edge = into[node][rank + 1]
+                    heap.append((-(done + edge[3] + self.best[edge[0]]), next(tie), node, rank + 1, done, tail))
+                    if len(heap) > 4096:
+                        heap = heapq.nsmallest(most, heap)
+                edge = into[node][rank]
+                node, rank, done, tail = edge[0], 0, done + edge[3], (edge, tail)
+            edges = []
+            while tail is not None:
+                edge, tail = tail
+                edges.append(edge)
+            yield -f, edges
+            most -= 1
+            heap = heapq.nsmallest(most, heap)
 
 
 class _Slots:
@@ -271,15 +281,9 @@ class Pieces:
     def others(self, word: str) -> list[tuple[float, bytes]]:
         """(extra cost, ids) of the best - 1 segmentations of a word after its best one."""
         if word not in self.kept_others:
-            lattice, out, left = Lattice(word, self.table, self.unknown), [], True
-            for score, edges in lattice.segmentations():
-                if left and edges == lattice.top:
-                    left = False
-                else:
-                    out.append((lattice.best[lattice.n] - score, self.ids(word, edges)))
-                if len(out) == self.best:
-                    break
-            self.kept_others[word] = out[: self.best - 1]
+            lattice = Lattice(word, self.table, self.unknown)
+            rest = [(lattice.best[lattice.n] - score, self.ids(word, edges)) for score, edges in lattice.segmentations(self.best) if edges != lattice.top]
+            self.kept_others[word] = rest[: self.best - 1]
         return self.kept_others[word]
 
     def encode_all(self, texts: list[str]):

@@ -15,6 +15,7 @@ from .common import shared_folder
 
 SLOTS = 4096
 SHARDS = 24
+SLOT_MAP = "virtual_slot int, shard int, bytes long, n long, version int"
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
 
@@ -82,10 +83,10 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A stored version of the map, the latest if none is named."""
-    every = spark.read.parquet(path)
+    """A stored version of the map, the latest if none is named; a map without slots has no rows."""
+    every = spark.read.schema(SLOT_MAP).parquet(path)
     if version is None:
-        version = every.agg(F.max("version")).first()[0]
+        version = every.agg(F.max("version")).first()[0] or 0
     return every.filter(F.col("version") == version)
 
 
