@@ -178,6 +178,17 @@ def w1_backfill_time_marks(spark: SparkSession, d: str) -> DataFrame:
     return R.backfill_time_marks(rows).select("file_id", "line_idx", "start_secs", "end_secs")
 
 
+@query("""select file_id, line_idx, start_secs, end_secs, case speaker when 'S' then 'A' when 'U' then 'B' else 'C' end as speaker, text from
+ (select file_id, line_idx, speaker, text, first_value(case when line_idx % 3 <> 0 then start_secs end ignore nulls) over w as start_secs, first_value(case when line_idx % 3 <> 0 then end_secs end ignore nulls) over w as end_secs
+ from utt where text not in ('.', '0.') window w as (partition by file_id order by line_idx rows between current row and unbounded following)) where start_secs is not null""",
+       D.UTTERANCES_SQL.replace("array_to_string(w, ' ') as text", _chain("array_to_string(w, ' ')", [*_SQL_RULES[:9], (r"\[[^%\]].*?\]", ""), *_SQL_RULES[9:]]) + " as text"))
+def s2_chat_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Main-tier lines with participants, a third of them untimed: lettered, cleaned, blank ones dropped, times filled back."""
+    ms = lambda c: F.when(F.col("line_idx") % 3 != 0, F.round(F.col(c) * 1000).cast("bigint"))
+    rows = D.utterances(spark, d).select("file_id", "line_idx", "speaker", "text", ms("start_secs").alias("mark_start_ms"), ms("end_secs").alias("mark_end_ms"))
+    return R.clean_chat(rows.withColumn("participants", F.array(F.lit("S"), F.lit("U"), F.lit("A")))).select("file_id", "line_idx", "start_secs", "end_secs", "speaker", "text")
+
+
 @query("select file_id, line_idx, letter as speaker from utt join seen using (file_id, speaker)", D.UTTERANCES_SQL, _FIRST_SEEN)
 def w2_letters_by_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return R.letters_by_first_seen(D.utterances(spark, d)).select("file_id", "line_idx", "speaker")
