@@ -13,6 +13,7 @@ from ..operators import stats as A
 from ..operators import voice as V
 from ..operators.transcripts import load_transcripts
 from ..schemas import CodecParams, Tokens
+from ..sources.readers import code_files
 from . import examples as E
 from . import fixtures as D
 from .registry import query
@@ -177,6 +178,18 @@ def j5_attach_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("file_id", "n_codes", "num_channels", "trans_start", "trans_end", F.size("speakers").alias("speakers"))
 
 
+@query("select file_id, channel, 'p' || p as part_ts, list_sum(codes[case when p = 0 then 1 else n // 2 + 1 end : case when p = 0 then n // 2 else n end])::bigint as total from codes, (select unnest([0, 1]) as p)", D.UTTERANCES_SQL, D.CODES_SQL)
+def s9_code_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of channels as array files (a header of 128 bytes, then 32-bit numbers), decoded again."""
+    low_first = lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+    body = F.array_join(F.transform("codes", lambda x: low_first(F.lpad(F.hex(x.cast("bigint")), 8, "0"))), "")
+    head = F.rpad(F.concat(F.lit("{'descr': '<i4', 'fortran_order': False, 'shape': ("), F.size("codes"), F.lit(",), }")), 117, " ")
+    content = F.unhex(F.concat(F.lit("934E554D505901007600"), F.hex(F.encode(F.concat(head, F.lit("\n")), "UTF-8")), body))
+    files = D.codes(spark, d).select(F.concat("file_id", F.lit("_c"), "channel", F.lit("_"), "part_ts").alias("name"), content.alias("content"))
+    total = F.when(F.size("codes") > 0, F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, v: a + v))
+    return code_files(files).select("file_id", "channel", "part_ts", total.alias("total"))
+
+
 @query("select file_id, channel, len(codes)::int as n, md5(array_to_string(codes, ',')) as digest from codes", D.UTTERANCES_SQL, D.CODES_SQL)
 def o5_concat_code_parts(spark: SparkSession, d: str) -> DataFrame:
     rows = I.concat_code_parts(D.codes(spark, d))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import jobs as J
 from . import fixtures as D
 from . import queries_text as Q
@@ -27,8 +25,7 @@ def stream(spark: SparkSession, d: str, name: str, files: int = 1000) -> DataFra
 def finished(df: DataFrame) -> DataFrame:
     """What a stream gives until its source is used up: written to the shared folder, then read."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    path = f"{base.rstrip('/')}/parlance/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
     job = df.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")

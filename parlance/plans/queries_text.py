@@ -10,6 +10,7 @@ from ..operators import channels as C
 from ..operators import splits as S
 from ..operators import stats as A
 from ..operators import transcripts as R
+from ..session import shared_folder
 from ..sources import readers, writers
 from . import fixtures as D
 from .registry import query
@@ -328,3 +329,20 @@ def x8_head_validation(spark: SparkSession, d: str) -> DataFrame:
 @query("select l_orderkey, l_linenumber, case when l_orderkey % 100 < 5 then 'validation' when l_orderkey % 100 > 5 then 'train' end as split from lineitem")
 def x8_modulo_split(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.modulo_split(F.col("l_orderkey"), 5).alias("split"))
+
+
+@query("select file_id, line_idx, text from utt", D.UTTERANCES_SQL)
+def s10_write_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Examples written with their metadata, and read back."""
+    path = shared_folder(spark, "examples")
+    rows = D.utterances(spark, d).select("file_id", "line_idx", "text")
+    writers.write_examples(rows, path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+@query("select text from conversations")
+def s12_training_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts written as JSON lines, and read back as training text."""
+    path = f"{shared_folder(spark, 'text')}.json"
+    writers.write_examples(D.table(spark, d, "conversations").select("conv_id", "text"), path, "json")
+    return readers.read_training_text(spark, path)

@@ -128,6 +128,11 @@ def read_codes(spark: SparkSession, root: str, include: tuple[str, ...] = (), ex
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npy").load(root)
     files = filter_paths(files, include, exclude).select(relative_id(F.col("path"), root).alias("name"), "content")
+    return code_files(files, num_codebooks, size)
+
+
+def code_files(files: DataFrame, num_codebooks: int = 1, size: int = 131072) -> DataFrame:
+    """(file_id, channel, part_ts, codes) of array files (name, content)."""
     part = lambda g: F.regexp_extract(F.concat("name", F.lit(".")), CODE_FILE, g)
     named = F.when(part(1) == "", F.raise_error(F.concat(F.lit("no channel in the name "), "name"))).otherwise(part(1))
     files = files.select(named.alias("file_id"), part(2).alias("channel"), F.regexp_replace(part(3), r"\.$", "").alias("part_ts"), "content")
