@@ -31,7 +31,7 @@ LEAST_SCORE = -1e8
 #: A character without a piece costs this more than the worst piece, and is spelled in bytes.
 UNKNOWN_COST = 10.0
 #: So many words with their segmentations are kept by each worker; then it starts anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 500_000
 #: Words up to this length are searched together.
 LONGEST_TOGETHER = 40
 #: Texts are encoded in slices of about so many bytes.
