@@ -62,9 +62,23 @@ def _rules(c: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, F.lit(rule[0]), F.lit(rule[1])), rules, c)
 
 
+#: Every rule but PLAIN needs one of these characters in the line.
+MARKED = r"[<\[\x15+&°☺⁎ʔ(_]"
+PLAIN = [NOTATION[5], NOTATION[13], NOTATION[14], NOTATION[15]]
+
+
 def clean_line(c: Column, remove_bracketed: bool = False) -> Column:
-    """A transcript line without annotation marks; remove_bracketed drops [...] that isn't a comment or a sound."""
-    return strip(_rules(c, [*SPOKEN_MARKS, *(BRACKETED if remove_bracketed else []), *NOTATION]))
+    """A transcript line without annotation marks; remove_bracketed drops [...] that isn't a comment or a sound.
+
+    Most lines have no marks at all and take the few rules that can still change them.
+    """
+    every = _rules(c, [*SPOKEN_MARKS, *(BRACKETED if remove_bracketed else []), *NOTATION])
+    return strip(F.when(c.rlike(MARKED), every).otherwise(_rules(c, PLAIN)))
+
+
+def nonempty(text: Column) -> Column:
+    """explode() of a text unless it is empty: drops rows like a filter, but makes the text only once."""
+    return F.explode(F.filter(F.array(text), lambda t: F.length(t) > 0))
 
 
 def clean_asr_text(c: Column) -> Column:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_line, strip
+from ..functions.text import clean_line, nonempty, strip
 from ..operators.transcripts import filter_paths, letters_by_first_seen
 from ..schemas import FILE_SPLITS, GIGASPEECH, LIBRIHEAVY
 
@@ -52,8 +52,8 @@ def fisher_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """prefix (the first three words) and cleaned text of lines that aren't blank, comments, or empty when cleaned."""
     rows = df.withColumn("_l", strip(F.col(line))).filter((F.col("_l") != "") & ~F.startswith("_l", F.lit("#")))
     parts = F.split("_l", r"(?U)\s+")
-    rows = rows.withColumn("prefix", F.array_join(F.slice(parts, 1, 3), " ")).withColumn("text", clean_line(F.array_join(F.slice(parts, 4, 2147483643), " ")))
-    return rows.filter(F.length("text") > 0).drop("_l")
+    rows = rows.withColumn("_p", parts).withColumn("prefix", F.array_join(F.slice("_p", 1, 3), " ")).withColumn("_t", F.array_join(F.slice("_p", 4, 2147483643), " "))
+    return rows.withColumn("text", nonempty(clean_line(F.col("_t")))).drop("_l", "_p", "_t")
 
 
 def read_fisher_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,7 +65,7 @@ def gigaspeech_utterances(df: DataFrame) -> DataFrame:
     rows = df.select(F.explode("audios").alias("a")).filter(F.col("a.path").rlike(GIGASPEECH_PATHS))
     rows = rows.select(F.col("a.path").alias("file_id"), F.posexplode("a.segments").alias("line_idx", "s"))
     rows = rows.select("file_id", "line_idx", F.col("s.begin_time").alias("start_secs"), F.col("s.end_time").alias("end_secs"), "s.speaker", F.lower("s.text_tn").alias("text"))
-    return letters_by_first_seen(rows).withColumn("text", clean_line(F.col("text"))).filter(F.length("text") > 0)
+    return letters_by_first_seen(rows).withColumn("text", nonempty(clean_line(F.col("text"))))
 
 
 def read_gigaspeech(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +79,7 @@ def libriheavy_utterances(df: DataFrame) -> DataFrame:
     rows = df.select(F.col("recording.id").alias("recording"), F.col("start").alias("cut_start"), cut.alias("file_id"), F.posexplode("supervisions").alias("line_idx", "s"))
     begin = F.col("cut_start") + F.col("s.start")
     rows = rows.select("recording", "cut_start", "file_id", "line_idx", begin.alias("start_secs"), (begin + F.col("s.duration")).alias("end_secs"), "s.speaker", F.get("s.custom.texts", F.lit(0)).alias("text"))
-    return letters_by_first_seen(rows).withColumn("text", clean_line(F.col("text"))).filter(F.length("text") > 0)
+    return letters_by_first_seen(rows).withColumn("text", nonempty(clean_line(F.col("text"))))
 
 
 def read_libriheavy(spark: SparkSession, paths: list[str]) -> DataFrame:
