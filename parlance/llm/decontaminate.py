@@ -169,11 +169,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str =
     return found.select(key, "_h.n_words", "_h.n_hit", "_h.items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, text: str = "text") -> DataFrame:
-    """docs, all columns kept, without the contaminated documents or (remove="spans") without the hit words."""
-    if not fits(benchmark):
-        raise ValueError("the benchmark is beyond the bound for a broadcast: use contamination_joined and an anti join")
-    hits = hits_udf(benchmark, n)
-    if remove == "documents":
-        return docs.filter(hits(F.col(text))["n_hit"] == 0)
-    return docs.withColumn(text, _without(F.col(text), hits(F.col(text))["spans"]))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = N, key: str = "doc_id", text: str = "text", most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """docs, all columns kept, without the contaminated documents or (remove="spans") without the hit words.
+
+    A benchmark beyond the bound takes the join, which removes documents by their key (one without a key
+    stays) and can't cut spans: ValueError.
+    """
+    if fits(benchmark, most=most):
+        hits = hits_udf(benchmark, n)
+        if remove == "documents":
+            return docs.filter(hits(F.col(text))["n_hit"] == 0)
+        return docs.withColumn(text, _without(F.col(text), hits(F.col(text))["spans"]))
+    if remove != "documents":
+        raise ValueError("the benchmark is beyond the bound for a broadcast: only documents can be removed")
+    gone = contamination_joined(docs, benchmark, n, key, text).filter("n_hit > 0").select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(docs.columns)

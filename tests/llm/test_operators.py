@@ -75,6 +75,9 @@ def test_decontaminate_removes_spans_or_documents(spark):
     texts = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in TEXTS], DOCS))
     kept = dec.decontaminate(texts, items)
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [2, 3] and kept.columns == texts.columns
+    assert [r.doc_id for r in dec.decontaminate(texts, items, most=0).orderBy("doc_id").collect()] == [2, 3]
+    with pytest.raises(ValueError):
+        dec.decontaminate(texts, items, remove="spans", most=0)
     spans = {r.doc_id: r.text for r in dec.decontaminate(texts, items, remove="spans").collect()}
     assert spans[0] == "so  and" and spans[3] is None and spans[2] == "w1x w2x w3x"
 
