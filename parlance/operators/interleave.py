@@ -32,6 +32,21 @@ def file_codes(channels: DataFrame) -> DataFrame:
     return out.withColumn("n_codes", same).drop("_most")
 
 
+def code_lengths(parts: DataFrame) -> DataFrame:
+    """(file_id, num_channels, n_codes) from the sizes of the parts: no code is shuffled. Channels of unequal length are an error."""
+    each = parts.select("file_id", "channel", F.size("codes").alias("n")).groupBy("file_id", "channel").agg(F.sum("n").cast("int").alias("n"))
+    out = each.groupBy("file_id").agg((F.max("channel") + 1).alias("num_channels"), F.min("n").alias("n_codes"), F.max("n").alias("_most"))
+    same = F.when(F.col("n_codes") == F.col("_most"), F.col("n_codes")).otherwise(F.raise_error(F.lit("channels differ in length")))
+    return out.withColumn("n_codes", same).drop("_most")
+
+
+def file_codes_of_parts(parts: DataFrame) -> DataFrame:
+    """(file_id, channels, num_channels): what concat_code_parts and file_codes give, with one shuffle of the codes, by file."""
+    rows = parts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("channel", "part_ts", "codes"))).alias("_p"), (F.max("channel") + 1).alias("num_channels"))
+    channel = lambda c: F.flatten(F.transform(F.filter("_p", lambda p: p["channel"] == c), lambda p: p["codes"]))
+    return rows.select("file_id", F.transform(F.sequence(F.lit(0), F.col("num_channels") - 1), channel).alias("channels"), "num_channels")
+
+
 def num_channels(channels: DataFrame) -> DataFrame:
     return channels.groupBy("file_id").agg((F.max("channel") + 1).alias("num_channels"))
 

@@ -9,6 +9,7 @@ from ..operators import interleave as I
 from ..operators import voice as V
 from ..operators.transcripts import load_transcripts
 from ..schemas import CodecParams, Tokens
+from ..session import staged
 
 
 def training_examples(
@@ -17,13 +18,13 @@ def training_examples(
 ) -> DataFrame:
     """(file_id, view, agent_speaker, example_index, text) of the views with audio.
 
-    Transcripts, views, events and windows are small tables by file; the codes of a file, one array a channel,
-    are joined once a window and sliced. With a channel map (file_id, speaker letter, channel, isolated) the
+    Transcripts, views, events and windows are small tables by file, made once. The codes are shuffled once, by
+    file: the join with the windows keeps that order, and each window slices its file's arrays. With a channel map (file_id, speaker letter, channel, isolated) the
     agent's channel comes first and agent examples have a voice sample.
     """
-    lines = load_transcripts(utterances, threshold)
-    codes = I.file_codes(I.concat_code_parts(code_parts))
-    files = I.attach_transcripts(codes, lines, codec)
+    lines = staged(load_transcripts(utterances, threshold), "lines")
+    codes = I.file_codes_of_parts(code_parts)
+    files = staged(I.attach_transcripts(I.code_lengths(code_parts), lines, codec), "files")
     bounds = files.select("file_id", "trans_start", "trans_end", "n_codes", "num_channels")
     views = I.build_views(files.select("file_id", "speakers"), view)
     pieces = I.merge_event_streams(I.events(I.streams(views, lines), bounds, codec, tokens), tokens)
@@ -32,15 +33,15 @@ def training_examples(
     body = I.render(spans, placed, codes, codec).join(files.select("file_id", "speakers"), "file_id")
     voice = None
     if channel_map is not None:
-        body = body.join(agent_voices(lines, files, spans, channel_map, codec, seed), [*I.KEYS[:1], "agent_speaker", "example_index"], "left")
+        body = body.join(agent_voices(lines, files, codes, spans, channel_map, codec, seed), [*I.KEYS[:1], "agent_speaker", "example_index"], "left")
         voice = F.when(F.col("view") == "agent", F.col("voice"))
     return body.select(*I.KEYS, "example_index", F.concat(I.build_header(F.col("view"), F.col("speakers"), tokens, voice), "body").alias("text"))
 
 
-def agent_voices(lines: DataFrame, files: DataFrame, spans: DataFrame, channel_map: DataFrame, codec: CodecParams, seed: int = 42) -> DataFrame:
+def agent_voices(lines: DataFrame, files: DataFrame, codes: DataFrame, spans: DataFrame, channel_map: DataFrame, codec: CodecParams, seed: int = 42) -> DataFrame:
     """(file_id, agent_speaker, example_index, voice): the characters of the sample chosen for each agent example."""
     chosen = chosen_voices(lines, files, spans, channel_map, codec, seed)
-    rows = chosen.join(files.select("file_id", "channels"), "file_id").join(channel_map.select("file_id", F.col("speaker").alias("agent_speaker"), "channel"), ["file_id", "agent_speaker"], "left")
+    rows = chosen.join(codes.select("file_id", "channels"), "file_id").join(channel_map.select("file_id", F.col("speaker").alias("agent_speaker"), "channel"), ["file_id", "agent_speaker"], "left")
     own = F.get("channels", F.coalesce("channel", F.lit(0)))
     part = F.slice(own, F.col("start_code").cast("int") + 1, F.greatest((F.col("end_code") - F.col("start_code")).cast("int"), F.lit(0)))
     return rows.select("file_id", "agent_speaker", "example_index", I.codes_to_chars(part, codec.unicode_offset).alias("voice"))

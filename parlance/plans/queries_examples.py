@@ -69,7 +69,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    return I.attach_transcripts(I.file_codes(I.concat_code_parts(D.codes(spark, d))), _lines(spark, d), CODEC)
+    return I.attach_transcripts(I.code_lengths(D.codes(spark, d)), _lines(spark, d), CODEC)
 
 
 def _examples(spark: SparkSession, d: str, view: str) -> DataFrame:
@@ -137,7 +137,7 @@ def o4_merge_event_streams(spark: SparkSession, d: str) -> DataFrame:
 def x1_audio_windows(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
     views = I.build_views(files.select("file_id", "speakers"))
-    return I.windows(views, files.drop("channels", "speakers"), CODEC, CONTEXT, OVERLAP).select(*I.KEYS, "example_index", "s", "e", "length")
+    return I.windows(views, files.drop("speakers"), CODEC, CONTEXT, OVERLAP).select(*I.KEYS, "example_index", "s", "e", "length")
 
 
 @query("""select w.file_id, w.view, w.agent as agent_speaker, example_index::int as example_index, q, piece from wn w join merged m on w.file_id = m.file_id and w.view = m.view and w.agent is not distinct from m.agent and (s = 0 or q > s) and q <= e""",
@@ -326,7 +326,7 @@ def j7_non_overlapped_turns(spark: SparkSession, d: str) -> DataFrame:
 def _voice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     files = _files(spark, d)
     alone = V.non_overlapped_turns(V.speech_ranges(_lines(spark, d), CODEC), files, C.channel_isolated(_map(spark, d)))
-    spans = I.windows(I.build_views(files.select("file_id", "speakers"), "agent"), files.drop("channels", "speakers"), CODEC, CONTEXT, OVERLAP)
+    spans = I.windows(I.build_views(files.select("file_id", "speakers"), "agent"), files.drop("speakers"), CODEC, CONTEXT, OVERLAP)
     return files, alone, spans
 
 
