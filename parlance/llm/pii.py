@@ -20,8 +20,20 @@ _LOCAL_BACK = re.compile(r"[A-Za-z0-9._%+-]*+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _NOT_DIGIT = re.compile("[^0-9]+")
+_ALNUM = re.compile("[A-Za-z0-9]")
+#: How long the account numbers of a country are, after the IBAN registry.
+IBAN_LENGTHS = {
+    length: codes.split()
+    for length, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+_IBAN_LENGTH = {code: length for length, codes in IBAN_LENGTHS.items() for code in codes}
 #: Score without context, and words that raise it when they stand shortly before or after.
 SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
 CONTEXT = {
@@ -67,6 +79,30 @@ def _emails(text: str):
             last = m.end()
 
 
+def _numbers(text: str, known: bool, at: int, to: int):
+    """Account numbers of known countries, cut to their length; or of other ones, at the last end that the checksum confirms."""
+    while m := _IBAN.search(text, at, to):
+        at = m.start() + 1
+        length = _IBAN_LENGTH.get(m[0][:2])
+        if known == (length is None):
+            continue
+        ends = [i + 1 for i in range(m.start(), m.end()) if text[i] != " "]
+        for n in (length,) if known else range(len(ends), 14, -1):
+            if n <= len(ends) and not _ALNUM.match(text, ends[n - 1]) and mod97(text[m.start() : ends[n - 1]].replace(" ", "")):
+                at = ends[n - 1]
+                yield m.start(), at
+                break
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers; those of unknown countries only beside the others, as their lengths aren't fixed."""
+    if not _IBAN.search(text):
+        return []
+    known = list(_numbers(text, True, 0, len(text)))
+    gaps = zip([0, *(b for _, b in known)], [*(a for a, _ in known), len(text)], strict=True)
+    return sorted(known + [s for a, b in gaps for s in _numbers(text, False, a, b)])
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans by kind, then start; in code points, end exclusive."""
     out = []
@@ -81,11 +117,7 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 out.append(("card", *m.span()))
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            out.append(("iban", *m.span()))
-    return out
+    return out + [("iban", *s) for s in _ibans(text)]
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:

@@ -163,6 +163,17 @@ def test_pii_validators_and_context():
     assert pii.find("a" * 100000) == []
 
 
+@pytest.mark.parametrize("after", ["", " 10 EUR", " BIC COBADEFF", " I agree", " A", ". NEXT", " 1 2 3 4 5 6 7 8 9 0 1 2", " then"])
+@pytest.mark.parametrize("iban", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"])
+def test_pii_ibans_before_words_and_numbers(iban, after):
+    for before in ("", "pay AB12 ", "XX00 "):
+        text = before + iban + after
+        assert ("iban", len(before), len(before) + len(iban)) in pii.find(text)
+        assert pii.redacted(text + " and " + iban, 0.5).count("[IBAN]") == 2
+    assert not [s for s in pii.find(iban[:-1] + ("0" if iban[-1] != "0" else "1") + after) if s[0] == "iban"]
+    assert not [s for s in pii.find(iban + "X") if s[0] == "iban"]
+
+
 def test_pii_on_awkward(docs, empty):
     out = pii.redact(clashing(docs))
     assert out.count() == docs.count() and out.filter("text is null").count() == 1
