@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
+import hashlib
 import re
 import urllib.parse
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,8 +27,8 @@ LAYERS = ("url", "unicode", "base64", "zip")
 KINDS = (*BASE, *(f"{layer}.{kind}" for layer in LAYERS for kind in BASE))
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer"))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-#: A compressed layer is inflated to so many bytes at most, so that a text can't exhaust a task.
-MAX_INFLATED = 4 << 20
+#: A compressed layer is inflated and scanned in pieces of about so many bytes.
+CHUNK = 1 << 20
 
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -34,6 +38,8 @@ _URL = re.compile(r"[A-Za-z0-9_.~+/=:&?;,@-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=
 _UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4})++")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
+#: Places that no secret and no code spans: behind a space between two plain words, or behind a line that ends, or before one that starts, with no letter of a code, or behind a letter beyond ASCII.
+_CUT = re.compile(r"""(?<=[ \n][A-Za-z,;!?()])[ ](?=[A-Za-z,;!?()]+[ \n])|(?:(?<=[ \n])|^)[A-Za-z,;!?()]++[ ](?=[A-Za-z,;!?()]+[ \n])|[^A-Za-z0-9+/_\-\s][ \t]*\r?\n|\n(?=[ \t]*(?:[^A-Za-z0-9+/_\-\s]|\r?\n))|[^\x00-\x7f]""")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -55,13 +61,71 @@ def _readable(raw: bytes) -> str | None:
     return None if not text or _ODD.search(text) else text
 
 
-def _inflated(raw: bytes) -> str | None:
-    if raw[:2] != b"\x1f\x8b" and raw[:1] != b"\x78":
-        return None
-    try:
-        return _readable(zlib.decompressobj(47).decompress(raw, MAX_INFLATED))
-    except zlib.error:
-        return None
+def _compressed(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78"
+
+
+def _inflated(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """All members of a compressed stream in chunks; a broken one as far as it goes."""
+    stream, members = None, 0
+    for data in chunks:
+        while data:
+            if stream is None:
+                data = data.lstrip(b"\0") if members else data  # members may be padded
+                if members and data[:1] != b"\x1f":
+                    break
+                stream = zlib.decompressobj(47)
+            try:
+                out = stream.decompress(data, CHUNK)
+                data = stream.unconsumed_tail
+                while out:
+                    yield out
+                    out = stream.decompress(data, CHUNK)
+                    data = stream.unconsumed_tail
+            except zlib.error:
+                return
+            if stream.eof:
+                data, stream, members = stream.unused_data, None, members + 1
+
+
+def _pieces(chunks: Iterable[bytes]) -> Iterator[str]:
+    """The text of a stream of bytes, in pieces that no secret and no code spans. An unbroken run is one piece."""
+    decoder, held, searched = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+    for data in chunks:
+        held += decoder.decode(data)
+        if len(held) < CHUNK:
+            continue
+        last = None
+        for start in (max(searched, len(held) - 4096), searched):
+            for last in _CUT.finditer(held, start):
+                pass
+            if last is not None:
+                break
+        if last is not None:
+            yield held[: last.end()]
+            held, searched = held[last.end() :], 0
+        else:
+            searched = max(0, len(held) - 1024)
+    yield held + decoder.decode(b"", True)
+
+
+def content(chunks: Iterable[bytes], above: frozenset = frozenset()) -> tuple[bool, Iterator[str]]:
+    """Whether a stream of bytes is compressed, and the pieces of its text, inflated as often as it is compressed."""
+    chunks = iter(chunks)
+    head = b""
+    for data in chunks:
+        head += data
+        if len(head) > 2:
+            break
+    if _compressed(head):
+        inner = _inflated(chain([head], chunks))
+        first = next(inner, None)
+        if first is not None:
+            digest = hashlib.md5(first).digest()
+            if digest in above:  # it holds itself
+                return True, iter(())
+            return True, content(chain([first], inner), above | {digest})[1]
+    return False, _pieces(chain([head], chunks))
 
 
 def layers(text: str):
@@ -86,9 +150,10 @@ def layers(text: str):
             raw = base64.b64decode(code.replace("-", "+").replace("_", "/") + "=" * (-len(code) % 4))
         except binascii.Error:
             continue
-        got = _inflated(raw)
-        if got is not None:
-            yield "zip", *m.span(), got
+        packed, pieces = content([raw])
+        if packed:
+            for got in pieces:
+                yield "zip", *m.span(), got
         else:
             got = _readable(raw)
             if got is not None:
@@ -98,15 +163,18 @@ def layers(text: str):
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; in code points of the text, end exclusive."""
     found = set(scan(text))
-    work = [(layer, a, b, got) for layer, a, b, got in layers(text)]
-    seen = {(a, b, got) for _, a, b, got in work}
-    while work:  # each layer once at each place: cycles end
-        outer, a, b, inner = work.pop()
-        found |= {(f"{outer}.{kind}", a, b) for kind, _, _ in scan(inner)}
-        for _, _, _, got in layers(inner):
-            if got != inner and (a, b, got) not in seen:
-                seen.add((a, b, got))
-                work.append((outer, a, b, got))
+    seen = set()
+
+    def search(outer, a, b, inner):
+        key = (a, b, hashlib.md5(inner.encode()).digest())
+        if key not in seen:  # each layer once at each place: cycles end
+            seen.add(key)
+            found.update((f"{outer}.{kind}", a, b) for kind, _, _ in scan(inner))
+            for _, _, _, got in layers(inner):
+                search(outer, a, b, got)
+
+    for layer in layers(text):
+        search(*layer)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
 

@@ -216,6 +216,35 @@ def test_secrets_under_layers():
     assert secret_scan.find("%25%32%35%25") == []
 
 
+def test_secrets_deep_in_large_compressed_layers():
+    import base64
+    import gzip
+
+    plain = 'token = "abcdefgh12345678"'
+    code = lambda raw: base64.b64encode(gzip.compress(raw)).decode()
+    once = base64.b64encode(plain.encode()).decode()
+    for filler in ("some words. ", "é", "many words of prose and more\n", "x,1;\n", "a b\u00a0c "):
+        for at in (0, 5_000_000):
+            for secret in (plain, once, code(plain.encode())):
+                raw = filler * (at // len(filler)) + " " + secret + " " + filler * ((5_500_000 - at) // len(filler))
+                text = f"see {code(raw.encode())} there"
+                assert ("zip.assign", 4, len(text) - 6) in secret_scan.find(text), (filler, at, secret)
+
+
+def test_pieces_of_compressed_layers_cut_no_secret(monkeypatch):
+    import base64
+    import gzip
+
+    plain, rng = 'token  =  "abcdefgh12345678"', random.Random(11)
+    secrets = (plain, base64.b64encode(plain.encode()).decode(), "0123456789abcdef" * 3, "AKIA0123456789AB")
+    monkeypatch.setattr(secret_scan, "CHUNK", 16)
+    for _ in range(300):
+        parts = ["word", "a", " ", "\n", ", ", ". ", "é", "(x)\n", " and so on "]
+        raw = "".join(rng.choice(parts) for _ in range(rng.randrange(60))) + " " + (secret := rng.choice(secrets)) + "\n " + "".join(rng.choice(parts) for _ in range(60))
+        text = base64.b64encode(gzip.compress(raw.encode())).decode()
+        assert [s for s in secret_scan.find(text) if s[1:] == (0, len(text))], (raw, secret)
+
+
 def test_secrets_on_awkward(docs, empty):
     assert clashing(docs).withColumn("s", secret_scan.secrets(F.col("text"))).count() == docs.count()
     assert empty.select(secret_scan.secrets(F.col("text")).alias("s")).count() == 0
