@@ -1,19 +1,20 @@
 """Secrets in texts and in what texts encode.
 
-A worklist unwraps URL, Unicode-escape, base64 and compressed layers until nothing new appears; each layer
-is scanned again, and what it holds is reported at the place of its outermost code in the text.
+URL, Unicode-escape, base64 and compressed layers are unwrapped until nothing new appears; each layer is scanned
+again, and what it holds is reported at the place of its outermost code in the text. Escapes are decoded where
+they stand, so that a secret may be escaped in part: its place then takes in the whole codes that it touches.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import codecs
 import hashlib
 import re
 import urllib.parse
 import zlib
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -36,8 +37,14 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _URL = re.compile(r"[A-Za-z0-9_.~+/=:&?;,@-]*+(?:%[0-9A-Fa-f]{2}[A-Za-z0-9_.~+/=:&?;,@-]*+)++")
 _UNICODE = re.compile(r"(?:\\u[0-9a-fA-F]{4})++")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)+={0,2}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Escaped bytes of compressed data: a run of printable characters; where such data may start.
+_URL_BYTES = re.compile(r"[!-~]+")
+_URL_PACKED = re.compile(r"%1f%8b|(?:x|%78)(?:%01|%9c|%da|%5e|\^)", re.I)
+_PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01^\x9c\xda]")
+_PACKED_TEXT = re.compile(r"(?:\x1f\x8b\x08|x[\x01^\x9c\xda])[\x00-\xff]*")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]")
 #: Places that no secret and no code spans: behind a space between two plain words, or behind a line that ends, or before one that starts, with no letter of a code, or behind a letter beyond ASCII.
 _CUT = re.compile(r"""(?<=[ \n][A-Za-z,;!?()])[ ](?=[A-Za-z,;!?()]+[ \n])|(?:(?<=[ \n])|^)[A-Za-z,;!?()]++[ ](?=[A-Za-z,;!?()]+[ \n])|[^A-Za-z0-9+/_\-\s][ \t]*\r?\n|\n(?=[ \t]*(?:[^A-Za-z0-9+/_\-\s]|\r?\n))|[^\x00-\x7f]""")
 
@@ -53,14 +60,6 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if not text or _ODD.search(text) else text
-
-
 def _compressed(raw: bytes) -> bool:
     return raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78"
 
@@ -128,53 +127,119 @@ def content(chunks: Iterable[bytes], above: frozenset = frozenset()) -> tuple[bo
     return False, _pieces(chain([head], chunks))
 
 
-def layers(text: str):
-    """(layer, start, end, decoded text) of every code in a text that decodes to text."""
-    if "%" in text:
-        for m in _URL.finditer(text):
-            got = _readable(urllib.parse.unquote_to_bytes(m[0]))
-            if got is not None:
-                yield "url", *m.span(), got
-    if "\\u" in text:
-        for m in _UNICODE.finditer(text):
-            try:
-                got = b"".join(bytes.fromhex(x) for x in m[0].split("\\u")[1:]).decode("utf-16-be")
-            except UnicodeDecodeError:
-                continue
-            yield "unicode", *m.span(), got
+class Unescaped:
+    """A text whose codes, all matches of an expression, are decoded where they stand."""
+
+    def __init__(self, text: str, code: re.Pattern, decode: Callable[[str], str]):
+        out, self.starts, self.pieces, at, n = [], [], [], 0, 0
+        for m in code.finditer(text):
+            for a, b, escaped in ((at, m.start(), False), (*m.span(), True)):
+                if a < b:
+                    out.append(decode(text[a:b]) if escaped else text[a:b])
+                    self.starts.append(n)
+                    self.pieces.append((a, b, escaped))
+                    n += len(out[-1])
+            at = m.end()
+        if at < len(text):
+            out.append(text[at:])
+            self.starts.append(n)
+            self.pieces.append((at, len(text), False))
+        self.text = "".join(out)
+
+    def place(self, start: int, end: int) -> tuple[int, int] | None:
+        """Where a range of the decoded text stands in the text, with the whole of each code it touches; None if it touches none."""
+        i, j = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end) - 1
+        (a, _, first), (b, to, last) = self.pieces[i], self.pieces[j]
+        if i == j and not first:
+            return None
+        return a if first else a + start - self.starts[i], to if last else b + end - self.starts[j]
+
+    def last_code(self, start: int, end: int) -> int:
+        """The end of the last code in a range of the decoded text."""
+        i = bisect_left(self.starts, end) - 1
+        return end if self.pieces[i][2] else max(start + 1, self.starts[i])
+
+
+def _from_url(code: str) -> str:
+    return urllib.parse.unquote_to_bytes(code).decode("utf-8", "replace")
+
+
+def _from_unicode(code: str) -> str:
+    return bytes.fromhex(code.replace("\\u", "")).decode("utf-16-be", "replace")
+
+
+def unescaped(text: str) -> Iterator[tuple[str, Unescaped]]:
+    """(layer, decoded text) of the escapes in a text."""
+    if "%" in text and _URL.search(text):
+        yield "url", Unescaped(text, _URL, _from_url)
+    if "\\u" in text and _UNICODE.search(text):
+        yield "unicode", Unescaped(text, _UNICODE, _from_unicode)
+
+
+def _unbase64(code: str) -> bytes:
+    code = code[: len(code) - (len(code) % 4 == 1)]
+    return base64.b64decode(code.replace("-", "+").replace("_", "/") + "=" * (-len(code) % 4))
+
+
+def _joined(text: str, lines: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(first, last) of lines that may be one code: a first one of any length, ones of equal length, and a last one not longer."""
+    size = [b - a for a, b in lines]
+    i = 0
+    while i + 1 < len(lines):
+        j = i + 1
+        while j + 1 < len(lines) and size[j] == size[i + 1]:
+            j += 1
+        if size[j] > size[i + 1]:
+            j -= 1
+        yield i, j
+        i = max(i + 1, j - 1) if size[i] == size[i + 1] else i + 1
+
+
+def codes(text: str) -> Iterator[tuple[str, int, int, bytes]]:
+    """(layer, start, end, decoded bytes) of base64 in a text, wrapped ones by all of their lines too, and of escaped compressed data."""
     for m in _BASE64.finditer(text):
-        code = m[0].rstrip("=")
-        if len(code) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(code.replace("-", "+").replace("_", "/") + "=" * (-len(code) % 4))
-        except binascii.Error:
-            continue
-        packed, pieces = content([raw])
-        if packed:
-            for got in pieces:
-                yield "zip", *m.span(), got
-        else:
-            got = _readable(raw)
-            if got is not None:
-                yield "base64", *m.span(), got
+        yield "base64", *m.span(), _unbase64(m[0].rstrip("="))
+    if "\n" in text:
+        for m in _WRAPPED.finditer(text):
+            if m.end() - m.start() > 16:
+                lines = [r.span() for r in _RUN.finditer(text, *m.span())]
+                for i, j in _joined(text, lines):
+                    code = "".join(text[a:b] for a, b in lines[i : j + 1])
+                    if len(code) >= 16:
+                        yield "base64", lines[i][0], m.end() if j + 1 == len(lines) else lines[j][1], _unbase64(code)
+    if "%" in text and _URL_PACKED.search(text):
+        for m in _URL_BYTES.finditer(text):
+            if _URL_PACKED.search(m[0]):
+                raw = urllib.parse.unquote_to_bytes(m[0])
+                for start in _PACKED.finditer(raw):
+                    yield "url", *m.span(), raw[start.start() :]
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; in code points of the text, end exclusive."""
     found = set(scan(text))
-    seen = set()
-
-    def search(outer, a, b, inner):
-        key = (a, b, hashlib.md5(inner.encode()).digest())
-        if key not in seen:  # each layer once at each place: cycles end
-            seen.add(key)
-            found.update((f"{outer}.{kind}", a, b) for kind, _, _ in scan(inner))
-            for _, _, _, got in layers(inner):
-                search(outer, a, b, got)
-
-    for layer in layers(text):
-        search(*layer)
+
+    def search(outer: str, inner: str, place: Callable, seen: set, view: Unescaped | None = None):
+        """Reports what a layer holds; place gives the span in the text, None for what stands outside of the layer."""
+        digest = hashlib.md5(inner.encode()).digest()
+        if digest in seen:  # each layer once at each place: cycles end
+            return
+        seen.add(digest)
+        if outer:
+            found.update((f"{outer}.{kind}", *at) for kind, a, b in scan(inner) if (at := place(a, b)))
+        packed = [("unicode", m.start(), view.last_code(*m.span()), m[0].encode("latin-1")) for m in _PACKED_TEXT.finditer(inner)] if view else []
+        for layer, a, b, raw in chain(codes(inner), packed):
+            if at := place(a, b):
+                zipped, pieces = content([raw])
+                if zipped or layer == "base64":
+                    name, own = outer or ("zip" if zipped and layer == "base64" else layer), held.setdefault((outer, at), set())
+                    for piece in pieces:
+                        search(name, piece, lambda *_, at=at: at, own)
+        for layer, plain in unescaped(inner):
+            search(outer or layer, plain.text, lambda a, b, plain=plain: (at := plain.place(a, b)) and place(*at), seen if outer else set(), plain if layer == "unicode" else None)
+
+    held = {}
+    search("", text, lambda a, b: (a, b), set())
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
 

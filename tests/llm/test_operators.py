@@ -216,6 +216,38 @@ def test_secrets_under_layers():
     assert secret_scan.find("%25%32%35%25") == []
 
 
+def test_secrets_escaped_in_part_wrapped_and_packed_twice():
+    import base64
+    import gzip
+
+    plain = 'token = "abcdefgh12345678"'
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    rng = random.Random(12)
+    noise = "".join(rng.choice("abcdefghijklmnop qrstuv") for _ in range(600))
+    packed = gzip.compress(f"{noise} {plain} {noise}".encode())
+    members = gzip.compress(b"first") + gzip.compress(plain.encode())
+    for raw in (gzip.compress(packed), members, gzip.compress(members), zlib.compress(packed), b64(packed).encode(), base64.encodebytes(packed)):
+        code = b64(raw)
+        assert any(s[0].endswith(".assign") and s[1:] == (4, 4 + len(code)) for s in secret_scan.find(f"see {code} there"))
+    for code, kind in (("token\\u003dABCDEFGH12345678", "unicode.assign"), ("pass\\u0077ord: hunter2hunter2", "unicode.assign"), ("\\u0022token\\u0022: \\u0022ABCDEFGH12345678", "unicode.assign"), ("pass%77ord: hunter2hunter2", "url.assign"), ("AKIA\\u0030123456789ABC", "unicode.access")):
+        start = code.startswith("\\u0022") * 6
+        text = f"{{see {code} there \\ud800 \\u00e9 %FF"
+        assert (kind, 5 + start, 5 + len(code)) in secret_scan.find(text), code
+        assert any(s[0] == "zip." + kind.split(".")[1] for s in secret_scan.find(b64(gzip.compress(text.encode()))))
+    for width in (20, 64, 76):
+        for end in ("\n", "\r\n", "\n    "):
+            code = b64(packed)
+            lines = end.join(code[i : i + width] for i in range(0, len(code), width))
+            for before in ("see: ", "a line\n", "word\n", "word of text\nabcdefghijklmnopqrstuvw\n"):
+                for after in ("", "\nNext line", " end"):
+                    got = [s for s in secret_scan.find(before + lines + after) if s[0] == "zip.assign"]
+                    assert any(s[1] == len(before) and len(before + lines) <= s[2] <= len(before + lines + after) for s in got), (width, end, before, after)
+    for raw in (packed, zlib.compress(packed)):
+        for code, kind in (("".join(f"%{c:02X}" for c in raw), "url.assign"), ("".join(f"\\u{c:04x}" for c in raw), "unicode.assign")):
+            assert (kind, 4, 4 + len(code)) in secret_scan.find(f"see {code} there"), kind
+    assert secret_scan.find("word\n" * 20000) == []
+
+
 def test_secrets_deep_in_large_compressed_layers():
     import base64
     import gzip
