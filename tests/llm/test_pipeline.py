@@ -44,3 +44,11 @@ def test_stages_keep_the_columns(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_scripts_that_no_language_writes(spark, tmp_path):
+    rows = [(i, f"the cat number {i} sat on the mat", "en", "s", 1) for i in range(40)] + [(i + 40, "кот сидит на ковре", "ru", "s", 1) for i in range(40)]
+    odd = [(100, "แมวนั่งบนเสื่อ", None, "s", 1), (101, "חתול על מחצלת", None, "s", 1), (102, "12 !!", None, "s", 1), (103, "", None, "s", 1), (104, None, None, "s", 1)]
+    docs = spark.createDataFrame([*rows, *odd, (105, "a cat แมว", None, "s", 1), (None, "кот", None, "s", 1)], DOCS)
+    kept = corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {*range(80), 105, None}
