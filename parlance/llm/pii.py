@@ -44,6 +44,8 @@ CONTEXT = {
     "iban": re.compile(r"\b(?:iban|account|bank|konto|cuenta|compte)\b", re.I),
 }
 CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.2
+#: Account numbers of unknown countries, whose length can't be checked, are redacted with context only.
+UNKNOWN_IBAN = 0.4
 
 
 def luhn(digits: str) -> bool:
@@ -122,7 +124,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
-    return round(SCORES[kind] + CONTEXT_GAIN * bool(CONTEXT[kind].search(near)), 2)
+    alone = UNKNOWN_IBAN if kind == "iban" and text[start : start + 2] not in _IBAN_LENGTH else SCORES[kind]
+    return round(alone + CONTEXT_GAIN * bool(CONTEXT[kind].search(near)), 2)
 
 
 @F.arrow_udf(SPANS)
@@ -166,6 +169,11 @@ def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame
     return docs.withColumn(text, _redacted(least)(F.col(text)))
 
 
+def scores_as_text(found: Column) -> Column:
+    """The scores of spans in their order, with two places, comma-joined."""
+    return F.array_join(F.transform(found, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def as_text(found: Column) -> Column:
     """kind:start:end of spans, comma-joined."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

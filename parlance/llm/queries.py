@@ -30,12 +30,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import BASE, as_text, spans
+    from .pii import BASE, as_text, scores_as_text, spans
 
     found = _table(spark, sf_dir, "documents").select("doc_id", spans(F.col("text")).alias("s"))
     count = lambda k: F.size(F.filter("s", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     base = as_text(F.filter("s", lambda s: s["kind"].isin(*BASE)))
-    return found.select("doc_id", *map(count, BASE), _sha256(base).alias("base_sha256"), as_text(F.col("s")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), _sha256(base).alias("base_sha256"), as_text(F.col("s")).alias("spans"), scores_as_text(F.col("s")).alias("scores"))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

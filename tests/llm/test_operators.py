@@ -174,6 +174,20 @@ def test_pii_ibans_before_words_and_numbers(iban, after):
     assert not [s for s in pii.find(iban + "X") if s[0] == "iban"]
 
 
+def test_pii_context_decides_and_scores_are_returned(spark, tmp_path):
+    plain = "ZZ{:02d}370400440532013000"
+    number = next(n for i in range(2, 99) if pii.mod97(n := plain.format(i)))
+    assert pii.redacted(f"see {number} now", 0.5) == f"see {number} now"
+    assert pii.redacted(f"account {number} now", 0.5) == "account [IBAN] now"
+    assert pii.redacted("see DE89370400440532013000 now", 0.5) == "see [IBAN] now"
+    from parlance.llm.queries import op3_pii
+
+    rows = [(1, "server 1.2.3.4 and a@b.co"), (2, "1.2.3.4"), (3, None), (4, f"see {number}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.spans, r.scores) for r in op3_pii(spark, str(tmp_path)).collect()}
+    assert got == {1: ("email:19:25,ip:7:14", "0.80,0.70"), 2: ("ip:0:7", "0.50"), 3: ("", ""), 4: ("iban:4:26", "0.40")}
+
+
 def test_pii_on_awkward(docs, empty):
     out = pii.redact(clashing(docs))
     assert out.count() == docs.count() and out.filter("text is null").count() == 1
