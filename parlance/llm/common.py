@@ -8,11 +8,17 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 1 << 20
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
+#: Bytes of words that ASCII white space parts.
+WORDS_BY_SPACE = np.ones(256, bool)
+WORDS_BY_SPACE[[0x20, *range(0x09, 0x0E)]] = False
+#: Keys that hold more than this share of the rows are joined by a broadcast, of 1 / HOT_SHARE rows at most.
+HOT_SHARE = 1e-3
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -31,6 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_hot(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+    """The inner join with a table of one row a key and the number of left rows that have it. No task gets a hot key whole."""
+    right = stored(right, "joined")
+    least = max(1000.0, HOT_SHARE * left.count())
+    hot = F.broadcast(right.filter(F.col(count) > least).drop(count))
+    cold = right.filter(F.col(count) <= least).drop(count)
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string array; nulls are empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

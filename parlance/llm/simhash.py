@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import joined_hot, stored
 
 DISTANCE = 2
 SHINGLE = 3
@@ -209,21 +209,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(key, fp, component_id) of each document; component_id is the least key reachable over links.
 
     Texts without words, null ones among them, share fingerprint zero and are linked like any other. Null keys
-    take no part in the least key, and get null if a component has none other. Repeated rows each get a row.
+    take no part in the least key, and get null if a component has none other. Repeated rows each get a row, an
+    empty table gives none. A text of any length is taken whole; other columns are left out, so names can't clash.
     """
     rows = stored(docs.select(F.col(key).alias("id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(key), "fp", "component_id")
-
-
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns kept, with the document of the least key of each component.
-
-    A document without a key can't be named and stays; rows that repeat a key stay or go together.
-    """
-    gone = near_duplicates(docs, key, text).filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    of_fp = rooted.select("fp", "root", "copies").join(least, "root").select("fp", "copies", "component_id")
+    return joined_hot(rows, of_fp, "fp", "copies").select(F.col("id").alias(key), "fp", "component_id")

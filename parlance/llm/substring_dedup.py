@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Powers, slices, stored, utf8, window_hashes, word_bounds, word_hashes
+from .common import WORDS_BY_SPACE, Powers, slices, stored, utf8, window_hashes, word_bounds, word_hashes
 
 WINDOW = 20
 GRAM = 6
@@ -35,13 +35,10 @@ MANY = 100_000
 #: A shard's index is built when so many words have come together.
 SHARD_WORDS = 250_000
 
-_INSIDE = np.ones(256, bool)
-_INSIDE[[0x20, *range(0x09, 0x0E)]] = False
-
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers):
     """Words (starts, ends, row) of a slice, and its stretches: anchor, first word, number of windows, whether the anchor is in two places."""
-    s, e, row = word_bounds(data, offsets, _INSIDE)
+    s, e, row = word_bounds(data, offsets, WORDS_BY_SPACE)
     n = len(s) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.int64)

@@ -460,13 +460,6 @@ def test_bucket_links_masks_equal_matrix(monkeypatch):
     assert results[0] == results[1]
 
 
-def test_deduplicate_keeps_one(spark, docs, empty):
-    kept = simhash.deduplicate(clashing(docs))
-    near = simhash.near_duplicates(docs).collect()
-    assert {r.doc_id for r in kept.collect()} == {r.component_id for r in near if r.component_id is not None} | {None}
-    assert simhash.deduplicate(empty).count() == 0
-
-
 # pieces
 
 

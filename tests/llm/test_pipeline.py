@@ -9,7 +9,8 @@ from parlance.llm import pieces as pc
 from parlance.llm import pii
 
 from .corpus import AWKWARD, DOCS, documents
-from .test_operators import brute_components, brute_contamination, brute_fingerprint
+from .test_operators import brute_contamination
+from .test_similar import brute_groups
 
 ITEMS = [(1, "w1x w2x"), (2, "a benchmark passage of more than ten words that stands in a document")]
 
@@ -19,12 +20,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = [(r[0], r[1]) for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])]
-    fps = {(i, t): brute_fingerprint(t) for i, t in kept}
-    least = {}
-    for (i, _), f in fps.items():
-        least[f] = min((x for x in (i, least.get(f)) if x is not None), default=None)
-    of = brute_components(set(fps.values()), least)
-    kept = [(i, t) for i, t in kept if i is None or of[fps[i, t]] == i]
+    of = brute_groups([(i, t) for i, t in kept if i is not None])
+    kept = [(i, t) for i, t in kept if i is None or of[i] == i]
     kept = [(i, t) for i, t in kept if brute_contamination(t, ITEMS)[1] == 0]
     model = pc.Pieces(pc.MODEL, pc.BEST)
     want = {}
