@@ -61,34 +61,64 @@ def brute_contamination(text, items, n=10):
     return len(w), len(hit), sorted(ids)
 
 
-def test_contamination_equals_brute_force_both_ways(spark):
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    texts = spark.createDataFrame(TEXTS, "doc_id long, text string")
-    want = {i: brute_contamination(t, ITEMS) for i, t in TEXTS}
-    assert want[0][1] == 10 and want[1][2] == [2, 10]
-    for got in (dec.contamination(texts, items), dec.contamination(texts, items, most=0), dec.contamination_joined(texts, items)):
-        assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == want
+@pytest.fixture(params=[None, 0], ids=["broadcast", "join"])
+def most(request):
+    return dec.MAX_BROADCAST_BYTES if request.param is None else request.param
 
 
-def test_decontaminate_removes_spans_or_documents(spark):
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    texts = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in TEXTS], DOCS))
-    kept = dec.decontaminate(texts, items)
-    assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [2, 3] and kept.columns == texts.columns
-    assert [r.doc_id for r in dec.decontaminate(texts, items, most=0).orderBy("doc_id").collect()] == [2, 3]
-    with pytest.raises(ValueError):
-        dec.decontaminate(texts, items, remove="spans", most=0)
-    spans = {r.doc_id: r.text for r in dec.decontaminate(texts, items, remove="spans").collect()}
-    assert spans[0] == "so  and" and spans[3] is None and spans[2] == "w1x w2x w3x"
+def many_texts(rng, n):
+    """Random texts over few words, items among them in whole and in part, with repeated and missing keys."""
+    out = list(TEXTS) + [(1, "a short-item here; short item"), (1, "clean"), (None, "short item"), (None, "clean"), (9, "w1x " * 30)]
+    source = [w for _, t in ITEMS if t for w in t.split()] + ["Short", "item,", "é", "-", "漢字"]
+    for i in range(n):
+        out.append((rng.choice([None, i, i % 7]), " ".join(rng.choice([ITEMS[0][1], "short item", *source]) for _ in range(rng.randrange(12)))))
+    return out
+
+
+def test_contamination_equals_brute_force(spark, most):
+    texts = many_texts(random.Random(31), 80)
+    items = ITEMS + [(20, texts[-1][1]), (21, "w3x w4x"), (21, "w5x")]
+    got = dec.contamination(clashing(spark.createDataFrame(texts, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"), most=most).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == Counter((i, w, h, tuple(ids)) for i, t in texts for w, h, ids in [brute_contamination(t, items)])
 
 
-def test_contamination_on_awkward_and_empty(spark, docs, empty):
+def test_contamination_lists_string_ids(spark, most):
+    items = spark.createDataFrame([(f"item {i}", t) for i, t in ITEMS], "item_id string, text string")
+    texts = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    got = {r.doc_id: r["items"] for r in dec.contamination(texts, items, most=most).collect()}
+    assert got == {0: ["item 1"], 1: ["item 10", "item 2"], 2: [], 3: [], 4: ["item None"]}
+
+
+def test_decontaminate_removes_spans_or_documents(spark, most):
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    texts = many_texts(random.Random(32), 30)
+    docs = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS))
+    kept = dec.decontaminate(docs, items, most=most)
+    clean = Counter((i, t) for i, t in texts if brute_contamination(t, ITEMS)[1] == 0)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == clean and kept.columns == docs.columns
+    cut = dec.decontaminate(docs, items, remove="spans", most=most)
+    assert cut.columns == docs.columns
+    rows = Counter((r.doc_id, r.text) for r in cut.collect())
+    assert sum(rows.values()) == len(texts) and all(rows[k] >= n for k, n in clean.items())
+    assert rows[0, "so  and"] and rows[1, "a  here; "] == 2 and rows[3, None]
+
+
+def test_contamination_on_awkward_and_empty(spark, docs, empty, most):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert dec.contamination(clashing(docs), items).count() == docs.count()
-    assert dec.contamination(empty, items).count() == 0
+    assert dec.contamination(clashing(docs), items, most=most).count() == docs.count()
+    assert dec.contamination(empty, items, most=most).count() == 0 and dec.decontaminate(empty, items, most=most).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
-    assert dec.contamination(docs, none).agg(F.sum("n_hit")).first()[0] == 0
-    assert dec.contamination_joined(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), none).agg(F.sum("n_hit")).first()[0] == 0
+    assert dec.contamination(docs, none, most=most - 1).agg(F.sum("n_hit")).first()[0] == 0
+    assert dec.decontaminate(docs, none, most=most - 1).count() == docs.count()
+
+
+def test_ngram_set_is_as_small_as_its_bound_says():
+    import pickle
+
+    rng = random.Random(33)
+    items = [(str(i), " ".join(f"w{rng.randrange(10**5)}x" for _ in range(500))) for i in range(300)]
+    size = len(pickle.dumps(dec.NgramSet(items, dec.N)))
+    assert size <= sum(len(t) for _, t in items) + 150_000 * dec.WORD_BYTES
 
 
 # sharding
