@@ -20,7 +20,7 @@ from .common import ASCII_LOWER, Powers, slices, stored, utf8, window_hashes, wo
 
 N = 10
 #: The set of n-grams is broadcast up to so many bytes.
-MAX_BROADCAST_BYTES = 64 << 20
+MAX_BROADCAST_BYTES = 32 << 20
 #: Bytes of the set for each word of the benchmark, besides its text: a hash, a place, an item, and the bitmap's share.
 WORD_BYTES = 40
 #: The bitmap of the join has 2 ** BITS bits.

@@ -1,9 +1,9 @@
 """WARC archives with a two-level capture index.
 
 Archives are rows of a written table, each a run of gzip members with one record each, so they lie in any
-store that Spark writes to. The index sorts reversed-host keys into compressed blocks; a sparse directory
-has the first entry of each block. A request is searched in the directory, then in its block, and its
-record is read by byte range.
+store that Spark writes to; a volume is what one task wrote. The index sorts reversed-host keys into compressed blocks; a sparse
+directory has the first entry of each block. A request is searched in the directory, then in its block; of the archives, only volumes with
+hits are read, where they lie while the hits are few, and records are cut out by their byte range.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import HOT_SHARE, shared_folder, stored
 
 #: Equal payloads from this size on are stored once.
 LEAST_SHARED = 1000
@@ -30,10 +30,12 @@ LEAST_SHARED = 1000
 ARCHIVE_BYTES, ARCHIVE_RECORDS, BLOCK_ENTRIES = 1 << 20, 256, 1024
 #: The directory is broadcast up to this size; beyond it a sparser one is, and its parts are joined.
 DIRECTORY_BYTES = 32 << 20
+#: Up to so many ranges are broadcast to where archives are read; beyond it archives and ranges are joined.
+FEW_HITS = 1000
 _NULL = -(1 << 63)
 
 ENTRY = T.StructType().add("key", "string").add("page_id", "long").add("offset", "long").add("length", "integer")
-ARCHIVE = T.StructType().add("archive_id", "string").add("data", "binary").add("entries", T.ArrayType(ENTRY))
+ARCHIVE = T.StructType().add("archive", "integer").add("data", "binary").add("entries", T.ArrayType(ENTRY)).add("volume", "integer")
 BLOCK = T.StructType().add("block_id", "string").add("first_key", "string").add("first_page", "long").add("n", "integer").add("body", "binary")
 RECORD = T.StructType().add("page_id", "long").add("record_type", "string").add("refers_to", "long").add("url", "string").add("payload_bytes", "long").add("payload_digest", "string").add("payload", "binary")
 
@@ -51,14 +53,22 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(page_id, url, key, payload, digest, refers_to): refers_to is null for what is stored as a response.
 
     Of equal payloads of LEAST_SHARED bytes or more the one with the largest id is stored (all rows with that
-    id, if it repeats); one without an id refers to it too, and is stored if there is no id at all.
+    id, if it repeats); one without an id refers to it too, and is stored if there is no id at all. A popular payload is looked up by a
+    broadcast; pages with smaller payloads, which nothing refers to, are dealt by their ids.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), surt(F.col(url)).alias("key"), payload.alias("payload"), F.sha1(payload).alias("digest"))
-    large = rows.filter(F.octet_length("payload") >= LEAST_SHARED)
-    shared = stored(large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("digest", "last"), "shared")
-    refers = F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))
-    return rows.join(shared, "digest", "left").select("page_id", "url", "key", "payload", "digest", refers.alias("refers_to"))
+    large = F.octet_length("payload") >= LEAST_SHARED
+    found = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    shared = stored(found, "shared")
+    popular = max(1000.0, HOT_SHARE * (shared.agg(F.sum("n")).first()[0] or 0))
+    hot = F.broadcast(shared.filter(F.col("n") > popular).select("digest", F.col("last").alias("_hot"), F.lit(True).alias("_known")))
+    cold = shared.filter(F.col("n") <= popular).select(F.col("digest").alias("_digest"), "last")
+    rows = rows.join(hot, "digest", "left")
+    own = F.when(large & F.col("_known").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url")))
+    rows = rows.withColumn("_digest", own).join(cold, "_digest", "left").withColumn("last", F.when(F.col("_known"), F.col("_hot")).otherwise(F.col("last")))
+    refers = F.when(large & ~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))
+    return rows.select("page_id", "url", "key", "payload", "digest", refers.alias("refers_to"))
 
 
 def _record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -97,7 +107,7 @@ def read_record(member: bytes) -> dict:
     return {"page_id": number("WARC-Record-ID"), "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "payload": payload if fields["WARC-Type"] == "response" else None}
 
 
-_ARCHIVE = pa.schema([("archive_id", pa.string()), ("data", pa.binary()), ("entries", pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int32())])))])
+_ARCHIVE = pa.schema([("archive", pa.int32()), ("data", pa.binary()), ("entries", pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int32())]))), ("volume", pa.int32())])
 
 
 def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +120,7 @@ def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = len(parts[0])
 
     def closed():
-        return pa.RecordBatch.from_pylist([{"archive_id": f"{task}-{seq}", "data": b"".join(parts), "entries": entries}], schema=_ARCHIVE)
+        return pa.RecordBatch.from_pylist([{"archive": seq, "data": b"".join(parts), "entries": entries, "volume": task}], schema=_ARCHIVE)
 
     for batch in batches:
         columns = [batch.column(i) for i in range(6)]
@@ -157,10 +167,13 @@ class Collection:
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> Collection:
-    """Archives all pages in the shared folder and indexes them. Null texts are empty payloads; every row has a record."""
-    archives = stored(captures(pages, key, url, html).mapInArrow(_archived, ARCHIVE), "archives")
-    entries = archives.select("archive_id", F.explode("entries").alias("e")).select("e.key", "e.page_id", "archive_id", "e.offset", "e.length")
-    order = ["key", "page_id", "archive_id", "offset"]
+    """Archives all pages in the shared folder and indexes them. Null texts are empty payloads; every row has a record; no pages
+    give no archives; other columns are left out, so names can't clash. An archive has a page of any size whole."""
+    path = shared_folder(pages.sparkSession, "archives")
+    captures(pages, key, url, html).mapInArrow(_archived, ARCHIVE).write.partitionBy("volume").parquet(path)
+    archives = pages.sparkSession.read.schema(ARCHIVE).parquet(path)
+    entries = archives.select("volume", "archive", F.explode("entries").alias("e")).select("e.key", "e.page_id", "volume", "archive", "e.offset", "e.length")
+    order = ["key", "page_id", "volume", "archive", "offset"]
     blocks = stored(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, BLOCK), "index")
     return Collection(archives, blocks)
 
@@ -208,7 +221,8 @@ def _searcher(spark, rows: list, kind: T.DataType, arrow: pa.DataType):
     return search
 
 
-_HIT = pa.schema([("page_id", pa.int64()), ("archive_id", pa.string()), ("offset", pa.int64()), ("length", pa.int32())])
+_HIT = pa.schema([("page_id", pa.int64()), ("volume", pa.int32()), ("archive", pa.int32()), ("offset", pa.int64()), ("length", pa.int32())])
+HIT = "page_id long, volume int, archive int, offset long, length int"
 
 
 def _in_block(requests: pa.Table, blocks: pa.Table) -> pa.Table:
@@ -219,7 +233,7 @@ def _in_block(requests: pa.Table, blocks: pa.Table) -> pa.Table:
         for k, p in zip(requests["key"].to_pylist(), requests["page_id"].to_pylist(), strict=True):
             mine = (k.encode(), _place(p))
             for r in rows[bisect_left(keys, mine) : bisect_right(keys, mine)]:
-                out.append({"page_id": p, "archive_id": r[2], "offset": int(r[3]), "length": int(r[4])})
+                out.append({"page_id": p, "volume": int(r[2]), "archive": int(r[3]), "offset": int(r[4]), "length": int(r[5])})
     return pa.Table.from_pylist(out, schema=_HIT)
 
 
@@ -227,14 +241,12 @@ _RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("re
 
 
 def _ranges(payload: bool):
-    def read(hits: pa.Table, archives: pa.Table) -> pa.Table:
-        out = []
-        if hits.num_rows:
-            data = memoryview(archives["data"][0].as_py())
-            for offset, length in zip(hits["offset"].to_pylist(), hits["length"].to_pylist(), strict=True):
-                record = read_record(data[offset : offset + length])
-                out.append(record if payload else record | {"payload": None})
-        return pa.Table.from_pylist(out, schema=_RECORD)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, ranges in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                data = memoryview(data.as_buffer())
+                records = (read_record(data[r["offset"] : r["offset"] + r["length"]]) for r in ranges)
+                yield pa.RecordBatch.from_pylist([r if payload else r | {"payload": None} for r in records], schema=_RECORD)
 
     return read
 
@@ -242,12 +254,16 @@ def _ranges(payload: bool):
 def lookup(collection: Collection, requests: DataFrame, payload: bool = True) -> DataFrame:
     """RECORD of all captures of the requests (key, page_id); payload=False leaves the payloads out.
 
-    Requests that repeat count once, those that aren't archived give no row; a null page_id asks for captures
+    Requests that repeat count once, those that aren't archived give no row, no requests give none; a null page_id asks for captures
     without an id. A group of work is a block or an archive with its requests, which its entries bound.
     """
     asked = requests.select(F.coalesce("key", F.lit("")).alias("key"), "page_id").distinct()
     found = _found_blocks(asked, collection.blocks)
     blocks = collection.blocks.select("block_id", "body")
-    hits = found.groupBy("block_id").cogroup(blocks.groupBy("block_id")).applyInArrow(_in_block, "page_id long, archive_id string, offset long, length int")
-    archives = collection.archives.select("archive_id", "data")
-    return hits.groupBy("archive_id").cogroup(archives.groupBy("archive_id")).applyInArrow(_ranges(payload), RECORD)
+    hits = found.groupBy("block_id").cogroup(blocks.groupBy("block_id")).applyInArrow(_in_block, HIT)
+    wanted = stored(hits.groupBy("volume", "archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges")), "hits")
+    archives = collection.archives.select("volume", "archive", "data")
+    if (wanted.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= FEW_HITS:  # read where they lie, only the volumes that have them
+        volumes = [r[0] for r in wanted.select("volume").distinct().collect()]  # FEW_HITS at most
+        archives, wanted = archives.filter(F.col("volume").isin(volumes)), F.broadcast(wanted)
+    return archives.join(wanted, ["volume", "archive"]).select("data", "ranges").mapInArrow(_ranges(payload), RECORD)

@@ -356,6 +356,29 @@ def test_warc_round_trip_index_and_revisits(spark, monkeypatch):
     assert sorted(r.page_id for r in some.collect()) == [3, 52, 52]
 
 
+def test_warc_popular_payloads(spark, monkeypatch):
+    """Digests that are looked up by a broadcast and by the join give the same, for repeated and missing ids too."""
+    monkeypatch.setattr(warc, "HOT_SHARE", 0.1)
+    rows = [(i % 40 if i % 9 else None, f"http://a.org/{i}", "p" * 1200 if i % 3 else "q" * 1100 if i % 7 == 0 else str(i) * 600 if i % 2 else "small") for i in range(2500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    last = {}
+    for i, _, h in rows:
+        if len(h) >= 1000 and i is not None:
+            last[h] = max(i, last.get(h, -1))
+    shared = Counter(h for _, _, h in rows)
+    want = Counter((i, u, last.get(h) if shared[h] > 1 and last.get(h) != i else None) for i, u, h in rows)
+    assert Counter((r.page_id, r.url, r.refers_to) for r in warc.captures(pages).collect()) == want
+
+
+def test_warc_lookup_of_a_page_reads_its_volume_and_shuffles_no_archive(spark):
+    rng = random.Random(13)
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", rng.randbytes(3000).hex()) for i in range(400)], "page_id long, url string, html string").repartition(8)
+    found = warc.lookup(warc.write(pages), pages.filter("page_id = 7").select(warc.surt(F.col("url")).alias("key"), "page_id"))
+    assert [r.page_id for r in found.collect()] == [7]
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and re.search(r"PartitionFilters: \[.*volume#\d+ = \d", plan)
+
+
 def test_surt(spark):
     row = spark.createDataFrame([("https://www.Example.com/A?b=c#d",), (None,), ("plain",)], "u string").select(warc.surt(F.col("u")).alias("k")).collect()
     assert [r.k for r in row] == ["com,example,www)/A?b=c", "", ")plain"]
