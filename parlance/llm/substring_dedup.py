@@ -6,13 +6,14 @@ each shard builds an FM-index (a wavelet matrix over the Burrows-Wheeler transfo
 and streams them through it: backward search gives each window's interval, those of two occurrences or more are
 reported, and a window goes if the first of its occurrences is an earlier one.
 
-Anchors that hold more than HOT of all stretches aren't dealt to one shard: equal stretches, then the
-windows of distinct ones, are grouped by digest, equal ones first where they are, which gives the same result.
+An anchor of more than HOT_ROWS stretches, or of more than HOT of all, is hot: its windows are dealt by their DEEP least hashes
+instead, which splits its index, and equal stretches are combined where they are before they are dealt. A key that
+is still too large is indexed in parts, by the hash of its windows.
 """
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORDS_BY_SPACE, Powers, slices, stored, utf8, window_hashes, word_bounds, word_hashes
+from .common import WORDS_BY_SPACE, Powers, joined_hot, mixed, slices, stored, utf8, window_hashes, word_bounds, word_hashes
 
 WINDOW = 20
 GRAM = 6
@@ -30,19 +31,25 @@ GRAM = 6
 HOT = 1e-3
 #: Hot anchors are looked for in a sample of about so many stretches.
 HOT_SAMPLE = 2_000_000
-#: Windows of hot anchors are compared so many at a time before they are dealt by digest, in buckets of about so many.
-MANY = 100_000
+#: An anchor of more stretches is hot too. It bounds what a shard holds of other anchors.
+HOT_ROWS = 20_000
+#: Windows of hot anchors are dealt by so many of their least hashes.
+DEEP = 3
+#: Equal stretches of hot anchors are combined in a task while so many different ones are held.
+COMBINED = 50_000
 #: A shard's index is built when so many words have come together.
 SHARD_WORDS = 250_000
+#: A key of more words is indexed in parts of about so many.
+KEY_WORDS = 1_000_000
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers):
-    """Words (starts, ends, row) of a slice, and its stretches: anchor, first word, number of windows, whether the anchor is in two places."""
+    """Words (starts, ends, row) of a slice, hashes of its runs, and its stretches: anchor, first word, number of windows, whether the anchor is in two places."""
     s, e, row = word_bounds(data, offsets, WORDS_BY_SPACE)
     n = len(s) - WINDOW + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return s, e, row, none, none, none, none
+        return s, e, row, none, none, none, none, none
     grams = least = window_hashes(word_hashes(data, s, e, powers), GRAM).view(np.int64)
     span, width = WINDOW - GRAM + 1, 1
     while 2 * width <= span:
@@ -61,7 +68,7 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers):
     begin = np.cumsum(inner) - inner
     within = np.arange(int(inner.sum())) + np.repeat(first - begin, inner)
     places = np.add.reduceat(grams[within] == np.repeat(least[first], inner), begin, dtype=np.int64) if len(first) else first
-    return s, e, row, least[first], first, count, places > 1
+    return s, e, row, grams, least[first], first, count, places > 1
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -69,7 +76,7 @@ def _anchors(texts: pa.Array) -> pa.Array:
     data, offsets = utf8(texts)
     powers, flat, sizes = Powers(), [], []
     for a, b in slices(offsets):
-        _, _, row, anchor, first, _, again = _stretches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], powers)
+        _, _, row, _, anchor, first, _, again = _stretches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], powers)
         twice = 1 + again  # a stretch with its anchor in two places counts as two
         flat.append(np.repeat(anchor, twice))
         sizes.append(np.bincount(row[first], weights=twice, minlength=b - a).astype(np.int64) if len(first) else np.zeros(b - a, np.int64))
@@ -77,48 +84,113 @@ def _anchors(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *flat])))
 
 
-_PAIR = pa.schema([("anchor", pa.int64()), ("dk", pa.int64())])
+PAIR = "anchor long, ord long, dk long, hot boolean"
+_PAIR = pa.schema([("anchor", pa.int64()), ("ord", pa.int64()), ("dk", pa.int64()), ("hot", pa.bool_())])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor, those whose anchor another row has too."""
-    held_a, held_d, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in batches:
-        a, d = np.concatenate([held_a, batch.column(0).to_numpy()]), np.concatenate([held_d, batch.column(1).to_numpy()])
-        if not len(a):
-            continue
-        same = a[1:] == a[:-1]
-        keep = np.concatenate([[before], same]) | np.concatenate([same, [False]])
-        yield pa.record_batch([pa.array(a[:-1][keep[:-1]]), pa.array(d[:-1][keep[:-1]])], schema=_PAIR)
-        held_a, held_d, before = a[-1:], d[-1:], bool(keep[-1])
-    if before:
-        yield pa.record_batch([pa.array(held_a), pa.array(held_d)], schema=_PAIR)
+    """Of rows (anchor, ord, dk) sorted by anchor, those whose anchor another row has too, and whether it is hot."""
+    held, flowing = None, None  # the last anchor's rows; an anchor whose rows are passed on as hot
 
+    def out(rows, keep, hot):
+        return pa.record_batch([*(pa.array(r[keep]) for r in rows), pa.array(hot)], schema=_PAIR)
 
-SEGMENT = T.StructType().add("anchor", "long").add("ord", "long").add("dk", "long").add("start", "integer").add("words", "binary")
-_SEGMENT = pa.schema([("anchor", pa.int64()), ("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
+    for batch in batches:
+        rows = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if flowing is not None:
+            n = int(np.searchsorted(rows[0], flowing, "right"))
+            yield out(rows, slice(0, n), np.ones(n, bool))
+            rows = [r[n:] for r in rows]
+            flowing = flowing if not len(rows[0]) else None
+        if not len(rows[0]):
+            held = None
+            continue
+        first = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+        size = np.diff(first)
+        last = int(first[-1])
+        each = np.repeat(size, size)
+        yield out([r[:last] for r in rows], each > 1, each[each > 1] > HOT_ROWS)
+        held = [r[last:] for r in rows]
+        if len(held[0]) > HOT_ROWS:
+            flowing = held[0][0]
+            yield out(held, slice(None), np.ones(len(held[0]), bool))
+            held = None
+    if held is not None and len(held[0]) > 1:
+        yield out(held, slice(None), np.zeros(len(held[0]), bool))
+
+
+SEGMENT = T.StructType().add("key", "long").add("ord", "long").add("dk", "long").add("start", "integer").add("n", "integer").add("words", "binary")
+_SEGMENT = pa.schema([("key", pa.int64()), ("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
+
+
+def _deep(grams: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of stretches, cut where their DEEP least hashes change: key, first word, number of windows."""
+    total = np.cumsum(count)
+    w = np.arange(int(total[-1])) + np.repeat(first - total + count, count)
+    least = np.partition(grams[w[:, None] + np.arange(WINDOW - GRAM + 1)], DEEP - 1, axis=1)[:, :DEEP]
+    least.sort(axis=1)
+    key = np.zeros(len(w), np.uint64)
+    for k in range(DEEP):
+        key = mixed(key ^ least[:, k].view(np.uint64))
+    cut = np.ones(len(w), bool)
+    cut[1:] = (key[1:] != key[:-1]) | (w[1:] != w[:-1] + 1)
+    cut[(total - count)] = True
+    at = np.flatnonzero(cut)
+    return key[at].view(np.int64), w[at], np.diff(np.concatenate([at, [len(w)]]))
+
+
+def _wanted(listed: pa.Array, rows: np.ndarray, anchor: np.ndarray) -> list[int]:
+    """The stretches whose anchor is in their document's list."""
+    flat, sizes = listed.flatten().to_numpy(), pa.compute.list_value_length(listed.fill_null([])).to_numpy(zero_copy_only=False)
+    wanted = set(zip(np.repeat(np.arange(len(listed)), sizes).tolist(), flat.tolist(), strict=True))
+    return [i for i, pair in enumerate(zip(rows.tolist(), anchor.tolist(), strict=True)) if pair in wanted] if wanted else []
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of documents (ord, dk, text, anchors) whose anchor is listed, words joined by a space."""
+    """Of documents (ord, dk, text, anchors, hot): the stretches of the listed anchors, words joined by a space; of hot ones each
+    once in a task, at its first place, and ranges of words (n, no words) to remove at its others."""
     powers = Powers()
+    held: dict[bytes, tuple[int, int, int, int]] = {}  # stretches of hot anchors: place and key
+
+    def flushed() -> pa.RecordBatch:
+        places = list(zip(*held.values(), strict=True))
+        out = [pa.array(places[3], pa.int64()), *(pa.array(c, t) for c, t in zip(places[:3], (pa.int64(), pa.int64(), pa.int32()), strict=True)), pa.nulls(len(held), pa.int32()), pa.array(list(held), pa.binary())]
+        held.clear()
+        return pa.record_batch(out, schema=_SEGMENT)
+
     for batch in batches:
         data, offsets = utf8(batch.column(2))
-        ords, dks, listed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+        ords, dks, listed, hot = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3), batch.column(4)
         for a, b in slices(offsets):
             part = data[offsets[a] : offsets[b]]
-            s, e, row, anchor, first, count, _ = _stretches(part, offsets[a : b + 1] - offsets[a], powers)
-            own = listed.slice(a, b - a)
-            flat, sizes = own.flatten().to_numpy(), pa.compute.list_value_length(own).to_numpy(zero_copy_only=False)
-            wanted = set(zip(np.repeat(np.arange(b - a), sizes).tolist(), flat.tolist(), strict=True))
-            rows = row[first]
-            at = [i for i, pair in enumerate(zip(rows.tolist(), anchor.tolist(), strict=True)) if pair in wanted]
-            if not at:
-                continue
-            raw, begin = part.tobytes(), np.searchsorted(row, np.arange(b - a))
-            x, y = first[at], first[at] + count[at] + WINDOW - 1
-            words = [b" ".join(raw[i:j].split()) for i, j in zip(s[x].tolist(), e[y - 1].tolist(), strict=True)]
-            yield pa.record_batch([pa.array(anchor[at]), pa.array(ords[a:b][rows[at]]), pa.array(dks[a:b][rows[at]]), pa.array((x - begin[rows[at]]).astype(np.int32)), pa.array(words, pa.binary())], schema=_SEGMENT)
+            s, e, row, grams, anchor, first, count, _ = _stretches(part, offsets[a : b + 1] - offsets[a], powers)
+            raw, begin, rows = part.tobytes(), np.searchsorted(row, np.arange(b - a)), row[first]
+
+            def words(x, n, s=s, e=e, raw=raw):
+                return [b" ".join(raw[i:j].split()) for i, j in zip(s[x].tolist(), e[x + n + WINDOW - 2].tolist(), strict=True)]
+
+            at = _wanted(listed.slice(a, b - a), rows, anchor)
+            if at:
+                x, r = first[at], rows[at]
+                yield pa.record_batch([pa.array(anchor[at]), pa.array(ords[a:b][r]), pa.array(dks[a:b][r]), pa.array((x - begin[r]).astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.array(words(x, count[at]), pa.binary())], schema=_SEGMENT)
+            at = _wanted(hot.slice(a, b - a), rows, anchor)
+            if at:
+                key, x, n = _deep(grams, first[at], count[at])
+                r, gone = row[x], []
+                for place, w in zip(zip(ords[a:b][r].tolist(), dks[a:b][r].tolist(), (x - begin[r]).tolist(), key.tolist(), strict=True), words(x, n), strict=True):
+                    before = held.setdefault(w, place)
+                    if before[:3] != place[:3]:
+                        later = max(before, place)
+                        held[w] = min(before, place)
+                        gone.append({"key": later[1], "ord": later[0], "dk": later[1], "start": later[2], "n": w.count(b" ") + 1})
+                if gone:
+                    yield pa.RecordBatch.from_pylist(gone, schema=_SEGMENT)
+                if len(held) > COMBINED:
+                    yield flushed()
+    if held:
+        yield flushed()
 
 
 class WaveletMatrix:
@@ -191,18 +263,10 @@ class FMIndex:
 def earlier_windows(segments: list[tuple[int, int, int, bytes]], window: int = WINDOW) -> list[tuple[int, int, int]]:
     """Of segments (ord, dk, start, words): (segment, offset, words) of what is covered by windows that also start earlier.
 
-    Order is by ord, dk and start. Segments must hold all occurrences of their windows.
+    Order is by ord, dk and start. Segments must hold all occurrences of their windows, each sequence of words once, at its first place.
     """
-    out, distinct = [], {}
-    for i, (o, d, s, words) in enumerate(segments):
-        other = distinct.setdefault(words, i)
-        if other != i:
-            if (o, d, s) < segments[other][:3]:
-                distinct[words] = i
-                i, other = other, i
-            if (o, d, s) != segments[other][:3] or segments[i][:3] != segments[other][:3]:
-                out.append((i, 0, words.count(b" ") + 1))  # every window of a later copy
-    chosen = sorted(distinct.values(), key=lambda i: segments[i][:3])
+    out: list[tuple[int, int, int]] = []
+    chosen = sorted(range(len(segments)), key=lambda i: segments[i][:3])
     codes: dict[bytes, int] = {}
     text, ends = [], []
     for i in chosen:
@@ -235,93 +299,67 @@ def earlier_windows(segments: list[tuple[int, int, int, bytes]], window: int = W
     return out
 
 
-_RANGE = pa.schema([("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-RANGE = "dk long, start int, n int"
+def earlier_windows_in_parts(segments: list[tuple[int, int, int, bytes]], most: int, window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """earlier_windows() of segments that are too many for one index: each window goes to a part by its hash."""
+    words = [x[3].split(b" ") for x in segments]
+    n = sum(len(w) - window + 1 for w in words) * window // most + 1
+    out = []
+    for part in range(n):
+        own: dict[bytes, tuple[int, int]] = {}
+        for i, w in enumerate(words):
+            for at in range(len(w) - window + 1):
+                each = b" ".join(w[at : at + window])
+                if zlib.crc32(each) % n == part:
+                    here = (i, at)
+                    before = own.setdefault(each, here)
+                    if before != here:
+                        place = lambda p: (*segments[p[0]][:2], segments[p[0]][2] + p[1])
+                        own[each], later = sorted((before, here), key=place)
+                        out.append((*later, window))
+        names = list(own.values())
+        found = earlier_windows([(*segments[i][:2], segments[i][2] + at, w) for w, (i, at) in own.items()], window)
+        out += [(names[k][0], names[k][1] + offset, size) for k, offset, size in found]
+    return out
+
+
+_RANGE = pa.schema([("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+RANGE = "ord long, dk long, start int, n int"
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of words to remove, from segments sorted by anchor: anchors are kept whole, shards have SHARD_WORDS words or more."""
-    held: list[tuple] = []
+    """Ranges of words to remove, from rows of _segments sorted by key: keys are kept whole, shards have SHARD_WORDS words or more.
+
+    Of equal stretches the first one is indexed; all windows of the others go.
+    """
+    held: dict[bytes, tuple[int, int, int]] = {}
+    gone: list[tuple[int, int, int, int]] = []
     words, last = 0, None
 
-    def done():
-        found = earlier_windows([h[:4] for h in held])
-        return pa.RecordBatch.from_pylist([{"dk": held[i][1], "start": held[i][2] + a, "n": n} for i, a, n in found], schema=_RANGE)
+    def done() -> pa.RecordBatch:
+        segments = [(*p, w) for w, p in held.items()]
+        found = earlier_windows_in_parts(segments, SHARD_WORDS) if words > KEY_WORDS else earlier_windows(segments) if segments else []
+        rows = gone + [(segments[i][0], segments[i][1], segments[i][2] + a, n) for i, a, n in found]
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANGE, strict=True)] if rows else [pa.array([], f.type) for f in _RANGE], schema=_RANGE)
 
     for batch in batches:
-        for anchor, o, d, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if anchor != last and words >= SHARD_WORDS:
+        for key, o, d, s, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if w is None:
+                gone.append((o, d, s, n))
+                continue
+            if key != last and words >= SHARD_WORDS:
                 yield done()
-                held, words = [], 0
-            last = anchor
-            held.append((o, d, s, w))
-            words += w.count(b" ") + 1
-    if held:
+                held, gone, words = {}, [], 0
+            last, place = key, (o, d, s)
+            before = held.setdefault(w, place)
+            if before is place:
+                words += w.count(b" ") + 1
+            elif before != place:
+                held[w] = min(before, place)
+                gone.append((*max(before, place), w.count(b" ") + 1))
+    if held or gone:
         yield done()
 
 
-LOCAL = "bucket int, blob binary, dk long, start int, n int"
-_LOCAL = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-_ROW = np.dtype([("high", "<u8"), ("low", "<u8"), ("ord", "<i8"), ("dk", "<i8"), ("start", "<i4"), ("seg", "<i4")])
-
-
-def _not_first(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """rows sorted by digest and place, and which of them aren't the first of their digest."""
-    rows = rows[np.lexsort((rows["start"], rows["dk"], rows["ord"], rows["low"], rows["high"]))]
-    later = np.zeros(len(rows), bool)
-    later[1:] = (rows["high"][1:] == rows["high"][:-1]) & (rows["low"][1:] == rows["low"][:-1])
-    return rows, later
-
-
-def _local_windows(buckets: int):
-    """Of stretches (ord, dk, start, words): ranges of windows that come later than an equal one among the same
-    MANY or so windows, and the others packed by bucket of their digest, a row a bucket and not a window."""
-
-    def packed(digests: list[bytes], places: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        rows = np.zeros(len(digests), _ROW)
-        both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-        rows["high"], rows["low"] = both[:, 0], both[:, 1]
-        of, counts = np.array([p[:3] for p in places], np.int64), np.array([p[3] for p in places])
-        rows["seg"] = np.repeat(np.arange(len(places)), counts)
-        rows["ord"], rows["dk"] = of[rows["seg"], 0], of[rows["seg"], 1]
-        rows["start"] = of[rows["seg"], 2] + np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        rows, later = _not_first(rows)
-        gone, kept = rows[later], rows[~later]
-        gone = gone[np.lexsort((gone["start"], gone["seg"]))]
-        cuts = np.flatnonzero(np.concatenate([[True], (np.diff(gone["start"]) > 1) | (np.diff(gone["seg"]) > 0)])) if len(gone) else np.zeros(0, int)
-        last = np.concatenate([cuts[1:], [len(gone)]])[: len(cuts)] - 1
-        out = [{"dk": int(gone["dk"][a]), "start": int(gone["start"][a]), "n": int(gone["start"][b] - gone["start"][a]) + WINDOW} for a, b in zip(cuts.tolist(), last.tolist(), strict=True)]
-        bucket = (kept["high"] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        kept, bucket = kept[order], bucket[order]
-        ends = np.searchsorted(bucket, np.arange(buckets + 1))
-        out += [{"bucket": k, "blob": kept[ends[k] : ends[k + 1]].tobytes()} for k in np.unique(bucket).tolist()]
-        return pa.RecordBatch.from_pylist(out, schema=_LOCAL)
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests, places = [], []
-        for batch in batches:
-            for o, d, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = w.split(b" ")
-                n = len(words) - WINDOW + 1
-                digests += [hashlib.md5(b" ".join(words[i : i + WINDOW])).digest() for i in range(n)]
-                places.append((o, d, s, n))
-            if len(digests) >= MANY:
-                yield packed(digests, places)
-                digests, places = [], []
-        if digests:
-            yield packed(digests, places)
-
-    return each
-
-
-def _bucket(table: pa.Table) -> pa.Table:
-    """The windows of a bucket that aren't the first of their digest."""
-    rows, later = _not_first(np.frombuffer(b"".join(table["blob"].to_pylist()), _ROW))
-    gone = rows[later]
-    return pa.table([pa.array(gone["dk"]), pa.array(gone["start"]), pa.array(np.full(len(gone), WINDOW, np.int32))], schema=_RANGE)
-
-
 KEPT = T.StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
 
@@ -350,7 +388,9 @@ def _kept(texts: pa.Array, later_copy: pa.Array, ranges: pa.Array) -> pa.Array:
 
 
 def hot_anchors(anchors: DataFrame) -> DataFrame:
-    """(anchor) of those that hold more than HOT of the rows (dk, anchors): 1 / HOT rows at most, by a sample of bounded size."""
+    """(anchor) of those that hold more than HOT of the rows (dk, anchors): 1 / HOT rows at most, by a sample of bounded size.
+
+    It decides how stretches are dealt; none is left out."""
     total = anchors.agg(F.sum(F.size("anchors"))).first()[0] or 0
     share = -(-total // HOT_SAMPLE) or 1
     sample = anchors.filter(F.pmod("dk", F.lit(share)) == 0).select(F.explode("anchors").alias("anchor"))
@@ -361,45 +401,31 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """(key, n_words, n_removed, kept) of each document: kept are the words left, joined by one space.
 
     A word goes if it is covered by a window of WINDOW words whose sequence also starts earlier: in a
-    document of a smaller key or before it in the same one. Null keys come first; documents that share a key
+    document of a smaller key, an integer, or before it in the same one. Null keys come first; documents that share a key
     but not their text are ordered by a hash, rows that repeat a document are one document. A null or short
-    text keeps its words.
+    text keeps its words; texts of any length are read whole; an empty table gives no rows; other columns are left out, so names
+    can't clash. Whole copies of a document are told by the digest of their text and go without the index.
     """
-    dk = F.xxhash64(F.col(key), F.col(text))
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), dk.alias("dk"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("ord"))
-    first_pass = stored(docs.select("ord", "dk", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), _anchors(F.col("text")).alias("anchors")), "anchors")
+    own = ["ord", "dk"]  # a document; the hash tells those apart that share a key
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("dk"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("ord"))
+    first_pass = stored(docs.select(*own, F.md5(F.coalesce("text", F.lit(""))).alias("digest"), _anchors(F.col("text")).alias("anchors")).filter(F.size("anchors") > 0), "anchors")
     # exact copies: all but the first one go whole
-    one = F.struct("ord", "dk")
-    first = first_pass.groupBy("digest").agg(F.min(one).alias("first"), F.max(one).alias("last")).filter("first != last").select("digest", "first")
-    copies = first_pass.select("dk", "ord", "digest").join(first, "digest").filter(one != F.col("first")).select("dk").distinct().withColumn("copy", F.lit(True))
+    one = F.struct(*own)
+    first = first_pass.groupBy("digest").agg(F.min(one).alias("first"), F.max(one).alias("last"), F.count("*").alias("copies")).filter("first != last").drop("last")
+    copies = joined_hot(first_pass.select(*own, "digest"), first, "digest", "copies").filter(one != F.col("first")).select(*own).distinct().withColumn("copy", F.lit(True))
     # anchors that occur twice
     hot = stored(hot_anchors(first_pass), "hot")
-    any_hot = not hot.isEmpty()
-    every = first_pass.select(F.explode("anchors").alias("anchor"), "dk")
-    cold = every.join(F.broadcast(hot), "anchor", "left_anti") if any_hot else every
-    twice = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, "anchor long, dk long")
-    if any_hot:
-        twice = twice.unionByName(every.join(F.broadcast(hot), "anchor", "left_semi"))
-    listed = twice.groupBy("dk").agg(F.collect_set("anchor").alias("anchors"))
-    marks = stored(listed.join(copies, "dk", "full").select("dk", "anchors", F.coalesce("copy", F.lit(False)).alias("copy")), "marks")
+    every = first_pass.select(F.explode("anchors").alias("anchor"), *own)
+    cold = every.join(F.broadcast(hot), "anchor", "left_anti")
+    twice = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, PAIR)
+    twice = twice.unionByName(every.join(F.broadcast(hot), "anchor", "left_semi").withColumn("hot", F.lit(True)))
+    lists = [F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")]
+    listed = twice.groupBy(*own).agg(*lists)
+    marks = stored(listed.join(copies, own, "full").select(*own, "anchors", "hot", F.coalesce("copy", F.lit(False)).alias("copy")), "marks")
     # stretches of the documents that have such anchors, dealt by anchor
-    joined = docs.join(marks, "dk", "left")
-    stretches = joined.filter(~F.col("copy") & F.col("anchors").isNotNull()).select("ord", "dk", "text", "anchors").mapInArrow(_segments, SEGMENT)
-    dealt = stretches.join(F.broadcast(hot), "anchor", "left_anti") if any_hot else stretches
-    ranges = dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_indexed, RANGE)
-    if any_hot:
-        only = F.broadcast(hot)
-        own = stretches.join(only, "anchor", "left_semi").select("anchor", F.md5("words").alias("digest"), "ord", "dk", "start", "words")
-        own = stored(own.withColumn("n", F.size(F.split(F.col("words").cast("string"), " "))), "hot-stretches")
-        place = F.struct("ord", "dk", "start")
-        distinct = stored(own.groupBy("digest").agg(F.min(F.struct("ord", "dk", "start", "anchor", "words")).alias("f"), F.count("*").alias("copies")), "distinct")
-        before = F.struct("f.ord", "f.dk", "f.start")
-        whole = own.select("digest", "ord", "dk", "start", "n").join(distinct.filter("copies > 1").select("digest", before.alias("first")), "digest").filter(place > F.col("first"))
-        buckets = int(distinct.agg(F.sum(F.octet_length("f.words"))).first()[0] or 0) // (MANY * 20) + 1
-        local = stored(distinct.select("f.ord", "f.dk", "f.start", "f.words").mapInArrow(_local_windows(buckets), LOCAL), "windows")
-        later = local.filter("bucket is not null").groupBy("bucket").applyInArrow(_bucket, RANGE)
-        later = later.unionByName(local.filter("bucket is null").select("dk", "start", "n"))
-        ranges = ranges.unionByName(whole.select("dk", "start", "n")).unionByName(later)
-    cut = ranges.groupBy("dk").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    out = joined.join(cut, "dk", "left").select("id", _kept(F.col("text"), F.coalesce("copy", F.lit(False)), F.col("ranges")).alias("k"))
+    joined = docs.join(marks, own, "left")
+    stretches = joined.filter(~F.col("copy") & F.col("anchors").isNotNull()).select(*own, "text", "anchors", "hot").mapInArrow(_segments, SEGMENT)
+    ranges = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_indexed, RANGE)
+    cut = ranges.groupBy(*own).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
+    out = joined.join(cut, own, "left").select("id", _kept(F.col("text"), F.coalesce("copy", F.lit(False)), F.col("ranges")).alias("k"))
     return out.select(F.col("id").alias(key), "k.n_words", "k.n_removed", "k.kept")

@@ -580,18 +580,48 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_removed_equals_brute_force(spark, docs, monkeypatch, hot):
-    if hot:
+@pytest.mark.parametrize("way", ["cold", "hot", "many", "parts"])
+def test_removed_equals_brute_force(spark, docs, monkeypatch, way):
+    """Anchors as they are; hot ones by their share; hot ones by their number; keys that are indexed in parts."""
+    if way == "hot":
         every = lambda a: a.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 2").select("anchor")
         monkeypatch.setattr(sub, "hot_anchors", every)
-        monkeypatch.setattr(sub, "MANY", 50)
+        monkeypatch.setattr(sub, "COMBINED", 20)
+    elif way == "many":
+        monkeypatch.setattr(sub, "HOT_ROWS", 3)
+    elif way == "parts":
+        monkeypatch.setattr(sub, "SHARD_WORDS", 100)
+        monkeypatch.setattr(sub, "KEY_WORDS", 60)
     rows = [(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).filter("doc_id is not null").collect()]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sub.removed(clashing(docs.filter("doc_id is not null"))).collect()}
     assert got == brute_removed(rows)
     assert sum(v[1] for v in got.values()) > 1000
 
 
+def test_removed_tells_apart_documents_that_share_a_key(spark):
+    rng = random.Random(14)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(None, " ".join(w[:25])), (None, "another text"), (5, " ".join(w[10:45])), (5, "short"), (5, " ".join(w)), (7, " ".join(w))]
+    got = {(r.doc_id, r.kept) for r in sub.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(None, " ".join(w[:25])), (None, "another text"), (5, "short"), (7, "")} <= got
+    # null's words go from the longer text of 5, and then the shorter one goes, or its words go from the longer one
+    assert sum(len(k.split()) for i, k in got if i == 5) in (1 + 35, 1 + 35 + 15)
+
+
+def test_repeated_anchors_and_hot_ones(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sub, "HOT_ROWS", 4)
+    rng = random.Random(15)
+    anchors = sorted(a for a in range(40) for _ in range(rng.choice([1, 1, 2, 4, 5, 30])))
+    rows = [(a, i, i) for i, a in enumerate(anchors)]
+    for size in (1, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["anchor", "ord", "dk"]) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in sub._repeated(iter(batches)) for r in b.to_pylist()]
+        n = Counter(anchors)
+        assert got == [(a, i, i, n[a] > 4) for a, i, _ in rows if n[a] > 1]
+
+
 def test_removed_empty(empty):
     assert sub.removed(empty).count() == 0
 
