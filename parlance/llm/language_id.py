@@ -5,6 +5,7 @@ penalty for each switch labels the words, and the language of most letters is th
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -16,8 +17,10 @@ from pyspark.sql import types as T
 
 from .common import mixed
 
-#: The classifier learns from about so many labelled rows at most, a share of all by the hash of their id.
+#: The classifier learns from about so many labelled rows at most, a share of all by the hash of their id,
 MAX_TRAIN_DOCS = 20_000
+#: and the labels that are most frequent among them, so many at most: the model has MAX_LANGS x BUCKETS numbers at most.
+MAX_LANGS = 256
 BUCKETS = 1 << 16
 #: Cost of a switch of language between two words, in nats.
 SWITCH = 20.0
@@ -35,12 +38,25 @@ SCRIPTS = {
     "armenian": [(0x530, 0x58F)],
     "hebrew": [(0x590, 0x5FF)],
     "arabic": [(0x600, 0x6FF), (0x750, 0x77F), (0x8A0, 0x8FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)],
-    "devanagari": [(0x900, 0x97F)],
+    "devanagari": [(0x900, 0x97F), (0xA8E0, 0xA8FF)],
     "bengali": [(0x980, 0x9FF)],
+    "gurmukhi": [(0xA00, 0xA7F)],
+    "gujarati": [(0xA80, 0xAFF)],
+    "oriya": [(0xB00, 0xB7F)],
     "tamil": [(0xB80, 0xBFF)],
     "telugu": [(0xC00, 0xC7F)],
+    "kannada": [(0xC80, 0xCFF)],
+    "malayalam": [(0xD00, 0xD7F)],
+    "sinhala": [(0xD80, 0xDFF)],
     "thai": [(0xE00, 0xE7F)],
-    "georgian": [(0x10A0, 0x10FF)],
+    "lao": [(0xE80, 0xEFF)],
+    "tibetan": [(0xF00, 0xFFF)],
+    "burmese": [(0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)],
+    "georgian": [(0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)],
+    "ethiopic": [(0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)],
+    "cherokee": [(0x13A0, 0x13FF), (0xAB70, 0xABBF)],
+    "khmer": [(0x1780, 0x17FF)],
+    "mongolian": [(0x1800, 0x18AF)],
     "hangul": [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)],
     "kana": [(0x3040, 0x30FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)],
@@ -52,9 +68,12 @@ _RESULT = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", p
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: is a letter, its lower case, its script."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: is a letter, its lower case, its script, is a mark (a vowel sign, an accent), which goes on with a word."""
     n = 0x110000
+    mark = np.zeros(n, bool)
+    for c in (*range(0x300, 0x20000), *range(0xE0100, 0xE01F0)):  # the planes that have marks
+        mark[c] = unicodedata.category(chr(c)) in ("Mn", "Mc")
     letter = np.fromiter((chr(c).isalpha() for c in range(n)), bool, n)
     lower = np.arange(n, dtype=np.uint32)
     for c in range(0x1E944):  # above it there is no letter case
@@ -65,12 +84,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i, blocks in enumerate(SCRIPTS.values()):
         for a, b in blocks:
             script[a : b + 1] = i
-    return letter, lower, script
+    return letter, lower, script, mark
 
 
 def _words(texts: list[str], buckets: int):
     """Of all words of the texts: first letter's place among the letters, text, start, end, script; and the bucket of each letter's trigram."""
-    letter, lower, script = _tables()
+    letter, lower, script, mark = _tables()
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
     n = len(code)
@@ -78,6 +97,13 @@ def _words(texts: list[str], buckets: int):
     inside[1:-1] = letter[code]
     cut = np.zeros(n + 2, bool)
     cut[offsets + 1] = True  # a text starts here: what stands before is no neighbour
+    marks = np.flatnonzero(mark[code]) + 1
+    if len(marks):  # a mark goes on with a word, it starts none
+        place = np.arange(n + 2)
+        joins = inside.copy()
+        joins[marks] = True
+        since = np.maximum.accumulate(np.where(cut | ~joins, place, 0))  # where its text or its run starts
+        inside[marks] = np.maximum.accumulate(np.where(inside, place, 0))[marks] >= since[marks]
     at = np.flatnonzero(inside)
     low = np.zeros(n + 2, np.uint64)
     low[1:-1] = lower[code]
@@ -103,19 +129,17 @@ def _slices(texts: list[str]):
 
 
 def _counts(langs: dict[str, int], buckets: int) -> Callable:
+    width = buckets + OTHER + 1
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = np.zeros((len(langs), buckets + OTHER + 1), np.int64)
         for batch in batches:
             texts, of = batch.column(0).to_pylist(), np.array([langs[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b in _slices(texts):
                 first, row, _, _, script, gram, _ = _words(texts[a:b], buckets)
-                if len(first):
-                    word_lang = of[a:b][row]
-                    letters = np.diff(np.concatenate([first, [len(gram)]]))
-                    np.add.at(grams, (np.repeat(word_lang, letters), gram), 1)
-                    np.add.at(grams, (word_lang, buckets + script.astype(np.int64)), 1)
-        lang, feature = np.nonzero(grams)
-        yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(feature.astype(np.int32)), pa.array(grams[lang, feature])], ["lang", "feature", "n"])
+                word_lang = of[a:b][row] * width
+                letters = np.diff(np.concatenate([first, [len(gram)]]))
+                found, n = np.unique(np.concatenate([np.repeat(word_lang, letters) + gram, word_lang + buckets + script]), return_counts=True)
+                yield pa.record_batch([pa.array((found // width).astype(np.int32)), pa.array((found % width).astype(np.int32)), pa.array(n)], ["lang", "feature", "n"])
 
     return count
 
@@ -132,21 +156,21 @@ class Model:
         self.buckets = grams.shape[1]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = MAX_TRAIN_DOCS) -> Model:
-    """Learns from rows with a text and a label. Driver and broadcast get languages x BUCKETS numbers at most."""
-    rows = docs.filter(F.col(lang).isNotNull()).select(key, text, lang)
-    by_lang = sorted(rows.groupBy(lang).count().collect(), key=lambda r: (-r["count"], r[lang]))  # a row a language
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = MAX_TRAIN_DOCS, most_langs: int = MAX_LANGS) -> Model:
+    """Learns from rows with a text and a label. A label is learned only if a letter taught it. Driver and broadcast get
+    most_langs x BUCKETS numbers at most."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
+    share = max(1, math.ceil(rows.count() / most))
+    sample = rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(share)) == 0).select(text, lang)
+    by_lang = sample.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()
     langs = {r[lang]: i for i, r in enumerate(by_lang)}
-    buckets = BUCKETS
-    while buckets * len(langs) > 1 << 24:
-        buckets //= 2
-    grams = np.zeros((len(langs), buckets + OTHER + 1), np.int64)
+    grams = np.zeros((len(langs), BUCKETS + OTHER + 1), np.int64)
     if langs:
-        share = max(1, math.ceil(sum(r["count"] for r in by_lang) / most))
-        sample = rows.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(share)) == 0)).select(text, lang)
-        found = sample.repartition(8).mapInArrow(_counts(langs, buckets), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+        own = sample.filter(F.col(lang).isin(list(langs)))
+        found = own.mapInArrow(_counts(langs, BUCKETS), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
         grams[found["lang"].to_numpy(), found["feature"].to_numpy()] = found["n"].to_numpy()
-    return Model(list(langs), grams[:, :buckets], grams[:, buckets:])
+    taught = grams.any(axis=1)
+    return Model([x for x, good in zip(langs, taught.tolist(), strict=True) if good], grams[taught, :BUCKETS], grams[taught, BUCKETS:])
 
 
 def path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -238,7 +262,11 @@ def held_out(key: Column) -> Column:
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, held_out, lang, score, spans) of each document, learned from the labelled ones that aren't held out."""
+    """(key, held_out, lang, score, spans) of each document, learned from the labelled ones that aren't held out.
+
+    Null and empty texts and those without a letter are "und"; so are all if there is no label to learn from. Repeated rows each get a
+    row, an empty table gives none; texts of any length are read whole; other columns are left out, so names can't clash.
+    """
     model = train(docs.filter(F.col(key).isNotNull() & ~held_out(F.col(key))), text, lang, key)
     found = docs.select(key, language_udf(docs, model)(F.col(text)).alias("_l"))
     return found.select(key, held_out(F.col(key)).alias("held_out"), "_l.lang", "_l.score", "_l.spans")
