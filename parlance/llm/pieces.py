@@ -1,7 +1,7 @@
 """N-best segmentation over the piece lattice of a SentencePiece vocabulary, and its inverse.
 
 Forward Viterbi scores of the lattice are exact heuristics for a backward A-star search, which pops
-segmentations in order of score. No piece of these vocabularies has a space after another character, so a
+segmentations in order of score. No piece has a space after another character (a vocabulary that has one is refused), so a
 text's lattice falls apart before every run of spaces: each word has a lattice of its own, words are
 searched once and kept, and a text's best segmentations combine those of its words.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import os
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -19,11 +20,12 @@ from itertools import chain, count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The vocabulary file on every machine; a parameter of all functions.
+#: The vocabulary file on the driver's machine; a parameter of all functions. It is sent to the workers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Pieces with a score below this never take part (the vocabulary marks them so).
@@ -117,7 +119,9 @@ class Lattice:
 
 
 class _Slots:
-    """Pieces by a 64-bit hash of their characters, in two tables, each piece in one of its two slots."""
+    """Pieces by a 64-bit hash of their characters, in two tables, each piece in one of its two slots.
+
+    A word whose best segmentation doesn't spell it, as a hash is no proof, is searched alone, by its characters."""
 
     MUL = np.uint64(0x9E3779B97F4A7C15)
     BITS = 18
@@ -178,6 +182,8 @@ class Pieces:
                 self.plain[i] = piece.replace(SPACE, " ").encode()
                 if model.GetScore(i) > LEAST_SCORE:
                     self.scores[piece.replace(SPACE, " ")] = (i, model.GetScore(i))
+        if any(" " in p.lstrip(" ") for p in self.scores):
+            raise ValueError("the vocabulary has pieces that span words")
         self.unknown = min(s for _, s in self.scores.values()) - UNKNOWN_COST
         self.table = {p[:k]: (-1, 0.0) for p in self.scores for k in range(1, len(p))} | self.scores
         self.best = best
@@ -264,9 +270,15 @@ class Pieces:
         flat = piece[on].astype("<i4").tobytes()
         ends = np.cumsum(on.sum(axis=1)).tolist()
         ids = [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        for k in np.flatnonzero((on & (piece < 0)).any(axis=1)).tolist():  # characters of several byte pieces
-            ids[k] = self._alone([words[k]])[0][0]
-        return ids, best[n].copy(), best[n] - second
+        score, gap = best[n].copy(), best[n] - second
+        wrong = (on & (piece < 0)).any(axis=1)  # characters of several byte pieces
+        spelled = lambda raw: b"".join(map(self.plain.__getitem__, np.frombuffer(raw, "<i4").tolist()))
+        if wrong.any() or spelled(flat) != "".join(words).encode("utf-8", "surrogatepass"):
+            wrong |= np.array([spelled(i) != w.encode("utf-8", "surrogatepass") for i, w in zip(ids, words, strict=True)])
+        for k in np.flatnonzero(wrong).tolist():
+            own_ids, own_score, own_gap = self._alone([words[k]])
+            ids[k], score[k], gap[k] = own_ids[0], own_score[0], own_gap[0]
+        return ids, score, gap
 
     def _single(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of single characters; one without a piece has its byte, or -1 if it has several."""
@@ -357,8 +369,14 @@ def _int32(raw: bytes) -> pa.Array:
 
 
 @cache
-def pieces(path: str, best: int) -> Pieces:
-    return Pieces(path, best)
+def pieces(name: str, best: int) -> Pieces:
+    """The vocabulary in a worker, by the name of the file that was sent."""
+    return Pieces(SparkFiles.get(name), best)
+
+
+def _sent(spark: SparkSession, path: str) -> str:
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = MODEL, best: int = BEST) -> DataFrame:
@@ -366,12 +384,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
     A null or empty text has no pieces, score 0 and no segmentations. White space is kept as it is; a
     character without a piece, a literal space mark too, becomes byte pieces, so decoding gives the same text.
-    Repeated rows each have a row; other columns are left out.
+    Repeated rows each have a row, an empty table has none; texts of any length are encoded whole; other columns are left out, so names
+    can't clash. A vocabulary with pieces that span words is refused with ValueError.
     """
     out = T.StructType([docs.schema[key], docs.schema[text], *ENCODED.fields])
+    name = _sent(docs.sparkSession, path)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = pieces(path, best)
+        model = pieces(name, best)
         for batch in rows:
             size = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
@@ -388,10 +408,11 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
 def decode_udf(path: str = MODEL) -> Callable[[Column], Column]:
     """A Column function ids -> text; no or null ids give an empty text."""
+    name = _sent(SparkSession.active(), path)
 
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
-        model = pieces(path, BEST)
+        model = pieces(name, BEST)
         ids = ids.fill_null([]) if ids.null_count else ids
         flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False))])
         return pa.array([model.decode(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())

@@ -704,3 +704,115 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
     n, corpus, oracles = json.loads(out.stdout.splitlines()[-1])
     assert n > 80 and corpus == [] and oracles > 80
+
+
+def test_pieces_that_span_words_are_refused(monkeypatch):
+    import sentencepiece
+
+    real = sentencepiece.SentencePieceProcessor.IdToPiece
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "IdToPiece", lambda self, i: "▁of▁the" if i == 1000 else real(self, i))
+    with pytest.raises(ValueError, match="span words"):
+        pc.Pieces(pc.MODEL, 2)
+
+
+def test_a_false_hash_hit_is_found():
+    """Two pieces exchange their places in the hash tables: words are then searched by their characters."""
+    model, want = pc.Pieces(pc.MODEL, 3), pc.Pieces(pc.MODEL, 3)
+    words = [" the", " that", " there", " cat", " x"]
+    want.learn(words)
+    ids = [model.scores[" the"][0], model.scores[" cat"][0]]
+    at = [int(np.flatnonzero(model.slots.ids == i)[0]) for i in ids]
+    model.slots.ids[at] = model.slots.ids[at[::-1]]
+    model.learn(words)
+    for w in words:
+        assert model.stored_ids[model.place[w]] == want.stored_ids[want.place[w]]
+
+
+# languages once more
+
+
+def brute_language(rows, held, text, switch=20.0):
+    """The prediction by plain loops; rows (id, text, lang) to learn from are those not held out."""
+    import math
+    import unicodedata
+
+    def mix(h):
+        m = 2**64 - 1
+        h ^= h >> 30
+        h = h * 0xBF58476D1CE4E5B9 & m
+        h ^= h >> 27
+        h = h * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def find(t):
+        out, word = [], ""
+        for c in (t or "") + "\0":
+            if c.isalpha() or (word and unicodedata.category(c) in ("Mn", "Mc")):
+                word += c
+            elif word:
+                out.append(word)
+                word = ""
+        return out
+
+    low = lambda c: ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+    script = lambda c: next((i for i, b in enumerate(lid.SCRIPTS.values()) if any(x <= ord(c) <= y for x, y in b)), lid.OTHER)
+
+    def grams(word):
+        p = [0, *map(low, word), 0]
+        return [mix((p[i - 1] << 42) ^ (p[i] << 21) ^ p[i + 1]) % lid.BUCKETS for i in range(1, len(p) - 1)]
+
+    counts, scripts, docs = {}, {}, Counter()
+    for i, t, lang in rows:
+        if i is not None and not held(i) and lang is not None and t is not None:
+            docs[lang] += 1
+            for w in find(t):
+                counts.setdefault(lang, Counter()).update(grams(w))
+                scripts.setdefault(lang, Counter())[script(w[0])] += 1
+    langs = [x for x in sorted(docs, key=lambda x: (-docs[x], x)) if x in counts]
+    words = find(text)
+    if not words or not langs:
+        return "und", 0.0
+    total = {x: sum(counts[x].values()) for x in langs}
+    scores, known = [], False
+    for w in words:
+        open_ = [scripts[x][script(w[0])] > 0 and scripts[x][script(w[0])] >= lid.SCRIPT_SHARE * sum(scripts[x].values()) for x in langs]
+        known |= any(open_)
+        scores.append([0.0 if not any(open_) else sum(math.log((counts[x][g] + 0.1) / (total[x] + 0.1 * lid.BUCKETS)) for g in grams(w)) - (0 if o else 4 * switch) for x, o in zip(langs, open_, strict=True)])
+    best, back = list(scores[0]), []
+    for s in scores[1:]:
+        top = max(range(len(langs)), key=lambda k: best[k])
+        back.append([k if best[k] >= best[top] - switch else top for k in range(len(langs))])
+        best = [max(best[k], best[top] - switch) + s[k] for k in range(len(langs))]
+    path = [max(range(len(langs)), key=lambda k: best[k])]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    weight = Counter()
+    for w, k in zip(words, reversed(path), strict=True):
+        weight[k] += len(w)
+    top = max(weight, key=lambda k: (weight[k], -k))
+    share = weight[top] / sum(weight.values())
+    sums = [sum(s[k] for s in scores) for k in range(len(langs))]
+    rest = max((x for k, x in enumerate(sums) if k != top), default=-math.inf)
+    sure = 1 - math.exp(-max(0.0, sums[top] - rest)) if share == 1 else 1.0
+    return langs[top], share * sure if known else 0.0
+
+
+def test_language_predictions_equal_brute_force(spark):
+    rng = random.Random(16)
+    source = {"en": "the cat sat on a mat and then it went out again", "de": "die katze saß auf der matte und ging dann wieder hinaus", "ru": "кот сидел на ковре и потом опять ушёл", "hi": "नमस्ते दुनिया बिल्ली चटाई पर बैठी थी", "am": "ድመቷ ምንጣፉ ላይ ተቀመጠች"}
+    say = lambda k, n: " ".join(rng.choice(source[k].split()) for _ in range(n))
+    rows = [(i, say(k, rng.randrange(1, 25)), k) for i, k in enumerate(list(source) * 14)]
+    rows += [(200, say("en", 12) + " " + say("de", 14), None), (201, say("ru", 9) + "; " + say("hi", 9), None), (202, "ሰላም ខ្មែរ ລາວ", None), (203, "ខ្មែរ", None), (204, "́ 12", "xx"), (205, "", "en"), (206, None, "en"), (None, say("de", 4), "de"), (207, say("en", 3).upper(), "yy"), (207, "été İstanbul", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id: r.h for r in docs.select("doc_id", lid.held_out(F.col("doc_id")).alias("h")).collect()}
+    got = Counter((r.doc_id, r.lang, round(r.score, 3)) for r in lid.identify(clashing(docs)).collect())
+    want = Counter((i, lang, round(score, 3)) for i, t, _ in rows for lang, score in [brute_language(rows, held.get, t)])
+    assert got == want
+    assert not {"xx"} & {k[1] for k in got}
+
+
+@pytest.mark.parametrize("script,text", [("gujarati", "ગુજરાતી ભાષા"), ("gurmukhi", "ਪੰਜਾਬੀ ਬੋਲੀ"), ("kannada", "ಕನ್ನಡ ಭಾಷೆ"), ("malayalam", "മലയാളം ഭാഷ"), ("sinhala", "සිංහල භාෂාව"), ("oriya", "ଓଡ଼ିଆ ଭାଷା"), ("lao", "ພາສາ ລາວ"), ("khmer", "ភាសា ខ្មែរ"), ("burmese", "မြန်မာ ဘာသာ"), ("tibetan", "བོད་ སྐད"), ("ethiopic", "አማርኛ ቋንቋ"), ("cherokee", "ᏣᎳᎩ ᎦᏬᏂ"), ("devanagari", "हिन्दी भाषा"), ("bengali", "বাংলা ভাষা"), ("tamil", "தமிழ் மொழி"), ("telugu", "తెలుగు భాష"), ("mongolian", "ᠮᠣᠩᠭᠣᠯ ᠬᠡᠯᠡ")])
+def test_words_of_a_script_are_whole(script, text):
+    first, _, starts, ends, of, _, _ = lid._words([text], lid.BUCKETS)
+    assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == [w.strip("་") for w in text.split()]
+    assert set(of.tolist()) == {list(lid.SCRIPTS).index(script)}
