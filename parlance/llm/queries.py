@@ -23,10 +23,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard
+    from .sharding import SHARDS, shard
 
-    placed = shard(_table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    placed = shard(_table(spark, sf_dir, "documents"), grow_to=SHARDS + 1)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import shared_folder
+from .common import shared_folder, stored
 
 SLOTS = 4096
 SHARDS = 24
@@ -20,16 +20,20 @@ SLOT_MAP = "virtual_slot int, shard int, bytes long, n long, version int"
 OVERHEAD = 8
 
 
-def slot_of(key: Column, size: Column, crc: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record: from its key alone, or from its content if the key is null."""
-    return F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(size, crc)), F.lit(slots)).cast("int")
+def slot_of(key: Column, row: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record: from its key alone, or from the number of its row if the key is null."""
+    return F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(row)), F.lit(slots)).cast("int")
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(key, size, text_crc32, virtual_slot): a null text has no bytes and the checksum of an empty one."""
+    """(key, size, text_crc32, virtual_slot), written: a null text has no bytes and the checksum of an empty one.
+
+    Rows are numbered when they are written, so that those without a key are spread over all slots and stay where they are.
+    """
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    out = docs.select(F.col(key), (F.octet_length(raw) + OVERHEAD).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
-    return out.withColumn("virtual_slot", slot_of(F.col(key), F.col("size"), F.col("text_crc32"), slots))
+    rows = docs.select(F.col(key), (F.octet_length(raw) + OVERHEAD).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
+    rows = rows.withColumn("virtual_slot", slot_of(F.col(key), F.monotonically_increasing_id(), slots))
+    return stored(rows, "records")
 
 
 def slot_sizes(recs: DataFrame) -> DataFrame:
@@ -103,15 +107,19 @@ def assign(recs: DataFrame, slot_map: DataFrame, key: str = "doc_id") -> DataFra
     return out.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("_base") + F.col("_rank") - 1).cast("bigint").alias("slot"), "map_version")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str = "doc_id", text: str = "text", grow_to: int | None = None) -> DataFrame:
     """Shards all of docs: see assign. Sizes are near equal, by the bytes of slots.
 
-    A null or empty text counts its overhead alone; null keys are spread by content; repeated rows each have a
-    place; no records give no rows; columns other than key and text are left out.
+    With grow_to, version 2 of the map, rebalanced for so many shards, is stored too, and next_shard says where it puts each record.
+    A null or empty text counts its overhead alone; null keys are spread over all slots; repeated rows each have a
+    place; no records give no rows; texts of any length count whole; columns other than key and text are left out, so names can't clash.
     """
-    spark = docs.sparkSession
-    base = shared_folder(spark, "shards")
-    records(docs, key, text, slots).write.parquet(f"{base}/records")  # the texts are read once
-    recs = spark.read.parquet(f"{base}/records")
-    store_map(plan_map(slot_sizes(recs), shards), f"{base}/map")
-    return assign(recs, load_map(spark, f"{base}/map"), key)
+    path = shared_folder(docs.sparkSession, "shard-map")
+    recs = records(docs, key, text, slots)  # the texts are read once
+    store_map(plan_map(slot_sizes(recs), shards), path)
+    out = assign(recs, load_map(docs.sparkSession, path, 1), key)
+    if grow_to is None:
+        return out
+    store_map(rebalance(load_map(docs.sparkSession, path, 1), grow_to), path)
+    following = load_map(docs.sparkSession, path, 2).select("virtual_slot", F.col("shard").alias("next_shard"))
+    return out.join(F.broadcast(following), "virtual_slot").select(*out.columns, "next_shard")  # a row a slot

@@ -157,8 +157,56 @@ def test_sharding_sizes_near_equal_and_versions(spark):
     assert max(loads) <= 1.3 * min(loads)
 
 
+def test_sharding_spreads_rows_without_a_key_and_grows(spark):
+    docs = spark.createDataFrame([(None, "the same text") for _ in range(3000)] + [(i, "x" * (i % 50)) for i in range(500)], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=6, slots=256, grow_to=7).collect()
+    assert len(rows) == 3500 and {r.map_version for r in rows} == {1}
+    slots = Counter(r.virtual_slot for r in rows if r.doc_id is None)
+    assert len(slots) > 200 and max(slots.values()) < 40
+    moved = [r for r in rows if r.next_shard != r.shard]
+    assert moved and {r.next_shard for r in moved} == {6} and len(moved) < 3500 / 4
+    assert len({(r.virtual_slot, r.next_shard) for r in rows}) == len({r.virtual_slot for r in rows})
+
+
+def brute_sharding(rows, shards, slots):
+    """(id, size, checksum) and the shard of each record with a key, largest slot first; keys are unique."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    ids = spark.createDataFrame([(i,) for i, _ in rows], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(slots)).alias("s")).collect()
+    slot = {r.i: r.s for r in ids}
+    size = {i: len((t or "").encode()) + 8 for i, t in rows}
+    total = Counter()
+    for i, _ in rows:
+        total[slot[i]] += size[i]
+    load, to = [0] * shards, {}
+    for s in sorted(total, key=lambda s: (-total[s], s)):
+        to[s] = load.index(min(load))
+        load[to[s]] += total[s]
+    out, place = {}, Counter()
+    for i, t in sorted(rows, key=lambda r: (slot[r[0]], r[0])):
+        at = to[slot[i]]
+        out[i] = (size[i], zlib.crc32((t or "").encode()), at, place[at])
+        place[at] += 1
+    return out
+
+
+def test_sharding_query_equals_brute_force(spark, tmp_path):
+    from parlance.llm.queries import op2_sharding
+
+    rng = random.Random(17)
+    rows = [(i * 3, rng.choice([None, "", "é" * rng.randrange(99), words_of(rng, rng.randrange(60))])) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r["size"], r.text_crc32, r.shard, r.slot) for r in op2_sharding(spark, str(tmp_path)).collect()}
+    assert got == brute_sharding(rows, sharding.SHARDS, sharding.SLOTS)
+
+
+def words_of(rng, n):
+    return " ".join(f"w{rng.randrange(100)}" for _ in range(n))
+
+
 def test_sharding_empty(empty):
-    assert sharding.shard(empty).count() == 0
+    assert sharding.shard(empty).count() == 0 and sharding.shard(empty, grow_to=25).count() == 0
 
 
 # personal data
@@ -218,6 +266,49 @@ def test_pii_context_decides_and_scores_are_returned(spark, tmp_path):
     assert got == {1: ("email:19:25,ip:7:14", "0.80,0.70"), 2: ("ip:0:7", "0.50"), 3: ("", ""), 4: ("iban:4:26", "0.40")}
 
 
+def brute_ibans(text):
+    """Numbers of known countries, by every start and the length of the country."""
+    out, at = [], 0
+    alnum = lambda c: c.isascii() and c.isalnum()
+    for i in range(len(text)):
+        n = pii._IBAN_LENGTH.get(text[i : i + 2])
+        if i < at or n is None or (i and alnum(text[i - 1])) or not re.fullmatch("[0-9]{2}", text[i + 2 : i + 4]):
+            continue
+        end, taken = i, ""
+        while len(taken) < n and end < len(text):
+            c = text[end]
+            if c == " " and len(taken) >= 4 and text[end - 1] != " ":
+                end += 1
+            elif c.isascii() and (c.isdigit() or c.isupper()):
+                taken, end = taken + c, end + 1
+            else:
+                break
+        if len(taken) == n and not (end < len(text) and alnum(text[end])) and int("".join(str(int(c, 36)) for c in taken[4:] + taken[:4])) % 97 == 1:
+            out.append((i, end))
+            at = end
+    return out
+
+
+def test_pii_ibans_equal_brute_force():
+    rng = random.Random(18)
+
+    def number(country):
+        body = "".join(rng.choice("0123456789") for _ in range(pii._IBAN_LENGTH[country] - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        raw = f"{country}{check:02d}{body}"
+        return " ".join(raw[i : i + 4] for i in range(0, len(raw), 4)) if rng.random() < 0.5 else raw
+
+    parts = [" ", ", ", "DE", "12", "A", "AB12", "x", "NO93", "é", "XX11", "0000", "GB82 WEST "]
+    found = 0
+    for _ in range(3000):
+        each = [number(rng.choice(["DE", "NO", "GB", "MT", "FR"])) if rng.random() < 0.5 else rng.choice(parts) for _ in range(rng.randrange(9))]
+        text = "".join(x + rng.choice(["", " ", ", "]) for x in each)
+        known = [s for s in pii._ibans(text) if text[s[0] : s[0] + 2] in pii._IBAN_LENGTH]
+        assert known == brute_ibans(text), text
+        found += len(known)
+    assert found > 500
+
+
 def test_pii_on_awkward(docs, empty):
     out = pii.redact(clashing(docs))
     assert out.count() == docs.count() and out.filter("text is null").count() == 1
@@ -321,6 +412,15 @@ def test_pieces_of_compressed_layers_cut_no_secret(monkeypatch):
         assert [s for s in secret_scan.find(text) if s[1:] == (0, len(text))], (raw, secret)
 
 
+def test_secrets_in_linear_time():
+    import time
+
+    for text in ("a" * 1_000_000 + " %41", "a.b/" * 300_000 + "%zz%41", "%" * 1_000_000, "\\u" * 300_000, "a%" * 400_000 + "41", "=" * 1_000_000 + "%3d"):
+        began = time.perf_counter()
+        secret_scan.find(text)
+        assert time.perf_counter() - began < 10, text[:9]
+
+
 def test_secrets_on_awkward(docs, empty):
     assert clashing(docs).withColumn("s", secret_scan.secrets(F.col("text"))).count() == docs.count()
     assert empty.select(secret_scan.secrets(F.col("text")).alias("s")).count() == 0
@@ -420,6 +520,38 @@ def test_matroska_unknown_sizes_and_errors():
     assert mk.read_vint(mk.vint(127), 0) == (127, 2) and mk.read_vint(b"\xff", 0)[0] is None
 
 
+def test_matroska_cut_files_and_references(spark):
+    media = mk.mux(bytes(range(250)) * 60)
+    for n in (1, 4, 5, 30, 100, len(media) - 700):
+        with pytest.raises(ValueError):
+            mk.demux(media[:n])
+    block = lambda *more: mk.element(mk.BLOCK_GROUP, b"".join([mk.element(mk.BLOCK, mk.vint(1) + b"\0\0\0" + b"frame"), *more]))
+    reference = mk.element(mk.REFERENCE, b"\1")
+    groups = mk.element(mk.EBML, b"") + mk.element(mk.SEGMENT, mk.element(mk.CLUSTER, mk.number(mk.TIMESTAMP, 0) + block() + block(reference) + block()))
+    assert [p[4] for p in mk.demux(groups).packets] == [True, False, True]
+    rows = spark.createDataFrame([(1, bytearray(media)), (2, bytearray(media[:50])), (3, None), (4, bytearray(b"\1"))], "i int, m binary")
+    got = {r.i: r.p for r in rows.select("i", mk.parse(F.col("m")).alias("p")).collect()}
+    assert got[1].error is None and got[2].error and got[4].error and got[2].payload is None and got[2].packets == [] and got[3].payload == b""
+
+
+def test_matroska_query_columns(spark, tmp_path):
+    from parlance.llm.queries import op5_matroska
+
+    texts = [(1, "é" * 700), (2, None), (3, ""), (4, "x" * 576), (5, "y" * 40000), (6, "é" * 700)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op5_matroska(spark, str(tmp_path)).collect()}
+    for i, t in texts:
+        raw, r = (t or "").encode(), rows[i]
+        payload = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
+        frames = len(payload) // 576
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        clusters, feature = -(-frames // 64), dict(x.split("=") for x in r.feature.split(";"))
+        assert feature.pop("mean_sample") == str(sum(payload) / len(payload))
+        assert feature == {"packets": str(frames), "tracks": "1", "clusters": str(clusters), "blocks": str(-(-frames // 8)), "cues": str(clusters), "cues_hit": str(clusters), "duration_ms": str(72 * frames)}
+        assert r.media_bytes > len(payload)
+    assert rows[1].media_sha256 == rows[6].media_sha256 and len({r.media_sha256 for r in rows.values()}) == 4
+
+
 def test_matroska_on_awkward(docs, empty):
     rows = clashing(docs).select("text", mk.mux_text(F.col("text")).alias("m")).select("text", mk.parse(F.col("m")).alias("p"), "m").collect()
     for r in rows:
