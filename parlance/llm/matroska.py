@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, VOID = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0xEC
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION, AUDIO, RATE, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, EBML_NUMBERS = 0x4282, {0x4286: 1, 0x42F7: 1, 0x42F2: 4, 0x42F3: 8, 0x4287: 4, 0x4285: 2}
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
@@ -145,8 +145,16 @@ class Parsed:
 
 
 def demux(data: bytes) -> Parsed:
-    """Walks the elements; unknown sizes reach to the end of what holds them, or to the next cluster."""
-    out, scale, base, segment = Parsed(), 1_000_000, 0, 0
+    """Walks the elements; unknown sizes reach to the end of what holds them, or to the next cluster. A block of a group is a
+    keyframe if it refers to no other. A broken or cut file is a ValueError."""
+    try:
+        return _walked(data)
+    except (IndexError, struct.error, UnicodeDecodeError) as e:
+        raise ValueError("the file is cut or broken") from e
+
+
+def _walked(data: bytes) -> Parsed:
+    out, scale, base, segment, group, refers = Parsed(), 1_000_000, 0, 0, 0, False
     track, cue = {}, {}
     ends: list[tuple[int, int]] = [(0, len(data))]  # identifiers and ends of the open elements
     at = 0
@@ -156,6 +164,8 @@ def demux(data: bytes) -> Parsed:
             out.tracks[track.get(TRACK_NUMBER, 0)] = (track.get(CODEC_ID, ""), track.get(DEFAULT_DURATION, 0))
         elif ident == CUE_POSITIONS:
             out.cues.append((cue.get(CUE_TIME, 0), cue.get(CUE_TRACK, 0), segment + cue.get(CUE_CLUSTER, 0)))
+        elif ident == BLOCK_GROUP and refers:
+            out.packets[group:] = [(*p[:4], False) for p in out.packets[group:]]
 
     while True:
         while at >= ends[-1][1]:
@@ -180,6 +190,8 @@ def demux(data: bytes) -> Parsed:
                 out.clusters.append(start)
             elif ident == TRACK_ENTRY:
                 track = {}
+            elif ident == BLOCK_GROUP:
+                group, refers = len(out.packets), False
             continue
         if ident in (SIMPLE_BLOCK, BLOCK):
             number_, place = read_vint(data, at)
@@ -188,6 +200,8 @@ def demux(data: bytes) -> Parsed:
             each = out.tracks.get(number_, ("", 0))[1]
             for i, (a, b) in enumerate(unlaced(data, place + 3, end, flags >> 1 & 3)):
                 out.packets.append((number_, ((base + offset) * scale + i * each) // 1_000_000, a, b, bool(flags & 0x80) or ident == BLOCK))
+        elif ident == REFERENCE:  # before or behind the block of its group
+            refers = True
         elif ident == TIMESTAMP:
             base = int.from_bytes(data[at:end], "big")
         elif ident == TIMESTAMP_SCALE:
@@ -219,7 +233,7 @@ def mux_text(text: Column) -> Column:
 
 
 PARSED = T.StructType().add("payload", "binary").add("packets", T.ArrayType(T.StructType().add("track", "integer").add("timestamp", "long").add("start", "long").add("end", "long").add("keyframe", "boolean")))
-PARSED = PARSED.add("tracks", "integer").add("clusters", "integer").add("blocks", "integer").add("cues", "integer").add("cues_hit", "integer").add("duration_ms", "long").add("mean_sample", "double")
+PARSED = PARSED.add("tracks", "integer").add("clusters", "integer").add("blocks", "integer").add("cues", "integer").add("cues_hit", "integer").add("duration_ms", "long").add("mean_sample", "double").add("error", "string")
 _PACKET = pa.struct([("track", pa.int32()), ("timestamp", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("keyframe", pa.bool_())])
 
 
@@ -227,22 +241,26 @@ _PACKET = pa.struct([("track", pa.int32()), ("timestamp", pa.int64()), ("start",
 def _parsed(media: pa.Array) -> pa.Array:
     payloads, packets, offsets, rest = [], [], [0], []
     for m in media:
-        data = m.as_py() or b""
-        p = demux(data)
-        payload = b"".join([data[a:b] for _, _, a, b, _ in p.packets])
+        data, error = m.as_py() or b"", None
+        try:
+            p = demux(data)
+        except ValueError as e:
+            p, error = Parsed(), str(e)
+        payload = None if error else b"".join([data[a:b] for _, _, a, b, _ in p.packets])
         payloads.append(payload)
         packets += p.packets
         offsets.append(len(packets))
         mean = float(np.frombuffer(payload, np.uint8).mean()) if payload else None
         clusters = set(p.clusters)
-        rest.append((len(p.tracks), len(clusters), p.blocks, len(p.cues), sum(c[2] in clusters for c in p.cues), int(p.duration), mean))
+        rest.append((len(p.tracks), len(clusters), p.blocks, len(p.cues), sum(c[2] in clusters for c in p.cues), int(p.duration), mean, error))
     columns = list(zip(*packets, strict=True)) or [[]] * 5
     table = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKET, strict=True)], fields=list(_PACKET))
-    more = [pa.array(c, t) for c, t in zip(list(zip(*rest, strict=True)) or [[]] * 7, [pa.int32()] * 5 + [pa.int64(), pa.float64()], strict=True)]
+    more = [pa.array(c, t) for c, t in zip(list(zip(*rest, strict=True)) or [[]] * 8, [pa.int32()] * 5 + [pa.int64(), pa.float64(), pa.string()], strict=True)]
     return pa.StructArray.from_arrays([pa.array(payloads, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table), *more], names=PARSED.names)
 
 
 def parse(media: Column) -> Column:
     """The packet table of a Matroska file (track, timestamp in ms, byte range, keyframe), its payload, and what it has of
-    tracks, clusters, blocks and cues. A null or empty file has none; a broken one fails its task with ValueError."""
+    tracks, clusters, blocks and cues. A null or empty file has none; a broken one has a null payload, no packets and says why
+    in `error`. A file of any length is parsed whole."""
     return _parsed(media)
