@@ -140,7 +140,7 @@ def _spans(texts: pa.Array) -> pa.Array:
 def spans(text: Column) -> Column:
     """Spans of personal data in a text, by kind in the order of KINDS, then start.
 
-    A null or empty text has none. Spans of one kind don't overlap; those of two kinds may.
+    A null or empty text has none; a text of any length is searched whole. Spans of one kind don't overlap; those of two kinds may.
     """
     return _spans(text)
 
@@ -165,7 +165,7 @@ def _redacted(least: float):
 
 
 def redact(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """docs, all columns and rows kept, with redacted() texts; null stays null."""
+    """docs, all columns and rows kept, repeated ones too, with redacted() texts; null stays null, an empty table stays empty."""
     return docs.withColumn(text, _redacted(least)(F.col(text)))
 
 
