@@ -28,16 +28,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """ship(), and batches for Python of 1000 rows and 8 MB at most, so that a worker needs little memory."""
+    """ship(), and batches for Python of 1000 rows and 8 MB at most, so that a worker needs little memory.
+
+    These two options stay set in the session, as results are computed later; a caller who needs others sets them afterwards.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
+def _base(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="parlance-")  # one machine
+        sc.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/parlance/{sc.applicationId}"
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parlance-")
-    return f"{base.rstrip('/')}/parlance/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), by application.
+
+    What lies there is read when results are computed; clean() deletes it."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder. Results that aren't stored yet are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_base(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
