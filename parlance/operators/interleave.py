@@ -171,25 +171,40 @@ def events_in_windows(pieces: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.explode(F.sequence("a", "b")).alias("example_index"), "q", "piece")
 
 
+def lead_channels(spans: DataFrame, channel_map: DataFrame | None) -> DataFrame:
+    """spans with `lead`, the channel that comes first: that of the agent in the agent view, of speaker A in the others; 0 if the
+    map (file_id, speaker letter, channel) doesn't know it."""
+    if channel_map is None:
+        return spans.withColumn("lead", F.lit(0))
+    known = channel_map.select("file_id", F.col("speaker").alias("_who"), F.col("channel").cast("int").alias("_channel"))
+    rows = spans.withColumn("_who", F.coalesce("agent_speaker", F.lit("A"))).join(known, ["file_id", "_who"], "left")
+    return rows.withColumn("lead", F.coalesce("_channel", F.lit(0))).drop("_who", "_channel")
+
+
 def render(spans: DataFrame, placed: DataFrame, codes: DataFrame, codec: CodecParams) -> DataFrame:
     """(keys, example_index, s, e, length, body): slices of audio and the pieces between them, in order.
 
-    The codes of a file are joined once a window and sliced; no row stands for a single code.
+    spans: windows with their `lead` channel. The windows of a file come to its codes as one row, which is cut into
+    their slices, so the work grows with the audio of the windows; no row stands for a single code.
     """
     same = lambda a, b: [a["file_id"] == b["file_id"], a["view"] == b["view"], a["agent_speaker"].eqNullSafe(b["agent_speaker"]), a["example_index"] == b["example_index"]]
     own = placed.groupBy(*KEYS, "example_index").agg(F.array_sort(F.collect_list(F.struct("q", "piece"))).alias("pieces"))
-    rows = spans.join(own, same(spans, own), "left").select(*[spans[c] for c in (*KEYS, "example_index", "s", "e", "length", "skip")], "pieces")
-    rows = rows.join(codes, "file_id")
-    channels = F.col("channels") if "agent_channel" not in codes.columns else F.when(F.col("view").isin("agent"), swap_agent_channel(F.col("channels"), F.col("agent_channel"))).otherwise(F.col("channels"))
-    a = (F.col("s") / F.col("num_channels")).cast("int")
-    n = ((F.col("e") - F.col("s")) / F.col("num_channels")).cast("int")
-    part = F.transform(channels, lambda c: F.slice(c, F.col("skip") + a + 1, F.greatest(n, F.lit(0))))
+    kept = ["view", "agent_speaker", "example_index", "s", "e", "length", "lead", "pieces"]
+    rows = spans.join(own, same(spans, own), "left").select(*[spans[c] for c in ("file_id", *kept[:-1], "skip")], "pieces")
+    files = rows.groupBy("file_id").agg(F.collect_list(F.struct(*kept, "skip")).alias("_windows")).join(codes, "file_id")
+
+    def cut(w: Column) -> Column:
+        first = w["skip"] + (w["s"] / F.col("num_channels")).cast("int") + 1
+        n = F.greatest(((w["e"] - w["s"]) / F.col("num_channels")).cast("int"), F.lit(0))
+        return F.struct(*[w[c].alias(c) for c in kept], F.transform("channels", lambda c: F.slice(c, first, n)).alias("part"))
+
+    rows = files.select("file_id", F.explode(F.transform("_windows", cut)).alias("w")).select("file_id", "w.*")
     # the audio is carried by the fold, so that it is made once and not for every piece
-    audio = codes_to_chars(interleave_channels(part), codec.unicode_offset)
+    audio = codes_to_chars(interleave_channels(swap_agent_channel(F.col("part"), F.col("lead"))), codec.unicode_offset)
     start = F.struct(F.col("s").alias("from"), F.col("s").alias("at"), audio.alias("audio"), F.lit("").alias("t"))
-    cut = lambda acc, n: F.substring(acc["audio"], (acc["at"] - acc["from"] + 1).cast("int"), n)
-    step = lambda acc, p: F.struct(acc["from"].alias("from"), p["q"].alias("at"), acc["audio"].alias("audio"), F.concat(acc["t"], cut(acc, (p["q"] - acc["at"]).cast("int")), p["piece"]).alias("t"))
-    done = lambda acc: F.concat(acc["t"], cut(acc, F.lit(2147483647)))
+    text = lambda acc, n: F.substring(acc["audio"], (acc["at"] - acc["from"] + 1).cast("int"), n)
+    step = lambda acc, p: F.struct(acc["from"].alias("from"), p["q"].alias("at"), acc["audio"].alias("audio"), F.concat(acc["t"], text(acc, (p["q"] - acc["at"]).cast("int")), p["piece"]).alias("t"))
+    done = lambda acc: F.concat(acc["t"], text(acc, F.lit(2147483647)))
     body = F.aggregate(F.coalesce("pieces", F.array().cast("array<struct<q:bigint,piece:string>>")), start, step, done)
     return rows.select(*KEYS, "example_index", "s", "e", "length", body.alias("body"))
 

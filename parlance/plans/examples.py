@@ -14,15 +14,18 @@ from ..session import staged
 
 def training_examples(
     utterances: DataFrame, code_parts: DataFrame, view: str = "all", codec: CodecParams = CodecParams(), tokens: Tokens = Tokens(), context_secs: float = 80.0, overlap_secs: float = 20.0,
-    threshold: float = 0.1, channel_map: DataFrame | None = None, seed: int = 42,
+    threshold: float = 0.1, channel_map: DataFrame | None = None, seed: int = 42, text_context: int = 3000, text_overlap: int = 750,
 ) -> DataFrame:
-    """(file_id, view, agent_speaker, example_index, text) of the views with audio.
+    """(file_id, view, agent_speaker, example_index, text) of one view, or of all.
 
     Transcripts, views, events and windows are small tables by file, made once. The codes are shuffled once, by
-    file: the join with the windows keeps that order, and each window slices its file's arrays. With a channel map (file_id, speaker letter, channel, isolated) the
-    agent's channel comes first and agent examples have a voice sample.
+    file, and cut into the slices of the file's windows. With a channel map (file_id, speaker letter, channel, isolated) the
+    agent's channel comes first, that of speaker A in the views without an agent, and agent examples have a voice sample.
     """
     lines = staged(load_transcripts(utterances, threshold), "lines")
+    texts = text_only(lines, tokens, text_context, text_overlap).select("file_id", F.lit("text_only").alias("view"), F.lit(None).cast("string").alias("agent_speaker"), "example_index", "text")
+    if view == "text_only":
+        return texts
     codes = I.file_codes_of_parts(code_parts)
     files = staged(I.attach_transcripts(I.code_lengths(code_parts), lines, codec), "files")
     bounds = files.select("file_id", "trans_start", "trans_end", "n_codes", "num_channels")
@@ -30,21 +33,26 @@ def training_examples(
     pieces = I.merge_event_streams(I.events(I.streams(views, lines), bounds, codec, tokens), tokens)
     spans = I.windows(views, bounds, codec, context_secs, overlap_secs)
     placed = I.events_in_windows(pieces, spans.filter("example_index = 0").select(*I.KEYS, "c", "d", "n"))
-    body = I.render(spans, placed, codes, codec).join(files.select("file_id", "speakers"), "file_id")
+    body = I.render(I.lead_channels(spans, channel_map), placed, codes, codec).join(files.select("file_id", "speakers"), "file_id")
     voice = None
     if channel_map is not None:
         body = body.join(agent_voices(lines, files, codes, spans, channel_map, codec, seed), [*I.KEYS[:1], "agent_speaker", "example_index"], "left")
         voice = F.when(F.col("view") == "agent", F.col("voice"))
-    return body.select(*I.KEYS, "example_index", F.concat(I.build_header(F.col("view"), F.col("speakers"), tokens, voice), "body").alias("text"))
+    out = body.select(*I.KEYS, "example_index", F.concat(I.build_header(F.col("view"), F.col("speakers"), tokens, voice), "body").alias("text"))
+    if view != "all":
+        return out
+    return out.unionByName(texts.join(files.select("file_id"), "file_id", "left_semi"))  # files without codes have no examples
 
 
 def agent_voices(lines: DataFrame, files: DataFrame, codes: DataFrame, spans: DataFrame, channel_map: DataFrame, codec: CodecParams, seed: int = 42) -> DataFrame:
     """(file_id, agent_speaker, example_index, voice): the characters of the sample chosen for each agent example."""
     chosen = chosen_voices(lines, files, spans, channel_map, codec, seed)
-    rows = chosen.join(codes.select("file_id", "channels"), "file_id").join(channel_map.select("file_id", F.col("speaker").alias("agent_speaker"), "channel"), ["file_id", "agent_speaker"], "left")
-    own = F.get("channels", F.coalesce("channel", F.lit(0)))
-    part = F.slice(own, F.col("start_code").cast("int") + 1, F.greatest((F.col("end_code") - F.col("start_code")).cast("int"), F.lit(0)))
-    return rows.select("file_id", "agent_speaker", "example_index", I.codes_to_chars(part, codec.unicode_offset).alias("voice"))
+    rows = chosen.join(channel_map.select("file_id", F.col("speaker").alias("agent_speaker"), "channel"), ["file_id", "agent_speaker"], "left")
+    wanted = F.struct("agent_speaker", "example_index", F.coalesce("channel", F.lit(0)).alias("channel"), (F.col("start_code").cast("int") + 1).alias("first"), F.greatest((F.col("end_code") - F.col("start_code")).cast("int"), F.lit(0)).alias("n"))
+    files = rows.groupBy("file_id").agg(F.collect_list(wanted).alias("_voices")).join(codes.select("file_id", "channels"), "file_id")
+    cut = lambda v: F.struct(v["agent_speaker"].alias("agent_speaker"), v["example_index"].alias("example_index"), F.slice(F.get("channels", v["channel"]), v["first"], v["n"]).alias("part"))
+    rows = files.select("file_id", F.explode(F.transform("_voices", cut)).alias("v")).select("file_id", "v.*")
+    return rows.select("file_id", "agent_speaker", "example_index", I.codes_to_chars(F.col("part"), codec.unicode_offset).alias("voice"))
 
 
 def chosen_voices(lines: DataFrame, files: DataFrame, spans: DataFrame, channel_map: DataFrame, codec: CodecParams, seed: int = 42) -> DataFrame:
@@ -57,8 +65,13 @@ def chosen_voices(lines: DataFrame, files: DataFrame, spans: DataFrame, channel_
     return V.select_agent_voice(V.rank_voice_candidates(V.candidates_outside_window(alone, wins)), seed)
 
 
-def text_only_examples(utterances: DataFrame, tokens: Tokens = Tokens(), context: int = 3000, overlap: int = 750, threshold: float = 0.1) -> DataFrame:
-    """(file_id, example_index, text) of the text-only view."""
-    words = I.text_only_words(load_transcripts(utterances, threshold))
+def text_only(lines: DataFrame, tokens: Tokens = Tokens(), context: int = 3000, overlap: int = 750) -> DataFrame:
+    """(file_id, example_index, text) of the text-only view of loaded lines."""
+    words = I.text_only_words(lines)
     wins = I.text_windows(words, context, overlap).join(words.select("file_id", "speakers"), "file_id")
     return wins.select("file_id", "example_index", F.concat(I.build_header(F.lit("text_only"), F.col("speakers"), tokens), F.lit(" "), "text").alias("text"))
+
+
+def text_only_examples(utterances: DataFrame, tokens: Tokens = Tokens(), context: int = 3000, overlap: int = 750, threshold: float = 0.1) -> DataFrame:
+    """(file_id, example_index, text) of the text-only view."""
+    return text_only(load_transcripts(utterances, threshold), tokens, context, overlap)

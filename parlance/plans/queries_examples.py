@@ -53,15 +53,26 @@ wn1 as (select *, greatest(hi - lo, 0) * ch as length, 400::bigint as c, 300::bi
 wn2 as (select *, case when length <= c then 1 else 1 + ceil((length - c)::double / d)::bigint end as n from wn1),
 wn as (select *, k as example_index, k * d as s, least(k * d + c, length) as e from (select *, unnest(range(0, n)) as k from wn2))"""
 _RENDER = """
-chars as (select a.file_id, list_transform(range(0, a.n), lambda i: chr((a.codes[i + 1] + 57344)::int) || chr((b.codes[i + 1] + 57344)::int)) as pairs from codes a join codes b using (file_id) where a.channel = 0 and b.channel = 1),
+chars0 as (select a.file_id, list_transform(range(0, a.n), lambda i: chr((a.codes[i + 1] + 57344)::int) || chr((b.codes[i + 1] + 57344)::int)) as pairs, list_transform(range(0, a.n), lambda i: chr((b.codes[i + 1] + 57344)::int) || chr((a.codes[i + 1] + 57344)::int)) as swapped from codes a join codes b using (file_id) where a.channel = 0 and b.channel = 1),
+chars as (select v.file_id, v.view, v.agent, case when lead = 1 then swapped else pairs end as pairs from leads v join chars0 using (file_id)),
 inw as (select w.file_id, w.view, w.agent, example_index, q, piece from wn w join merged m on w.file_id = m.file_id and w.view = m.view and w.agent is not distinct from m.agent and (s = 0 or q > s) and q <= e),
 rn0 as (select inw.*, wn.s, wn.e, wn.lo, coalesce(lag(q) over (partition by inw.file_id, inw.view, inw.agent, inw.example_index order by q), wn.s) as prev from inw join wn on inw.file_id = wn.file_id and inw.view = wn.view and inw.agent is not distinct from wn.agent and inw.example_index = wn.example_index),
-rn1 as (select rn0.file_id, view, agent, example_index, string_agg(array_to_string(pairs[lo + prev // 2 + 1 : lo + q // 2], '') || piece, '' order by q) as body, max(q) as last from rn0 join chars using (file_id) group by all),
+rn1 as (select rn0.file_id, rn0.view, rn0.agent, example_index, string_agg(array_to_string(pairs[lo + prev // 2 + 1 : lo + q // 2], '') || piece, '' order by q) as body, max(q) as last from rn0 join chars on rn0.file_id = chars.file_id and rn0.view = chars.view and rn0.agent is not distinct from chars.agent group by all),
 body as (select wn.file_id, wn.view, wn.agent, wn.example_index, coalesce(rn1.body, '') || array_to_string(pairs[lo + coalesce(last, s) // 2 + 1 : lo + e // 2], '') as body
-  from wn join chars using (file_id) left join rn1 on rn1.file_id = wn.file_id and rn1.view = wn.view and rn1.agent is not distinct from wn.agent and rn1.example_index = wn.example_index),
+  from wn join chars on wn.file_id = chars.file_id and wn.view = chars.view and wn.agent is not distinct from chars.agent left join rn1 on rn1.file_id = wn.file_id and rn1.view = wn.view and rn1.agent is not distinct from wn.agent and rn1.example_index = wn.example_index),
 ex as (select b.file_id, b.view, b.agent as agent_speaker, example_index::int as example_index, '<|' || b.view || '|>' || case when b.view = 'audio_only' then '' else array_to_string(list_transform(speakers, lambda x: '<|speaker|> ' || x), '') end || '<|end_header|>' || body as text from body b join files using (file_id))"""
+_TEXT_ONLY = """tw0 as (select file_id, regexp_extract_all(string_agg(speaker || ': ' || text, ' ' order by line_no), '\\S+') as words, list_sort(list(distinct speaker)) as speakers from loaded group by 1),
+tw as (select file_id, words, speakers, 0 as k, 0 as a, least(40, len(words)) as b from tw0
+  union all select file_id, words, speakers, k + 1, coalesce(list_filter(range(b - 10, b), lambda i: list_contains(list_transform(speakers, lambda s: s || ':'), words[i + 1]))[1], b), least(coalesce(list_filter(range(b - 10, b), lambda i: list_contains(list_transform(speakers, lambda s: s || ':'), words[i + 1]))[1], b) + 40, len(words))
+  from tw where a + 40 < len(words)),
+texts as (select file_id, k::int as example_index, '<|text_only|>' || array_to_string(list_transform(speakers, lambda x: '<|speaker|> ' || x), '') || '<|end_header|> ' || array_to_string(words[a + 1 : b], ' ') as text from tw)"""
+_EVERY = "every as (select * from ex union all select file_id, 'text_only', null, example_index, text from texts)"
+_NO_MAP = "leads as (select file_id, view, agent, 0 as lead from views)"
+_RECURSIVE = "recursive " + D.UTTERANCES_SQL.lstrip()
 _BASE = (D.UTTERANCES_SQL, D.CODES_SQL, D.LOADED_SQL, _FILES)
-_ALL = (*_BASE, _EVENTS, _MERGED, _WINDOWS, _RENDER)
+_AUDIO = (_EVENTS, _MERGED, _WINDOWS, _RENDER)
+_ALL = (*_BASE, _NO_MAP, *_AUDIO)
+_ALL_VIEWS = (_RECURSIVE, *_ALL[1:], _TEXT_ONLY, _EVERY)
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +84,7 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, d: str, view: str) -> DataFrame:
-    return E.training_examples(D.utterances(spark, d), D.codes(spark, d), view, CODEC, TOKENS, CONTEXT, OVERLAP, THRESHOLD)
+    return E.training_examples(D.utterances(spark, d), D.codes(spark, d), view, CODEC, TOKENS, CONTEXT, OVERLAP, THRESHOLD, text_context=40, text_overlap=10)
 
 
 @query("select * from ex where view = 'audio_first'", *_ALL)
@@ -91,7 +102,7 @@ def x9_agent_examples(spark: SparkSession, d: str) -> DataFrame:
     return _examples(spark, d, "agent")
 
 
-@query("select * from ex", *_ALL)
+@query("select * from every", *_ALL_VIEWS)
 def x9_all_examples(spark: SparkSession, d: str) -> DataFrame:
     return _examples(spark, d, "all")
 
@@ -151,14 +162,7 @@ def j10_events_in_windows(spark: SparkSession, d: str) -> DataFrame:
     return I.events_in_windows(pieces, spans)
 
 
-_TEXT_ONLY = """tw0 as (select file_id, regexp_extract_all(string_agg(speaker || ': ' || text, ' ' order by line_no), '\\S+') as words, list_sort(list(distinct speaker)) as speakers from loaded group by 1),
-tw as (select file_id, words, speakers, 0 as k, 0 as a, least(40, len(words)) as b from tw0
-  union all select file_id, words, speakers, k + 1, coalesce(list_filter(range(b - 10, b), lambda i: list_contains(list_transform(speakers, lambda s: s || ':'), words[i + 1]))[1], b), least(coalesce(list_filter(range(b - 10, b), lambda i: list_contains(list_transform(speakers, lambda s: s || ':'), words[i + 1]))[1], b) + 40, len(words))
-  from tw where a + 40 < len(words))"""
-
-
-@query("""select file_id, k::int as example_index, '<|text_only|>' || array_to_string(list_transform(speakers, lambda x: '<|speaker|> ' || x), '') || '<|end_header|> ' || array_to_string(words[a + 1 : b], ' ') as text from tw""",
-       "recursive " + D.UTTERANCES_SQL.lstrip(), D.LOADED_SQL, _TEXT_ONLY)
+@query("select * from texts", _RECURSIVE, D.LOADED_SQL, _TEXT_ONLY)
 def x2_text_windows(spark: SparkSession, d: str) -> DataFrame:
     return E.text_only_examples(D.utterances(spark, d), TOKENS, 40, 10, THRESHOLD)
 
@@ -246,7 +250,7 @@ def f11_build_header(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "view", I.build_header(F.col("view"), F.col("speakers"), TOKENS).alias("header"))
 
 
-@query(f"select file_id, view, agent_speaker, example_index, regexp_replace(text, '[^{chr(0xE000)}-{chr(0x10FFFF)}]', '', 'g') as audio from ex", *_ALL)
+@query(f"select file_id, view, agent_speaker, example_index, regexp_replace(text, '[^{chr(0xE000)}-{chr(0x10FFFF)}]', '', 'g') as audio from every", *_ALL_VIEWS)
 def f12_strip_non_audio(spark: SparkSession, d: str) -> DataFrame:
     return _examples(spark, d, "all").select(*I.KEYS, "example_index", strip_non_audio(F.col("text")).alias("audio"))
 
@@ -254,7 +258,7 @@ def f12_strip_non_audio(spark: SparkSession, d: str) -> DataFrame:
 _C = f"[{chr(0xE000)}-{chr(0x10FFFF)}]"
 
 
-@query(f"select file_id, view, agent_speaker, example_index, regexp_replace(text, '({_C}{{4}}){_C}+({_C}{{4}})', '\\1.........\\2', 'g') as shown from ex", *_ALL)
+@query(f"select file_id, view, agent_speaker, example_index, regexp_replace(text, '({_C}{{4}}){_C}+({_C}{{4}})', '\\1.........\\2', 'g') as shown from every", *_ALL_VIEWS)
 def f13_shorten_codes(spark: SparkSession, d: str) -> DataFrame:
     return _examples(spark, d, "all").select(*I.KEYS, "example_index", shorten_codes(F.col("text")).alias("shown"))
 
@@ -264,18 +268,18 @@ def f21_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return I.concat_code_parts(D.codes(spark, d)).select("file_id", "channel", K.token_ids(F.col("codes"), 32000).alias("ids"))
 
 
-_SECONDS = f"""secs0 as (select *, array_to_string(list_transform(string_split(rtrim(text), '<|audio|>'), lambda p: string_split(p, '<|end_audio|>')[1]), '') as kept from ex),
+_SECONDS = f"""secs0 as (select *, array_to_string(list_transform(string_split(rtrim(text), '<|audio|>'), lambda p: string_split(p, '<|end_audio|>')[1]), '') as kept from every),
 secs as (select file_id, view, agent_speaker, example_index, round(length(case when kept[1:1] = '<' then replace(replace(kept, '<', ''), '>', '') else kept end)::double / 2 / 50, 6) as reference, round(length(regexp_replace(text, '[^{chr(0xE000)}-{chr(0x10FFFF)}]', '', 'g'))::double / 2 / 50, 6) as audio_only from secs0)"""
 
 
-@query("select * from secs", *_ALL, _SECONDS)
+@query("select * from secs", *_ALL_VIEWS, _SECONDS)
 def f23_example_seconds(spark: SparkSession, d: str) -> DataFrame:
     both = [F.round(A.example_seconds(F.col("text"), CODEC, 2, TOKENS, m), 6).alias(m) for m in ("reference", "audio_only")]
     return _examples(spark, d, "all").select(*I.KEYS, "example_index", *both)
 
 
 @query("""select view, count(*) as n, round(sum(reference), 3) as total_secs, round(sum(reference) / 3600, 6) as total_hours, max(reference) as max_secs, min(reference) as min_secs, round(quantile_cont(reference, 0.5), 4) as median_secs, round(avg(reference), 4) as mean_secs,
- round(stddev_pop(reference), 4) as std_secs from secs where view = 'audio_first' group by 1""", *_ALL, _SECONDS)
+ round(stddev_pop(reference), 4) as std_secs from secs where view = 'audio_first' group by 1""", *_ALL_VIEWS, _SECONDS)
 def a4_dataset_stats(spark: SparkSession, d: str) -> DataFrame:
     lengths = _examples(spark, d, "audio_first").select(F.round(A.example_seconds(F.col("text"), CODEC, 2, TOKENS), 6).alias("seconds"))
     s = A.dataset_stats(lengths)
@@ -285,14 +289,14 @@ def a4_dataset_stats(spark: SparkSession, d: str) -> DataFrame:
 
 # channels and voices
 
-_MAP = """cm as (select file_id, speaker, case when speaker = 'A' then 0 when conv_id % 2 = 0 then 1 else 0 end as channel, round(sum(end_secs - start_secs), 6) as duration_secs from loaded group by file_id, speaker, conv_id),
+_MAP = """cm as (select file_id, speaker, case when conv_id % 3 = 0 then case when speaker = 'A' then 1 else 0 end when speaker = 'A' then 0 when conv_id % 2 = 0 then 1 else 0 end as channel, round(sum(end_secs - start_secs), 6) as duration_secs from loaded group by file_id, speaker, conv_id),
 iso as (select *, count(*) over (partition by file_id, channel) = 1 as isolated from cm)"""
 
 
 def _map(spark: SparkSession, d: str) -> DataFrame:
-    """Speaker A on channel 0, the others on 1 in files of an even number and on 0 in the rest."""
+    """Speaker A on channel 1 and the others on 0 in every third file; else A on 0, the others on 1 in files of an even number and on 0 in the rest."""
     lines = _lines(spark, d)
-    channel = F.when(F.col("speaker") == "A", 0).when(F.col("conv_id") % 2 == 0, 1).otherwise(0)
+    channel = F.when(F.col("conv_id") % 3 == 0, F.when(F.col("speaker") == "A", 1).otherwise(0)).when(F.col("speaker") == "A", 0).when(F.col("conv_id") % 2 == 0, 1).otherwise(0)
     return lines.groupBy("file_id", "speaker", channel.alias("channel")).agg(F.round(F.sum(F.col("end_secs") - F.col("start_secs")), 6).alias("duration_secs"))
 
 
@@ -353,8 +357,26 @@ def x3_select_agent_voice(spark: SparkSession, d: str) -> DataFrame:
     return V.select_agent_voice(V.rank_voice_candidates(_candidates(spark, d))).select("file_id", "agent_speaker", "example_index", "line_no")
 
 
-@query()
-def x3_agent_examples_with_voice(spark: SparkSession, d: str) -> DataFrame:
-    """Agent examples with the voice sample of the agent's channel in their headers."""
+_MAPPED = """leads as (select v.file_id, view, agent, coalesce(channel, 0) as lead from views v left join cm on v.file_id = cm.file_id and cm.speaker = coalesce(agent, 'A'))"""
+_VOICED = """voices as (select c.file_id, agent_speaker, example_index, array_to_string(list_transform(k.codes[a + 1 : b], lambda x: chr((x + 57344)::int)), '') as voice
+  from chosen c join rg using (file_id, line_no) join cm on cm.file_id = c.file_id and cm.speaker = agent_speaker join codes k on k.file_id = c.file_id and k.channel = cm.channel),
+voiced as (select ex.file_id, view, ex.agent_speaker, ex.example_index, case when view = 'agent' and voice is not null then replace(text, '<|end_header|>', '<|agent_voice|>' || voice || '<|end_header|>') else text end as text
+  from ex left join voices v on ex.file_id = v.file_id and ex.agent_speaker = v.agent_speaker and ex.example_index = v.example_index)"""
+_WITH_MAP = (*_BASE, _MAP, _RANGES, _MAPPED, *_AUDIO, _CANDIDATES, _VOICED)
+
+
+def _mapped_examples(spark: SparkSession, d: str, view: str) -> DataFrame:
     isolated = C.channel_isolated(_map(spark, d))
-    return E.training_examples(D.utterances(spark, d), D.codes(spark, d), "agent", CODEC, TOKENS, CONTEXT, OVERLAP, THRESHOLD, isolated)
+    return E.training_examples(D.utterances(spark, d), D.codes(spark, d), view, CODEC, TOKENS, CONTEXT, OVERLAP, THRESHOLD, isolated, text_context=40, text_overlap=10)
+
+
+@query("select * from voiced where view = 'agent'", *_WITH_MAP)
+def x3_agent_examples_with_voice(spark: SparkSession, d: str) -> DataFrame:
+    """Agent examples with the agent's channel first and the voice sample of that channel in their headers."""
+    return _mapped_examples(spark, d, "agent")
+
+
+@query("select * from voiced union all select file_id, 'text_only', null, example_index, text from texts", _RECURSIVE, *_WITH_MAP[1:], _TEXT_ONLY)
+def x9_all_examples_with_map(spark: SparkSession, d: str) -> DataFrame:
+    """All views with a channel map: the first channel is that of speaker A, or of the agent."""
+    return _mapped_examples(spark, d, "all")
