@@ -145,6 +145,14 @@ def build_header(view: Column, speakers: Column, tokens: Tokens, voice: Column |
     return F.concat(header, F.lit(tokens.end_header))
 
 
+def agent_prompt(agent: Column, user: Column, tokens: Tokens, voice: Column, opening: Column | None = None) -> Column:
+    """The prompt that a live agent starts from: the header with both speakers and the voice, the opening text unless it is null or
+    empty, and the token of audio."""
+    header = F.concat(F.lit(tokens.agent), *[F.concat(F.lit(f"{tokens.speaker} "), s) for s in (agent, user)], F.lit(tokens.agent_voice), F.coalesce(voice, F.lit("")), F.lit(tokens.end_header))
+    said = F.lit("") if opening is None else F.when(F.length(opening) > 0, F.concat(F.lit(" "), agent, F.lit(": "), opening)).otherwise(F.lit(""))
+    return F.concat(header, said, F.lit(tokens.audio))
+
+
 def windows(views: DataFrame, bounds: DataFrame, codec: CodecParams, context_secs: float, overlap_secs: float) -> DataFrame:
     """(keys, example_index, s, e, length, skip): windows over the interleaved codes of a view's span. skip: codes of a channel before the span."""
     rows = views.filter(F.col("view") != "text_only").join(bounds, "file_id")

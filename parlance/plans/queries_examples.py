@@ -13,7 +13,9 @@ from ..operators import stats as A
 from ..operators import voice as V
 from ..operators.transcripts import load_transcripts
 from ..schemas import CodecParams, Tokens
+from ..session import shared_folder
 from ..sources.readers import code_files
+from ..sources.writers import write_channel_map
 from . import examples as E
 from . import fixtures as D
 from .registry import query
@@ -215,11 +217,12 @@ def f6_interleave_channels(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", F.md5(F.array_join(F.transform("x", lambda v: v.cast("string")), ",")).alias("digest"), back.alias("same"), F.get(hanging, F.lit(0)).alias("hanging"))
 
 
-@query("select a.file_id, b.codes[1] as first, a.codes[1] as second from codes a join codes b using (file_id) where a.channel = 0 and b.channel = 1", D.UTTERANCES_SQL, D.CODES_SQL)
+@query("select a.file_id, md5(array_to_string(b.codes, ',')) as first, md5(array_to_string(a.codes, ',')) as second from codes a join codes b using (file_id) where a.channel = 0 and b.channel = 1", D.UTTERANCES_SQL, D.CODES_SQL)
 def f7_swap_agent_channel(spark: SparkSession, d: str) -> DataFrame:
+    """All codes of both channels, by digest."""
     rows = I.file_codes(I.concat_code_parts(D.codes(spark, d))).withColumn("x", K.swap_agent_channel(F.col("channels"), F.lit(1)))
-    first = lambda i: F.get(F.get("x", F.lit(i)), F.lit(0))
-    return rows.select("file_id", first(0).alias("first"), first(1).alias("second"))
+    digest = lambda i: F.md5(F.array_join(F.transform(F.get("x", F.lit(i)), lambda v: v.cast("string")), ","))
+    return rows.select("file_id", digest(0).alias("first"), digest(1).alias("second"))
 
 
 @query("select file_id, line_no::int as line_no, case speaker when 'B' then 'A' when 'A' then 'B' else speaker end as speaker from loaded", D.UTTERANCES_SQL, D.LOADED_SQL)
@@ -233,14 +236,14 @@ def f9_secs_to_pos(spark: SparkSession, d: str) -> DataFrame:
     return D.utterances(spark, d).select("file_id", "line_idx", pos.alias("pos"), F.round(K.pos_to_secs(pos, 50.0, 2), 6).alias("secs"))
 
 
-@query("""select file_id, list_sum(codes[trunc(0.5::double * 50)::int + 1 : trunc(1.3::double * 50)::int])::bigint as part, len(codes[trunc(0.5::double * 50)::int + 1:])::int as rest,
- list_sum(list_transform(range(0, n), lambda i: case when i >= 10 and i % 2 = 0 and (i - 10) // 2 < 3 then 7 else codes[i + 1] end))::bigint as written from codes where channel = 0""", D.UTTERANCES_SQL, D.CODES_SQL)
+@query("""select file_id, channel, list_sum(codes[trunc(0.5::double * 50)::int + 1 : trunc(1.3::double * 50)::int])::bigint as part, len(codes[trunc(0.5::double * 50)::int + 1:])::int as rest,
+ list_sum(list_transform(range(0, n), lambda i: case when i >= 10 and i % 2 = 0 and (i - 10) // 2 < 3 then 7 else codes[i + 1] end))::bigint as written from codes""", D.UTTERANCES_SQL, D.CODES_SQL)
 def f10_slice_by_time(spark: SparkSession, d: str) -> DataFrame:
-    rows = I.concat_code_parts(D.codes(spark, d)).filter("channel = 0")
+    rows = I.concat_code_parts(D.codes(spark, d))
     none = F.lit(None).cast("double")
     total = lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v))
     written = K.write_back(F.col("codes"), F.array(F.lit(7), F.lit(7), F.lit(7)), F.lit(10), 0)
-    return rows.select("file_id", total(K.slice_by_time(F.col("codes"), F.lit(0.5), F.lit(1.3), 50.0, 1)).alias("part"), F.size(K.slice_by_time(F.col("codes"), F.lit(0.5), none, 50.0, 1)).alias("rest"), total(written).alias("written"))
+    return rows.select("file_id", "channel", total(K.slice_by_time(F.col("codes"), F.lit(0.5), F.lit(1.3), 50.0, 1)).alias("part"), F.size(K.slice_by_time(F.col("codes"), F.lit(0.5), none, 50.0, 1)).alias("rest"), total(written).alias("written"))
 
 
 @query("select file_id, view, '<|' || view || '|>' || case when view = 'audio_only' then '' else array_to_string(list_transform(speakers, lambda x: '<|speaker|> ' || x), '') end || '<|end_header|>' as header from views join files using (file_id)", *_BASE)
@@ -250,6 +253,19 @@ def f11_build_header(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "view", I.build_header(F.col("view"), F.col("speakers"), TOKENS).alias("header"))
 
 
+@query("""select file_id, agent, '<|agent|><|speaker|> ' || agent || '<|speaker|> ' || other || coalesce('<|agent_voice|>' || array_to_string(list_transform(codes[1:25], lambda x: chr((x + 57344)::int)), ''), '') || '<|end_header|>' || case when text <> '' then ' ' || agent || ': ' || text else '' end || '<|audio|>' as prompt
+ from (select v.file_id, agent, case when agent = speakers[1] then speakers[2] else speakers[1] end as other from views v join files using (file_id) where view = 'agent') p
+ join (select file_id, speaker, coalesce(min_by(text, line_no), '') as text from loaded group by 1, 2) t on p.file_id = t.file_id and agent = t.speaker join (select file_id as f, codes from codes where channel = 0) k on p.file_id = f""".replace("select file_id, agent, '<", "select p.file_id, agent, '<"), *_BASE)
+def f11_agent_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of a live agent: both speakers, a voice of half a second, and the agent's first line as opening text."""
+    lines, files = _lines(spark, d), _files(spark, d).select("file_id", "speakers")
+    first = lines.groupBy("file_id", F.col("speaker").alias("agent")).agg(F.min_by("text", "line_no").alias("text"))
+    voice = I.concat_code_parts(D.codes(spark, d)).filter("channel = 0").select("file_id", K.codes_to_chars(F.slice("codes", 1, 25), CODEC.unicode_offset).alias("voice"))
+    rows = I.build_views(files, "agent").select("file_id", F.col("agent_speaker").alias("agent")).join(files, "file_id").join(first, ["file_id", "agent"]).join(voice, "file_id")
+    other = F.get(F.array_except("speakers", F.array("agent")), F.lit(0))
+    return rows.select("file_id", "agent", I.agent_prompt(F.col("agent"), other, TOKENS, F.col("voice"), F.col("text")).alias("prompt"))
+
+
 @query(f"select file_id, view, agent_speaker, example_index, regexp_replace(text, '[^{chr(0xE000)}-{chr(0x10FFFF)}]', '', 'g') as audio from every", *_ALL_VIEWS)
 def f12_strip_non_audio(spark: SparkSession, d: str) -> DataFrame:
     return _examples(spark, d, "all").select(*I.KEYS, "example_index", strip_non_audio(F.col("text")).alias("audio"))
@@ -310,6 +326,15 @@ def s8_channel_map_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return C.parse_channel_map(C.channel_map_json(_map(spark, d)))
 
 
+@query("select cm.file_id, speaker, case when corpus_id in ('corp0', 'corp1') then channel else 1 - channel end as channel, duration_secs from cm join (select distinct file_id, corpus_id from utt) using (file_id)", D.UTTERANCES_SQL, D.LOADED_SQL, _MAP)
+def s8_channel_map_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Maps of some corpora are written; then all with other channels, without overwriting: the first ones stay."""
+    path, every = shared_folder(spark, "channel-map"), _map(spark, d)
+    write_channel_map(every.filter(F.col("file_id").rlike("^corp[01]/")), path)
+    write_channel_map(every.withColumn("channel", 1 - F.col("channel")), path)
+    return C.parse_channel_map(spark.read.parquet(path))
+
+
 _RANGES = """rg as (select l.*, trunc(start_secs * 50 * 1)::bigint as a, trunc(end_secs * 50 * 1)::bigint as b, end_secs - start_secs as secs, least(trunc(start_secs * 50 * 1)::bigint, n_codes) as ca, least(trunc(end_secs * 50 * 1)::bigint, n_codes) as cb, isolated
   from loaded l join files using (file_id) left join iso using (file_id, speaker)),
 alone as (select * from rg x where isolated or not exists (select 1 from rg y where x.file_id = y.file_id and x.speaker <> y.speaker and x.ca < y.cb and y.ca < x.cb and x.ca < x.cb and y.ca < y.cb))"""

@@ -94,7 +94,7 @@ def w19_interrupt_or_substitute(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_id", "chunk_idx", N.interrupt_or_substitute(F.col("z"), F.col("event_type") != "error").alias("codes"))
 
 
-_TURNS = "turns as (select conv_id as session_id, turn as turn_idx, role, text from conversations where turn % 3 <> 1)"
+_TURNS = "turns as (select conv_id as session_id, turn as turn_idx, case when turn % 3 = 1 then 'user' else role end as role, text from conversations)"
 _MESSAGES = """talk as (select * from turns where role <> 'system'),
 m0 as (select *, case when lag(role) over (partition by session_id order by turn_idx) is distinct from role then 1 else 0 end as new from talk),
 m1 as (select *, sum(new) over (partition by session_id order by turn_idx) as run from m0),
@@ -105,8 +105,9 @@ messages as (select session_id, row_number() over (partition by session_id order
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    """Without every third turn, so that equal roles meet."""
-    return D.table(spark, d, "conversations").filter("turn % 3 <> 1").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_idx"), "role", "text")
+    """All turns; every third one is the user's, so that equal roles meet."""
+    role = F.when(F.col("turn") % 3 == 1, F.lit("user")).otherwise(F.col("role"))
+    return D.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("turn_idx"), role.alias("role"), "text")
 
 
 @query("select * from messages", _TURNS, _MESSAGES)
@@ -114,95 +115,27 @@ def w12_merge_same_role_turns(spark: SparkSession, d: str) -> DataFrame:
     return N.merge_same_role_turns(_turns(spark, d))
 
 
-@query("select session_id, len(string_agg(content, '' order by msg_idx)) as n_chars, count(*) + 1 as n_messages from messages group by 1", _TURNS, _MESSAGES)
+@query("select session_id, md5('system' || chr(31) || 'You are a friendly assistant.' || string_agg(chr(30) || role || chr(31) || content, '' order by msg_idx)) as digest, count(*) + 1 as n_messages from messages group by 1", _TURNS, _MESSAGES)
 def f16_chat_messages(spark: SparkSession, d: str) -> DataFrame:
-    """The JSON is read back and measured."""
+    """The JSON is read back: roles and contents in order, by digest."""
     rows = N.chat_messages_json(N.merge_same_role_turns(_turns(spark, d)), "You are a friendly assistant.")
     parsed = F.from_json("messages", "array<struct<role:string,content:string>>")
-    body = F.array_join(F.transform(F.slice(parsed, 2, 2147483646), lambda m: m["content"]), "")
-    return rows.select("session_id", F.length(body).cast("bigint").alias("n_chars"), F.size(parsed).cast("bigint").alias("n_messages"))
-
-
-@query("select session_id, role = 'assistant' as is_agent, max(turn_idx) as turn_idx, max_by(text, turn_idx) as text from turns group by all", _TURNS)
-def w13_last_turn_by_role(spark: SparkSession, d: str) -> DataFrame:
-    return N.last_turn_by_role(_turns(spark, d), F.col("role") == "assistant")
-
-
-_SENTENCES = r"""sc0 as (select doc_id as session_id, line_idx as chunk_idx, line as text from dl),
-sc1 as (select *, coalesce(sum(regexp_matches(text, '[.!?:;]$')::int) over (partition by session_id order by chunk_idx rows between unbounded preceding and 1 preceding), 0)::bigint as sentence_idx from sc0)"""
-
-
-@query(r"""select * from (select session_id, sentence_idx, regexp_replace(replace(replace(string_agg(text, '' order by chunk_idx), '[ ', '['), ' ]', ']'), '^\s+|\s+$', '', 'g') as sentence from sc1 group by all) where length(sentence) > 0""", D.LINES_SQL, _SENTENCES)
-def w14_assemble_sentences(spark: SparkSession, d: str) -> DataFrame:
-    chunks = D.document_lines(spark, d).select(F.col("doc_id").alias("session_id"), F.col("line_idx").alias("chunk_idx"), F.col("line").alias("text"))
-    return N.assemble_sentences(chunks)
-
-
-@query("""select file_id as session_id, turn_idx, round(case when is_agent then end_secs else greatest(coalesce(start_secs, b), b) end, 6) as start_secs, case when not is_agent then round(end_secs, 6) end as end_secs
- from (select *, coalesce(lag(end_secs) over (partition by file_id, is_agent order by turn_idx), 0) as b from (select *, line_idx as turn_idx, role = 'assistant' as is_agent from utt))""", D.UTTERANCES_SQL)
-def w15_turn_times(spark: SparkSession, d: str) -> DataFrame:
-    rows = D.utterances(spark, d).select(F.col("file_id").alias("session_id"), F.col("line_idx").alias("turn_idx"), (F.col("role") == "assistant").alias("is_agent"), F.col("end_secs").alias("now_secs"), F.col("start_secs").alias("activity_start_secs"))
-    return N.turn_times(rows).select("session_id", "turn_idx", F.round("start_secs", 6).alias("start_secs"), F.round("end_secs", 6).alias("end_secs"))
-
-
-_TOKENS = """tk0 as (select session_id as turn_id, chunk_idx as token_idx, ' ' || event_type as token, value / 40 as ratio from chunks),
-tk1 as (select *, sum((ratio >= 1)::int) over (partition by turn_id order by token_idx) as run from tk0),
-tk2 as (select *, sum((ratio < 1)::int) over (partition by turn_id, run order by token_idx) as k, min(case when ratio < 1 then token_idx end) over (partition by turn_id, run) as st from tk1),
-tk3 as (select *, min(case when k > 3 then st end) over (partition by turn_id) as cut from tk2)"""
-
-
-@query("""select turn_id, count(*) filter (cut is null or token_idx < cut)::int as kept, coalesce(ltrim(string_agg(token, '' order by token_idx) filter (cut is null or token_idx < cut)), '[silence]') as text from tk3 group by 1""", D.CHUNKS_SQL, _TOKENS)
-def w16_truncate_improbable_run(spark: SparkSession, d: str) -> DataFrame:
-    rows = D.chunk_metrics(spark, d).select(F.col("session_id").alias("turn_id"), F.col("chunk_idx").alias("token_idx"), F.concat(F.lit(" "), "event_type").alias("token"), (F.col("value") / 40).alias("ratio"))
-    return N.truncate_improbable_run(rows)
-
-
-@query("select event_id, 20 * greatest(0, floor((value * 7 - 80) / 20) + 1)::bigint as trim_secs from events")
-def x7_trim_context(spark: SparkSession, d: str) -> DataFrame:
-    return D.table(spark, d, "events").select("event_id", N.trim_context(F.col("value") * 7).alias("trim_secs"))
-
-
-_STAMP = "(ms{0} // 3600000)::varchar || ':' || lpad((ms{0} // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms{0} // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms{0} % 1000)::varchar, 3, '0')"
-
-
-@query(f"""select file_id as session_id, string_agg('[' || {_STAMP.format(1)} || ' - ' || {_STAMP.format(2)} || '] ' || speaker || ': ' || case when planned is not null and planned <> said then said || '  ⟶  {{' || ltrim(planned[length(said) + 1 :]) || '}}' else text end, chr(10) order by start_secs, line_idx) as transcript
- from (select *, round(start_secs * 1000)::bigint as ms1, round(coalesce(case when line_idx % 2 = 0 then end_secs end, 99) * 1000)::bigint as ms2, case when line_idx % 3 = 1 then text end as planned, case when line_idx % 3 = 1 then text[1:10] else text end as said from utt) group by 1""", D.UTTERANCES_SQL)
-def f15_format_transcript(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the turns was cut after ten characters; every second is open."""
-    cut = F.col("line_idx") % 3 == 1
-    rows = D.utterances(spark, d).select(
-        F.col("file_id").alias("session_id"), F.col("line_idx").alias("turn_idx"), "speaker", "start_secs", F.when(F.col("line_idx") % 2 == 0, F.col("end_secs")).alias("end_secs"), F.lit(99.0).alias("total_secs"),
-        F.when(cut, F.col("text")).alias("planned_text"), F.when(cut, F.substring("text", 1, 10)).otherwise(F.col("text")).alias("text"), F.col("text").alias("text_with_external_markers"),
-    )
-    return N.format_transcript(rows)
-
-
-@query("""select round(avg((l = p)::int), 6) as accuracy, count(*) as n from (select value_l as l, value_p as p from (select session_id, chunk_idx, lead(case when chunk_idx % 7 = 3 then -100 else ch2::int % 5 end) over (partition by session_id order by chunk_idx) as value_l, value::int % 5 as value_p from (select * replace (trunc(value) as value) from chunks))) where l is not null and l <> -100""", D.CHUNKS_SQL)
-def a10_token_accuracy(spark: SparkSession, d: str) -> DataFrame:
-    label = F.when(F.col("chunk_idx") % 7 == 3, F.lit(-100)).otherwise(F.col("ch2").cast("int") % 5)
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_idx", label.alias("l"), (F.col("value").cast("int") % 5).alias("p"))))
-    rows = D.chunk_metrics(spark, d).groupBy("session_id").agg(ordered.alias("x"))
-    rows = rows.select(F.transform("x", lambda v: v["l"]).alias("labels"), F.transform("x", lambda v: v["p"]).alias("preds"))
-    return A.token_accuracy(rows).select(F.round("accuracy", 6).alias("accuracy"), "n")
-
-
-@query("select event_type, round(exp(avg(value / 100)), 6) as perplexity, isinf(case when avg(value) * 100 > 709 then 'inf'::double else exp(avg(value) * 100) end) as over from events group by 1")
-def a11_perplexity(spark: SparkSession, d: str) -> DataFrame:
-    rows = D.table(spark, d, "events").groupBy("event_type")
-    return rows.agg(F.round(A.perplexity(F.col("value") / 100), 6).alias("perplexity"), (A.perplexity(F.col("value") * 100) == F.lit(float("inf"))).alias("over"))
+    body = F.array_join(F.transform(parsed, lambda m: F.concat(m["role"], F.lit("\x1f"), m["content"])), "\x1e")
+    return rows.select("session_id", F.md5(body).alias("digest"), F.size(parsed).cast("bigint").alias("n_messages"))
 
 
 _SILENCE = """ce as (select i, avg(x) as v from (select unnest(range(1, len(embedding) + 1)) as i, unnest(embedding)::double as x from embeddings where label = 0) group by 1),
 cv as (select list(v order by i) as c from ce),
 ds as (select vec_id as code, sqrt(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: (embedding[i]::double - c[i]) * (embedding[i]::double - c[i])))) as distance from embeddings, cv),
-cs as (select session_id as chunk_id, chunk_idx % 2 = 0 as own, event_id % 400 as code from chunks)"""
+cs as (select session_id as chunk_id, chunk_idx % 2 = 0 as own, event_id % (select count(*) from embeddings) as code from chunks)"""
 
 
 @query("""select chunk_id, round(avg(case when own then distance end) / (avg(case when not own then distance end) + 1e-5::double), 5) as score from cs join ds using (code) group by 1""", D.CHUNKS_SQL, _SILENCE)
 def f20_silence_distance_ratio(spark: SparkSession, d: str) -> DataFrame:
     table = D.embeddings(spark, d)
+    every = table.count()  # all codes of the table are met
     distances = A.silence_distances(table, A.silence_centroid(table, F.col("label") == 0))
-    codes = D.chunk_metrics(spark, d).select(F.col("session_id").alias("chunk_id"), (F.col("chunk_idx") % 2 == 0).alias("own"), (F.col("event_id") % 400).alias("code"))
+    codes = D.chunk_metrics(spark, d).select(F.col("session_id").alias("chunk_id"), (F.col("chunk_idx") % 2 == 0).alias("own"), (F.col("event_id") % every).alias("code"))
     return A.silence_distance_ratio(codes, distances, "chunk_id").withColumn("score", F.round("score", 5))
 
 

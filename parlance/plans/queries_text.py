@@ -68,14 +68,13 @@ def a9_count_speakers(spark: SparkSession, d: str) -> DataFrame:
     return seq.select("file_id", X.count_speakers_in_text(F.col("s")).alias("speakers"))
 
 
-@query("""select file_id, line_idx, speaker, trim(text) as text from utt where length(text) > 0 and not regexp_matches(text, ' [A-Z]:')""", D.UTTERANCES_SQL)
+@query("""select file_id, (i - 1)::int as turn, parts[i][1:1] as speaker, ltrim(replace(ltrim(parts[i][3:]), '%s', '')) as text from (select file_id, parts, unnest(range(1, len(parts) + 1)) as i
+ from (select file_id, string_split(regexp_replace(string_agg(speaker || ': ' || text, ' ' order by line_idx), ' ([A-Z]):', chr(30) || '\\1:', 'g'), chr(30)) as parts from utt group by 1))""" % X.EXTERNAL_MARKER, D.UTTERANCES_SQL)
 def f14_parse_turns(spark: SparkSession, d: str) -> DataFrame:
-    """Turns come back from the sequence that they were joined to."""
+    """Turns of the sequences that all lines of a file are joined to; a tag inside of a line begins a turn too."""
     said = F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "speaker", "text"))), lambda x: F.concat(x["speaker"], F.lit(": "), x["text"]))
-    lines = D.utterances(spark, d).filter((F.length("text") > 0) & ~F.col("text").rlike(" [A-Z]:"))
-    seq = lines.groupBy("file_id").agg(F.array_join(said, " ").alias("s"), F.array_sort(F.collect_list("line_idx")).alias("at"))
-    rows = seq.select("file_id", "at", F.posexplode(X.turns_of_sequence(F.col("s"))).alias("i", "t"))
-    return rows.select("file_id", F.get("at", F.col("i")).alias("line_idx"), "t.speaker", "t.text")
+    seq = D.utterances(spark, d).groupBy("file_id").agg(F.array_join(said, " ").alias("s"))
+    return seq.select("file_id", F.posexplode(X.turns_of_sequence(F.col("s"))).alias("turn", "t")).select("file_id", "turn", "t.speaker", "t.text")
 
 
 @query(r"""select event_id, (ms // 3600000)::varchar || ':' || lpad((ms // 60000 % 60)::varchar, 2, '0') || ':' || lpad((ms // 1000 % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0') as stamp
@@ -315,12 +314,50 @@ def j9_assign_split(spark: SparkSession, d: str) -> DataFrame:
     return S.assign_split(lines, S.file_split(S.corpus_files(lines))).select("doc_id", "line_idx", "split")
 
 
+@query("select file_id, corpus_id, split, count(*) as lines from dl join splits using (file_id, corpus_id) group by all", D.LINES_SQL, _SPLIT)
+def s11_write_splits(spark: SparkSession, d: str) -> DataFrame:
+    """The list of files and the lines by split, written and read back."""
+    lines, path = D.document_lines(spark, d), shared_folder(spark, "splits")
+    writers.write_splits(lines, S.file_split(S.corpus_files(lines)), path)
+    examples = spark.read.parquet(f"{path}/examples").groupBy("file_id", "split").agg(F.count("*").alias("lines"))
+    return readers.read_file_splits(spark, f"{path}/file_splits").join(examples, ["file_id", "split"])
+
+
 @query("select corpus_id, split, count(*) as files from splits group by all", _SPLIT)
 def s11_split_sizes(spark: SparkSession, d: str) -> DataFrame:
     files = D.table(spark, d, "documents").select(F.concat("source", F.lit("/doc_"), "doc_id").alias("file_id"))
     return S.file_split(S.corpus_files(files)).groupBy("corpus_id", "split").agg(F.count("*").alias("files"))
 
 
+def _one_file_each(rows: DataFrame, root: str) -> None:
+    """(corpus, conv, value): a text file for each conversation in a folder of its own, below one for its corpus."""
+    rows.repartition("corpus", "conv").write.partitionBy("corpus", "conv").text(root)
+
+
+@query("""select 'corpus=' || corpus_id || '/conv=' || conv_id as folder, 'corpus=' || corpus_id as corpus_id, 1::bigint as files, sum(strlen(coalesce(text, '')) + 1)::bigint as bytes from utt where conv_id % 5 <> 3 group by corpus_id, conv_id""", D.UTTERANCES_SQL)
+def s1_list_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of transcripts, one a conversation, but those of an excluded corpus; names that Spark gives are left out."""
+    root = shared_folder(spark, "listed")
+    _one_file_each(D.utterances(spark, d).select(F.col("corpus_id").alias("corpus"), F.col("conv_id").alias("conv"), F.coalesce("text", F.lit("")).alias("value")), root)
+    files = readers.list_files(spark, root, ".txt", ("conv=",), ("corpus=corp3/",))
+    return files.groupBy("folder", "corpus_id").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("""select conv_id, 3 + row_number() over (partition by conv_id order by line_idx)::int as line_idx, speaker, text || ' ' || chr(21) || (start_secs * 1000)::bigint || '_' || end_ms || chr(21) as text, round(start_secs * 1000)::bigint as mark_start_ms, end_ms as mark_end_ms, 'U,A,S' as participants from utt""", D.UTTERANCES_SQL)
+def s2_chat_files(spark: SparkSession, d: str) -> DataFrame:
+    """CHAT files, one a conversation, written and read: a header, and main tiers whose second word is on a line of its own."""
+    root = shared_folder(spark, "chat")
+    mark = F.concat(F.lit(" \x15"), F.round(F.col("start_secs") * 1000).cast("bigint"), F.lit("_"), "end_ms", F.lit("\x15"))
+    tier = F.concat(F.lit("*"), "speaker", F.lit(":\t"), F.regexp_replace("text", "^([^ ]+) ", "$1\n\t"), mark, F.lit("\n%com:\ta note"))
+    lines = D.utterances(spark, d).groupBy("corpus_id", "conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", tier.alias("t")))), lambda x: x["t"]).alias("t"))
+    head = F.lit("@UTF8\n@Begin\n@Participants:\tU User, A Agent, S System\n@Comment:\tnone\n")
+    _one_file_each(lines.select(F.col("corpus_id").alias("corpus"), F.col("conv_id").alias("conv"), F.concat(head, F.array_join("t", "\n")).alias("value")), root)
+    rows = readers.read_chat_utterances(spark, root)
+    conv = F.regexp_extract("file_id", "conv=([0-9]+)/", 1).cast("bigint")
+    place = 2 + F.ceil(F.col("line_idx") / 2).cast("int")  # each main tier is followed by a dependent one
+    return rows.select(conv.alias("conv_id"), place.alias("line_idx"), "speaker", "text", "mark_start_ms", "mark_end_ms", F.array_join("participants", ",").alias("participants"))
+
+
 @query("select o_orderkey, row_number() over (order by o_orderkey) - 1 < floor(count(*) over () * 5 / 100) as is_validation from orders")
 def x8_head_validation(spark: SparkSession, d: str) -> DataFrame:
     return S.head_validation(D.table(spark, d, "orders").select("o_orderkey"), 5, "o_orderkey")
