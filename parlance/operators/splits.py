@@ -5,6 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `_place`, the number of each row in a stable order, from 0, and `_total`, how many there are.
+
+    Rows are sorted by range and written, so that a lost task can't number them anew; each partition's rows are offset by those before it.
+    """
+    ordered = staged(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    rows = ordered.join(F.broadcast(offsets.select("_part", "_first", "_before", "_total")), "_part")  # a row a partition
+    return rows.withColumn("_place", F.col("_before") + F.col("_id") - F.col("_first")).drop("_part", "_id", "_first", "_before")
+
 
 def corpus_files(examples: DataFrame) -> DataFrame:
     """(file_id, corpus_id) of all examples; the corpus is the first part of the file's path."""
@@ -18,14 +32,14 @@ def corpus_file_counts(examples: DataFrame) -> DataFrame:
 def file_split(files: DataFrame, seed: int = 42, train: float = 0.94, dev: float = 0.02, test: float = 0.04) -> DataFrame:
     """(file_id, corpus_id, split): the files of a corpus in the order of a hash, cut by ratio; one dev file at least, if there are two.
 
-    A window covers the files of a corpus, not its examples.
+    Files are numbered over all corpora by a sort, and a corpus has a stretch of the numbers: no task has a corpus whole.
     """
     if min(train, dev, test) <= 0 or abs(train + dev + test - 1) > 1e-9:
         raise ValueError("ratios must be positive and have the sum 1")
-    corpus = Window.partitionBy("corpus_id")
-    place = F.row_number().over(corpus.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "file_id")), "file_id")) - 1
+    rows = numbered(files.select("file_id", "corpus_id", F.md5(F.concat(F.lit(f"{seed}:"), "file_id")).alias("_h")), "corpus_id", "_h", "file_id")
+    corpora = rows.groupBy("corpus_id").agg(F.min("_place").alias("_from"), F.count("*").alias("_n"))
+    rows = rows.join(corpora, "corpus_id").withColumn("_i", F.col("_place") - F.col("_from"))
     part = lambda ratio: F.greatest(F.lit(1), (F.col("_n") * F.lit(ratio)).cast("int"))
-    rows = files.withColumn("_i", place).withColumn("_n", F.count("*").over(corpus))
     split = F.when(F.col("_i") < part(train), "train").when(F.col("_i") < part(train) + part(dev), "dev").otherwise("test")
     return rows.select("file_id", "corpus_id", split.alias("split"))
 
@@ -39,13 +53,10 @@ def assign_split(examples: DataFrame, splits: DataFrame) -> DataFrame:
 def head_validation(df: DataFrame, percent: int, *order: str) -> DataFrame:
     """is_validation: the first percent of the rows in a stable order.
 
-    Places come from a range sort: each partition's rows are numbered and offset by the rows before it.
+    Places come from a range sort, see numbered.
     """
-    ordered = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    offsets = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).withColumn("_total", F.sum("_n").over(Window.partitionBy(F.lit(0))))
-    rows = ordered.join(F.broadcast(offsets.select("_part", "_first", "_before", "_total")), "_part")  # a row a partition
-    return rows.withColumn("is_validation", F.col("_before") + F.col("_id") - F.col("_first") < F.floor(F.col("_total") * percent / 100)).drop("_part", "_id", "_first", "_before", "_total")
+    rows = numbered(df, *order)
+    return rows.withColumn("is_validation", F.col("_place") < F.floor(F.col("_total") * percent / 100)).drop("_place", "_total")
 
 
 def modulo_split(index: Column, percent: int) -> Column:

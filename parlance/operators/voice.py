@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import CodecParams
 
+#: Turns are compared within stretches of so many codes.
+STRETCH = 1500
+
 
 def speech_ranges(lines: DataFrame, codec: CodecParams) -> DataFrame:
     """Lines with their range of codes: start_code, end_code, length_secs."""
@@ -17,16 +20,19 @@ def speech_ranges(lines: DataFrame, codec: CodecParams) -> DataFrame:
 def non_overlapped_turns(ranges: DataFrame, n_codes: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """Turns whose codes no other speaker's turn of the file shares; ends are cut to the audio, empty ranges overlap nothing.
 
-    isolated: (file_id, speaker, isolated); turns of a speaker whose channel is isolated all stay.
+    isolated: (file_id, speaker, isolated); turns of a speaker whose channel is isolated all stay. Turns meet by stretches of the
+    file that both are in, so a file of any length is no quadratic work.
     """
     rows = ranges.join(n_codes.select("file_id", "n_codes"), "file_id").withColumn("_a", F.least("start_code", "n_codes")).withColumn("_b", F.least("end_code", "n_codes"))
     if isolated is None:
         rows = rows.withColumn("_alone", F.lit(False))
     else:
         rows = rows.join(isolated.select("file_id", "speaker", F.col("isolated").alias("_alone")), ["file_id", "speaker"], "left").withColumn("_alone", F.coalesce("_alone", F.lit(False)))
-    other = rows.select(F.col("file_id").alias("_f"), F.col("speaker").alias("_s"), F.col("_a").alias("_oa"), F.col("_b").alias("_ob"))
-    meets = (F.col("file_id") == F.col("_f")) & (F.col("speaker") != F.col("_s")) & (F.col("_a") < F.col("_ob")) & (F.col("_oa") < F.col("_b")) & (F.col("_a") < F.col("_b")) & (F.col("_oa") < F.col("_ob")) & ~F.col("_alone")
-    return rows.join(other, meets, "left_anti").drop("_a", "_b", "_alone", "n_codes")
+    rows = rows.withColumn("_at", F.explode_outer(F.when(F.col("_a") < F.col("_b"), F.sequence((F.col("_a") / STRETCH).cast("bigint"), ((F.col("_b") - 1) / STRETCH).cast("bigint")))))
+    other = rows.select(F.col("file_id").alias("_f"), F.col("_at").alias("_o"), F.col("speaker").alias("_s"), F.col("_a").alias("_oa"), F.col("_b").alias("_ob"))
+    meets = (F.col("file_id") == F.col("_f")) & (F.col("_at") == F.col("_o")) & (F.col("speaker") != F.col("_s")) & (F.col("_a") < F.col("_ob")) & (F.col("_oa") < F.col("_b")) & ~F.col("_alone")
+    met = rows.join(other, meets, "left_semi").select("file_id", "line_no").distinct()
+    return ranges.join(n_codes.select("file_id"), "file_id", "left_semi").join(met, ["file_id", "line_no"], "left_anti")
 
 
 def candidates_outside_window(candidates: DataFrame, examples: DataFrame, max_secs: float = 6.0) -> DataFrame:

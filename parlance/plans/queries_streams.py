@@ -45,8 +45,8 @@ def t1_stream_rolling_zscore(spark: SparkSession, d: str) -> DataFrame:
 @query("""select session_id, chunk_idx, z, inactive_chunks, inactive_chunks * 0.1::double >= 0.3::double and (inactive_chunks - 1) * 0.1::double < 0.3::double as finalize from (select session_id, chunk_idx, z, i - coalesce(max(case when z >= 0 then i end) over (partition by session_id order by chunk_idx), 0) as inactive_chunks
  from (select user_id as session_id, event_id as chunk_idx, value - 50 as z, row_number() over (partition by user_id order by event_id) as i from events))""")
 def t2_stream_inactivity(spark: SparkSession, d: str) -> DataFrame:
-    rows = stream(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_idx"), (F.col("value") - 50).alias("z"))
-    return finished(J.stream_inactivity(rows, 0.1, 0.3))
+    rows = stream(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_idx"), (F.col("value") - 50).alias("z"), F.col("ts").cast("timestamp").alias("ts"))
+    return finished(J.stream_inactivity(rows, 0.1, 0.3, "30 days", "1 day"))
 
 
 @query("""select stage, strftime(b, '%Y-%m-%d %H:%M:%S') as start, round(f, 4) as factor, n from (select event_type as stage, time_bucket(interval '1 hour', ts) as b, avg(0.1::double / (value + 1e-8::double)) as f, count(*) as n from events group by all)

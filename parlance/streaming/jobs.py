@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,13 +16,37 @@ ZSCORES = "session_id long, chunk_idx long, value double, z double"
 TIMERS = "session_id long, chunk_idx long, z double, inactive_chunks long, finalize boolean"
 
 
-def stream_rolling_zscore(events: DataFrame, window: int = 200, update: int = 50) -> DataFrame:
-    """rolling_zscore as state: the last `window` values with the mean and deviation in force. Order in a batch is restored by chunk_idx."""
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(batches).sort_values("chunk_idx", kind="stable")
+
+
+def _keyed(events: DataFrame, step: Callable, out: str, state: str, idle: str | None, late: str) -> DataFrame:
+    """Applies a step to each session; with `idle`, a session without events for so long by event time (ts) loses its state."""
+    if idle is None:
+        return events.groupBy("session_id").applyInPandasWithState(step, out, state, "append", GroupStateTimeout.NoTimeout)
+    after = pd.Timedelta(idle) // pd.Timedelta("1ms")
+
+    def timed(key: tuple, batches: Iterator[pd.DataFrame], own: GroupState) -> Iterator[pd.DataFrame]:
+        if own.hasTimedOut:
+            own.remove()
+            return
+        rows = _in_order(batches)
+        yield from step(key, iter([rows]), own)
+        # an event that comes late still moves the end on from the watermark
+        own.setTimeoutTimestamp(max(rows["ts"].max().value // 1_000_000, own.getCurrentWatermarkMs()) + after)
+
+    return events.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(timed, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_rolling_zscore(events: DataFrame, window: int = 200, update: int = 50, idle: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """rolling_zscore as state: the last `window` values with the mean and deviation in force. Order in a batch is restored by chunk_idx.
+
+    With `idle` (and ts, the event time) a session that is silent for so long is forgotten, and starts anew when it comes back."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         values, mean, std = state.get if state.exists else ([], 0.0, 1.0)
         values = list(values)
-        rows = pd.concat(batches).sort_values("chunk_idx", kind="stable")
+        rows = _in_order(batches)
         z = []
         for v in rows["value"].tolist():
             z.append((v - mean) / std if std else None)
@@ -32,15 +56,15 @@ def stream_rolling_zscore(events: DataFrame, window: int = 200, update: int = 50
         state.update((values, mean, std))
         yield pd.DataFrame({"session_id": key[0], "chunk_idx": rows["chunk_idx"], "value": rows["value"], "z": pd.Series(z, index=rows.index, dtype="float64")})
 
-    return events.groupBy("session_id").applyInPandasWithState(step, ZSCORES, "values array<double>, mean double, std double", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(events, step, ZSCORES, "values array<double>, mean double, std double", idle, late)
 
 
-def stream_inactivity(scores: DataFrame, chunk_secs: float = 0.1, finalize: float = 3.0) -> DataFrame:
-    """inactivity_timers as state: chunks since the last z of 0 or more, and whether a chunk crosses `finalize`."""
+def stream_inactivity(scores: DataFrame, chunk_secs: float = 0.1, finalize: float = 3.0, idle: str | None = None, late: str = "10 seconds") -> DataFrame:
+    """inactivity_timers as state: chunks since the last z of 0 or more, and whether a chunk crosses `finalize`; idle as in stream_rolling_zscore."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (since,) = state.get if state.exists else (0,)
-        rows = pd.concat(batches).sort_values("chunk_idx", kind="stable")
+        rows = _in_order(batches)
         out, crossed = [], []
         for z in rows["z"].tolist():
             before, since = since, 0 if z is not None and z >= 0 else since + 1
@@ -49,7 +73,7 @@ def stream_inactivity(scores: DataFrame, chunk_secs: float = 0.1, finalize: floa
         state.update((since,))
         yield pd.DataFrame({"session_id": key[0], "chunk_idx": rows["chunk_idx"], "z": rows["z"], "inactive_chunks": out, "finalize": crossed})
 
-    return scores.groupBy("session_id").applyInPandasWithState(step, TIMERS, "since long", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(scores, step, TIMERS, "since long", idle, late)
 
 
 def stream_realtime_factor(events: DataFrame, chunk_secs: float = 0.1, width: str = "2 seconds", late: str = "10 seconds") -> DataFrame:

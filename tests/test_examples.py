@@ -144,3 +144,32 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
     a = {(r.session_id, r.chunk_idx): r.z for r in finished(J.stream_rolling_zscore(stream, 20, 5)).collect()}
     b = {(r.session_id, r.chunk_idx): r.z for r in N.rolling_zscore(batch, 20, 5).collect()}
     assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
+
+
+def test_silent_sessions_are_forgotten(spark, tmp_path):
+    from parlance.plans.queries_streams import finished
+    from parlance.streaming import jobs as J
+
+    # session 1 is silent from 5 to 100 s, while session 2 moves the watermark on
+    for rows in ([(1, i, -1.0, i) for i in range(5)], [(2, i, -1.0, 50 + i) for i in range(5)], [(2, 5, -1.0, 60)], [(1, 5, -1.0, 100), (2, 6, -1.0, 61)]):
+        df = spark.createDataFrame(rows, "session_id long, chunk_idx long, z double, at long")
+        df.select("session_id", "chunk_idx", "z", F.timestamp_seconds(F.col("at") + 1000).alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session_id long, chunk_idx long, z double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for idle, want in (("20 seconds", 1), (None, 6)):
+        got = {(r.session_id, r.chunk_idx): r.inactive_chunks for r in finished(J.stream_inactivity(stream, 0.1, 3.0, idle, "0 seconds")).collect()}
+        assert got[1, 4] == 5 and got[1, 5] == want and got[2, 6] == 7
+
+
+def test_turns_that_meet_over_long_files(spark):
+    from parlance.operators import voice as V
+
+    rng = random.Random(41)
+    rows = [(f"f{k % 3}", i, rng.choice("ABC"), a := rng.randrange(20000), a + rng.choice([0, 1, 40, 3000])) for k, i in enumerate(range(300))]
+    ranges = spark.createDataFrame(rows, "file_id string, line_no int, speaker string, start_code long, end_code long")
+    sizes = spark.createDataFrame([("f0", 15000), ("f1", 30000), ("f2", 30000)], "file_id string, n_codes int")
+    isolated = spark.createDataFrame([("f1", "A", True)], "file_id string, speaker string, isolated boolean")
+    n = dict(sizes.collect())
+    cut = lambda r: (min(r[3], n[r[0]]), min(r[4], n[r[0]]))
+    meets = lambda x, y: x[0] == y[0] and x[2] != y[2] and cut(x)[0] < cut(x)[1] and cut(y)[0] < cut(y)[1] and cut(x)[0] < cut(y)[1] and cut(y)[0] < cut(x)[1]
+    want = {x[1] for x in rows if (x[0], x[2]) == ("f1", "A") or not any(meets(x, y) for y in rows)}
+    assert {r.line_no for r in V.non_overlapped_turns(ranges, sizes, isolated).collect()} == want
