@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_non_audio
 from ..schemas import CodecParams, Tokens
+from ..session import staged
 
 
 def duration_by_folder(files: DataFrame, seconds: Column) -> DataFrame:
@@ -30,10 +31,24 @@ def example_seconds(text: Column, codec: CodecParams, channels: int, tokens: Tok
 
 
 def dataset_stats(lengths: DataFrame, seconds: str = "seconds") -> DataFrame:
-    c = F.col(seconds)
-    return lengths.agg(
-        F.count("*").alias("n"), F.sum(c).alias("total_secs"), (F.sum(c) / 3600).alias("total_hours"), F.max(c).alias("max_secs"),
-        F.min(c).alias("min_secs"), F.percentile(c, 0.5).alias("median_secs"), F.avg(c).alias("mean_secs"), F.stddev_pop(c).alias("std_secs"),
+    """One row: n (rows without a length too), and of the lengths sum, extremes, median, mean and deviation, null if there are none.
+
+    Lengths are counted first and each different one is sorted by range, so no task has them all, however many share one; the
+    median is where the running counts pass the middle.
+    """
+    counted = lengths.groupBy(F.col(seconds).cast("double").alias("v")).agg(F.count("*").alias("rows"))
+    counted = staged(counted.orderBy("v").withColumn("part", F.spark_partition_id()), "lengths")
+    rows = counted.withColumn("w", F.when(F.col("v").isNotNull(), F.col("rows")).otherwise(0))
+    parts = rows.groupBy("part").agg(F.sum("w").alias("n"), F.sum(F.col("v") * F.col("w")).alias("s"))
+    every, upto = Window.partitionBy(F.lit(0)), Window.orderBy("part")  # a row a partition
+    parts = parts.select("part", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(every).alias("total"), (F.sum("s").over(every) / F.nullif(F.sum("n").over(every), F.lit(0))).alias("mean"))
+    rows = rows.join(F.broadcast(parts), "part").withColumn("to", F.col("before") + F.sum("w").over(Window.partitionBy("part").orderBy("v")))
+    at = lambda place: F.max(F.when((F.col("to") - F.col("w") <= place) & (place < F.col("to")), F.col("v")))
+    n, total, off = F.nullif(F.sum("w"), F.lit(0)), F.sum(F.col("v") * F.col("w")), F.col("v") - F.col("mean")
+    return rows.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), total.alias("total_secs"), (total / 3600).alias("total_hours"), F.max("v").alias("max_secs"),
+        F.min("v").alias("min_secs"), ((at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2).alias("median_secs"),
+        (total / n).alias("mean_secs"), F.sqrt(F.sum(F.col("w") * off * off) / n).alias("std_secs"),
     )
 
 

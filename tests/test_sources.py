@@ -1,4 +1,4 @@
-"""Files written and read back."""
+"""Files written and read back, and statistics of lengths."""
 
 import json
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import channels as C
 from parlance.operators import splits as P
+from parlance.operators.stats import dataset_stats
 from parlance.sources import readers as S
 from parlance.sources import writers as W
 
@@ -104,3 +105,13 @@ def test_head_validation_is_exact(spark):
     df = spark.range(0, 1000, 1, 7).select((F.col("id") * 37 % 1000).alias("k"))
     out = P.head_validation(df, 5, "k")
     assert sorted(r.k for r in out.filter("is_validation").collect()) == list(range(50))
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [None, 5.0, 1.0, 9.0], [80.0] * 700 + [float(i % 97) / 4 for i in range(1300)]])
+def test_dataset_stats_equal_numpy(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "seconds double").repartition(7)
+    r = dataset_stats(rows).collect()[0]
+    own = [v for v in values if v is not None]
+    assert r["n"] == len(values)
+    want = [sum(own), sum(own) / 3600, max(own), min(own), np.median(own), np.mean(own), np.std(own)] if own else [None] * 7
+    assert list(r)[1:] == (pytest.approx(want) if own else want)
