@@ -18,22 +18,32 @@ SHARDS = 24
 SLOT_MAP = "virtual_slot int, shard int, bytes long, n long, version int"
 #: Bytes that a record takes besides its text.
 OVERHEAD = 8
+#: A key of more rows than these, and than the mean of a slot, is hot.
+HOT_ROWS = 1000
 
 
-def slot_of(key: Column, row: Column, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record: from its key alone, or from the number of its row if the key is null."""
-    return F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(row)), F.lit(slots)).cast("int")
+def slot_of(key: Column, row: Column, alone: Column, slots: int = SLOTS) -> Column:
+    """The virtual slot of a record: from its key alone, or, where that doesn't do (a null or hot key), with the number of its row."""
+    return F.pmod(F.when(alone, F.xxhash64(key)).otherwise(F.xxhash64(key, row)), F.lit(slots)).cast("int")
+
+
+def hot_keys(rows: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
+    """(key) of those that hold more rows than the mean of a slot, and HOT_ROWS: as many as slots at most."""
+    least = F.greatest(F.lit(HOT_ROWS), F.lit(rows.count() / slots))
+    return stored(rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") > least).select(key), "hot-keys")
 
 
 def records(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(key, size, text_crc32, virtual_slot), written: a null text has no bytes and the checksum of an empty one.
+    """(key, size, text_crc32, virtual_slot): a null text has no bytes and the checksum of an empty one.
 
-    Rows are numbered when they are written, so that those without a key are spread over all slots and stay where they are.
+    Rows are numbered when they are written, so that those without a key, and those of a hot one, are spread over all slots and stay where they are.
     """
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(key), (F.octet_length(raw) + OVERHEAD).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.withColumn("virtual_slot", slot_of(F.col(key), F.monotonically_increasing_id(), slots))
-    return stored(rows, "records")
+    rows = docs.select(F.col(key), (F.octet_length(raw) + OVERHEAD).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    rows = stored(rows, "records")
+    hot = hot_keys(rows, key, slots).withColumn("_hot", F.lit(True))
+    alone = F.col(key).isNotNull() & F.col("_hot").isNull()
+    return rows.join(F.broadcast(hot), key, "left").select(key, "size", "text_crc32", slot_of(F.col(key), F.col("_row"), alone, slots).alias("virtual_slot"))
 
 
 def slot_sizes(recs: DataFrame) -> DataFrame:
@@ -111,7 +121,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, key: str =
     """Shards all of docs: see assign. Sizes are near equal, by the bytes of slots.
 
     With grow_to, version 2 of the map, rebalanced for so many shards, is stored too, and next_shard says where it puts each record.
-    A null or empty text counts its overhead alone; null keys are spread over all slots; repeated rows each have a
+    A null or empty text counts its overhead alone; null and hot keys are spread over all slots; repeated rows each have a
     place; no records give no rows; texts of any length count whole; columns other than key and text are left out, so names can't clash.
     """
     path = shared_folder(docs.sparkSession, "shard-map")

@@ -168,6 +168,19 @@ def test_sharding_spreads_rows_without_a_key_and_grows(spark):
     assert len({(r.virtual_slot, r.next_shard) for r in rows}) == len({r.virtual_slot for r in rows})
 
 
+def test_sharding_spreads_a_hot_key(spark):
+    docs = spark.createDataFrame([(7 if i % 3 == 0 else i, "the same text" if i % 3 == 0 else "x" * (i % 50)) for i in range(6000)], "doc_id long, text string")
+    rows = sharding.shard(docs, shards=6, slots=256, grow_to=7).collect()
+    assert len(rows) == 6000
+    slots, loads = Counter(r.virtual_slot for r in rows), Counter()
+    for r in rows:
+        loads[r.shard] += r.size
+    assert max(slots.values()) < 100 and max(loads.values()) < 1.05 * min(loads.values())
+    once = {r.doc_id: r.virtual_slot for r in rows if r.doc_id != 7}
+    again = {r.doc_id: r.virtual_slot for r in sharding.records(docs.filter("doc_id <> 7"), slots=256).collect()}
+    assert once == again  # other keys alone decide
+
+
 def brute_sharding(rows, shards, slots):
     """(id, size, checksum) and the shard of each record with a key, largest slot first; keys are unique."""
     from pyspark.sql import SparkSession
