@@ -98,8 +98,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("lang").alias("lang_pred"), "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import agreements
+
+    return agreements(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id, op11_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
