@@ -35,4 +35,14 @@ each as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p fro
 kept as (select e.doc_id, count(*) as n, string_agg(word, ' ' order by e.p) as s from each e anti join gone g on e.doc_id = g.doc_id and e.p = g.p group by 1)
 select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
 from d left join kept using (doc_id)""",
+    "op12_fill_in_middle": """
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as s from documents),
+h as (select doc_id, t, length(t)::bigint as n, ('0x' || s[1:8])::bigint as h1, ('0x' || s[9:16])::bigint as h2, ('0x' || s[17:24])::bigint as h3, ('0x' || s[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as p, greatest(h1 % (n + 1), h2 % (n + 1)) as q,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+o as (select *, substring(t, 1, p) as a, substring(t, p + 1, q - p) as b, substring(t, q + 1) as z from c)
+select doc_id, n, form, case when form <> 'plain' then p end as prefix_chars, case when form <> 'plain' then q - p end as middle_chars,
+       sha256(case form when 'psm' then '<P>' || a || '<S>' || z || '<M>' || b when 'spm' then '<S>' || z || '<P>' || a || '<M>' || b else t end) as output_sha256,
+       sha256(t) as restored_sha256
+from o""",
 }

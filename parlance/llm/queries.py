@@ -104,8 +104,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agreements(_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import fill_in_middle, restored
+
+    found = fill_in_middle(_table(spark, sf_dir, "documents"))
+    counts = (F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"))
+    return found.select("doc_id", "n", "form", *counts, _sha256(F.col("output")).alias("output_sha256"), _sha256(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id, op11_alignment)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id, op11_alignment, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
