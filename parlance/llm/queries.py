@@ -112,8 +112,18 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", *counts, _sha256(F.col("output")).alias("output_sha256"), _sha256(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import stored
+    from .fingerprints import as_hex, edits, likeness, near_rows
+
+    found = near_rows(stored(edits(_table(spark, sf_dir, "documents")), "edits"))
+    own, edited, following = (F.col(c) for c in ("own", "edited", "next"))
+    likes = (likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"))
+    return found.select("doc_id", "n_chars", "edited_sha256", as_hex(own).alias("fingerprint"), as_hex(edited).alias("edited_fingerprint"), *likes, "n_near")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id, op11_alignment, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_pii, op4_warc, op5_matroska, op6_secrets, op7_simhash, op8_pieces, op9_substring_dedup, op10_language_id, op11_alignment, op12_fill_in_middle, op13_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
