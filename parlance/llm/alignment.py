@@ -34,7 +34,9 @@ PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer texts are tokenised in parts of about so many characters, cut where neither tokenizer can join them.
 PART_CHARS = 1 << 18
 #: Windows of more tokens are aligned each time; so many shorter ones are remembered by a worker, then it starts anew.
-KEPT_TOKENS, KEPT_WINDOWS = 64, 200_000
+KEPT_TOKENS, KEPT_WINDOWS = 64, 100_000
+#: New windows of texts of about so many characters are aligned together.
+TOGETHER_CHARS = 1 << 16
 #: The fast engine of the byte tokenizer splits by recursion, which long white space overflows; such parts go to the plain one.
 _LONG_SPACE = re.compile(r"\s{500}")
 # Fixed value: the word pattern of this family of byte-level tokenizers.
@@ -83,7 +85,9 @@ class Tokenizers:
         ids = range(self.pieces.get_piece_size())
         written = [self.pieces.id_to_piece(i) for i in ids]
         self.b, self.len_b, self.mark_b = _table({i: bytes([int(w[3:5], 16)]) if self.pieces.is_byte(i) else w.replace("▁", " ").encode() for i, w in zip(ids, written, strict=True)})
-        self.kept: dict[tuple[bytes, bytes], tuple | None] = {}
+        #: How an id is written: what stands behind it tells whether it is the last of its side in a group.
+        self.written = [f"{i}{mark}".encode() for table, last in ((self.a, "|"), (self.b, ";")) for i in range(len(table)) for mark in (",", last)]
+        self.kept: dict[tuple[bytes, bytes], tuple | bool] = {}
 
     def ids_a(self, text: str) -> np.ndarray:
         if self.fast is None or _LONG_SPACE.search(text):
@@ -94,68 +98,95 @@ class Tokenizers:
         """The piece tokenizer puts a space before the text by itself."""
         return np.array(self.pieces.encode(text), np.int32)
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple | None:
-        """Of a window: its bytes, groups as text, links, and (a, b) tokens of each group; None if the tokens' bytes differ."""
-        a, b = (np.frombuffer(k, np.int32).tolist() for k in key)
-        raw = b"".join(map(self.a.__getitem__, a))
-        if raw != b"".join(map(self.b.__getitem__, b)):
-            return None
-        ends = {}
-        at = 0
-        for j, y in enumerate(b):
-            at += len(self.b[y])
-            ends[at] = j
-        groups, links, sizes, at, a0, b0 = [], [], [], 0, 0, 0
-        for i, x in enumerate(a):
-            at += len(self.a[x])
-            j = ends.get(at)
-            if j is not None:
-                groups.append(f"{','.join(map(str, a[a0 : i + 1]))}|{','.join(map(str, b[b0 : j + 1]))}")
-                links.append(x * len(self.b) + b[j])
-                sizes.append((i + 1 - a0, j + 1 - b0))
-                a0, b0 = i + 1, j + 1
-        return raw, ";".join(groups).encode(), np.array(links, np.int64).tobytes(), np.array(sizes, np.int32).tobytes()
-
-    def windows(self, part: str) -> tuple[np.ndarray, np.ndarray, list[tuple | None]]:
-        """Ids of both tokenizers for a part that begins with a space, and its aligned windows."""
+    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Aligns new windows together and remembers of each its bytes, groups as text, links and group sizes; False if the tokens' bytes differ."""
+        sizes = [np.fromiter((len(k[side]) >> 2 for k in keys), np.int64, len(keys)) for side in range(2)]
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), np.int32) for side in range(2))
+        last_a, last_b = np.cumsum(sizes[0]), np.cumsum(sizes[1])
+        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        raw = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.a, a), (self.b, b))]
+        if raw[0] != raw[1] or not np.array_equal(ends_a[last_a - 1], ends_b[last_b - 1]):
+            if len(keys) == 1:
+                self.kept[keys[0]] = False
+                return
+            for part in (keys[: len(keys) // 2], keys[len(keys) // 2 :]):  # find the windows that differ
+                self._learn(part)
+            return
+        shared, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        links = a[i].astype(np.int64) * len(self.b) + b[j]
+        after_i, after_j = i + 1, j + 1
+        group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
+        written = np.empty(len(a) + len(b), np.int64)  # each id behind the ids before it in its group and all of earlier groups
+        written[np.arange(len(a)) + np.concatenate([[0], after_j])[group_a]] = 2 * a + np.isin(np.arange(len(a)), i, assume_unique=True)
+        written[np.arange(len(b)) + after_i[group_b]] = 2 * (len(self.a) + b) + np.isin(np.arange(len(b)), j, assume_unique=True)
+        text = [*map(self.written.__getitem__, written.tolist())]
+        groups = np.stack([np.diff(after_i, prepend=0), np.diff(after_j, prepend=0)], axis=1).astype(np.int32).tobytes()
+        links, ends = links.tobytes(), ends_a[last_a - 1]
+        at = 8 * np.searchsorted(shared, ends, "right")
+        x = y = z = 0
+        for key, x1, y1, z1 in zip(keys, (last_a + last_b).tolist(), ends.tolist(), at.tolist(), strict=True):
+            self.kept[key] = raw[0][y:y1], b"".join(text[x:x1])[:-1], links[z:z1], groups[z:z1]
+            x, y, z = x1, y1, z1
+
+    def windows(self, part: str) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
+        """Ids of both tokenizers for a part that begins with a space, and its windows by their ids."""
         a, b = self.ids_a(part), self.ids_b(part[1:])
         starts_a, starts_b = (np.cumsum(n) - n for n in (self.len_a[a], self.len_b[b]))
         at_a, at_b = np.flatnonzero(self.mark_a[a]), np.flatnonzero(self.mark_b[b])
         _, i, j = np.intersect1d(starts_a[at_a], starts_b[at_b], assume_unique=True, return_indices=True)
         inner = (at_a[i] > 0) & (at_b[j] > 0)
-        cuts_a, cuts_b = (np.concatenate([[0], at[inner], [n]]) for at, n in ((at_a[i], len(a)), (at_b[j], len(b))))
-        raw_a, raw_b, kept, found = a.tobytes(), b.tobytes(), self.kept, []
+        cuts_a, cuts_b = ((4 * np.concatenate([[0], at[inner], [n]])).tolist() for at, n in ((at_a[i], len(a)), (at_b[j], len(b))))
+        raw_a, raw_b = a.tobytes(), b.tobytes()
+        return a, b, [(raw_a[a0:a1], raw_b[b0:b1]) for a0, a1, b0, b1 in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]  # noqa: B905
+
+    def align_all(self, texts: list[str | None], detail: bool) -> list[Alignment | None]:
+        """The alignment of each text; None where it has no tokens."""
+        out = [Alignment() if t else None for t in texts]
+        held, chars = [], 0
+        for i, text in enumerate(texts):
+            for part in _parts(" " + text) if text else ():
+                held.append((i, part))
+                chars += len(part)
+                if chars >= TOGETHER_CHARS:
+                    self._align(held, out, detail)
+                    held, chars = [], 0
+        self._align(held, out, detail)
+        return out
+
+    def _align(self, parts: list[tuple[int, str]], out: list[Alignment | None], detail: bool) -> None:
+        found = [(i, part, *self.windows(part)) for i, part in parts if out[i]]
+        if len(self.kept) > KEPT_WINDOWS:
+            self.kept.clear()
+        new = dict.fromkeys(k for *_, keys in found for k in keys if k not in self.kept)
+        if new:
+            self._learn(list(new))
+        for i, part, a, b, keys in found:
+            if out[i]:
+                known = [*map(self.kept.__getitem__, keys)]
+                if False in known or b"".join([w[0] for w in known]) != part.encode():
+                    out[i] = None
+                else:
+                    out[i].add(a, b, known, detail)
         longest = 4 * KEPT_TOKENS
-        cuts_a, cuts_b = (4 * cuts_a).tolist(), (4 * cuts_b).tolist()
-        for a0, a1, b0, b1 in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:]):  # noqa: B905
-            key = raw_a[a0:a1], raw_b[b0:b1]
-            w = kept.get(key)
-            if w is None:
-                w = self._window(key)
-                if w is not None and a1 - a0 <= longest and b1 - b0 <= longest:
-                    if len(kept) >= KEPT_WINDOWS:
-                        kept.clear()
-                    kept[key] = w
-            found.append(w)
-        return a, b, found
-
-    def align(self, text: str | None, detail: bool):
-        """n_a, n_b, digest, links, and with detail the ids and group sizes; None where a text has no tokens."""
-        if not text:
-            return None
-        digest, links, n_a, n_b, more = hashlib.sha256(), [], 0, 0, []
-        for k, part in enumerate(_parts(" " + text)):
-            a, b, found = self.windows(part)
-            if None in found or b"".join([w[0] for w in found]) != part.encode():
-                return None
-            if k:
-                digest.update(b";")
-            digest.update(b";".join([w[1] for w in found]))
-            links.append(b"".join([w[2] for w in found]))
-            n_a, n_b = n_a + len(a), n_b + len(b)
-            if detail:
-                more.append((a, b, np.frombuffer(b"".join([w[3] for w in found]), np.int32)))
-        return n_a, n_b, digest.hexdigest(), b"".join(links), [np.concatenate(m) for m in zip(*more, strict=True)]
+        for k in new:
+            if len(k[0]) > longest or len(k[1]) > longest:
+                del self.kept[k]
+
+
+class Alignment:
+    """What is found of a text, part by part."""
+
+    def __init__(self):
+        self.digest, self.links, self.n_a, self.n_b, self.detail = hashlib.sha256(), [], 0, 0, []
+
+    def add(self, a: np.ndarray, b: np.ndarray, windows: list[tuple], detail: bool) -> None:
+        if self.links:
+            self.digest.update(b";")
+        self.digest.update(b";".join([w[1] for w in windows]))
+        self.links.append(b"".join([w[2] for w in windows]))
+        self.n_a, self.n_b = self.n_a + len(a), self.n_b + len(b)
+        if detail:
+            self.detail.append((a.tobytes(), b.tobytes(), b"".join([w[3] for w in windows])))
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -207,11 +238,12 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", bytes_path
             size = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // (1 << 20)
             cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                none = (0, 0, "", b"", [np.zeros(0, np.int32)] * 3)
-                found = [both.align(t.as_py(), detail) or none for t in batch.column(1).slice(i, j - i)]
-                columns = [batch.column(0).slice(i, j - i), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.string()), _lists([f[3] for f in found], pa.int64())]
+                found = both.align_all(batch.column(1).slice(i, j - i).to_pylist(), detail)
+                digests = [f.digest.hexdigest() if f else "" for f in found]
+                columns = [batch.column(0).slice(i, j - i), *(pa.array([getattr(f, n) if f else 0 for f in found], pa.int64()) for n in ("n_a", "n_b")), pa.array(digests, pa.string())]
+                columns.append(_lists([b"".join(f.links) if f else b"" for f in found], pa.int64()))
                 if detail:
-                    columns += [_lists([f[4][k].tobytes() for f in found], pa.int32()) for k in range(3)]
+                    columns += [_lists([b"".join([d[k] for d in f.detail]) if f else b"" for f in found], pa.int32()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return docs.select(key, text).mapInArrow(batches, out)

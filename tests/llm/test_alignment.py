@@ -94,16 +94,18 @@ def test_alignment_equals_brute_force(spark, tmp_path, tokenizers):
 
 def test_parts_and_forgotten_windows_change_nothing(tokenizers, monkeypatch):
     """The bounds of parts and of remembered windows, in this process, where they take effect."""
-    texts = [r[1] or "" for r in rows()] + ["\n" * 3000 + "x", " " * 3000, ". " * 900]
-    plain = [alignment.Tokenizers(alignment.BYTES_MODEL, alignment.PIECES_MODEL).align(t, False) for t in texts]
+    texts = [r[1] for r in rows()] + ["\n" * 3000 + "x", " " * 3000, ". " * 900]
+    shown = lambda found: [f and (f.n_a, f.n_b, f.digest.hexdigest(), b"".join(f.links)) for f in found]
+    plain = shown(alignment.Tokenizers(alignment.BYTES_MODEL, alignment.PIECES_MODEL).align_all(texts, False))
     monkeypatch.setattr(alignment, "PART_CHARS", 50)
+    monkeypatch.setattr(alignment, "TOGETHER_CHARS", 200)
     monkeypatch.setattr(alignment, "KEPT_WINDOWS", 3)
     monkeypatch.setattr(alignment, "KEPT_TOKENS", 2)
     small = alignment.Tokenizers(alignment.BYTES_MODEL, alignment.PIECES_MODEL)
-    assert [small.align(t, False) for t in texts] == plain
-    assert len(small.kept) <= 3 and any(len(list(alignment._parts(" " + t))) > 10 for t in texts)
+    assert shown(small.align_all(texts, False)) == plain
+    assert all(len(k[0]) <= 8 for k in small.kept) and any(len(list(alignment._parts(" " + (t or "")))) > 10 for t in texts)
     for text, found in zip(texts, plain, strict=True):
-        want = tokens(tokenizers, text)
+        want = tokens(tokenizers, text or "")
         assert (found is None) == (want is None) and (found is None or found[:2] == (len(want[0]), len(want[2])))
 
 
