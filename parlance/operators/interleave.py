@@ -5,9 +5,11 @@ Codes stay one array a file; text and tokens are events at positions, which wind
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..functions.text import words
 from ..schemas import VIEWS, CodecParams, Tokens
 
 KEYS = ["file_id", "view", "agent_speaker"]
+#: A block of codes has so many strides of windows.
+BLOCK_STRIDES = 16
 
 
 def concat_code_parts(parts: DataFrame) -> DataFrame:
@@ -40,11 +44,48 @@ def code_lengths(parts: DataFrame) -> DataFrame:
     return out.withColumn("n_codes", same).drop("_most")
 
 
-def file_codes_of_parts(parts: DataFrame) -> DataFrame:
-    """(file_id, channels, num_channels): what concat_code_parts and file_codes give, with one shuffle of the codes, by file."""
-    rows = parts.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("channel", "part_ts", "codes"))).alias("_p"), (F.max("channel") + 1).alias("num_channels"))
+def block_sizes(codec: CodecParams, context_secs: float, overlap_secs: float, longest_secs: float = 0.0, strides: int = BLOCK_STRIDES) -> tuple[int, int]:
+    """Codes of a channel in a block, and behind it: whatever begins in a block and lasts no longer than a window, or longest_secs, is in its row."""
+    codes = lambda secs: math.ceil(secs * codec.framerate * codec.num_codebooks)
+    return max(1, strides * codes(context_secs - overlap_secs)), codes(max(context_secs, longest_secs))
+
+
+def part_offsets(parts: DataFrame) -> DataFrame:
+    """(file_id, channel, part_ts, at): the codes of a channel before each of its parts. It reads sizes alone. A part that is there twice is an error."""
+    same = ["file_id", "channel", "part_ts"]
+    sizes = parts.groupBy(*same).agg(F.sum(F.size("codes")).alias("n"), F.count("*").alias("_k"))
+    once = F.when(F.col("_k") == 1, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("a part is there twice: "), "file_id", F.lit(" "), "part_ts")))
+    order = Window.partitionBy("file_id", "channel").orderBy("part_ts")
+    return sizes.withColumn("n", once).select(*same, (F.sum("n").over(order) - F.col("n")).cast("int").alias("at"))
+
+
+def code_blocks(parts: DataFrame, offsets: DataFrame, block: int, halo: int) -> DataFrame:
+    """(file_id, block, channels): the codes from block * number on, `block` of them and `halo` more, an array a channel.
+
+    A part is cut where it lies, so that a recording of any length is dealt over blocks by one shuffle of its codes. `offsets` are those of
+    part_offsets, a row a part; Spark joins them by a broadcast as long as they are small.
+    """
+    rows = parts.join(offsets, ["file_id", "channel", "part_ts"]).withColumn("_n", F.size("codes"))
+    first = F.greatest(F.lit(0), F.floor((F.col("at") - block - halo) / block) + 1)
+    last = F.greatest(F.floor((F.col("at") + F.col("_n") - 1) / block), F.floor(F.col("at") / block))
+
+    def cut(b: Column) -> Column:
+        lo, hi = F.greatest(b * block, F.col("at")), F.least((b + 1) * block + halo, F.col("at") + F.col("_n"))
+        return F.struct(b.alias("block"), lo.alias("lo"), F.slice("codes", (lo - F.col("at") + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")).alias("codes"))
+
+    cuts = rows.select("file_id", "channel", F.explode(F.transform(F.sequence(first, last), cut)).alias("c"))
+    own = cuts.groupBy("file_id", F.col("c.block").cast("int").alias("block")).agg(F.array_sort(F.collect_list(F.struct("channel", "c.lo", "c.codes"))).alias("_p"), F.max("channel").alias("_last"))
     channel = lambda c: F.flatten(F.transform(F.filter("_p", lambda p: p["channel"] == c), lambda p: p["codes"]))
-    return rows.select("file_id", F.transform(F.sequence(F.lit(0), F.col("num_channels") - 1), channel).alias("channels"), "num_channels")
+    return own.select("file_id", "block", F.transform(F.sequence(F.lit(0), F.col("_last")), channel).alias("channels"))
+
+
+def own_channel_map(channel_map: DataFrame, files: DataFrame) -> DataFrame:
+    """The channel map (file_id, speaker letter, channel and more) of files (file_id, num_channels) that have channels to tell apart: a mono file
+    ignores its map. A channel that a file lacks is an error; a null one stays null."""
+    rows = channel_map.join(files.filter("num_channels > 1").select("file_id", "num_channels"), "file_id")
+    lacks = (F.col("channel") >= F.col("num_channels")) | (F.col("channel") < 0)
+    known = F.when(lacks, F.raise_error(F.concat(F.lit("no channel "), "channel", F.lit(" in "), "file_id"))).otherwise(F.col("channel"))
+    return rows.withColumn("channel", known.cast("int")).drop("num_channels")
 
 
 def num_channels(channels: DataFrame) -> DataFrame:
@@ -164,7 +205,7 @@ def windows(views: DataFrame, bounds: DataFrame, codec: CodecParams, context_sec
     rows = rows.withColumn("length", (F.greatest(hi - lo, F.lit(0)) * F.col("num_channels")).cast("bigint")).withColumn("skip", lo.cast("int")).withColumn("c", size(context_secs)).withColumn("d", F.col("c") - size(overlap_secs))
     good = F.when((F.col("c") % unit != 0) | (F.col("d") % unit != 0), F.raise_error(F.lit("windows must hold whole frames"))).otherwise(audio_windows(F.col("length"), F.col("c"), F.col("c") - F.col("d")))
     rows = rows.withColumn("n", good.cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return rows.select(*KEYS, F.col("k").alias("example_index"), (F.col("k") * F.col("d")).alias("s"), F.least(F.col("k") * F.col("d") + F.col("c"), F.col("length")).alias("e"), "length", "skip", "c", "d", "n")
+    return rows.select(*KEYS, F.col("k").alias("example_index"), "num_channels", (F.col("k") * F.col("d")).alias("s"), F.least(F.col("k") * F.col("d") + F.col("c"), F.col("length")).alias("e"), "length", "skip", "c", "d", "n")
 
 
 def events_in_windows(pieces: DataFrame, spans: DataFrame) -> DataFrame:
@@ -189,24 +230,26 @@ def lead_channels(spans: DataFrame, channel_map: DataFrame | None) -> DataFrame:
     return rows.withColumn("lead", F.coalesce("_channel", F.lit(0))).drop("_who", "_channel")
 
 
-def render(spans: DataFrame, placed: DataFrame, codes: DataFrame, codec: CodecParams) -> DataFrame:
+def render(spans: DataFrame, placed: DataFrame, blocks: DataFrame, codec: CodecParams, block: int) -> DataFrame:
     """(keys, example_index, s, e, length, body): slices of audio and the pieces between them, in order.
 
-    spans: windows with their `lead` channel. The windows of a file come to its codes as one row, which is cut into
-    their slices, so the work grows with the audio of the windows; no row stands for a single code.
+    spans: windows with their `lead` channel. The windows that begin in a block come to its codes (code_blocks) as one row, which is cut into
+    their slices, so the work grows with the audio of the windows, is dealt by stretches of a file, and no row stands for a single code.
     """
     same = lambda a, b: [a["file_id"] == b["file_id"], a["view"] == b["view"], a["agent_speaker"].eqNullSafe(b["agent_speaker"]), a["example_index"] == b["example_index"]]
     own = placed.groupBy(*KEYS, "example_index").agg(F.array_sort(F.collect_list(F.struct("q", "piece"))).alias("pieces"))
     kept = ["view", "agent_speaker", "example_index", "s", "e", "length", "lead", "pieces"]
-    rows = spans.join(own, same(spans, own), "left").select(*[spans[c] for c in ("file_id", *kept[:-1], "skip")], "pieces")
-    files = rows.groupBy("file_id").agg(F.collect_list(F.struct(*kept, "skip")).alias("_windows")).join(codes, "file_id")
+    at = F.col("skip") + F.floor(F.col("s") / F.col("num_channels"))
+    rows = spans.join(own, same(spans, own), "left").select(*[spans[c] for c in ("file_id", *kept[:-1])], "num_channels", "pieces", at.alias("at")).withColumn("block", F.floor(F.col("at") / block).cast("int"))
+    wins = rows.groupBy("file_id", "block").agg(F.collect_list(F.struct(*kept, "at", "num_channels")).alias("_windows")).join(blocks, ["file_id", "block"], "left")
 
     def cut(w: Column) -> Column:
-        first = w["skip"] + (w["s"] / F.col("num_channels")).cast("int") + 1
-        n = F.greatest(((w["e"] - w["s"]) / F.col("num_channels")).cast("int"), F.lit(0))
-        return F.struct(*[w[c].alias(c) for c in kept], F.transform("channels", lambda c: F.slice(c, first, n)).alias("part"))
+        n = F.greatest(((w["e"] - w["s"]) / w["num_channels"]).cast("int"), F.lit(0))
+        silent = F.array_repeat(F.array().cast("array<int>"), w["num_channels"])  # the audio ended before
+        part = F.transform(F.coalesce("channels", silent), lambda c: F.slice(c, (w["at"] - F.col("block") * block + 1).cast("int"), n))
+        return F.struct(*[w[c].alias(c) for c in kept], part.alias("part"))
 
-    rows = files.select("file_id", F.explode(F.transform("_windows", cut)).alias("w")).select("file_id", "w.*")
+    rows = wins.select("file_id", F.explode(F.transform("_windows", cut)).alias("w")).select("file_id", "w.*")
     # the audio is carried by the fold, so that it is made once and not for every piece
     audio = codes_to_chars(interleave_channels(swap_agent_channel(F.col("part"), F.col("lead"))), codec.unicode_offset)
     start = F.struct(F.col("s").alias("from"), F.col("s").alias("at"), audio.alias("audio"), F.lit("").alias("t"))
@@ -217,29 +260,35 @@ def render(spans: DataFrame, placed: DataFrame, codes: DataFrame, codec: CodecPa
     return rows.select(*KEYS, "example_index", "s", "e", "length", body.alias("body"))
 
 
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
 def text_windows(df: DataFrame, context: int = 3000, overlap: int = 750) -> DataFrame:
     """(file_id, example_index, start_word, end_word, text) over an array of words and the speakers' array.
 
-    The next window starts `overlap` words before the end of the last, rolled forward to the next speaker's
-    word or to that end; each start depends on the window before, so it is a scan over a file's words.
+    The next window starts `overlap` words before the end of the last, rolled forward to the next speaker's word or to that end.
+    The places of the speakers' words are an index that each window is found by with one search.
     """
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for file_id, text, speakers in zip(batch["file_id"], batch["words"], batch["speakers"], strict=True):
-                tags, start, k, text = {f"{s}:" for s in speakers}, 0, 0, list(text)
-                while True:
-                    end = start + context
-                    out.append((file_id, k, start, min(end, len(text)), " ".join(text[start:end])))
-                    if end >= len(text):
-                        break
-                    start, k = end - overlap, k + 1
-                    while start < end and text[start] not in tags:
-                        start += 1
-            yield pd.DataFrame(out, columns=["file_id", "example_index", "start_word", "end_word", "text"])
-
-    return df.select("file_id", "words", "speakers").mapInPandas(scan, "file_id string, example_index int, start_word int, end_word int, text string")
+    @F.arrow_udf("array<struct<a:int,b:int>>")
+    def jumps(sizes: pa.Array, turns: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(turns).to_numpy(zero_copy_only=False))])
+        places, out = turns.flatten().to_numpy(zero_copy_only=False), []
+        for n, i, j in zip(sizes.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own, start, spans = places[i:j], 0, []
+            while not spans or spans[-1][1] < n:
+                end = start + context
+                spans.append((start, min(end, n)))
+                k = int(np.searchsorted(own, end - overlap))
+                start = min(int(own[k]), end) if k < len(own) else end
+            out.append([{"a": a, "b": b} for a, b in spans])
+        return pa.array(out, _SPANS)
+
+    tags = F.transform("speakers", lambda s: F.concat(s, F.lit(":")))
+    turns = F.array_compact(F.transform("words", lambda w, i: F.when(F.array_contains(F.col("_tags"), w), i)))
+    rows = df.withColumn("_tags", tags).select("file_id", "words", F.posexplode(jumps(F.size("words"), turns)).alias("example_index", "w"))
+    text = F.array_join(F.slice("words", F.col("w.a") + 1, F.greatest(F.col("w.b") - F.col("w.a"), F.lit(0))), " ")
+    return rows.select("file_id", "example_index", F.col("w.a").alias("start_word"), F.col("w.b").alias("end_word"), text.alias("text"))
 
 
 def text_only_words(lines: DataFrame) -> DataFrame:
@@ -249,10 +298,13 @@ def text_only_words(lines: DataFrame) -> DataFrame:
     return rows.select("file_id", words(F.col("t")).alias("words"), "speakers")
 
 
-def attach_transcripts(codes: DataFrame, lines: DataFrame, codec: CodecParams, need_text: bool = False) -> DataFrame:
-    """Files with their bounds and speakers: (file_id, channels, num_channels, n_codes, trans_start, trans_end, speakers)."""
+def attach_transcripts(codes: DataFrame, lines: DataFrame, codec: CodecParams, need_text: bool = False, channel_map: DataFrame | None = None) -> DataFrame:
+    """Files with their bounds and speakers: (file_id, channels, num_channels, n_codes, trans_start, trans_end, speakers), and with a channel
+    map their `channel_map`, speaker to channel, empty for a mono file (see own_channel_map)."""
     who = lines.groupBy("file_id").agg(F.array_sort(F.collect_set("speaker")).alias("speakers"))
     out = codes.join(transcript_bounds(lines, codec), "file_id", "inner" if need_text else "left").join(who, "file_id", "left")
-    return out.withColumn("speakers", F.coalesce("speakers", F.array().cast("array<string>")))
-
-
+    out = out.withColumn("speakers", F.coalesce("speakers", F.array().cast("array<string>")))
+    if channel_map is None:
+        return out
+    known = own_channel_map(channel_map, codes).groupBy("file_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("speaker", "channel")))).alias("channel_map"))
+    return out.join(known, "file_id", "left").withColumn("channel_map", F.coalesce("channel_map", F.create_map().cast("map<string,int>")))

@@ -9,6 +9,8 @@ from ..schemas import CodecParams
 
 #: Turns are compared within stretches of so many codes.
 STRETCH = 1500
+#: Samples last so long at most.
+LONGEST_SECS = 6.0
 
 
 def speech_ranges(lines: DataFrame, codec: CodecParams) -> DataFrame:
@@ -35,7 +37,7 @@ def non_overlapped_turns(ranges: DataFrame, n_codes: DataFrame, isolated: DataFr
     return ranges.join(n_codes.select("file_id"), "file_id", "left_semi").join(met, ["file_id", "line_no"], "left_anti")
 
 
-def candidates_outside_window(candidates: DataFrame, examples: DataFrame, max_secs: float = 6.0) -> DataFrame:
+def candidates_outside_window(candidates: DataFrame, examples: DataFrame, max_secs: float = LONGEST_SECS) -> DataFrame:
     """Candidates of the agent for each example (file_id, agent_speaker, example_index, win_start, win_end in codes of a channel) that lie outside of its window."""
     rows = examples.join(candidates.filter(F.col("length_secs") <= max_secs).withColumnRenamed("speaker", "agent_speaker"), ["file_id", "agent_speaker"])
     return rows.filter((F.col("end_code") <= F.col("win_start")) | (F.col("start_code") >= F.col("win_end")))

@@ -27,7 +27,7 @@ THRESHOLD = 0.1
 
 _FILES = """
 bounds0 as (select file_id, trunc(min(start_secs) * 50 * 1)::bigint as ts, trunc(max(end_secs) * 50 * 1)::bigint as te, list_sort(list(distinct speaker)) as speakers from loaded group by 1),
-nc as (select file_id, max(n) as n_codes, 2 as ch from codes group by 1),
+nc as (select file_id, max(n) as n_codes, max(channel) + 1 as ch from codes group by 1),
 files as (select nc.file_id, n_codes, ch, ts, te, coalesce(speakers, []) as speakers from nc left join bounds0 using (file_id)),
 views as (select file_id, 'audio_only' as view, null::varchar as agent from files
   union all select file_id, v, null from files, (select unnest(['text_only', 'audio_first', 'text_first']) as v) where len(speakers) > 0
@@ -51,16 +51,17 @@ mg1 as (select file_id, view, agent, q, case when view = 'agent' then replace(re
 merged as (select file_id, view, agent, q, case when view = 'agent' and q = 0 and starts_with(p, '<|audio|>') and length(p) > 9 then p[10:] else p end as piece from mg1)"""
 _WINDOWS = """
 wn0 as (select v.file_id, view, agent, n_codes, ch, case when view = 'audio_only' or ts is null then 0 else least(ts, n_codes) end as lo, case when view = 'audio_only' or te is null then n_codes else least(te, n_codes) end as hi from views v join files using (file_id) where view <> 'text_only'),
-wn1 as (select *, greatest(hi - lo, 0) * ch as length, 400::bigint as c, 300::bigint as d from wn0),
+wn1 as (select *, greatest(hi - lo, 0) * ch as length, (200 * ch)::bigint as c, (150 * ch)::bigint as d from wn0),
 wn2 as (select *, case when length <= c then 1 else 1 + ceil((length - c)::double / d)::bigint end as n from wn1),
 wn as (select *, k as example_index, k * d as s, least(k * d + c, length) as e from (select *, unnest(range(0, n)) as k from wn2))"""
 _RENDER = """
-chars0 as (select a.file_id, list_transform(range(0, a.n), lambda i: chr((a.codes[i + 1] + 57344)::int) || chr((b.codes[i + 1] + 57344)::int)) as pairs, list_transform(range(0, a.n), lambda i: chr((b.codes[i + 1] + 57344)::int) || chr((a.codes[i + 1] + 57344)::int)) as swapped from codes a join codes b using (file_id) where a.channel = 0 and b.channel = 1),
+chars0 as (select a.file_id, list_transform(range(0, a.n), lambda i: chr((a.codes[i + 1] + 57344)::int) || coalesce(chr((b.codes[i + 1] + 57344)::int), '')) as pairs, list_transform(range(0, a.n), lambda i: coalesce(chr((b.codes[i + 1] + 57344)::int), '') || chr((a.codes[i + 1] + 57344)::int)) as swapped
+  from (select * from codes where channel = 0) a left join (select * from codes where channel = 1) b using (file_id)),
 chars as (select v.file_id, v.view, v.agent, case when lead = 1 then swapped else pairs end as pairs from leads v join chars0 using (file_id)),
 inw as (select w.file_id, w.view, w.agent, example_index, q, piece from wn w join merged m on w.file_id = m.file_id and w.view = m.view and w.agent is not distinct from m.agent and (s = 0 or q > s) and q <= e),
-rn0 as (select inw.*, wn.s, wn.e, wn.lo, coalesce(lag(q) over (partition by inw.file_id, inw.view, inw.agent, inw.example_index order by q), wn.s) as prev from inw join wn on inw.file_id = wn.file_id and inw.view = wn.view and inw.agent is not distinct from wn.agent and inw.example_index = wn.example_index),
-rn1 as (select rn0.file_id, rn0.view, rn0.agent, example_index, string_agg(array_to_string(pairs[lo + prev // 2 + 1 : lo + q // 2], '') || piece, '' order by q) as body, max(q) as last from rn0 join chars on rn0.file_id = chars.file_id and rn0.view = chars.view and rn0.agent is not distinct from chars.agent group by all),
-body as (select wn.file_id, wn.view, wn.agent, wn.example_index, coalesce(rn1.body, '') || array_to_string(pairs[lo + coalesce(last, s) // 2 + 1 : lo + e // 2], '') as body
+rn0 as (select inw.*, wn.s, wn.e, wn.lo, wn.ch, coalesce(lag(q) over (partition by inw.file_id, inw.view, inw.agent, inw.example_index order by q), wn.s) as prev from inw join wn on inw.file_id = wn.file_id and inw.view = wn.view and inw.agent is not distinct from wn.agent and inw.example_index = wn.example_index),
+rn1 as (select rn0.file_id, rn0.view, rn0.agent, example_index, string_agg(array_to_string(pairs[lo + prev // ch + 1 : lo + q // ch], '') || piece, '' order by q) as body, max(q) as last from rn0 join chars on rn0.file_id = chars.file_id and rn0.view = chars.view and rn0.agent is not distinct from chars.agent group by all),
+body as (select wn.file_id, wn.view, wn.agent, wn.example_index, coalesce(rn1.body, '') || array_to_string(pairs[lo + coalesce(last, s) // ch + 1 : lo + e // ch], '') as body
   from wn join chars on wn.file_id = chars.file_id and wn.view = chars.view and wn.agent is not distinct from chars.agent left join rn1 on rn1.file_id = wn.file_id and rn1.view = wn.view and rn1.agent is not distinct from wn.agent and rn1.example_index = wn.example_index),
 ex as (select b.file_id, b.view, b.agent as agent_speaker, example_index::int as example_index, '<|' || b.view || '|>' || case when b.view = 'audio_only' then '' else array_to_string(list_transform(speakers, lambda x: '<|speaker|> ' || x), '') end || '<|end_header|>' || body as text from body b join files using (file_id))"""
 _TEXT_ONLY = """tw0 as (select file_id, regexp_extract_all(string_agg(speaker || ': ' || text, ' ' order by line_no), '\\S+') as words, list_sort(list(distinct speaker)) as speakers from loaded group by 1),
@@ -77,6 +78,17 @@ _ALL = (*_BASE, _NO_MAP, *_AUDIO)
 _ALL_VIEWS = (_RECURSIVE, *_ALL[1:], _TEXT_ONLY, _EVERY)
 
 
+#: Every fourth file is mono, and every fifth has no codes at all.
+_MIXED_CODES = D.CODES_SQL.replace("codes as (", "all_codes as (") + """,
+codes as (select all_codes.* from all_codes join (select distinct file_id, conv_id from utt) using (file_id) where (channel = 0 or conv_id % 4 <> 1) and conv_id % 5 <> 2)"""
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The codes of all files as mono and stereo: every fourth file is mono, every fifth has no codes at all."""
+    number = F.regexp_extract("file_id", "[0-9]+$", 0).cast("bigint")
+    return D.codes(spark, d).filter(((F.col("channel") == 0) | (number % 4 != 1)) & (number % 5 != 2))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return load_transcripts(D.utterances(spark, d), THRESHOLD)
 
@@ -335,11 +347,11 @@ def s8_channel_map_kept(spark: SparkSession, d: str) -> DataFrame:
     return C.parse_channel_map(spark.read.parquet(path))
 
 
-_RANGES = """rg as (select l.*, trunc(start_secs * 50 * 1)::bigint as a, trunc(end_secs * 50 * 1)::bigint as b, end_secs - start_secs as secs, least(trunc(start_secs * 50 * 1)::bigint, n_codes) as ca, least(trunc(end_secs * 50 * 1)::bigint, n_codes) as cb, isolated
+_RANGES = """rg as (select l.*, trunc(start_secs * 50 * 1)::bigint as a, trunc(end_secs * 50 * 1)::bigint as b, end_secs - start_secs as secs, least(trunc(start_secs * 50 * 1)::bigint, n_codes) as ca, least(trunc(end_secs * 50 * 1)::bigint, n_codes) as cb, isolated and ch > 1 as isolated
   from loaded l join files using (file_id) left join iso using (file_id, speaker)),
 alone as (select * from rg x where isolated or not exists (select 1 from rg y where x.file_id = y.file_id and x.speaker <> y.speaker and x.ca < y.cb and y.ca < x.cb and x.ca < x.cb and y.ca < y.cb))"""
 _CANDIDATES = """cand as (select wn.file_id, agent as agent_speaker, example_index::int as example_index, line_no::int as line_no, secs from wn join files using (file_id) join alone on alone.file_id = wn.file_id and alone.speaker = wn.agent
-  where wn.view = 'agent' and secs <= 6 and (b <= files.ts + s // 2 or a >= files.ts + (s + c) // 2)),
+  where wn.view = 'agent' and secs <= 6 and (b <= files.ts + s // files.ch or a >= files.ts + (s + c) // files.ch)),
 ranked as (select *, row_number() over (partition by file_id, agent_speaker, example_index order by secs desc, line_no) - 1 as voice_rank from cand),
 kept as (select * from ranked where voice_rank < 20 or secs >= 3),
 chosen as (select * from (select *, count(*) over w as n, row_number() over (partition by file_id, agent_speaker, example_index order by voice_rank) - 1 as i from kept window w as (partition by file_id, agent_speaker, example_index))
@@ -361,7 +373,7 @@ def _voice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     files, alone, spans = _voice(spark, d)
-    rows = spans.join(files.select("file_id", "num_channels", "trans_start"), "file_id")
+    rows = spans.join(files.select("file_id", "trans_start"), "file_id")
     per = lambda c: F.col("trans_start") + F.floor(c / F.col("num_channels"))
     wins = rows.select("file_id", "agent_speaker", "example_index", per(F.col("s")).alias("win_start"), per(F.col("s") + F.col("c")).alias("win_end"))
     return V.candidates_outside_window(alone, wins)
@@ -382,9 +394,19 @@ def x3_select_agent_voice(spark: SparkSession, d: str) -> DataFrame:
     return V.select_agent_voice(V.rank_voice_candidates(_candidates(spark, d))).select("file_id", "agent_speaker", "example_index", "line_no")
 
 
-_MAPPED = """leads as (select v.file_id, view, agent, coalesce(channel, 0) as lead from views v left join cm on v.file_id = cm.file_id and cm.speaker = coalesce(agent, 'A'))"""
+@query("""select file_id, n_codes::int as n_codes, ch::int as num_channels, ts as trans_start, te as trans_end, len(speakers)::int as speakers,
+ case when ch = 1 then '' else coalesce(m, '') end as channels from files left join (select file_id, string_agg(speaker || '=' || channel, ',' order by speaker) as m from cm group by 1) using (file_id)""",
+       D.UTTERANCES_SQL, _MIXED_CODES, D.LOADED_SQL, _FILES, _MAP)
+def j5_attach_channel_map(spark: SparkSession, d: str) -> DataFrame:
+    """Mono and stereo files with their channel map: a mono file has none."""
+    files = I.attach_transcripts(I.code_lengths(_mixed(spark, d)), _lines(spark, d), CODEC, channel_map=_map(spark, d))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("channel_map")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return files.select("file_id", "n_codes", "num_channels", "trans_start", "trans_end", F.size("speakers").alias("speakers"), shown.alias("channels"))
+
+
+_MAPPED = """leads as (select v.file_id, view, agent, case when ch = 1 then 0 else coalesce(channel, 0) end as lead from views v join files f on v.file_id = f.file_id left join cm on v.file_id = cm.file_id and cm.speaker = coalesce(agent, 'A'))"""
 _VOICED = """voices as (select c.file_id, agent_speaker, example_index, array_to_string(list_transform(k.codes[a + 1 : b], lambda x: chr((x + 57344)::int)), '') as voice
-  from chosen c join rg using (file_id, line_no) join cm on cm.file_id = c.file_id and cm.speaker = agent_speaker join codes k on k.file_id = c.file_id and k.channel = cm.channel),
+  from chosen c join rg using (file_id, line_no) join cm on cm.file_id = c.file_id and cm.speaker = agent_speaker join files f on f.file_id = c.file_id join codes k on k.file_id = c.file_id and k.channel = case when f.ch = 1 then 0 else cm.channel end),
 voiced as (select ex.file_id, view, ex.agent_speaker, ex.example_index, case when view = 'agent' and voice is not null then replace(text, '<|end_header|>', '<|agent_voice|>' || voice || '<|end_header|>') else text end as text
   from ex left join voices v on ex.file_id = v.file_id and ex.agent_speaker = v.agent_speaker and ex.example_index = v.example_index)"""
 _WITH_MAP = (*_BASE, _MAP, _RANGES, _MAPPED, *_AUDIO, _CANDIDATES, _VOICED)
@@ -405,3 +427,16 @@ def x3_agent_examples_with_voice(spark: SparkSession, d: str) -> DataFrame:
 def x9_all_examples_with_map(spark: SparkSession, d: str) -> DataFrame:
     """All views with a channel map: the first channel is that of speaker A, or of the agent."""
     return _mapped_examples(spark, d, "all")
+
+
+@query("select * from voiced union all select file_id, 'text_only', null, example_index, text from texts join files using (file_id)", "recursive " + D.UTTERANCES_SQL.lstrip(), _MIXED_CODES, *_WITH_MAP[2:], _TEXT_ONLY)
+def x9_mono_and_stereo_examples(spark: SparkSession, d: str) -> DataFrame:
+    """All views of mono and stereo files with a channel map, which the mono ones ignore; files without codes have no examples."""
+    isolated = C.channel_isolated(_map(spark, d))
+    return E.training_examples(D.utterances(spark, d), _mixed(spark, d), "all", CODEC, TOKENS, CONTEXT, OVERLAP, THRESHOLD, isolated, text_context=40, text_overlap=10)
+
+
+@query("select file_id, 'text_only' as view, null::varchar as agent_speaker, example_index, text from texts join files using (file_id)", "recursive " + D.UTTERANCES_SQL.lstrip(), _MIXED_CODES, D.LOADED_SQL, _FILES, _TEXT_ONLY)
+def x9_text_only_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The text-only view alone: of files that have codes."""
+    return E.training_examples(D.utterances(spark, d), _mixed(spark, d), "text_only", CODEC, TOKENS, CONTEXT, OVERLAP, THRESHOLD, text_context=40, text_overlap=10)

@@ -44,12 +44,12 @@ def transcripts(seed):
     return sorted(lines)
 
 
-def run(spark, cases, view, context=2.0, overlap=0.5):
+def run(spark, cases, view, context=2.0, overlap=0.5, strides=16, parts=1):
     utt = [(f"f{k}", "c", i, a, b, s, t) for k, (lines, _) in cases.items() for i, (a, b, s, t) in enumerate(lines)]
     schema = "file_id string, corpus_id string, line_idx int, start_secs double, end_secs double, speaker string, text string"
-    codes = [(f"f{k}", ch, "p", [ch * 1000 + i for i in range(n)]) for k, (_, n) in cases.items() for ch in (0, 1)]
-    parts = spark.createDataFrame(codes, "file_id string, channel int, part_ts string, codes array<int>")
-    out = E.training_examples(spark.createDataFrame(utt, schema), parts, view, CODEC, Tokens(), context, overlap, 0.0)
+    codes = [(f"f{k}", ch, f"p{p}", [ch * 1000 + i for i in range(n * p // parts, n * (p + 1) // parts)]) for k, (_, n) in cases.items() for ch in (0, 1) for p in range(parts)]
+    rows = spark.createDataFrame(codes, "file_id string, channel int, part_ts string, codes array<int>")
+    out = E.training_examples(spark.createDataFrame(utt, schema), rows, view, CODEC, Tokens(), context, overlap, 0.0, block_strides=strides)
     return {(r.file_id, r.agent_speaker, r.example_index): r.text.split("<|end_header|>")[1] for r in out.collect()}
 
 
@@ -173,3 +173,68 @@ def test_turns_that_meet_over_long_files(spark):
     meets = lambda x, y: x[0] == y[0] and x[2] != y[2] and cut(x)[0] < cut(x)[1] and cut(y)[0] < cut(y)[1] and cut(x)[0] < cut(y)[1] and cut(y)[0] < cut(x)[1]
     want = {x[1] for x in rows if (x[0], x[2]) == ("f1", "A") or not any(meets(x, y) for y in rows)}
     assert {r.line_no for r in V.non_overlapped_turns(ranges, sizes, isolated).collect()} == want
+
+
+def test_blocks_of_codes_give_the_same_examples(spark, cases):
+    for view in ("audio_first", "agent"):
+        assert run(spark, cases, view, strides=1, parts=3) == run(spark, cases, view)
+    parts = spark.createDataFrame([("f", c, p, list(range(n * 100, n * 100 + k))) for c in (0, 1) for n, (p, k) in enumerate([("a", 7), ("b", 0), ("c", 30)])], "file_id string, channel int, part_ts string, codes array<int>")
+    whole = [*range(7), *range(200, 230)]
+    got = {r.block: r.channels for r in I.code_blocks(parts, I.part_offsets(parts), 10, 5).collect()}
+    assert got == {b: [whole[10 * b : 10 * b + 15]] * 2 for b in range(4)}
+
+
+def test_a_long_recording_is_dealt_over_blocks(spark):
+    """One file of two hours: its codes are rows of bounded size."""
+    codec = CodecParams(framerate=50.0)
+    parts = spark.range(2).selectExpr("'f' file_id", "cast(id as int) channel", "'p' part_ts", "transform(sequence(0, 359999), x -> cast(x as int)) codes")
+    block, halo = I.block_sizes(codec, 80.0, 20.0, 6.0)
+    rows = I.code_blocks(parts, I.part_offsets(parts), block, halo)
+    sizes = rows.select(F.size(F.get("channels", F.lit(0))).alias("n"), F.size("channels").alias("c")).collect()
+    assert len(sizes) == 8 and max(r.n for r in sizes) == block + halo == 52000 and {r.c for r in sizes} == {2}
+
+
+def test_a_part_that_is_there_twice_is_an_error(spark):
+    parts = spark.createDataFrame([("f", 0, "p", [1]), ("f", 0, "p", [2])], "file_id string, channel int, part_ts string, codes array<int>")
+    with pytest.raises(Exception, match="a part is there twice"):
+        I.part_offsets(parts).collect()
+
+
+def test_mono_files_ignore_the_channel_map(spark):
+    utt = [(f, "c", i, a, a + 1.0, s, f"t{i}") for f in ("mono", "stereo", "nocodes") for i, (a, s) in enumerate([(0.0, "A"), (1.0, "B"), (2.0, "A"), (9.0, "B")])]
+    lines = spark.createDataFrame(utt, "file_id string, corpus_id string, line_idx int, start_secs double, end_secs double, speaker string, text string")
+    parts = spark.createDataFrame([("mono", 0, "p", list(range(100))), *(("stereo", c, "p", [1000 * c + i for i in range(100)]) for c in (0, 1))], "file_id string, channel int, part_ts string, codes array<int>")
+    swapped = spark.createDataFrame([(f, s, c, True) for f in ("mono", "stereo", "nocodes") for s, c in (("A", 1), ("B", 0))], "file_id string, speaker string, channel int, isolated boolean")
+    made = lambda view, known: {(r.file_id, r.view, r.agent_speaker, r.example_index): r.text for r in E.training_examples(lines, parts, view, CODEC, Tokens(), 4.0, 1.0, 0.0, known).collect()}
+    got, plain = made("all", swapped), made("all", None)
+    assert set(got) == set(plain) and None not in got.values() and {k[0] for k in got} == {"mono", "stereo"}
+    body = lambda t: t.split("<|end_header|>")[1]
+    assert all(body(got[k]) == body(plain[k]) for k in got if k[0] == "mono")
+    assert any(body(got[k]) != body(plain[k]) for k in got if k[0] == "stereo")
+    voices = {k: t.split("<|agent_voice|>")[1].split("<|end_header|>")[0] for k, t in got.items() if "<|agent_voice|>" in t}
+    assert {k[0] for k in voices} == {"mono", "stereo"} and all(ord(c) - 0xE000 < 100 for k, v in voices.items() for c in v if k[0] == "mono")
+    assert {k[0] for k in made("text_only", swapped)} == {"mono", "stereo"}
+    files = I.attach_transcripts(I.code_lengths(parts), lines, CODEC, channel_map=swapped)
+    assert {r.file_id: r.channel_map for r in files.collect()} == {"mono": {}, "stereo": {"A": 1, "B": 0}}
+    wrong = spark.createDataFrame([("stereo", "A", 2, True)], "file_id string, speaker string, channel int, isolated boolean")
+    with pytest.raises(Exception, match="no channel 2 in stereo"):
+        made("agent", wrong)
+
+
+@pytest.mark.parametrize("context,overlap", [(7, 3), (5, 4), (40, 10)])
+def test_text_windows_equal_the_rolling_rule(spark, context, overlap):
+    rng, rows, want = random.Random(context), [], {}
+    for k in range(30):
+        text = [rng.choice(["A:", "B:", "C:", "x", "y", "z", "w"]) for _ in range(rng.randrange(1, 90))]
+        rows.append((k, text, ["A", "B"]))
+        start, i = 0, 0
+        while True:
+            end = start + context
+            want[k, i] = (start, min(end, len(text)), " ".join(text[start:end]))
+            if end >= len(text):
+                break
+            turns = [j for j in range(end - overlap, end) if text[j] in ("A:", "B:")]
+            start, i = turns[0] if turns else end, i + 1
+    df = spark.createDataFrame([*rows, (99, [], [])], "file_id long, words array<string>, speakers array<string>")
+    got = {(r.file_id, r.example_index): (r.start_word, r.end_word, r.text) for r in I.text_windows(df, context, overlap).collect()}
+    assert got == want | {(99, 0): (0, 0, "")}
