@@ -112,13 +112,16 @@ class Tokenizers:
             for part in (keys[: len(keys) // 2], keys[len(keys) // 2 :]):  # find the windows that differ
                 self._learn(part)
             return
-        shared, i, j = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        j = np.searchsorted(ends_b, ends_a)  # both end together, so this is never behind the last one
+        last = ends_b[j] == ends_a
+        i, j = np.flatnonzero(last), j[last]
+        shared, last_of_b = ends_a[i], np.zeros(len(b), bool)
+        last_of_b[j] = True
         links = a[i].astype(np.int64) * len(self.b) + b[j]
         after_i, after_j = i + 1, j + 1
-        group_a, group_b = np.searchsorted(i, np.arange(len(a))), np.searchsorted(j, np.arange(len(b)))
         written = np.empty(len(a) + len(b), np.int64)  # each id behind the ids before it in its group and all of earlier groups
-        written[np.arange(len(a)) + np.concatenate([[0], after_j])[group_a]] = 2 * a + np.isin(np.arange(len(a)), i, assume_unique=True)
-        written[np.arange(len(b)) + after_i[group_b]] = 2 * (len(self.a) + b) + np.isin(np.arange(len(b)), j, assume_unique=True)
+        written[np.arange(len(a)) + np.concatenate([[0], after_j])[np.cumsum(last) - last]] = 2 * a + last
+        written[np.arange(len(b)) + after_i[np.cumsum(last_of_b) - last_of_b]] = 2 * (len(self.a) + b) + last_of_b
         text = [*map(self.written.__getitem__, written.tolist())]
         groups = np.stack([np.diff(after_i, prepend=0), np.diff(after_j, prepend=0)], axis=1).astype(np.int32).tobytes()
         links, ends = links.tobytes(), ends_a[last_a - 1]
@@ -128,16 +131,27 @@ class Tokenizers:
             self.kept[key] = raw[0][y:y1], b"".join(text[x:x1])[:-1], links[z:z1], groups[z:z1]
             x, y, z = x1, y1, z1
 
-    def windows(self, part: str) -> tuple[np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
-        """Ids of both tokenizers for a part that begins with a space, and its windows by their ids."""
-        a, b = self.ids_a(part), self.ids_b(part[1:])
-        starts_a, starts_b = (np.cumsum(n) - n for n in (self.len_a[a], self.len_b[b]))
-        at_a, at_b = np.flatnonzero(self.mark_a[a]), np.flatnonzero(self.mark_b[b])
-        _, i, j = np.intersect1d(starts_a[at_a], starts_b[at_b], assume_unique=True, return_indices=True)
-        inner = (at_a[i] > 0) & (at_b[j] > 0)
-        cuts_a, cuts_b = ((4 * np.concatenate([[0], at[inner], [n]])).tolist() for at, n in ((at_a[i], len(a)), (at_b[j], len(b))))
+    def windows(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[bytes, bytes]], list[int]]:
+        """Ids of both tokenizers for parts that begin with a space, their windows by their ids, and each part's first window."""
+        each_a, each_b = [*map(self.ids_a, parts)], [self.ids_b(p[1:]) for p in parts]
+        sides = []
+        for each, length, mark in ((each_a, self.len_a, self.mark_a), (each_b, self.len_b, self.mark_b)):
+            ids, n = np.concatenate(each), np.array([*map(len, each)])
+            first = np.cumsum(n) - n
+            starts = np.cumsum(length[ids]) - length[ids]
+            starts += np.repeat((np.arange(len(parts)) << 40) - starts[first], n)  # bytes of the own part
+            marked = mark[ids]
+            marked[first] = True
+            at = np.flatnonzero(marked)
+            sides.append((ids, first, at, starts[at]))
+        (a, first, at_a, starts_a), (b, _, at_b, starts_b) = sides
+        k = np.minimum(np.searchsorted(starts_b, starts_a), len(starts_b) - 1)
+        shared = starts_b[k] == starts_a
+        cuts_a, cuts_b = at_a[shared], at_b[k[shared]]
+        begins = np.searchsorted(cuts_a, first).tolist()
         raw_a, raw_b = a.tobytes(), b.tobytes()
-        return a, b, [(raw_a[a0:a1], raw_b[b0:b1]) for a0, a1, b0, b1 in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:])]  # noqa: B905
+        x, y = (4 * np.append(cuts_a, len(a))).tolist(), (4 * np.append(cuts_b, len(b))).tolist()
+        return each_a, each_b, [(raw_a[a0:a1], raw_b[b0:b1]) for a0, a1, b0, b1 in zip(x, x[1:], y, y[1:])], [*begins, len(cuts_a)]  # noqa: B905
 
     def align_all(self, texts: list[str | None], detail: bool) -> list[Alignment | None]:
         """The alignment of each text; None where it has no tokens."""
@@ -154,23 +168,30 @@ class Tokenizers:
         return out
 
     def _align(self, parts: list[tuple[int, str]], out: list[Alignment | None], detail: bool) -> None:
-        found = [(i, part, *self.windows(part)) for i, part in parts if out[i]]
+        parts = [(i, part) for i, part in parts if out[i]]
+        if not parts:
+            return
+        a, b, keys, begins = self.windows([part for _, part in parts])
         if len(self.kept) > KEPT_WINDOWS:
             self.kept.clear()
-        new = dict.fromkeys(k for *_, keys in found for k in keys if k not in self.kept)
-        if new:
-            self._learn(list(new))
-        for i, part, a, b, keys in found:
+        known = [*map(self.kept.get, keys)]
+        missing = [n for n, w in enumerate(known) if w is None]
+        if missing:
+            new = [*dict.fromkeys([keys[n] for n in missing])]
+            self._learn(new)
+            for n in missing:
+                known[n] = self.kept[keys[n]]
+            longest = 4 * KEPT_TOKENS
+            for k in new:
+                if len(k[0]) > longest or len(k[1]) > longest:
+                    del self.kept[k]
+        for (i, part), own_a, own_b, x, y in zip(parts, a, b, begins, begins[1:]):  # noqa: B905
             if out[i]:
-                known = [*map(self.kept.__getitem__, keys)]
-                if False in known or b"".join([w[0] for w in known]) != part.encode():
+                own = known[x:y]
+                if False in own or b"".join([w[0] for w in own]) != part.encode():
                     out[i] = None
                 else:
-                    out[i].add(a, b, known, detail)
-        longest = 4 * KEPT_TOKENS
-        for k in new:
-            if len(k[0]) > longest or len(k[1]) > longest:
-                del self.kept[k]
+                    out[i].add(own_a, own_b, own, detail)
 
 
 class Alignment:
