@@ -6,15 +6,15 @@ each shard builds an FM-index (a wavelet matrix over the Burrows-Wheeler transfo
 and streams them through it: backward search gives each window's interval, those of two occurrences or more are
 reported, and a window goes if the first of its occurrences is an earlier one.
 
-An anchor of more than HOT_ROWS stretches, or of more than HOT of all, is hot: its windows are dealt by their DEEP least hashes
+An anchor of more than Bounds.hot_rows stretches, or of more than HOT of all, is hot: its windows are dealt by their DEEP least hashes
 instead, which splits its index, and equal stretches are combined where they are before they are dealt. A key that
 is still too large is indexed in parts, by the hash of its windows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +31,21 @@ GRAM = 6
 HOT = 1e-3
 #: Hot anchors are looked for in a sample of about so many stretches.
 HOT_SAMPLE = 2_000_000
-#: An anchor of more stretches is hot too. It bounds what a shard holds of other anchors.
-HOT_ROWS = 20_000
 #: Windows of hot anchors are dealt by so many of their least hashes.
 DEEP = 3
-#: Equal stretches of hot anchors are combined in a task while so many different ones are held.
-COMBINED = 50_000
-#: A shard's index is built when so many words have come together.
-SHARD_WORDS = 250_000
-#: A key of more words is indexed in parts of about so many.
-KEY_WORDS = 1_000_000
+
+
+class Bounds(NamedTuple):
+    """Sizes that decide how work is dealt, never what is found. They are sent with the work."""
+
+    #: An anchor of more stretches is hot, whatever its share. It bounds what a shard holds of other anchors.
+    hot_rows: int = 20_000
+    #: Equal stretches of hot anchors are combined in a task while so many different ones are held.
+    combined: int = 50_000
+    #: A shard's index is built when so many words have come together.
+    shard_words: int = 250_000
+    #: A key of more words is indexed in parts of about so many.
+    key_words: int = 4_000_000
 
 
 def _stretches(data: np.ndarray, offsets: np.ndarray, powers: Powers):
@@ -88,7 +93,11 @@ PAIR = "anchor long, ord long, dk long, hot boolean"
 _PAIR = pa.schema([("anchor", pa.int64()), ("ord", pa.int64()), ("dk", pa.int64()), ("hot", pa.bool_())])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(hot_rows: int):
+    return lambda batches: _twice(batches, hot_rows)
+
+
+def _twice(batches: Iterator[pa.RecordBatch], hot_rows: int) -> Iterator[pa.RecordBatch]:
     """Of rows (anchor, ord, dk) sorted by anchor, those whose anchor another row has too, and whether it is hot."""
     held, flowing = None, None  # the last anchor's rows; an anchor whose rows are passed on as hot
 
@@ -111,9 +120,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(first)
         last = int(first[-1])
         each = np.repeat(size, size)
-        yield out([r[:last] for r in rows], each > 1, each[each > 1] > HOT_ROWS)
+        yield out([r[:last] for r in rows], each > 1, each[each > 1] > hot_rows)
         held = [r[last:] for r in rows]
-        if len(held[0]) > HOT_ROWS:
+        if len(held[0]) > hot_rows:
             flowing = held[0][0]
             yield out(held, slice(None), np.ones(len(held[0]), bool))
             held = None
@@ -148,7 +157,11 @@ def _wanted(listed: pa.Array, rows: np.ndarray, anchor: np.ndarray) -> list[int]
     return [i for i, pair in enumerate(zip(rows.tolist(), anchor.tolist(), strict=True)) if pair in wanted] if wanted else []
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(combined: int):
+    return lambda batches: _cut(batches, combined)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], combined: int) -> Iterator[pa.RecordBatch]:
     """Of documents (ord, dk, text, anchors, hot): the stretches of the listed anchors, words joined by a space; of hot ones each
     once in a task, at its first place, and ranges of words (n, no words) to remove at its others."""
     powers = Powers()
@@ -187,7 +200,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         gone.append({"key": later[1], "ord": later[0], "dk": later[1], "start": later[2], "n": w.count(b" ") + 1})
                 if gone:
                     yield pa.RecordBatch.from_pylist(gone, schema=_SEGMENT)
-                if len(held) > COMBINED:
+                if len(held) > combined:
                     yield flushed()
     if held:
         yield flushed()
@@ -260,12 +273,22 @@ class FMIndex:
         return alive[more], low[more], high[more]
 
 
-def earlier_windows(segments: list[tuple[int, int, int, bytes]], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Of segments (ord, dk, start, words): (segment, offset, words) of what is covered by windows that also start earlier.
-
-    Order is by ord, dk and start. Segments must hold all occurrences of their windows, each sequence of words once, at its first place.
-    """
-    out: list[tuple[int, int, int]] = []
+def _later(text: np.ndarray, symbols: int, at: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
+    """Which of the windows text[at:at + window] have an equal one at a smaller place, by backward search for all of them. at is sorted."""
+    index = FMIndex(text, symbols)
+    alive, low, high = index.repeats(text, at, window)
+    if not len(alive):
+        return np.zeros(0, np.int64)
+    bounds, of = np.unique(low, return_inverse=True)
+    upper = np.zeros(len(bounds), np.int64)
+    upper[of] = high
+    ordered = np.concatenate([place[index.suffixes], [0]])
+    earliest = np.minimum.reduceat(ordered, np.column_stack([bounds, upper]).ravel())[::2]
+    return np.sort(at[alive[earliest[of] < place[at[alive]]]])
+
+
+def _joined_text(segments: list[tuple[int, int, int, bytes]]):
+    """Segments by place as one sequence of symbols, 0 behind each: their order, symbols, first places, the segment of each symbol and its place."""
     chosen = sorted(range(len(segments)), key=lambda i: segments[i][:3])
     codes: dict[bytes, int] = {}
     text, ends = [], []
@@ -273,71 +296,77 @@ def earlier_windows(segments: list[tuple[int, int, int, bytes]], window: int = W
         text += [codes.setdefault(w, len(codes) + 1) for w in segments[i][3].split(b" ")]
         text.append(0)
         ends.append(len(text))
-    text, ends = np.array(text, np.int64), np.array(ends)
-    begins = np.concatenate([[0], ends[:-1]])
+    text, ends = np.array(text, np.int64), np.array(ends, np.int64)
+    begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     sizes = ends - begins
     seg = np.repeat(np.arange(len(chosen)), sizes)
-    offset = np.arange(len(text)) - begins[seg]
     docs: dict[tuple[int, int], int] = {}
-    doc = np.array([docs.setdefault(segments[i][:2], len(docs)) for i in chosen])
-    place = (doc << 32)[seg] + np.array([segments[i][2] for i in chosen])[seg] + offset  # order of all places
+    doc = np.array([docs.setdefault(segments[i][:2], len(docs)) for i in chosen], np.int64)
+    offset = np.arange(len(text)) - begins[seg]
+    place = (doc << 32)[seg] + np.array([segments[i][2] for i in chosen], np.int64)[seg] + offset  # order of all places
+    return chosen, text, len(codes) + 1, seg, sizes, offset, place
+
+
+def earlier_windows(segments: list[tuple[int, int, int, bytes]], window: int = WINDOW, most: int | None = None) -> list[tuple[int, int, int]]:
+    """Of segments (ord, dk, start, words): (segment, offset, words) of what is covered by windows that also start earlier.
+
+    Order is by ord, dk and start. Segments must hold all occurrences of their windows, each sequence of words once, at its first place.
+    With `most`, no index has more words: each window goes to a part by its hash, once, and every part has an index of its own.
+    """
+    if not segments:
+        return []
+    chosen, text, symbols, seg, sizes, offset, place = _joined_text(segments)
     at = np.flatnonzero(offset + window < sizes[seg])
-    index = FMIndex(text, len(codes) + 1)
-    alive, low, high = index.repeats(text, at, window)
-    if len(alive):
-        bounds, of = np.unique(low, return_inverse=True)
-        upper = np.zeros(len(bounds), np.int64)
-        upper[of] = high
-        ordered = np.concatenate([place[index.suffixes], [0]])
-        earliest = np.minimum.reduceat(ordered, np.column_stack([bounds, upper]).ravel())[::2]
-        gone = at[alive[earliest[of] < place[at[alive]]]]
-        if len(gone):
-            gone = np.sort(gone)
-            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(gone) > 1) | (np.diff(seg[gone]) > 0)]))
-            last = np.concatenate([cuts[1:], [len(gone)]]) - 1
-            out += [(chosen[seg[gone[a]]], int(offset[gone[a]]), int(gone[b] - gone[a]) + window) for a, b in zip(cuts.tolist(), last.tolist(), strict=True)]
-    return out
-
-
-def earlier_windows_in_parts(segments: list[tuple[int, int, int, bytes]], most: int, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """earlier_windows() of segments that are too many for one index: each window goes to a part by its hash."""
-    words = [x[3].split(b" ") for x in segments]
-    n = sum(len(w) - window + 1 for w in words) * window // most + 1
-    out = []
-    for part in range(n):
-        own: dict[bytes, tuple[int, int]] = {}
-        for i, w in enumerate(words):
-            for at in range(len(w) - window + 1):
-                each = b" ".join(w[at : at + window])
-                if zlib.crc32(each) % n == part:
-                    here = (i, at)
-                    before = own.setdefault(each, here)
-                    if before != here:
-                        place = lambda p: (*segments[p[0]][:2], segments[p[0]][2] + p[1])
-                        own[each], later = sorted((before, here), key=place)
-                        out.append((*later, window))
-        names = list(own.values())
-        found = earlier_windows([(*segments[i][:2], segments[i][2] + at, w) for w, (i, at) in own.items()], window)
-        out += [(names[k][0], names[k][1] + offset, size) for k, offset, size in found]
-    return out
+    if most is None or len(text) <= most:
+        gone = _later(text, symbols, at, place, window)
+    else:
+        hashes = window_hashes(mixed(text.astype(np.uint64)), window)[at]
+        parts = len(at) * (window + 1) // most + 1
+        part = (hashes >> np.uint64(11)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        found = [np.zeros(0, np.int64)]
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            own = at[order[a:b]]
+            if len(own) < 2:
+                continue
+            whole = np.concatenate([text[own[:, None] + np.arange(window)], np.zeros((len(own), 1), np.int64)], axis=1)
+            words, codes = np.unique(whole, return_inverse=True)  # 0 stays the separator
+            places = np.repeat(place[own], window + 1)
+            later = _later(codes.ravel(), len(words), np.arange(len(own)) * (window + 1), places, window)
+            found.append(own[later // (window + 1)])
+        gone = np.sort(np.concatenate(found))
+    if not len(gone):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(gone) > 1) | (np.diff(seg[gone]) > 0)]))
+    last = np.concatenate([cuts[1:], [len(gone)]]) - 1
+    return [(chosen[seg[gone[a]]], int(offset[gone[a]]), int(gone[b] - gone[a]) + window) for a, b in zip(cuts.tolist(), last.tolist(), strict=True)]
 
 
 _RANGE = pa.schema([("ord", pa.int64()), ("dk", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 RANGE = "ord long, dk long, start int, n int"
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ranges of words to remove, from rows of _segments sorted by key: keys are kept whole, shards have SHARD_WORDS words or more.
+def _indexed(bounds: Bounds):
+    """A function from rows of _segments sorted by key to ranges of words to remove: keys are kept whole, shards have bounds.shard_words words or more.
 
     Of equal stretches the first one is indexed; all windows of the others go.
     """
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _shards(batches, bounds)
+
+    return indexed
+
+
+def _shards(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[pa.RecordBatch]:
     held: dict[bytes, tuple[int, int, int]] = {}
     gone: list[tuple[int, int, int, int]] = []
     words, last = 0, None
 
     def done() -> pa.RecordBatch:
         segments = [(*p, w) for w, p in held.items()]
-        found = earlier_windows_in_parts(segments, SHARD_WORDS) if words > KEY_WORDS else earlier_windows(segments) if segments else []
+        found = earlier_windows(segments, most=bounds.key_words)
         rows = gone + [(segments[i][0], segments[i][1], segments[i][2] + a, n) for i, a, n in found]
         return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANGE, strict=True)] if rows else [pa.array([], f.type) for f in _RANGE], schema=_RANGE)
 
@@ -346,7 +375,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if w is None:
                 gone.append((o, d, s, n))
                 continue
-            if key != last and words >= SHARD_WORDS:
+            if key != last and words >= bounds.shard_words:
                 yield done()
                 held, gone, words = {}, [], 0
             last, place = key, (o, d, s)
@@ -397,7 +426,7 @@ def hot_anchors(anchors: DataFrame) -> DataFrame:
     return sample.groupBy("anchor").count().filter(F.col("count") > max(100.0, HOT * total / share)).select("anchor")
 
 
-def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", bounds: Bounds = Bounds()) -> DataFrame:
     """(key, n_words, n_removed, kept) of each document: kept are the words left, joined by one space.
 
     A word goes if it is covered by a window of WINDOW words whose sequence also starts earlier: in a
@@ -417,15 +446,15 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     hot = stored(hot_anchors(first_pass), "hot")
     every = first_pass.select(F.explode("anchors").alias("anchor"), *own)
     cold = every.join(F.broadcast(hot), "anchor", "left_anti")
-    twice = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated, PAIR)
+    twice = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeated(bounds.hot_rows), PAIR)
     twice = twice.unionByName(every.join(F.broadcast(hot), "anchor", "left_semi").withColumn("hot", F.lit(True)))
     lists = [F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")]
     listed = twice.groupBy(*own).agg(*lists)
     marks = stored(listed.join(copies, own, "full").select(*own, "anchors", "hot", F.coalesce("copy", F.lit(False)).alias("copy")), "marks")
     # stretches of the documents that have such anchors, dealt by anchor
     joined = docs.join(marks, own, "left")
-    stretches = joined.filter(~F.col("copy") & F.col("anchors").isNotNull()).select(*own, "text", "anchors", "hot").mapInArrow(_segments, SEGMENT)
-    ranges = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_indexed, RANGE)
+    stretches = joined.filter(~F.col("copy") & F.col("anchors").isNotNull()).select(*own, "text", "anchors", "hot").mapInArrow(_segments(bounds.combined), SEGMENT)
+    ranges = stretches.repartition("key").sortWithinPartitions("key").mapInArrow(_indexed(bounds), RANGE)
     cut = ranges.groupBy(*own).agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
     out = joined.join(cut, own, "left").select("id", _kept(F.col("text"), F.coalesce("copy", F.lit(False)), F.col("ranges")).alias("k"))
     return out.select(F.col("id").alias(key), "k.n_words", "k.n_removed", "k.kept")

@@ -728,17 +728,17 @@ def brute_removed(rows):
 @pytest.mark.parametrize("way", ["cold", "hot", "many", "parts"])
 def test_removed_equals_brute_force(spark, docs, monkeypatch, way):
     """Anchors as they are; hot ones by their share; hot ones by their number; keys that are indexed in parts."""
+    bounds = sub.Bounds()
     if way == "hot":
         every = lambda a: a.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 2").select("anchor")
-        monkeypatch.setattr(sub, "hot_anchors", every)
-        monkeypatch.setattr(sub, "COMBINED", 20)
+        monkeypatch.setattr(sub, "hot_anchors", every)  # the driver calls it
+        bounds = sub.Bounds(combined=20)
     elif way == "many":
-        monkeypatch.setattr(sub, "HOT_ROWS", 3)
+        bounds = sub.Bounds(hot_rows=3)
     elif way == "parts":
-        monkeypatch.setattr(sub, "SHARD_WORDS", 100)
-        monkeypatch.setattr(sub, "KEY_WORDS", 60)
+        bounds = sub.Bounds(shard_words=100, key_words=60)
     rows = [(r.doc_id, r.text) for r in docs.dropDuplicates(["doc_id"]).filter("doc_id is not null").collect()]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sub.removed(clashing(docs.filter("doc_id is not null"))).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sub.removed(clashing(docs.filter("doc_id is not null")), bounds=bounds).collect()}
     assert got == brute_removed(rows)
     assert sum(v[1] for v in got.values()) > 1000
 
@@ -753,16 +753,68 @@ def test_removed_tells_apart_documents_that_share_a_key(spark):
     assert sum(len(k.split()) for i, k in got if i == 5) in (1 + 35, 1 + 35 + 15)
 
 
-def test_repeated_anchors_and_hot_ones(monkeypatch):
+def segment_batches(rows, size):
+    import pyarrow as pa
+
+    rows = sorted(rows, key=lambda r: r[0])
+    return [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), sub._SEGMENT, strict=True)], schema=sub._SEGMENT) for i in range(0, len(rows), size)]
+
+
+def test_bounds_of_shards_and_keys_are_taken(monkeypatch):
+    """The workers' functions with small bounds: more shards and indexes, the same windows."""
+    rng, rows, sizes = random.Random(16), [], []
+    for i in range(60):
+        words = [f"{i % 7}" + rng.choice("ab") if i % 3 else f"{i % 7}w{rng.randrange(4)}" for _ in range(rng.randrange(20, 120))]
+        rows.append((i % 7, i, i, 0, None, " ".join(words).encode()))
+    monkeypatch.setattr(sub, "_later", lambda text, *a, real=sub._later: sizes.append(len(text)) or real(text, *a))
+
+    def gone(bounds):
+        sizes.clear()
+        batches = [*sub._indexed(bounds)(iter(segment_batches(rows, 9)))]
+        covered = {(r["ord"], r["start"] + k) for b in batches for r in b.to_pylist() for k in range(r["n"])}
+        return covered, len(batches), max(sizes), len(sizes)
+
+    plain, shards, largest, _ = gone(sub.Bounds())
+    small = gone(sub.Bounds(shard_words=300, key_words=200))
+    assert plain and small[0] == plain and shards == 1 and small[1] > 3
+    assert largest > 2000 and small[2] <= 600 and small[3] > 20  # parts are about as large as asked for
+    assert sub.earlier_windows([]) == [] and sub.earlier_windows([], most=1) == []
+
+
+def test_a_periodic_document_of_two_million_words(spark):
+    """One key that holds all of a document: removed but for its first windows."""
+    for n, bounds in ((2_000_000, sub.Bounds()), (60_000, sub.Bounds(key_words=20_000))):
+        docs = spark.createDataFrame([(1, "ab " * n), (2, "x ab ab y")], "doc_id long, text string")
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sub.removed(docs, bounds=bounds).collect()}
+        assert got == {1: (n, n - 1, "ab"), 2: (4, 0, "x ab ab y")}
+
+
+def test_combined_stretches_are_passed_on(docs):
+    """With a small bound a task gives its combined stretches away more often."""
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(80)) for _ in range(40)]
+    data = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    offsets[-1] -= 1
+    *_, anchor, first, _, _ = sub._stretches(data, offsets, sub.Powers())
+    listed = pa.array([sorted(set(anchor.tolist()))] * len(texts), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts), pa.array([[]] * 40, pa.list_(pa.int64())), listed], ["ord", "dk", "text", "anchors", "hot"])
+    few, many = ([*sub._segments(n)(iter([batch] * 3))] for n in (50_000, 5))
+    known = lambda found: {(r["ord"], r["start"], r["words"]) for b in found for r in b.to_pylist() if r["words"]}
+    assert len(many) > len(few) and known(many) == known(few)
+
+
+def test_repeated_anchors_and_hot_ones():
     import pyarrow as pa
 
-    monkeypatch.setattr(sub, "HOT_ROWS", 4)
     rng = random.Random(15)
     anchors = sorted(a for a in range(40) for _ in range(rng.choice([1, 1, 2, 4, 5, 30])))
     rows = [(a, i, i) for i, a in enumerate(anchors)]
     for size in (1, 3, 7, 1000):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["anchor", "ord", "dk"]) for i in range(0, len(rows), size)]
-        got = [tuple(r.values()) for b in sub._repeated(iter(batches)) for r in b.to_pylist()]
+        got = [tuple(r.values()) for b in sub._repeated(4)(iter(batches)) for r in b.to_pylist()]
         n = Counter(anchors)
         assert got == [(a, i, i, n[a] > 4) for a, i, _ in rows if n[a] > 1]
 
