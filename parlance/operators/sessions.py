@@ -2,40 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import format_timestamp, sentence_text
+from ..session import staged
+from .splits import numbered
+from .stats import exact_median
 
+#: Sessions of more rows are dealt over tasks by blocks of so many.
+BLOCK = 1 << 20
 
-def rolling_zscore(df: DataFrame, window: int = 200, update: int = 50, value: str = "value", keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx") -> DataFrame:
-    """z of each value by the mean and deviation in force before it, which are renewed on every value until there are
-    `update`, then on every `update`-th size of the window; at first 0 and 1. A deviation of zero gives null."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    frame = w.rowsBetween(1 - window, 0)
-    rows = df.withColumn("_n", F.least(F.row_number().over(w), F.lit(window)))
-    now = F.struct(F.avg(value).over(frame).alias("m"), F.when(F.col("_n") > 1, F.stddev_pop(value).over(frame)).otherwise(F.lit(1.0)).alias("s"))
-    rows = rows.withColumn("_now", now)
-    due = (F.col("_n") < update) | (F.col("_n") % update == 0)
-    rows = rows.withColumn("_force", F.last(F.when(due, F.col("_now")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    m, s = F.coalesce(F.col("_force.m"), F.lit(0.0)), F.coalesce(F.col("_force.s"), F.lit(1.0))
-    return rows.withColumn("z", F.try_divide(F.col(value) - m, s)).drop("_n", "_now", "_force")
-
-
-def rolling_zscore_pooled(df: DataFrame, window: int = 200, update: int = 50, keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx") -> DataFrame:
-    """z1 and z2 of two channels ch1, ch2 by their common mean and deviation, from sums and squares of both."""
+
+def _long_sessions(df: DataFrame, keys: tuple[str, ...], order: str, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of sessions of `block` rows or fewer, and those of longer ones (None if there are none) with `_i`, their place in the
+    session, and `_b`, the block of rows they are in. Long sessions are numbered by a sort over all of them, so that no task has one whole."""
+    sizes = staged(df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > block), "long-sessions")
+    if sizes.isEmpty():
+        return df, None
+    on = reduce(and_, (df[k].eqNullSafe(sizes[k]) for k in keys))
+    rows = numbered(df.join(sizes, on, "left_semi"), *keys, order).drop("_total")
+    firsts = rows.groupBy(*keys).agg(F.min("_place").alias("_first")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_first")
+    rows = rows.join(firsts, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))).withColumn("_i", F.col("_place") - F.col("_first"))
+    return df.join(sizes, on, "left_anti"), rows.drop("_place", "_first", *(f"_{k}" for k in keys)).withColumn("_b", F.floor(F.col("_i") / block))
+
+
+def _in_force(df: DataFrame, moments: Callable[[WindowSpec, Column], Column], window: int, update: int, keys: tuple[str, ...], order: str, block: int) -> DataFrame:
+    """df with `_m` and `_s`, the mean and deviation in force before each row. moments(frame, size of the window) is their struct (m, s).
+
+    Long sessions are cut into blocks of rows, each with the rows before it that its windows reach back to."""
+
+    def windowed(rows: DataFrame, w: WindowSpec, n: Column) -> DataFrame:
+        rows = rows.withColumn("_n", F.least(n, F.lit(window)))
+        rows = rows.withColumn("_now", moments(w.rowsBetween(1 - window, 0), F.col("_n")))
+        due = (F.col("_n") < update) | (F.col("_n") % update == 0)
+        return rows.withColumn("_force", F.last(F.when(due, F.col("_now")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+    short, long = _long_sessions(df, keys, order, block)
     w = Window.partitionBy(*keys).orderBy(order)
-    frame = w.rowsBetween(1 - window, 0)
-    rows = df.withColumn("_n", F.least(F.row_number().over(w), F.lit(window)))
-    total = F.sum(F.col("ch1") + F.col("ch2")).over(frame)
-    squares = F.sum(F.col("ch1") * F.col("ch1") + F.col("ch2") * F.col("ch2")).over(frame)
-    mean = total / (2 * F.col("_n"))
-    deviation = F.when(F.col("_n") > 1, F.sqrt(F.greatest(F.lit(0.0), squares / (2 * F.col("_n")) - mean * mean))).otherwise(F.lit(1.0))
-    rows = rows.withColumn("_now", F.struct(mean.alias("m"), deviation.alias("s")))
-    due = (F.col("_n") < update) | (F.col("_n") % update == 0)
-    rows = rows.withColumn("_force", F.last(F.when(due, F.col("_now")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    m, s = F.coalesce(F.col("_force.m"), F.lit(0.0)), F.coalesce(F.col("_force.s"), F.lit(1.0))
-    return rows.withColumn("z1", F.try_divide(F.col("ch1") - m, s)).withColumn("z2", F.try_divide(F.col("ch2") - m, s)).drop("_n", "_now", "_force")
+    out = windowed(short, w, F.row_number().over(w)).select(*df.columns, "_force")
+    if long is not None:
+        # a full window that isn't a multiple of `update` is never renewed: what its last due row gave stays in force
+        last_due = window // update * update
+        reach = window + update
+        rows = long.withColumn("_k", F.explode(F.sequence(F.col("_b"), F.floor((F.col("_i") + reach) / block))))
+        rows = windowed(rows, Window.partitionBy(*keys, "_k").orderBy("_i"), F.col("_i") + 1)
+        own = rows.filter("_k = _b")
+        if window > update and window % update:
+            kept = own.filter(F.col("_i") == last_due - 1).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_now").alias("_kept"))
+            own = own.join(kept, reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), "left").withColumn("_force", F.when(F.col("_i") >= last_due, F.col("_kept")).otherwise(F.col("_force")))
+        out = out.unionByName(own.select(*df.columns, "_force"))
+    return out.select(*df.columns, F.coalesce("_force.m", F.lit(0.0)).alias("_m"), F.coalesce("_force.s", F.lit(1.0)).alias("_s"))
+
+
+def rolling_zscore(df: DataFrame, window: int = 200, update: int = 50, value: str = "value", keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx", block: int = BLOCK) -> DataFrame:
+    """z of each value by the mean and deviation in force before it, which are renewed on every value until there are
+    `update`, then on every `update`-th size of the window; at first 0 and 1. A deviation of zero gives null. Sessions of more than `block` rows
+    are dealt over tasks by blocks of rows."""
+    moments = lambda frame, n: F.struct(F.avg(value).over(frame).alias("m"), F.when(n > 1, F.stddev_pop(value).over(frame)).otherwise(F.lit(1.0)).alias("s"))
+    rows = _in_force(df, moments, window, update, keys, order, block)
+    return rows.withColumn("z", F.try_divide(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+
+
+def rolling_zscore_pooled(df: DataFrame, window: int = 200, update: int = 50, keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx", block: int = BLOCK) -> DataFrame:
+    """z1 and z2 of two channels ch1, ch2 by their common mean and deviation, as rolling_zscore.
+
+    The variance is that of the chunks' means and the mean of the variances within chunks, both by differences, so that large means don't cancel it."""
+    middle, half = (F.col("ch1") + F.col("ch2")) / 2, (F.col("ch1") - F.col("ch2")) / 2
+
+    def moments(frame: WindowSpec, n: Column) -> Column:
+        deviation = F.sqrt(F.var_pop(middle).over(frame) + F.avg(half * half).over(frame))
+        return F.struct(F.avg(middle).over(frame).alias("m"), F.when(n > 1, deviation).otherwise(F.lit(1.0)).alias("s"))
+
+    rows = _in_force(df, moments, window, update, keys, order, block)
+    return rows.withColumn("z1", F.try_divide(F.col("ch1") - F.col("_m"), F.col("_s"))).withColumn("z2", F.try_divide(F.col("ch2") - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def realtime_factor_blocks(df: DataFrame, chunk_secs: float = 0.1, block: int = 20, keys: tuple[str, ...] = ("session_id", "stage")) -> DataFrame:
@@ -46,21 +90,56 @@ def realtime_factor_blocks(df: DataFrame, chunk_secs: float = 0.1, block: int =
 
 
 def realtime_factor_summary(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("stage").agg(F.percentile("factor", 0.5).alias("median_factor"), F.count("*").alias("blocks"))
+    """(stage, median_factor, blocks). Factors are counted and sorted by range for their median: no task has a stage whole."""
+    return exact_median(blocks, "stage", "factor").select("stage", F.col("median").alias("median_factor"), F.col("n").alias("blocks"))
+
+
+def inactivity_timers(df: DataFrame, z: str = "z", chunk_secs: float = 0.1, finalize: float = 3.0, keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx", block: int = BLOCK) -> DataFrame:
+    """inactive_secs since the last z >= 0 (or the start), activity_start_secs of the latest rise of z from below 0, and whether this chunk crosses `finalize`.
+
+    Sessions of more than `block` rows are dealt over tasks by blocks; a block starts with what the ones before it carry over."""
+
+    def timed(rows: DataFrame, i: Column, last: Column, rise: Column) -> DataFrame:
+        since = i - F.coalesce(last, F.lit(0))
+        rows = rows.withColumn("inactive_chunks", since).withColumn("inactive_secs", since * chunk_secs)
+        rows = rows.withColumn("activity_start_secs", (rise - 1) * chunk_secs)
+        crossed = (F.col("inactive_secs") >= finalize) & ((F.col("inactive_chunks") - 1) * chunk_secs < finalize)
+        return rows.withColumn("finalize", crossed).select(*df.columns, "inactive_chunks", "inactive_secs", "activity_start_secs", "finalize")
 
+    def marked(rows: DataFrame, w: WindowSpec, before: Column) -> DataFrame:
+        active = F.coalesce(F.col(z) >= 0, F.lit(False))
+        rose = active & (F.coalesce(F.when(F.row_number().over(w) == 1, before).otherwise(F.lag(z).over(w)), F.lit(0.0)) < 0)
+        return rows.withColumn("_on", F.when(active, F.col("_at"))).withColumn("_up", F.when(rose, F.col("_at")))
 
-def inactivity_timers(df: DataFrame, z: str = "z", chunk_secs: float = 0.1, finalize: float = 3.0, keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx") -> DataFrame:
-    """inactive_secs since the last z >= 0 (or the start), activity_start_secs of the latest rise of z from below 0, and whether this chunk crosses `finalize`."""
+    short, long = _long_sessions(df, keys, order, block)
     w = Window.partitionBy(*keys).orderBy(order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    active = F.coalesce(F.col(z) >= 0, F.lit(False))
-    rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_a", active)
-    since = F.col("_i") - F.coalesce(F.max(F.when(F.col("_a"), F.col("_i"))).over(upto), F.lit(0))
-    rows = rows.withColumn("inactive_chunks", since).withColumn("inactive_secs", since * chunk_secs)
-    rise = F.col("_a") & (F.coalesce(F.lag(z).over(w), F.lit(0.0)) < 0)
-    rows = rows.withColumn("activity_start_secs", F.max(F.when(rise, (F.col("_i") - 1) * chunk_secs)).over(upto))
-    crossed = (F.col("inactive_secs") >= finalize) & ((F.col("inactive_chunks") - 1) * chunk_secs < finalize)
-    return rows.withColumn("finalize", crossed).drop("_i", "_a")
+    rows = marked(short.withColumn("_at", F.row_number().over(w)), w, F.lit(None).cast("double"))
+    out = timed(rows, F.col("_at"), F.max("_on").over(upto), F.max("_up").over(upto))
+    if long is None:
+        return out
+    long = long.withColumn("_at", F.col("_i") + 1)
+    own = ["_b", *keys]
+    ends = long.groupBy(*own).agg(F.max_by(F.struct(F.col(z).alias("z")), "_i").alias("_end"))
+    blocks = Window.partitionBy(*keys).orderBy("_b")
+    same = lambda a, b: reduce(and_, (a[k].eqNullSafe(b[k]) for k in own))
+    with_end = lambda left, right, *more: left.join(right, same(left, right), "left").select(*(left[c] for c in left.columns), *more)
+    ends = staged(ends.select(*own, F.lag("_end").over(blocks)["z"].alias("_before")), "blocks")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_i")
+    rows = marked(with_end(long, ends, "_before"), inside, F.col("_before"))
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*own).agg(F.max("_on").alias("_on"), F.max("_up").alias("_up"))
+    carried = staged(carried.select(*own, F.max("_on").over(earlier).alias("_last"), F.max("_up").over(earlier).alias("_rise")), "carried")
+    rows = with_end(rows, carried, "_last", "_rise")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return out.unionByName(timed(rows, F.col("_at"), F.coalesce(F.max("_on").over(upto), "_last"), F.coalesce(F.max("_up").over(upto), "_rise")))
+
+
+def channel_timers(df: DataFrame, chunk_secs: float = 0.1, finalize: float = 3.0, keys: tuple[str, ...] = ("session_id",), order: str = "chunk_idx", block: int = BLOCK) -> DataFrame:
+    """df with ch1_inactive_secs and ch2_inactive_secs by z1 and z2, the second channel's activity_start_secs, and whether the first one crosses `finalize`."""
+    first = inactivity_timers(df, "z1", chunk_secs, finalize, keys, order, block).withColumnRenamed("inactive_secs", "ch1_inactive_secs").drop("inactive_chunks", "activity_start_secs")
+    second = inactivity_timers(first.withColumnRenamed("finalize", "_crosses"), "z2", chunk_secs, finalize, keys, order, block)
+    return second.drop("finalize", "inactive_chunks").withColumnRenamed("inactive_secs", "ch2_inactive_secs").withColumnRenamed("_crosses", "finalize")
 
 
 def force_flags(df: DataFrame, trans_after: float = 0.5, response_after: float = 3.0) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
+#: Files of a corpus are ranked by so many hexadecimal digits of their hash first.
+HASH_DIGITS = 3
+
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with `_place`, the number of each row in a stable order, from 0, and `_total`, how many there are.
@@ -32,13 +35,18 @@ def corpus_file_counts(examples: DataFrame) -> DataFrame:
 def file_split(files: DataFrame, seed: int = 42, train: float = 0.94, dev: float = 0.02, test: float = 0.04) -> DataFrame:
     """(file_id, corpus_id, split): the files of a corpus in the order of a hash, cut by ratio; one dev file at least, if there are two.
 
-    Files are numbered over all corpora by a sort, and a corpus has a stretch of the numbers: no task has a corpus whole.
+    A corpus is ranked by the first bits of the hash: files are counted by these, and only those that share them are put in order together.
     """
     if min(train, dev, test) <= 0 or abs(train + dev + test - 1) > 1e-9:
         raise ValueError("ratios must be positive and have the sum 1")
-    rows = numbered(files.select("file_id", "corpus_id", F.md5(F.concat(F.lit(f"{seed}:"), "file_id")).alias("_h")), "corpus_id", "_h", "file_id")
-    corpora = rows.groupBy("corpus_id").agg(F.min("_place").alias("_from"), F.count("*").alias("_n"))
-    rows = rows.join(corpora, "corpus_id").withColumn("_i", F.col("_place") - F.col("_from"))
+    rows = files.select("file_id", "corpus_id", F.md5(F.concat(F.lit(f"{seed}:"), "file_id")).alias("_h")).withColumn("_k", F.substring("_h", 1, HASH_DIGITS))
+    counts = rows.groupBy("corpus_id", "_k").agg(F.count("*").alias("_c"))
+    corpus = Window.partitionBy("corpus_id")
+    before = F.sum("_c").over(corpus.orderBy("_k")) - F.col("_c")
+    offsets = counts.select(F.col("corpus_id").alias("_corpus"), F.col("_k").alias("_key"), before.alias("_before"), F.sum("_c").over(corpus).alias("_n"))
+    rows = rows.join(offsets, F.col("corpus_id").eqNullSafe(F.col("_corpus")) & (F.col("_k") == F.col("_key")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("corpus_id", "_k").orderBy("_h", "file_id")) - 1
+    rows = rows.withColumn("_i", place)
     part = lambda ratio: F.greatest(F.lit(1), (F.col("_n") * F.lit(ratio)).cast("int"))
     split = F.when(F.col("_i") < part(train), "train").when(F.col("_i") < part(train) + part(dev), "dev").otherwise("test")
     return rows.select("file_id", "corpus_id", split.alias("split"))

@@ -52,6 +52,21 @@ def dataset_stats(lengths: DataFrame, seconds: str = "seconds") -> DataFrame:
     )
 
 
+def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median, n): of each key's values that aren't null. Values are counted, then each different one is sorted by range, so that no task has
+    a key whole; the median is where the running counts pass the middle."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    rows = staged(counted.orderBy("k", "v").withColumn("part", F.spark_partition_id()), "values")
+    parts = rows.groupBy("k", "part").agg(F.sum("w").alias("s"))  # a row a partition, and one a key
+    own = Window.partitionBy("k")
+    parts = parts.select(F.col("k").alias("_k"), F.col("part").alias("_part"), (F.sum("s").over(own.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(own).alias("n"))
+    rows = rows.join(parts, F.col("k").eqNullSafe(F.col("_k")) & (F.col("part") == F.col("_part")))
+    rows = rows.withColumn("to", F.col("before") + F.sum("w").over(Window.partitionBy("k", "part").orderBy("v")))
+    at = lambda place: F.max(F.when((F.col("to") - F.col("w") <= place) & (place < F.col("to")), F.col("v")))
+    found = rows.groupBy("k").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), F.max("n").alias("n"))
+    return found.withColumnRenamed("k", key)
+
+
 def token_accuracy(df: DataFrame, labels: str = "labels", preds: str = "preds") -> DataFrame:
     """(accuracy, n): each prediction against the next label; labels of -100 don't count."""
     n = F.size(labels)

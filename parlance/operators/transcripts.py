@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,26 +101,40 @@ def letters_by_header(df: DataFrame, participants: str = "participants") -> Data
     return df.withColumn("speaker", letter(F.array_position(participants, F.col("speaker")) - 1))
 
 
-def _dedupe(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["start_secs", "line_idx"], kind="stable")
-    kept: list[int] = []
-    start, end, who = rows["start_secs"].to_numpy(), rows["end_secs"].to_numpy(), rows["speaker"].to_numpy()
-    for i in range(len(rows)):
-        if kept:
-            k = kept[-1]
-            if start[k] == start[i] and who[k] == who[i] and end[i] > end[k]:
-                kept[-1] = i
-                continue
-            if start[i] < end[k] or (end[k] == end[i] and who[k] == who[i] and start[i] > start[k]):
-                continue
-        kept.append(i)
-    return rows.iloc[kept]
-
-
 def dedupe_overlaps(df: DataFrame, key: str = "file_id") -> DataFrame:
     """A recording's lines against the last one that was kept: a longer one with the same start and speaker replaces it,
-    one that starts before its end goes. What is kept decides, so this is a scan and no lag. A group is one recording."""
-    return df.groupBy(key).applyInPandas(_dedupe, df.schema)
+    one that starts before its end goes. What is kept decides, so this is a fold and no lag.
+
+    A line that starts behind the end of all lines before it meets none of them: there a recording is cut, and each stretch is folded on its own.
+    """
+    order = Window.partitionBy(key).orderBy("start_secs", "line_idx")
+    ended = F.max("end_secs").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = F.coalesce((F.col("start_secs") > ended) & (F.col("end_secs") >= F.col("start_secs")), F.lit(False)).cast("int")
+    # the fold carries places in the stretch, and the last kept line's times; lines stay where they are
+    rows = df.withColumn("_cut", cut).withColumn("_stretch", F.sum("_cut").over(order))
+    lines = F.array_sort(F.collect_list(F.struct("start_secs", "line_idx", F.struct(*df.columns).alias("row"))))
+    stretches = rows.groupBy(key, "_stretch").agg(lines.alias("_l")).select("_l")
+    kind = f"struct<n:int,at:int,start:double,end:double,who:{df.schema['speaker'].dataType.simpleString()},kept:array<int>>"
+    first = F.from_json(F.lit('{"n": 0, "at": -1, "kept": []}'), kind)
+
+    def step(acc: Column, line: Column) -> Column:
+        row = line["row"]
+        same = acc["who"].eqNullSafe(row["speaker"])
+        longer = (acc["start"] == row["start_secs"]) & same & (row["end_secs"] > acc["end"])
+        goes = (row["start_secs"] < acc["end"]) | ((acc["end"] == row["end_secs"]) & same & (row["start_secs"] > acc["start"]))
+        begun = acc["at"] >= 0
+        replace, skip = begun & F.coalesce(longer, F.lit(False)), begun & F.coalesce(goes, F.lit(False))
+        kept = F.when(replace, acc["kept"]).when(skip, acc["kept"]).when(begun, F.concat(acc["kept"], F.array(acc["at"]))).otherwise(acc["kept"])
+        stays = ~replace & skip
+        now = lambda old, new: F.when(stays, old).otherwise(new)
+        return F.struct(
+            (acc["n"] + 1).alias("n"), now(acc["at"], acc["n"]).alias("at"), now(acc["start"], row["start_secs"]).alias("start"), now(acc["end"], row["end_secs"]).alias("end"),
+            now(acc["who"], row["speaker"]).alias("who"), kept.alias("kept"),
+        ).cast(kind)
+
+    places = F.aggregate("_l", first, step, lambda acc: F.concat(acc["kept"], F.array(acc["at"])))
+    kept = stretches.select(F.explode(F.transform(places, lambda i: F.get("_l", i)["row"])).alias("row"))
+    return kept.select(*[F.col("row")[f].alias(f) for f in df.columns])
 
 
 def sort_lines(df: DataFrame) -> DataFrame:

@@ -59,3 +59,33 @@ def select_agent_voice(ranked: DataFrame, seed: int = 42) -> DataFrame:
     digest = F.md5(F.concat_ws(":", F.lit(seed), "file_id", "agent_speaker", "example_index"))
     pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.count("*").over(group)
     return ranked.withColumn("_pick", pick).withColumn("_i", F.row_number().over(group.orderBy("voice_rank")) - 1).filter("_i = _pick").drop("_pick", "_i")
+
+
+def choose_agent_voice(candidates: DataFrame, examples: DataFrame, seed: int = 42, least: int = 20, long_secs: float = 3.0, max_secs: float = LONGEST_SECS) -> DataFrame:
+    """What select_agent_voice chooses from rank_voice_candidates of candidates_outside_window, without a row for each window and candidate.
+
+    A speaker's candidates are ranked once. A window only leaves out the few that lie in it, so their ranks and the counts of all give
+    the place of the chosen one among all: the work grows with windows and turns. Windows and turns meet by stretches of the file.
+    """
+    own = ["file_id", "agent_speaker"]
+    fits = candidates.filter(F.col("length_secs") <= max_secs).withColumnRenamed("speaker", "agent_speaker")
+    ranked = fits.withColumn("_rank", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("length_secs"), "line_no")) - 1)
+    long = F.col("length_secs") >= long_secs
+    totals = ranked.groupBy(*own).agg(F.count("*").alias("_all"), F.sum(long.cast("bigint")).alias("_long"))
+    stretches = lambda a, b: F.sequence(F.floor(F.col(a) / STRETCH), F.floor(F.col(b) / STRETCH))
+    wins = examples.withColumn("_at", F.explode(stretches("win_start", "win_end")))
+    turns = ranked.select(*own, "start_code", "end_code", "_rank", long.alias("_is_long")).withColumn("_at", F.explode(stretches("start_code", "end_code")))
+    inside = (F.col("end_code") > F.col("win_start")) & (F.col("start_code") < F.col("win_end"))
+    once = F.col("_at") == F.greatest(F.floor(F.col("win_start") / STRETCH), F.floor(F.col("start_code") / STRETCH))
+    out = wins.join(turns, [*own, "_at"]).filter(inside & once)
+    lost = out.groupBy(*own, "example_index").agg(F.array_sort(F.collect_list("_rank")).alias("_ranks"), F.sum(F.col("_is_long").cast("bigint")).alias("_lost_long"))
+    rows = examples.join(totals, own).join(lost, [*own, "example_index"], "left")
+    ranks = F.coalesce("_ranks", F.array().cast("array<int>"))
+    left = F.col("_all") - F.size(ranks)
+    rows = rows.withColumn("_n", F.greatest(F.least(F.lit(least), left), F.col("_long") - F.coalesce("_lost_long", F.lit(0)))).filter("_n > 0")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "file_id", "agent_speaker", "example_index"))
+    pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("_n")
+    # ranks that the window leaves out move the chosen one back, as far as they lie before it
+    moved = F.aggregate(ranks, pick, lambda at, r: at + (r <= at).cast("bigint"))
+    chosen = rows.select(*own, "example_index", moved.cast("int").alias("_rank"))
+    return chosen.join(ranked, [*own, "_rank"]).drop("_rank")

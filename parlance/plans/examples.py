@@ -69,7 +69,7 @@ def chosen_voices(lines: DataFrame, files: DataFrame, spans: DataFrame, channel_
     per = lambda c: F.col("trans_start") + F.floor(F.col(c) / F.col("num_channels"))
     full = examples.withColumn("e", F.col("s") + F.col("c"))  # the window as asked for, not cut to the audio
     wins = full.select("file_id", "agent_speaker", "example_index", per("s").alias("win_start"), per("e").alias("win_end"))
-    return V.select_agent_voice(V.rank_voice_candidates(V.candidates_outside_window(alone, wins)), seed)
+    return V.choose_agent_voice(alone, wins, seed)
 
 
 def text_only(lines: DataFrame, tokens: Tokens = Tokens(), context: int = 3000, overlap: int = 750) -> DataFrame:

@@ -371,12 +371,16 @@ def _voice(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     return files, alone, spans
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
+def _agent_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files, alone, spans = _voice(spark, d)
     rows = spans.join(files.select("file_id", "trans_start"), "file_id")
     per = lambda c: F.col("trans_start") + F.floor(c / F.col("num_channels"))
     wins = rows.select("file_id", "agent_speaker", "example_index", per(F.col("s")).alias("win_start"), per(F.col("s") + F.col("c")).alias("win_end"))
-    return V.candidates_outside_window(alone, wins)
+    return alone, wins
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return V.candidates_outside_window(*_agent_windows(spark, d))
 
 
 @query("select file_id, agent_speaker, example_index, line_no from cand", *_BASE, _MAP, _RANGES, _WINDOWS, _CANDIDATES)
@@ -391,7 +395,7 @@ def w7_rank_voice_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select file_id, agent_speaker, example_index, line_no from chosen", *_BASE, _MAP, _RANGES, _WINDOWS, _CANDIDATES)
 def x3_select_agent_voice(spark: SparkSession, d: str) -> DataFrame:
-    return V.select_agent_voice(V.rank_voice_candidates(_candidates(spark, d))).select("file_id", "agent_speaker", "example_index", "line_no")
+    return V.choose_agent_voice(*_agent_windows(spark, d)).select("file_id", "agent_speaker", "example_index", "line_no")
 
 
 @query("""select file_id, n_codes::int as n_codes, ch::int as num_channels, ts as trans_start, te as trans_end, len(speakers)::int as speakers,

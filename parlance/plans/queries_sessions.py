@@ -37,9 +37,8 @@ def w8_rolling_zscore(spark: SparkSession, d: str) -> DataFrame:
 
 
 _POOLED = f"""p0 as (select *, least(row_number() over (partition by session_id order by chunk_idx), {WINDOW}) as n from chunks),
-p1 as (select *, n < {UPDATE} or n % {UPDATE} = 0 as upd, sum(ch1 + ch2) over f as s1, sum(ch1 * ch1 + ch2 * ch2) over f as s2 from p0 window f as (partition by session_id order by chunk_idx rows between {WINDOW - 1} preceding and current row)),
-p2 as (select *, s1 / (2 * n) as m, case when n > 1 then sqrt(greatest(0, s2 / (2 * n) - (s1 / (2 * n)) * (s1 / (2 * n)))) else 1 end as s from p1),
-p3 as (select *, coalesce(last_value(case when upd then m end ignore nulls) over w, 0) as fm, coalesce(last_value(case when upd then s end ignore nulls) over w, 1) as fs from p2 window w as (partition by session_id order by chunk_idx rows between unbounded preceding and 1 preceding))"""
+p1 as (select *, n < {UPDATE} or n % {UPDATE} = 0 as upd, avg((ch1 + ch2) / 2) over f as m, case when n > 1 then sqrt(var_pop((ch1 + ch2) / 2) over f + avg(((ch1 - ch2) / 2) * ((ch1 - ch2) / 2)) over f) else 1 end as s from p0 window f as (partition by session_id order by chunk_idx rows between {WINDOW - 1} preceding and current row)),
+p3 as (select *, coalesce(last_value(case when upd then m end ignore nulls) over w, 0) as fm, coalesce(last_value(case when upd then s end ignore nulls) over w, 1) as fs from p1 window w as (partition by session_id order by chunk_idx rows between unbounded preceding and 1 preceding))"""
 
 
 @query("select session_id, chunk_idx, round((ch1 - fm) / nullif(fs, 0), 5) as z1, round((ch2 - fm) / nullif(fs, 0), 5) as z2 from p3", D.CHUNKS_SQL, _POOLED)
@@ -48,6 +47,17 @@ def w8_rolling_zscore_pooled(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_id", "chunk_idx", F.round("z1", 5).alias("z1"), F.round("z2", 5).alias("z2"))
 
 
+_FAR = "far as (select * replace (1000000 + ch1 as ch1, 1000000 + ch2 as ch2) from chunks)"
+
+
+@query("select session_id, chunk_idx, round((ch1 - fm) / nullif(fs, 0), 3) as z1, round((ch2 - fm) / nullif(fs, 0), 3) as z2 from p3", D.CHUNKS_SQL, _FAR, _POOLED.replace("from chunks", "from far"))
+def w8_rolling_zscore_pooled_far(spark: SparkSession, d: str) -> DataFrame:
+    """Values far from zero, whose squares would cancel."""
+    far = D.chunk_metrics(spark, d).withColumn("ch1", F.col("ch1") + 1000000).withColumn("ch2", F.col("ch2") + 1000000)
+    rows = N.rolling_zscore_pooled(far, WINDOW, UPDATE)
+    return rows.select("session_id", "chunk_idx", F.round("z1", 3).alias("z1"), F.round("z2", 3).alias("z2"))
+
+
 _BLOCKS = """rf0 as (select session_id, event_type as stage, chunk_idx, (row_number() over (partition by session_id, event_type order by chunk_idx) - 1) // 5 as block, 0.1::double / (value / 100 + 1e-8::double) as f from chunks),
 rf as (select session_id, stage, block, avg(f) as factor from rf0 group by all having count(*) = 5)"""
 
@@ -73,12 +83,30 @@ def w10_inactivity_timers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("session_id", "chunk_idx", F.col("inactive_chunks").cast("bigint").alias("inactive_chunks"), F.round("inactive_secs", 6).alias("inactive_secs"), F.round("activity_start_secs", 6).alias("activity_start_secs"), "finalize")
 
 
-@query("""select session_id, chunk_idx, coalesce(inactive_secs >= 0.2::double and z >= -2 and speaker = 'user', false) as force_transcription, least(inactive_secs, inactive_secs) >= 0.3::double as force_response
- from (select *, case when z >= -5 then case when ch1 > ch2 then 'agent' else 'user' end end as speaker from timers)""", D.CHUNKS_SQL, _Z, _TIMERS)
+_TWO = """c0 as (select session_id, chunk_idx, ch1, ch2, row_number() over (partition by session_id order by chunk_idx) as i, round((ch1 - fm) / nullif(fs, 0), 5) as z1, round((ch2 - fm) / nullif(fs, 0), 5) as z2 from p3),
+c1 as (select *, coalesce(z2 >= 0, false) as on2, coalesce(lag(z2) over (partition by session_id order by chunk_idx), 0) < 0 as below from c0),
+two as (select *, (i - coalesce(max(case when z1 >= 0 then i end) over u, 0)) * 0.1::double as s1, (i - coalesce(max(case when z2 >= 0 then i end) over u, 0)) * 0.1::double as s2, max(case when on2 and below then (i - 1) * 0.1::double end) over u as start
+  from c1 window u as (partition by session_id order by chunk_idx))"""
+
+
+def _channels(spark: SparkSession, d: str) -> DataFrame:
+    rows = N.rolling_zscore_pooled(D.chunk_metrics(spark, d), WINDOW, UPDATE)
+    return N.channel_timers(rows.withColumn("z1", F.round("z1", 5)).withColumn("z2", F.round("z2", 5)), finalize=0.3)
+
+
+@query("select session_id, chunk_idx, round(s1, 6) as ch1_inactive_secs, round(s2, 6) as ch2_inactive_secs, round(start, 6) as activity_start_secs, s1 >= 0.3::double and round(s1 / 0.1::double) = 3 as finalize from two", D.CHUNKS_SQL, _POOLED, _TWO)
+def w10_channel_timers(spark: SparkSession, d: str) -> DataFrame:
+    """A timer for each channel, by the pooled z."""
+    secs = [F.round(c, 6).alias(c) for c in ("ch1_inactive_secs", "ch2_inactive_secs", "activity_start_secs")]
+    return _channels(spark, d).select("session_id", "chunk_idx", *secs, "finalize")
+
+
+@query("""select session_id, chunk_idx, coalesce(s2 >= 0.2::double and z1 + 2 >= 1 and speaker = 'user', false) as force_transcription, least(s1, s2) >= 0.3::double as force_response
+ from (select *, case when z1 + 4 >= 0 then case when ch1 > ch2 then 'agent' else 'user' end end as speaker from two)""", D.CHUNKS_SQL, _POOLED, _TWO)
 def w11_force_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Both channels have one timer here; the event's z is raised by 3 so that the flags occur."""
-    rows = _timers(spark, d).withColumn("ch1_inactive_secs", F.col("inactive_secs")).withColumn("ch2_inactive_secs", F.col("inactive_secs")).withColumn("event_z", F.col("z") + 3)
-    rows = rows.withColumn("probable_speaker", N.probable_event_speaker(F.col("z") + 5, F.col("ch1"), F.col("ch2")))
+    """Each channel has its own timer; the event's z is the first channel's, raised so that the flags occur."""
+    rows = _channels(spark, d).withColumn("event_z", F.col("z1") + 2)
+    rows = rows.withColumn("probable_speaker", N.probable_event_speaker(F.col("z1") + 4, F.col("ch1"), F.col("ch2")))
     return N.force_flags(rows, 0.2, 0.3).select("session_id", "chunk_idx", "force_transcription", "force_response")
 
 

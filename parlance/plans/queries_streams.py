@@ -38,8 +38,8 @@ z2 as (select *, coalesce(last_value(case when upd then m end ignore nulls) over
 
 @query("select session_id, chunk_idx, value, round((value - fm) / nullif(fs, 0), 5) as z from z2", _Z)
 def t1_stream_rolling_zscore(spark: SparkSession, d: str) -> DataFrame:
-    rows = stream(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_idx"), "value")
-    return finished(J.stream_rolling_zscore(rows, 20, 5)).withColumn("z", F.round("z", 5))
+    rows = stream(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_idx"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    return finished(J.stream_rolling_zscore(rows, 20, 5, "30 days", "1 day")).withColumn("z", F.round("z", 5))
 
 
 @query("""select session_id, chunk_idx, z, inactive_chunks, inactive_chunks * 0.1::double >= 0.3::double and (inactive_chunks - 1) * 0.1::double < 0.3::double as finalize from (select session_id, chunk_idx, z, i - coalesce(max(case when z >= 0 then i end) over (partition by session_id order by chunk_idx), 0) as inactive_chunks
@@ -49,6 +49,30 @@ def t2_stream_inactivity(spark: SparkSession, d: str) -> DataFrame:
     return finished(J.stream_inactivity(rows, 0.1, 0.3, "30 days", "1 day"))
 
 
+_ACTIVE = """a0 as (select user_id as session_id, event_id as chunk_idx, ts, value - 50 as z1, json_extract_string(props, '$.k')::double - 40 as z2, (value - 20) / 20 as event_z, case when value > 60 then 'agent' else 'user' end as speaker,
+  row_number() over (partition by user_id order by event_id) as i from events),
+a1 as (select *, coalesce(lag(z2) over (partition by session_id order by chunk_idx), 0) < 0 as below from a0),
+a2 as (select *, i - coalesce(max(case when z1 >= 0 then i end) over u, 0) as n1, i - coalesce(max(case when z2 >= 0 then i end) over u, 0) as n2, max(case when z2 >= 0 and below then i - 1 end) over u * 0.1::double as start
+  from a1 window u as (partition by session_id order by chunk_idx)),
+a3 as (select *, n1 * 0.1::double >= 0.3::double and (n1 - 1) * 0.1::double < 0.3::double as finalize, n2 * 0.1::double >= 0.2::double and event_z >= 1 and speaker = 'user' as force_transcription, least(n1, n2) * 0.1::double >= 0.3::double as force_response from a2),
+ends as (select session_id, max(ts) as last, max_by(n1, chunk_idx) as n1, max_by(n2, chunk_idx) as n2, max_by(start, chunk_idx) as start from a3 group by 1),
+silent as (select *, last + to_milliseconds(round((0.3::double - n1 * 0.1::double) * 1000)::bigint) as ring from ends where round((0.3::double - n1 * 0.1::double) * 1000) > 0)"""
+
+
+@query("""select session_id, chunk_idx, strftime(ts, '%Y-%m-%d %H:%M:%S') as "at", round(n1 * 0.1::double, 3) as ch1_inactive_secs, round(n2 * 0.1::double, 3) as ch2_inactive_secs, round(start, 3) as activity_start_secs, finalize, force_transcription, force_response from a3
+ union all select session_id, null, strftime(ring, '%Y-%m-%d %H:%M:%S'), 0.3::double, round(n2 * 0.1::double + 0.3::double - n1 * 0.1::double, 3), round(start, 3), true, false, round(least(0.3::double, n2 * 0.1::double + 0.3::double - n1 * 0.1::double), 6) >= 0.3::double
+ from silent where ring < (select max(ts) from events) - interval '10 seconds'""", _ACTIVE)
+def t2_stream_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels with the flags that force an answer, and a row for each session that falls silent."""
+    rows = stream(spark, d, "events").select(
+        F.col("user_id").alias("session_id"), F.col("event_id").alias("chunk_idx"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") - 50).alias("z1"), (F.get_json_object("props", "$.k").cast("double") - 40).alias("z2"),
+        ((F.col("value") - 20) / 20).alias("event_z"), F.when(F.col("value") > 60, "agent").otherwise("user").alias("probable_speaker"),
+    )
+    out = finished(J.stream_activity(rows, 0.1, 0.2, 0.3, 0.3, "30 days", "10 seconds"))
+    secs = [F.round(c, 3).alias(c) for c in ("ch1_inactive_secs", "ch2_inactive_secs", "activity_start_secs")]
+    return out.select("session_id", "chunk_idx", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), *secs, "finalize", "force_transcription", "force_response")
+
+
 @query("""select stage, strftime(b, '%Y-%m-%d %H:%M:%S') as start, round(f, 4) as factor, n from (select event_type as stage, time_bucket(interval '1 hour', ts) as b, avg(0.1::double / (value + 1e-8::double)) as f, count(*) as n from events group by all)
  where b + interval '1 hour' <= (select max(ts) from events) - interval '10 minutes'""")
 def t3_stream_realtime_factor(spark: SparkSession, d: str) -> DataFrame:

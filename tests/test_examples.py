@@ -141,7 +141,7 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
         spark.createDataFrame(rows, "session_id long, chunk_idx long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     batch = spark.read.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    a = {(r.session_id, r.chunk_idx): r.z for r in finished(J.stream_rolling_zscore(stream, 20, 5)).collect()}
+    a = {(r.session_id, r.chunk_idx): r.z for r in finished(J.stream_rolling_zscore(stream, 20, 5, None)).collect()}
     b = {(r.session_id, r.chunk_idx): r.z for r in N.rolling_zscore(batch, 20, 5).collect()}
     assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
 
