@@ -19,9 +19,9 @@ from .common import mixed
 
 #: The classifier learns from about so many labelled rows at most, a share of all by the hash of their id,
 MAX_TRAIN_DOCS = 20_000
-#: and the labels that are most frequent among them, so many at most: the model has MAX_LANGS x BUCKETS numbers at most.
-MAX_LANGS = 256
-BUCKETS = 1 << 16
+#: and all of their labels. The model has MODEL_NUMBERS numbers: with more labels letters share fewer buckets, LEAST_BUCKETS at least.
+MODEL_NUMBERS = 1 << 24
+BUCKETS, LEAST_BUCKETS = 1 << 16, 1 << 10
 #: Cost of a switch of language between two words, in nats.
 SWITCH = 20.0
 #: A script is open to a language that writes at least this share of its words in it.
@@ -117,11 +117,11 @@ def _words(texts: list[str], buckets: int):
     return first, np.searchsorted(offsets, starts, "right") - 1, starts, ends, script[code[starts]], gram, offsets
 
 
-def _slices(texts: list[str]):
+def _slices(texts: list[str], most: int = SLICE_CHARS):
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= SLICE_CHARS:
+        if size >= most:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(texts):
@@ -150,27 +150,34 @@ class Model:
     def __init__(self, langs: list[str], grams: np.ndarray, scripts: np.ndarray):
         self.langs = langs
         total = grams.sum(axis=1, keepdims=True)
-        self.table = np.log((grams + 0.1) / (total + 0.1 * grams.shape[1])).T.astype(np.float32).copy()
+        self.table = np.empty((grams.shape[1], len(langs)), np.float32)
+        for i, own in enumerate(grams):
+            self.table[:, i] = np.log((own + 0.1) / (total[i] + 0.1 * grams.shape[1]))
         self.open = scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))
         self.open &= scripts > 0
         self.buckets = grams.shape[1]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = MAX_TRAIN_DOCS, most_langs: int = MAX_LANGS) -> Model:
-    """Learns from rows with a text and a label. A label is learned only if a letter taught it. Driver and broadcast get
-    most_langs x BUCKETS numbers at most."""
+def buckets_for(labels: int) -> int:
+    """A power of two: BUCKETS for up to 256 labels, then as many as keep the model at MODEL_NUMBERS, down to LEAST_BUCKETS."""
+    return max(LEAST_BUCKETS, min(BUCKETS, 1 << (MODEL_NUMBERS // max(1, labels)).bit_length() - 1))
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = MAX_TRAIN_DOCS) -> Model:
+    """Learns all labels of the rows with a text and a label, of a bounded sample of them. A label is learned only if a letter taught it.
+    Driver and broadcast get MODEL_NUMBERS numbers, up to 16384 labels; the sample has no more labels than rows."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     share = max(1, math.ceil(rows.count() / most))
     sample = rows.filter(F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(share)) == 0).select(text, lang)
-    by_lang = sample.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_langs).collect()
+    by_lang = sample.groupBy(lang).count().orderBy(F.desc("count"), lang).collect()  # the sample's rows bound it
     langs = {r[lang]: i for i, r in enumerate(by_lang)}
-    grams = np.zeros((len(langs), BUCKETS + OTHER + 1), np.int64)
+    buckets = buckets_for(len(langs))
+    grams = np.zeros((len(langs), buckets + OTHER + 1), np.int32)
     if langs:
-        own = sample.filter(F.col(lang).isin(list(langs)))
-        found = own.mapInArrow(_counts(langs, BUCKETS), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+        found = sample.mapInArrow(_counts(langs, buckets), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
         grams[found["lang"].to_numpy(), found["feature"].to_numpy()] = found["n"].to_numpy()
     taught = grams.any(axis=1)
-    return Model([x for x, good in zip(langs, taught.tolist(), strict=True) if good], grams[taught, :BUCKETS], grams[taught, BUCKETS:])
+    return Model([x for x, good in zip(langs, taught.tolist(), strict=True) if good], grams[taught, :buckets], grams[taught, buckets:])
 
 
 def path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -208,7 +215,7 @@ def _predict(model: Model, texts: list[str | None], switch: float) -> list[dict]
     if not model.langs:
         return out
     plain = [t or "" for t in texts]
-    for a, b in _slices(plain):
+    for a, b in _slices(plain, SLICE_CHARS * 256 // max(256, len(model.langs))):  # a row of scores has a number for each label
         first, row, starts, ends, script, gram, offsets = _words(plain[a:b], model.buckets)
         if not len(first):
             continue

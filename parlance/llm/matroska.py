@@ -6,6 +6,7 @@ frame or several laced ones, cues point to clusters.
 
 from __future__ import annotations
 
+import math
 import struct
 from dataclasses import dataclass, field
 
@@ -97,6 +98,8 @@ def unlaced(data: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]
     else:
         for i in range(n - 1):
             value, after = read_vint(data, at)
+            if value is None:
+                raise ValueError("a frame of a lace has no size")
             sizes.append(value if i == 0 else sizes[-1] + value - (1 << (7 * (after - at) - 1)) + 1)
             at = after
         sizes.append(end - at - sum(sizes))
@@ -148,9 +151,14 @@ def demux(data: bytes) -> Parsed:
     """Walks the elements; unknown sizes reach to the end of what holds them, or to the next cluster. A block of a group is a
     keyframe if it refers to no other. A broken or cut file is a ValueError."""
     try:
-        return _walked(data)
+        out = _walked(data)
     except (IndexError, struct.error, UnicodeDecodeError) as e:
         raise ValueError("the file is cut or broken") from e
+    if not math.isfinite(out.duration) or not 0 <= out.duration < 1 << 62:
+        raise ValueError("the duration is no length of time")
+    if any(not -(1 << 62) < p[1] < 1 << 62 or p[0] >= 1 << 31 for p in out.packets):
+        raise ValueError("a timestamp or a track is beyond any file")
+    return out
 
 
 def _walked(data: bytes) -> Parsed:
@@ -195,6 +203,8 @@ def _walked(data: bytes) -> Parsed:
             continue
         if ident in (SIMPLE_BLOCK, BLOCK):
             number_, place = read_vint(data, at)
+            if number_ is None:
+                raise ValueError("a block has no track")
             offset, flags = struct.unpack_from(">hB", data, place)
             out.blocks += 1
             each = out.tracks.get(number_, ("", 0))[1]
@@ -206,6 +216,8 @@ def _walked(data: bytes) -> Parsed:
             base = int.from_bytes(data[at:end], "big")
         elif ident == TIMESTAMP_SCALE:
             scale = int.from_bytes(data[at:end], "big")
+        elif ident == DURATION and end - at not in (4, 8):
+            raise ValueError("the duration is no number")
         elif ident == DURATION:
             out.duration = struct.unpack(">d" if end - at == 8 else ">f", data[at:end])[0]
         elif ident in (TRACK_NUMBER, DEFAULT_DURATION):
@@ -239,6 +251,11 @@ _PACKET = pa.struct([("track", pa.int32()), ("timestamp", pa.int64()), ("start",
 
 @F.arrow_udf(PARSED)
 def _parsed(media: pa.Array) -> pa.Array:
+    return parsed_table(media)
+
+
+def parsed_table(media: pa.Array) -> pa.Array:
+    """The column of parse() for a column of files."""
     payloads, packets, offsets, rest = [], [], [0], []
     for m in media:
         data, error = m.as_py() or b"", None

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
+#: Added: account numbers, and card numbers that a date or a code follows, cut to their longest end that the checksum confirms.
+KINDS = (*BASE, "iban", "cut_card")
 SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "integer").add("end", "integer").add("score", "double"))
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -35,15 +36,26 @@ IBAN_LENGTHS = {
 }
 _IBAN_LENGTH = {code: length for length, codes in IBAN_LENGTHS.items() for code in codes}
 #: Score without context, and words that raise it when they stand shortly before or after.
-SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
+SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8, "cut_card": 0.6}
 CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mailto|contact|write)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address|addr)\b", re.I),
     "card": re.compile(r"\b(?:card|visa|mastercard|credit|debit|payment)\b", re.I),
     "phone": re.compile(r"\b(?:phone|tel|telephone|mobile|call|fax)\b", re.I),
     "iban": re.compile(r"\b(?:iban|account|bank|konto|cuenta|compte)\b", re.I),
+    "cut_card": re.compile(r"\b(?:card|visa|mastercard|credit|debit|payment|cvc|cvv|exp|expires)\b", re.I),
 }
 CONTEXT_CHARS, CONTEXT_GAIN = 40, 0.2
+#: Words right before a span that say it is something else; they lower its score, below what is redacted unless other words raise it.
+AGAINST = {
+    "email": re.compile(r"\b(?:example|placeholder)[ :=]*$", re.I),
+    "ip": re.compile(r"\b(?:version|release|firmware|section|chapter)[ :=#]*$", re.I),
+    "card": re.compile(r"\b(?:isbn|issn|ean|serial|tracking)(?: (?:no|number))?[ :=#.]*$", re.I),
+    "phone": re.compile(r"\b(?:order|ticket|invoice|serial|part)(?: (?:no|number))?[ :=#.]*$", re.I),
+    "iban": re.compile(r"\b(?:example|placeholder)[ :=]*$", re.I),
+    "cut_card": re.compile(r"\b(?:isbn|issn|ean|serial|tracking)(?: (?:no|number))?[ :=#.]*$", re.I),
+}
+AGAINST_LOSS = 0.4
 #: Account numbers of unknown countries, whose length can't be checked, are redacted with context only.
 UNKNOWN_IBAN = 0.4
 
@@ -105,9 +117,26 @@ def _ibans(text: str) -> list[tuple[int, int]]:
     return sorted(known + [s for a, b in gaps for s in _numbers(text, False, a, b)])
 
 
+def _cut_cards(text: str, start: int, end: int):
+    """Of numbers that stand together, the longest card number that passes the checksum from their beginning to the end of one of them, and
+    then those that follow it in the same way."""
+    while True:
+        digits, ends = [], []
+        for i in range(start, min(end, start + 2 * 19 + 1)):
+            if text[i] in "0123456789":
+                digits.append(text[i])
+            if 16 <= len(digits) <= 19 and (i + 1 == end or text[i + 1] in " -") and text[i] in "0123456789":
+                ends.append((i + 1, len(digits)))
+        to = next((at for at, n in reversed(ends) if luhn("".join(digits[:n]))), None)
+        if to is None:
+            return
+        yield start, to
+        start = to + 1
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans by kind, then start; in code points, end exclusive."""
-    out = []
+    out, cut = [], []
     if "@" in text:
         out += [("email", a, b) for a, b in _emails(text)]
     if "." in text:
@@ -117,15 +146,18 @@ def find(text: str) -> list[tuple[str, int, int]]:
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", *m.span()))
+            else:
+                cut += [("cut_card", *s) for s in _cut_cards(text, *m.span())]
     if "+" in text:
         out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15]
-    return out + [("iban", *s) for s in _ibans(text)]
+    return out + [("iban", *s) for s in _ibans(text)] + cut
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
     near = text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]
     alone = UNKNOWN_IBAN if kind == "iban" and text[start : start + 2] not in _IBAN_LENGTH else SCORES[kind]
-    return round(alone + CONTEXT_GAIN * bool(CONTEXT[kind].search(near)), 2)
+    against = AGAINST[kind].search(text, max(0, start - CONTEXT_CHARS), start)
+    return round(alone + CONTEXT_GAIN * bool(CONTEXT[kind].search(near)) - AGAINST_LOSS * bool(against), 2)
 
 
 @F.arrow_udf(SPANS)
