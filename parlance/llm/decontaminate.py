@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, Powers, slices, stored, utf8, window_hashes, word_bounds, word_hashes
+from .common import ASCII_LOWER, Powers, joined_hot, slices, stored, utf8, window_hashes, word_bounds, word_hashes
 
 N = 10
 #: The set of n-grams is broadcast up to so many bytes.
@@ -247,7 +247,11 @@ def _joined(rows: DataFrame, benchmark: DataFrame, n: int, item: str, item_text:
     # a window is known by its digest from here on
     gram = F.struct("k", F.md5("words").alias("digest"))
     distinct = grams.select("hash", "k", "words").distinct()
-    hits = stored(found.filter(F.col("pos").isNotNull()).join(distinct, ["hash", "k", "words"]).select("row", "pos", "k", gram.alias("gram")), "hits")
+    place = F.struct("hash", "k", "words").alias("window")
+    probes = stored(found.filter(F.col("pos").isNotNull()).select("row", "pos", place), "windows")
+    # a popular window is in very many documents: those are met by a broadcast
+    own = probes.groupBy("window").agg(F.count("*").alias("n")).join(distinct.select(place), "window")
+    hits = stored(joined_hot(probes, own, "window", "n").select("row", "pos", "window.*").select("row", "pos", "k", gram.alias("gram")), "hits")
     merged = F.expr("""aggregate(array_sort(collect_set(struct(pos as a, pos + k as b))), cast(array() as array<struct<a: int, b: int>>), (acc, x) ->
         case when size(acc) > 0 and x.a <= element_at(acc, -1).b
              then concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).a as a, greatest(x.b, element_at(acc, -1).b) as b)))

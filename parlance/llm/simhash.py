@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,15 @@ from .common import joined_hot, stored
 DISTANCE = 2
 SHINGLE = 3
 SEED = 42
-#: Buckets up to this size are compared as a matrix, beyond it by sorting under two-bit masks.
-MATRIX = 256
-#: Buckets beyond this size don't fit a task; their members are linked by two-wildcard variants instead.
-MAX_BUCKET = 1 << 20
+
+
+class Bounds(NamedTuple):
+    """Sizes that decide how buckets are compared, never what is linked. They are sent with the work."""
+
+    #: Buckets up to this size are compared as a matrix, beyond it by sorting under two-bit masks.
+    matrix: int = 256
+    #: Buckets beyond this size don't fit a task; their members are linked by two-wildcard variants instead.
+    bucket: int = 1 << 20
 
 
 def _fingerprint(raw: bytes, shingle: int) -> int:
@@ -89,9 +95,9 @@ def _labels(members: np.ndarray, masks: list[int]) -> np.ndarray:
             return label
 
 
-def bucket_links(members: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(members: np.ndarray, variant: int, matrix: int = Bounds().matrix) -> tuple[np.ndarray, np.ndarray]:
     """Links (from, to) that connect just what the links inside a bucket connect; fewer than members."""
-    if len(members) <= MATRIX:
+    if len(members) <= matrix:
         near = np.bitwise_count(members[:, None] ^ members[None, :]) <= DISTANCE
         label = np.arange(len(members))
         while True:
@@ -113,8 +119,12 @@ def bucket_links(members: np.ndarray, variant: int) -> tuple[np.ndarray, np.ndar
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows sorted by variant. A row (fp, null) says that fp's bucket was beyond MAX_BUCKET."""
+def _edges(bounds: Bounds):
+    return lambda batches: _linked(batches, bounds)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    """Links from rows sorted by variant. A row (fp, null) says that fp's bucket was beyond bounds.bucket."""
     held_v, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     spilled = None  # the variant of the bucket that is passed on whole
 
@@ -126,7 +136,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= DISTANCE]
         a, b = [f[two + 1]], [f[two]]
         for i in np.flatnonzero(size > 2).tolist():
-            x, y = bucket_links(f[first[i] : first[i] + size[i]], int(v[first[i]]))
+            x, y = bucket_links(f[first[i] : first[i] + size[i]], int(v[first[i]]), bounds.matrix)
             a.append(x)
             b.append(y)
         a, b = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
@@ -149,7 +159,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield links(v[:last], f[:last])
         held_v, held_f = v[last:], f[last:]
-        if len(held_v) > MAX_BUCKET:
+        if len(held_v) > bounds.bucket:
             spilled = held_v[0]
             yield pa.record_batch([pa.array(held_f.view(np.int64)), pa.nulls(len(held_f), pa.int64())], schema=_EDGE)
             held_v, held_f = held_v[:0], held_f[:0]
@@ -166,10 +176,10 @@ def _wide_edges(fps: DataFrame) -> DataFrame:
     return rows.join(least, ["m", "v"]).select(F.col("fp").alias("a"), "b").filter("a != b").distinct()
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """(a, b): links of distinct fingerprints (fp) whose connected components are those of all links."""
     sorted_ = variants(fps).repartition("variant").sortWithinPartitions("variant")
-    found = stored(sorted_.mapInArrow(_edges, "a long, b long"), "links")
+    found = stored(sorted_.mapInArrow(_edges(bounds), "a long, b long"), "links")
     wide = found.filter(F.col("b").isNull()).select(F.col("a").alias("fp")).distinct()
     narrow = found.filter(F.col("b").isNotNull()).distinct()
     return narrow if wide.isEmpty() else narrow.unionByName(_wide_edges(wide)).distinct()

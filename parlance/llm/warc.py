@@ -15,6 +15,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,12 +27,21 @@ from .common import HOT_SHARE, shared_folder, stored
 
 #: Equal payloads from this size on are stored once.
 LEAST_SHARED = 1000
-#: An archive is closed at this size or number of records, a block of the index at this number of entries.
-ARCHIVE_BYTES, ARCHIVE_RECORDS, BLOCK_ENTRIES = 1 << 20, 256, 1024
-#: The directory is broadcast up to this size; beyond it a sparser one is, and its parts are joined.
-DIRECTORY_BYTES = 32 << 20
-#: Up to so many ranges are broadcast to where archives are read; beyond it archives and ranges are joined.
-FEW_HITS = 1000
+
+
+class Bounds(NamedTuple):
+    """Sizes that decide how archives and their index are written and read, never what is found. They are sent with the work."""
+
+    #: An archive is closed at this size or number of records, a block of the index at this number of entries.
+    archive_bytes: int = 1 << 20
+    archive_records: int = 256
+    block_entries: int = 1024
+    #: The directory is broadcast up to this size; beyond it the bounds of its parts are, which have an eighth of this size.
+    directory_bytes: int = 32 << 20
+    #: Up to so many ranges are broadcast to where archives are read; beyond it archives and ranges are joined.
+    few_hits: int = 1000
+
+
 _NULL = -(1 << 63)
 
 ENTRY = T.StructType().add("key", "string").add("page_id", "long").add("offset", "long").add("length", "integer")
@@ -110,7 +120,12 @@ def read_record(member: bytes) -> dict:
 _ARCHIVE = pa.schema([("archive", pa.int32()), ("data", pa.binary()), ("entries", pa.list_(pa.struct([("key", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int32())]))), ("volume", pa.int32())])
 
 
-def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _archived(bounds: Bounds):
+    return lambda batches: _filled(batches, bounds)
+
+
+def _filled(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    """Archives of captures, with the places of their records."""
     task, seq = TaskContext.get().partitionId(), 0
 
     def info():
@@ -130,7 +145,7 @@ def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             entries.append({"key": key, "page_id": page_id, "offset": size, "length": len(member)})
             parts.append(member)
             size += len(member)
-            if size >= ARCHIVE_BYTES or len(entries) >= ARCHIVE_RECORDS:
+            if size >= bounds.archive_bytes or len(entries) >= bounds.archive_records:
                 yield closed()
                 seq += 1
                 parts, entries = [info()], []
@@ -142,7 +157,12 @@ def _archived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _BLOCK = pa.schema([("block_id", pa.string()), ("first_key", pa.string()), ("first_page", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(entries: int):
+    return lambda batches: _packed(batches, entries)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], entries: int) -> Iterator[pa.RecordBatch]:
+    """Compressed blocks of so many sorted index rows."""
     task, seq, rows = TaskContext.get().partitionId(), 0, []
 
     def closed(own):
@@ -151,9 +171,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         rows += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-        while len(rows) >= BLOCK_ENTRIES:
-            yield closed(rows[:BLOCK_ENTRIES])
-            seq, rows = seq + 1, rows[BLOCK_ENTRIES:]
+        while len(rows) >= entries:
+            yield closed(rows[:entries])
+            seq, rows = seq + 1, rows[entries:]
     if rows:
         yield closed(rows)
 
@@ -166,15 +186,15 @@ class Collection:
     blocks: DataFrame
 
 
-def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> Collection:
+def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", bounds: Bounds = Bounds()) -> Collection:
     """Archives all pages in the shared folder and indexes them. Null texts are empty payloads; every row has a record; no pages
     give no archives; other columns are left out, so names can't clash. An archive has a page of any size whole."""
     path = shared_folder(pages.sparkSession, "archives")
-    captures(pages, key, url, html).mapInArrow(_archived, ARCHIVE).write.partitionBy("volume").parquet(path)
+    captures(pages, key, url, html).mapInArrow(_archived(bounds), ARCHIVE).write.partitionBy("volume").parquet(path)
     archives = pages.sparkSession.read.schema(ARCHIVE).parquet(path)
     entries = archives.select("volume", "archive", F.explode("entries").alias("e")).select("e.key", "e.page_id", "volume", "archive", "e.offset", "e.length")
     order = ["key", "page_id", "volume", "archive", "offset"]
-    blocks = stored(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, BLOCK), "index")
+    blocks = stored(entries.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks(bounds.block_entries), BLOCK), "index")
     return Collection(archives, blocks)
 
 
@@ -182,25 +202,19 @@ def _place(page: int | None) -> int:
     return _NULL if page is None else page
 
 
-def _found_blocks(requests: DataFrame, blocks: DataFrame) -> DataFrame:
+def _found_blocks(requests: DataFrame, blocks: DataFrame, most: int) -> DataFrame:
     """(key, page_id, block_id): the blocks that may hold a request, by binary search in the directory."""
     spark = requests.sparkSession
     directory = blocks.select("first_key", "first_page", "block_id")
     size, n = directory.agg(F.sum(F.octet_length("first_key") + 64), F.count("*")).first()
     if not n:
         return requests.select("key", "page_id", F.lit(None).cast("string").alias("block_id")).limit(0)
-    stride = -(-size // DIRECTORY_BYTES)
-    if stride > 1:  # a sparser directory: parts of it by their hash-free order, see below
-        spread = directory.repartitionByRange(int(stride), "first_key", "first_page").sortWithinPartitions("first_key", "first_page")
-        directory = stored(spread.withColumn("part", F.spark_partition_id()), "directory")
+    if size > most:  # the bounds of sorted parts are searched first, then each part with its own requests
+        spread = directory.repartitionByRange(int(-(-8 * size // most)), "first_key", "first_page").withColumn("part", F.spark_partition_id().cast("long"))
+        directory = stored(spread, "directory")
         parts = sorted(((r.k.encode(), _place(r.p)), r.part) for r in directory.groupBy("part").agg(F.min(F.struct(F.col("first_key").alias("k"), F.col("first_page").alias("p"))).alias("m")).select("part", "m.k", "m.p").collect())
         routed = requests.select("key", "page_id", F.explode(_searcher(spark, parts, T.LongType(), pa.int64())(F.col("key"), F.col("page_id"))).alias("part"))
-        listed = directory.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("first_key", F.coalesce("first_page", F.lit(_NULL)).alias("first_page"), "block_id"))).alias("d"))
-        joined = routed.withColumn("part", F.col("part").cast("int")).join(listed, "part")
-        mine = F.struct(F.col("key").alias("first_key"), F.coalesce("page_id", F.lit(_NULL)).alias("first_page"))
-        low = lambda d: F.struct(d["first_key"].alias("first_key"), d["first_page"].alias("first_page"))
-        before, equal = F.array_max(F.filter("d", lambda d: low(d) < mine)), F.filter("d", lambda d: low(d) == mine)
-        return joined.select("key", "page_id", F.explode(F.array_compact(F.concat(F.array(before["block_id"]), F.transform(equal, lambda d: d["block_id"])))).alias("block_id"))
+        return routed.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(_in_part, FOUND)
     rows = sorted((((r.first_key or "").encode(), _place(r.first_page)), r.block_id) for r in directory.collect())
     return requests.select("key", "page_id", F.explode(_searcher(spark, rows, T.StringType(), pa.string())(F.col("key"), F.col("page_id"))).alias("block_id"))
 
@@ -221,6 +235,20 @@ def _searcher(spark, rows: list, kind: T.DataType, arrow: pa.DataType):
     return search
 
 
+FOUND = "key string, page_id long, block_id string"
+_FOUND = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("block_id", pa.string())])
+
+
+def _in_part(requests: pa.Table, directory: pa.Table) -> pa.Table:
+    """The blocks that may hold a request, by binary search in the sorted rows of a part of the directory."""
+    rows = sorted(zip(((k.encode(), _place(p)) for k, p in zip(directory["first_key"].to_pylist(), directory["first_page"].to_pylist(), strict=True)), directory["block_id"].to_pylist(), strict=True))
+    firsts, out = [r[0] for r in rows], []
+    for k, p in zip(requests["key"].to_pylist(), requests["page_id"].to_pylist(), strict=True):
+        mine = (k.encode(), _place(p))
+        out += [(k, p, name) for _, name in rows[max(0, bisect_left(firsts, mine) - 1) : bisect_right(firsts, mine)]]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _FOUND, strict=True)], schema=_FOUND)
+
+
 _HIT = pa.schema([("page_id", pa.int64()), ("volume", pa.int32()), ("archive", pa.int32()), ("offset", pa.int64()), ("length", pa.int32())])
 HIT = "page_id long, volume int, archive int, offset long, length int"
 
@@ -251,19 +279,19 @@ def _ranges(payload: bool):
     return read
 
 
-def lookup(collection: Collection, requests: DataFrame, payload: bool = True) -> DataFrame:
+def lookup(collection: Collection, requests: DataFrame, payload: bool = True, bounds: Bounds = Bounds()) -> DataFrame:
     """RECORD of all captures of the requests (key, page_id); payload=False leaves the payloads out.
 
     Requests that repeat count once, those that aren't archived give no row, no requests give none; a null page_id asks for captures
     without an id. A group of work is a block or an archive with its requests, which its entries bound.
     """
     asked = requests.select(F.coalesce("key", F.lit("")).alias("key"), "page_id").distinct()
-    found = _found_blocks(asked, collection.blocks)
+    found = _found_blocks(asked, collection.blocks, bounds.directory_bytes)
     blocks = collection.blocks.select("block_id", "body")
     hits = found.groupBy("block_id").cogroup(blocks.groupBy("block_id")).applyInArrow(_in_block, HIT)
     wanted = stored(hits.groupBy("volume", "archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges")), "hits")
     archives = collection.archives.select("volume", "archive", "data")
-    if (wanted.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= FEW_HITS:  # read where they lie, only the volumes that have them
-        volumes = [r[0] for r in wanted.select("volume").distinct().collect()]  # FEW_HITS at most
+    if (wanted.agg(F.sum(F.size("ranges"))).first()[0] or 0) <= bounds.few_hits:  # read where they lie, only the volumes that have them
+        volumes = [r[0] for r in wanted.select("volume").distinct().collect()]  # few_hits at most
         archives, wanted = archives.filter(F.col("volume").isin(volumes)), F.broadcast(wanted)
     return archives.join(wanted, ["volume", "archive"]).select("data", "ranges").mapInArrow(_ranges(payload), RECORD)

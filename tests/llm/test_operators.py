@@ -442,7 +442,7 @@ def test_secrets_on_awkward(docs, empty):
 # archives
 
 
-def test_warc_round_trip_index_and_revisits(spark, monkeypatch):
+def test_warc_round_trip_index_and_revisits(spark):
     same, small = "z" * 1500, "y" * 20
     rows = [(i, f"https://{'ABC'[i % 3]}.example.org/p{i % 7}?q={i}#f", same if i % 4 == 0 else small if i % 4 == 1 else f"page {i} " * 200) for i in range(40)]
     rows += [(None, None, None), (50, "http://x.org/", None), (51, "no url", ""), (52, "http://x.org/\n a", "é" * 900), (52, "http://x.org/\n a", "é" * 900)]
@@ -458,11 +458,13 @@ def test_warc_round_trip_index_and_revisits(spark, monkeypatch):
         to = last.get(raw)
         want[(i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to is not None and to != i else "response", to if to != i else None)] += 1
     keys = pages.select(warc.surt(F.col("url")).alias("key"), "page_id")
-    for records, entries, limit in ((256, 1024, 1 << 25), (3, 2, 1 << 25), (3, 2, 200)):
-        monkeypatch.setattr(warc, "ARCHIVE_RECORDS", records)
-        monkeypatch.setattr(warc, "BLOCK_ENTRIES", entries)
-        monkeypatch.setattr(warc, "DIRECTORY_BYTES", limit)
-        read = warc.lookup(warc.write(pages), keys).collect()
+    for records, entries, limit, few in ((256, 1024, 1 << 25, 1000), (3, 2, 1 << 25, 1000), (3, 2, 200, 1000), (3, 2, 200, 5), (256, 1024, 200, 5)):
+        bounds = warc.Bounds(archive_records=records, block_entries=entries, directory_bytes=limit, few_hits=few)
+        written = warc.write(pages, bounds=bounds)
+        most = written.archives.agg(F.max(F.size("entries"))).first()[0], written.blocks.agg(F.max("n")).first()[0]
+        assert most == (3, 2) if records == 3 else most > (3, 2)
+        found = warc.lookup(written, keys, bounds=bounds)
+        read = found.collect()
         assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read) == want
         assert all(r.payload is not None for r in read if r.record_type == "response")
     some = warc.lookup(warc.write(pages), keys.filter("page_id in (3, 52)").union(spark.createDataFrame([("no,such)/", 1)], keys.schema)))
@@ -615,7 +617,7 @@ def test_near_duplicates_equal_brute_force(spark, docs):
 
 
 @pytest.mark.parametrize("matrix,bucket", [(256, 1 << 20), (2, 1 << 20), (256, 4)])
-def test_links_of_dense_fingerprints(spark, monkeypatch, matrix, bucket):
+def test_links_of_dense_fingerprints(spark, matrix, bucket):
     """Groups of near fingerprints and long chains, through the matrix, the masks and the oversized buckets."""
     rng = random.Random(4)
     fps = {rng.getrandbits(64) for _ in range(30)} | {0, 2**64 - 1}
@@ -625,26 +627,30 @@ def test_links_of_dense_fingerprints(spark, monkeypatch, matrix, bucket):
     chain = rng.getrandbits(64)
     for b in range(0, 40, 2):
         fps.add(chain := chain ^ (3 << b))
-    monkeypatch.setattr(simhash, "MATRIX", matrix)
-    monkeypatch.setattr(simhash, "MAX_BUCKET", bucket)
+    bounds = simhash.Bounds(matrix, bucket)
     signed = lambda f: f - 2**64 if f >= 2**63 else f
     nodes = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
-    edges = simhash.links(nodes)
-    roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(edges).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # a bucket is passed on when batches have brought too much of it
+    try:
+        sorted_ = simhash.variants(nodes).coalesce(1).sortWithinPartitions("variant").mapInArrow(simhash._edges(bounds), "a long, b long")
+        assert (sorted_.filter("b is null").count() > 0) == (bucket < 100)
+        edges = simhash.links(nodes, bounds)
+        roots = {r.node % 2**64: r.root % 2**64 for r in simhash.components(edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     want = brute_components(fps, {f: f for f in fps})
     groups = lambda m: sorted(sorted(f for f in fps if m.get(f, f) == r) for r in {m.get(f, f) for f in fps})
     assert groups(roots) == groups(want)
 
 
-def test_bucket_links_masks_equal_matrix(monkeypatch):
+def test_bucket_links_masks_equal_matrix():
     rng = random.Random(5)
     high = rng.getrandbits(32) << 32
     members = np.array(sorted({high | (0xFF0F ^ (rng.getrandbits(16))) for _ in range(300)}), np.uint64)
     variant = (32 << 32) | int(members[0] >> np.uint64(32))
     results = []
     for limit in (10_000, 2):
-        monkeypatch.setattr(simhash, "MATRIX", limit)
-        a, b = simhash.bucket_links(members, variant)
+        a, b = simhash.bucket_links(members, variant, limit)
         parent = {int(m): int(m) for m in members}
 
         def root(x, parent=parent):
