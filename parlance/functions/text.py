@@ -40,6 +40,7 @@ NOTATION = [
 ]
 # Tags that recognisers write, and what they become.
 ASR_LITERALS = [("[ ", "["), (" ]", "]"), ("[blank_audio]", ""), ("[inaudible]", ""), ("[silence]", ""), ("[pause]", ""), ("mm-hmm", "mhm"), ("...", ""), (",", ""), (".", ""), (">>", "")]
+# Marks that are not to be spoken, and what becomes of them.
 TTS_RULES = [
     (r"\([0-9]*?\.[0-9]*?\)", "..."),
     (r"(?iU)(?:\s|\A)i?[hx]+[.,?!]*(?=(?:\s|\z))", ""),
@@ -49,6 +50,7 @@ TTS_RULES = [
     (r"(?U)&=.*?(?=(?:\s|\z))", ""),
     (r"(?U)\s+", " "),
 ]
+# Words of sounds that a generated text may be kept from.
 NOISE_WORDS, BREATH_WORDS, LAUGH_WORDS = ("noise", "wind", "blow", "mn"), ("breath", "hh", "cough"), ("laugh",)
 EXTERNAL_MARKER = "†"
 
