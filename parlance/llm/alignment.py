@@ -11,6 +11,7 @@ of counts is bounded by the two vocabularies (half a million pairs for those at
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -34,7 +35,7 @@ PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longer texts are tokenised in parts of about so many characters, cut where neither tokenizer can join them.
 PART_CHARS = 1 << 18
 #: Windows of more tokens are aligned each time; so many shorter ones are remembered by a worker, then it starts anew.
-KEPT_TOKENS, KEPT_WINDOWS = 64, 100_000
+KEPT_TOKENS, KEPT_WINDOWS = 64, 250_000
 #: New windows of texts of about so many characters are aligned together.
 TOGETHER_CHARS = 1 << 16
 #: The fast engine of the byte tokenizer splits by recursion, which long white space overflows; such parts go to the plain one.
@@ -254,6 +255,15 @@ def aligned(docs: DataFrame, key: str = "doc_id", text: str = "text", bytes_path
         out = out.add("a_ids", ids).add("b_ids", ids).add("group_sizes", ids)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the collector would walk through all windows again and again
+        try:
+            yield from aligned_batches(rows)
+        finally:
+            if collects:
+                gc.enable()
+
+    def aligned_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = _tokenizers(*names)
         for batch in rows:
             size = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // (1 << 20)
