@@ -9,6 +9,10 @@ compared with each of its bits as a wildcard. What is found so is verified on th
 Runs of equal variants give a spanning forest of nearest neighbours, never all of their pairs. A run that is too long is
 put in order by the members' sketches and cut into blocks, eight times, from another bit on each time: two members that are near
 begin alike from one of these bits. Keys that hold a share of all signatures are dealt to several tasks by hash; what one segment parts so, the others can join.
+
+All of this makes the first groups. An exact search follows for the links that chance, blocks and forests leave out: in one
+order of all shingles, popular ones last, two sets that are similar enough share one of their first shingles. Texts of different groups that
+share one are compared, however many do: popular shingles are dealt to cells in which each pair meets.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +64,13 @@ class Bounds(NamedTuple):
     chunk: int = 1 << 17
 
 
+#: Of so many texts the shingles are counted, and so many of the most popular are put last. Both decide the time that the exact search takes, never what it finds.
+POPULAR_SAMPLE, POPULAR = 20_000, 1 << 16
+#: Bits of a set's parities, and pairs that are compared together.
+PARITIES, PAIRS = 512, 1 << 19
+#: Shingles that hold a larger share of all are dealt to cells, if that is more than a block; and so many keys at most (32 MB) are sent to all tasks.
+CELL_SHARE, SENT_KEYS = 1e-5, 1 << 22
+
 #: A share of the signatures from which a key is hot and is dealt to several tasks; hot keys are looked for among so many signatures.
 HOT_SHARE, HOT_SAMPLE = 0.005, 100_000
 
@@ -130,13 +142,21 @@ def _signed(shingle: int, layout: Layout):
     return signed
 
 
+def parities(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each set PARITIES bits, whether an odd number of its shingles falls to each: two sets differ in at least as many shingles as bits."""
+    at = np.repeat(np.arange(len(n)) * PARITIES, n) + (flat & (PARITIES - 1))
+    odd = np.bincount(at, minlength=len(n) * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(n), PARITIES), axis=1)
+
+
 def _hashes(shingle: int):
-    @F.arrow_udf("struct<digest: binary, shingles: array<bigint>>")
+    @F.arrow_udf("struct<digest: binary, shingles: array<bigint>, parity: binary>")
     def hashes(texts: pa.Array) -> pa.Array:
         sets = list(_sets(texts, shingle))
-        ends = np.cumsum([0, *map(len, sets)])
+        n = np.array([*map(len, sets)], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["digest", "shingles"])
+        shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
+        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), shingles, pa.array([p.tobytes() for p in parities(flat, n)], pa.binary())], names=["digest", "shingles", "parity"])
 
     return hashes
 
@@ -321,12 +341,174 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.filter(shared >= similarity * (F.size("_x") + F.size("_y") - shared)).select("a", "b")
 
 
+class Order(NamedTuple):
+    """One order of all shingles: those not listed here by their values, then these by their ranks."""
+
+    shingles: np.ndarray
+    ranks: np.ndarray
+
+
+def popular(sets: DataFrame, total: int) -> Order:
+    """The shingles that most texts of a sample share, the most popular last."""
+    share = -(-total // POPULAR_SAMPLE) or 1
+    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("shingles").alias("shingle"))
+    top = sample.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(POPULAR).toArrow()
+    shingles = top.column(0).to_numpy()
+    order = np.argsort(shingles)
+    return Order(shingles[order], (len(shingles) - order).astype(np.int64))
+
+
+def first_shingles(flat: np.ndarray, n: np.ndarray, order: Order, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle): of each set, n of `flat` in turn, the first ones in the order; two sets that are similar enough share one of them."""
+    row = np.repeat(np.arange(len(n)), n)
+    rank = np.zeros(len(flat), np.int64)
+    if len(order.shingles):
+        at = np.minimum(np.searchsorted(order.shingles, flat), len(order.shingles) - 1)
+        rank = np.where(order.shingles[at] == flat, order.ranks[at], 0)
+    by = np.lexsort((flat, rank, row))
+    least = np.ceil(similarity * n - 1e-9).astype(np.int64)  # shared with any set that is similar enough
+    keep = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n - least, n)
+    return row[keep], flat[by][keep]
+
+
+def _postings(order, similarity: float, shared):
+    """From (node, shingles) to a row (shingle, node) for each of the first ones; of these, if `shared` is given, only those in it."""
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.compute.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
+            row, shingle = first_shingles(batch.column(1).flatten().to_numpy(), n, order.value, similarity)
+            if shared is not None:
+                at = np.minimum(np.searchsorted(shared.value, shingle), len(shared.value) - 1)
+                keep = shared.value[at] == shingle
+                row, shingle = row[keep], shingle[keep]
+            yield pa.record_batch([pa.array(shingle), pa.array(batch.column(0).to_numpy()[row])], names=["shingle", "node"])
+
+    return postings
+
+
+#: In a cell a row meets all others, or as one at home the visitors.
+BOTH, HOME, VISITS = range(3)
+
+
+class Cells(NamedTuple):
+    """Rows of whole cells, sorted by cell."""
+
+    cell: np.ndarray
+    role: np.ndarray
+    node: np.ndarray
+    root: np.ndarray
+    n: np.ndarray
+    parity: np.ndarray
+
+    def similar(self, x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs that are of different groups and that neither sizes nor parities show to be less similar."""
+        met = (self.role[x] != VISITS) & (self.role[y] != HOME) | (self.role[y] != VISITS) & (self.role[x] != HOME)
+        i, j = self.n[x], self.n[y]
+        at = np.flatnonzero(met & (self.root[x] != self.root[y]) & (np.minimum(i, j) >= similarity * np.maximum(i, j) - 1e-6))
+        x, y = x[at], y[at]
+        differ = np.bitwise_count(self.parity[x] ^ self.parity[y]).sum(axis=1, dtype=np.int64)
+        at = np.flatnonzero(differ <= (1 - similarity) / (1 + similarity) * (self.n[x] + self.n[y]) + 1e-6)
+        return x[at], y[at]
+
+
+def apart(rows: Cells, similarity: float, short: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one cell, of different groups, that may be similar enough: all of them, some twice."""
+    first = np.flatnonzero(np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]]))
+    size = np.diff(np.concatenate([first, [len(rows.cell)]]))
+    is_short = np.repeat(size <= short, size)
+    for lag in range(1, int(size[size <= short].max(initial=1))):
+        i = np.flatnonzero(is_short[:-lag] & (rows.cell[:-lag] == rows.cell[lag:]))
+        x, y = rows.similar(i, i + lag, similarity)
+        yield rows.node[x], rows.node[y]
+    for k in np.flatnonzero(size > short).tolist():
+        of = np.arange(first[k], first[k] + size[k])
+        role, (roots, at, count) = rows.role[of], np.unique(rows.root[of], return_inverse=True, return_counts=True)
+        left = of[role != VISITS]
+        right = of[(role == VISITS) | (role == BOTH) & (at != count.argmax())]  # pairs within the largest group are none
+        step = max(1, PAIRS // max(1, len(left)))
+        for a in range(0, len(right), step):
+            y = right[a : a + step]
+            x, y = rows.similar(np.repeat(left, len(y)), np.tile(y, len(left)), similarity)
+            yield rows.node[x], rows.node[y]
+
+
+def _apart(similarity: float, bounds: Bounds):
+    """Pairs from rows (shingle, way, part, role, node, root, n, parity) that come cell by cell."""
+
+    def pairs(held: list[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).slice(0, rows).combine_chunks()
+        column = lambda k: table.column(k).to_numpy()
+        changes = np.zeros(rows, bool)
+        for k in range(3):
+            changes[1:] |= np.diff(column(k)) != 0
+        parity = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(rows, PARITIES // 64)
+        for a, b in apart(Cells(np.cumsum(changes), *map(column, range(3, 7)), parity), similarity, bounds.short):
+            if len(a):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if n >= bounds.chunk and batch.num_rows:  # up to the end of the cell
+                last = [held[-1].column(k)[-1].as_py() for k in range(3)]
+                new = np.flatnonzero(np.any([batch.column(k).to_numpy() != last[k] for k in range(3)], axis=0))
+                cut = int(new[0]) if len(new) else batch.num_rows
+                held.append(batch.slice(0, cut))
+                n, batch = n + cut, batch.slice(cut)
+                if len(new):
+                    yield from pairs(held, n)
+                    held, n = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+        if n:
+            yield from pairs(held, n)
+
+    return chunks
+
+
+def missed(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, bounds: Bounds = Bounds()) -> DataFrame:
+    """(a, b): every pair of the sets (node, shingles, parity, n) of different groups (node, root; others are alone) that may be similar
+    enough, and few others. The sets that share one of their first shingles are compared: all of them with all but the largest group.
+
+    A popular shingle's rows have a way and those outside its largest group a part, by hash; the rows of a way are at home in
+    a cell for each part, those of a part visit the cell of each way. So each pair meets, and a cell has about a block on either side."""
+    spark = sets.sparkSession
+    order = spark.sparkContext.broadcast(popular(sets, sets.count()))
+    posted = lambda shared=None: sets.select("node", "shingles").mapInArrow(_postings(order, similarity, shared), "shingle long, node long")
+    shared = stored(posted().groupBy("shingle").count().filter("count > 1").select("shingle"), "shared-shingles")
+    if 0 < shared.count() <= SENT_KEYS:
+        rows = posted(spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy())))
+    else:
+        rows = posted().join(shared, "shingle")
+    rows = stored(rows.join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root")), "postings")
+    keys = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least < most").select("shingle", "n")
+    rows = stored(rows.join(keys, "shingle"), "postings")
+
+    block = max(bounds.block, int(CELL_SHARE * rows.count()))
+    sizes = rows.filter(F.col("n") > block).groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("shingle").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+    parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    hot = stored(sizes.select("shingle", "main", parts(F.col("n")).alias("ways"), parts(F.col("n") - F.col("most")).alias("parts")), "popular-shingles")
+    split = rows.drop("n").join(F.broadcast(hot), "shingle").withColumns({"way": F.pmod(F.xxhash64("node", "shingle"), "ways").cast("int"), "part": F.pmod(F.xxhash64("shingle", "node"), "parts").cast("int")})
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    home = split.select("shingle", "way", each("parts").alias("part"), F.lit(HOME).alias("role"), "node", "root")
+    visits = split.filter("root != main").select("shingle", each("ways").alias("way"), "part", F.lit(VISITS).alias("role"), "node", "root")
+    cold = rows.filter(F.col("n") <= block).select("shingle", F.lit(0).alias("way"), F.lit(0).alias("part"), F.lit(BOTH).alias("role"), "node", "root")
+    cells = cold.unionByName(home).unionByName(visits)
+
+    cells = cells.join(sets.select("node", "n", "parity"), "node").select("shingle", "way", "part", "role", "node", "root", "n", "parity")
+    dealt = cells.repartition("shingle", "way", "part").sortWithinPartitions("shingle", "way", "part")
+    return dealt.mapInArrow(_apart(similarity, bounds), "a long, b long").distinct()
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, layout: Layout | None = None, bounds: Bounds = Bounds()) -> DataFrame:
     """(key, component_id) of each document with a key, an integer: the least key reachable over links.
 
     Two texts link if the Jaccard similarity of their sets of shingles, words of any characters but ASCII white space with
-    A-Z lower-cased, is at least `similarity`; texts of equal sets always do, others are found with the chances named
-    above and never linked below. A text of fewer words is one shingle; texts without words, null ones among them, are
+    A-Z lower-cased, is at least `similarity`; no such link is missed and none is below. A text of fewer words is one shingle; texts without words, null ones among them, are
     equal. Rows without a key take no part; repeated rows each get a row; an empty table gives none; a text of any length
     is taken whole; other columns are left out, so names can't clash.
     """
@@ -336,18 +518,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     nodes = stored(rows.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
     many = nodes.filter(F.col("n") >= similarity * (F.col("n") + 1))  # smaller sets are similar to equal ones only
     pairs = stored(candidates(many, layout, bounds), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-    found = ids.join(needed, F.col("id") == F.col("node")).select("node", "digest", _hashes(shingle)(F.col("text")).alias("s"))
-    sets = stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first("s.shingles").alias("shingles")), "shingles")
+    found = ids.join(many.select("node", "digest"), F.col("id") == F.col("node")).select("node", "digest", _hashes(shingle)(F.col("text")).alias("s"))
+    sets = stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first("s.shingles").alias("shingles"), F.first("s.parity").alias("parity")).withColumn("n", F.size("shingles")), "shingles")
     # the nearest neighbour of each node first; then what is left between different components
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     nearest = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
     good = stored(_verified(nearest, sets, similarity), "links")
     roots = stored(components(good), "roots")
     x, y = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    apart = pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-    more = _verified(apart.join(nearest, ["a", "b"], "left_anti"), sets, similarity)
-    roots = components(good.unionByName(more))
+    different = pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    good = stored(good.unionByName(_verified(different.join(nearest, ["a", "b"], "left_anti"), sets, similarity)), "links")
+    roots = stored(components(good), "roots")
+    # and all that was never a candidate
+    more = stored(_verified(missed(sets, roots, similarity, bounds), sets, similarity), "links")
+    if not more.isEmpty():
+        roots = components(good.unionByName(more))
     named = nodes.join(roots, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("component_id"))
     return joined_hot(rows.select("id", "digest"), named, "digest", "copies").select(F.col("id").alias(key), "component_id")
 

@@ -125,6 +125,49 @@ def test_groups_equal_brute_force_on_near_copies(spark, way):
     assert all(got[g] == g <= i for i, g in got.items())
 
 
+def families(rng, n, base):
+    """n texts that keep different parts of a few others: hardly two are equal, many are just similar enough or just not."""
+    seeds = [words(rng, 130, 5000).split() for _ in range(base)]
+    out = []
+    for i in range(n):
+        w = list(seeds[i % base])
+        for at in rng.sample(range(len(w)), rng.randrange(1, 5)):
+            w[at] = f"e{rng.randrange(10**6)}"
+        out.append(" ".join(w[rng.randrange(12) :]))
+    return out
+
+
+@pytest.mark.parametrize("way", ["short", "blocks", "cells"])
+def test_no_link_is_missed(spark, way, monkeypatch):
+    """Groups equal brute force, however runs are cut: where the search by signatures is cut or finds nothing, the exact one finds the rest."""
+    rng = random.Random(31)
+    texts = families(rng, 240, 2) + families(rng, 60, 20) + [words(rng, 60) for _ in range(40)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    bounds = {"short": similar.Bounds(), "blocks": similar.Bounds(short=4, block=16, chunk=100), "cells": similar.Bounds(short=4, block=16, chunk=100)}[way]
+    if way == "cells":
+        monkeypatch.setattr(similar, "candidates", lambda nodes, *_: nodes.sparkSession.createDataFrame([], similar.LINK))
+        monkeypatch.setattr(similar, "SENT_KEYS", 0)
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), bounds=bounds).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_parities_and_first_shingles_leave_out_no_similar_pair():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n, gone, new = rng.integers(4, 400), rng.integers(0, 40), rng.integers(0, 40)
+        x = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        y = np.unique(np.concatenate([x[min(gone, len(x) - 1) :], rng.integers(-(1 << 62), 1 << 62, new)]))
+        flat, sizes = np.concatenate([x, y]), np.array([len(x), len(y)])
+        known = np.unique(rng.choice(flat, 50))
+        row, first = similar.first_shingles(flat, sizes, similar.Order(known, rng.permutation(len(known)) + 1), 0.8)
+        parity = similar.parities(flat, sizes)
+        differ = len(np.setxor1d(x, y))
+        assert np.bitwise_count(parity[0] ^ parity[1]).sum() <= differ
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            assert len(np.intersect1d(first[row == 0], first[row == 1]))
+
+
 def test_links_at_the_threshold_are_mostly_found(spark):
     """Pairs that are 0.8 to 0.85 alike, each alone."""
     rng = random.Random(22)
