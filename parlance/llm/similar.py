@@ -68,8 +68,8 @@ class Bounds(NamedTuple):
 POPULAR_SAMPLE, POPULAR = 20_000, 1 << 16
 #: Bits of a set's parities, and pairs that are compared together.
 PARITIES, PAIRS = 512, 1 << 19
-#: Shingles that hold a larger share of all are dealt to cells, if that is more than a block; and so many keys at most (32 MB) are sent to all tasks.
-CELL_SHARE, SENT_KEYS = 1e-5, 1 << 22
+#: Shingles that hold a larger share of all are dealt to cells, if that is more than a block; and so many keys (32 MB), and nodes with their digests, at most are sent to all tasks.
+CELL_SHARE, SENT_KEYS, SENT_NODES = 1e-5, 1 << 22, 1 << 17
 
 #: A share of the signatures from which a key is hot and is dealt to several tasks; hot keys are looked for among so many signatures.
 HOT_SHARE, HOT_SAMPLE = 0.005, 100_000
@@ -117,7 +117,7 @@ def signature(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
     return np.packbits(2 * total > len(hashes))
 
 
-SIGNED = T.StructType().add("digest", "binary").add("n", "integer").add("sig", "binary")
+SIGNED = T.StructType().add("digest", "binary").add("n", "integer").add("sig", "binary").add("parity", "binary")
 
 
 def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -132,12 +132,13 @@ def _signed(shingle: int, layout: Layout):
 
     @F.arrow_udf(SIGNED)
     def signed(texts: pa.Array) -> pa.Array:
-        digests, sizes, sigs = [], [], []
+        digests, sizes, sigs, odd = [], [], [], []
         for x in _sets(texts, shingle):
             digests.append(hashlib.md5(x.tobytes()).digest())
             sizes.append(len(x))
             sigs.append(signature(x, own).tobytes())
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], names=SIGNED.names)
+            odd.append(parities(x.view(np.int64), np.array([len(x)])).tobytes())
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(odd, pa.binary())], names=SIGNED.names)
 
     return signed
 
@@ -150,13 +151,12 @@ def parities(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _hashes(shingle: int):
-    @F.arrow_udf("struct<digest: binary, shingles: array<bigint>, parity: binary>")
+    @F.arrow_udf("struct<digest: binary, shingles: array<bigint>>")
     def hashes(texts: pa.Array) -> pa.Array:
         sets = list(_sets(texts, shingle))
-        n = np.array([*map(len, sets)], np.int64)
+        ends = np.cumsum([0, *map(len, sets)])
         flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        shingles = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), shingles, pa.array([p.tobytes() for p in parities(flat, n)], pa.binary())], names=["digest", "shingles", "parity"])
+        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["digest", "shingles"])
 
     return hashes
 
@@ -334,6 +334,14 @@ def candidates(nodes: DataFrame, layout: Layout = Layout(), bounds: Bounds = Bou
     return dealt.mapInArrow(_links(layout, bounds), LINK).groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def _sets_of(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes of the pairs; texts are shuffled only if these are many."""
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node"), "needed")
+    needed = F.broadcast(needed) if needed.count() <= SENT_NODES else needed
+    found = ids.join(needed, F.col("id") == F.col("node")).select("node", "digest", _hashes(shingle)(F.col("text")).alias("s"))
+    return stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first("s.shingles").alias("shingles")), "shingles")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of the pairs whose sets of shingles are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
@@ -348,10 +356,10 @@ class Order(NamedTuple):
     ranks: np.ndarray
 
 
-def popular(sets: DataFrame, total: int) -> Order:
+def popular(ids: DataFrame, total: int, shingle: int) -> Order:
     """The shingles that most texts of a sample share, the most popular last."""
     share = -(-total // POPULAR_SAMPLE) or 1
-    sample = sets.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select(F.explode("shingles").alias("shingle"))
+    sample = ids.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.explode(_hashes(shingle)(F.col("text"))["shingles"]).alias("shingle"))
     top = sample.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(POPULAR).toArrow()
     shingles = top.column(0).to_numpy()
     order = np.argsort(shingles)
@@ -372,17 +380,17 @@ def first_shingles(flat: np.ndarray, n: np.ndarray, order: Order, similarity: fl
 
 
 def _postings(order, similarity: float, shared):
-    """From (node, shingles) to a row (shingle, node) for each of the first ones; of these, if `shared` is given, only those in it."""
+    """From (node, set, shingles) to a row (shingle, node, set) for each of the first ones; of these, if `shared` is given, only those in it."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.compute.list_value_length(batch.column(1)).to_numpy().astype(np.int64)
-            row, shingle = first_shingles(batch.column(1).flatten().to_numpy(), n, order.value, similarity)
+            n = pa.compute.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
+            row, shingle = first_shingles(batch.column(2).flatten().to_numpy(), n, order.value, similarity)
             if shared is not None:
                 at = np.minimum(np.searchsorted(shared.value, shingle), len(shared.value) - 1)
                 keep = shared.value[at] == shingle
                 row, shingle = row[keep], shingle[keep]
-            yield pa.record_batch([pa.array(shingle), pa.array(batch.column(0).to_numpy()[row])], names=["shingle", "node"])
+            yield pa.record_batch([pa.array(shingle), *(pa.array(batch.column(k).to_numpy()[row]) for k in range(2))], names=["shingle", "node", "set"])
 
     return postings
 
@@ -469,21 +477,23 @@ def _apart(similarity: float, bounds: Bounds):
     return chunks
 
 
-def missed(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, bounds: Bounds = Bounds()) -> DataFrame:
-    """(a, b): every pair of the sets (node, shingles, parity, n) of different groups (node, root; others are alone) that may be similar
-    enough, and few others. The sets that share one of their first shingles are compared: all of them with all but the largest group.
+def missed(ids: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bounds: Bounds = Bounds()) -> DataFrame:
+    """(a, b): every pair of nodes (node, digest, n, parity), sets of the texts (id, text), of different groups (node, root; others are alone) that may be
+    similar enough, and few others. Sets that share one of their first shingles are compared: all of them with all but the largest group.
 
     A popular shingle's rows have a way and those outside its largest group a part, by hash; the rows of a way are at home in
     a cell for each part, those of a part visit the cell of each way. So each pair meets, and a cell has about a block on either side."""
-    spark = sets.sparkSession
-    order = spark.sparkContext.broadcast(popular(sets, sets.count()))
-    posted = lambda shared=None: sets.select("node", "shingles").mapInArrow(_postings(order, similarity, shared), "shingle long, node long")
-    shared = stored(posted().groupBy("shingle").count().filter("count > 1").select("shingle"), "shared-shingles")
+    spark = ids.sparkSession
+    order = spark.sparkContext.broadcast(popular(ids, ids.count(), shingle))
+    sets = ids.select(F.col("id").alias("node"), _hashes(shingle)(F.col("text")).alias("s")).select("node", F.xxhash64("s.digest").alias("set"), "s.shingles")
+    posted = lambda shared=None: sets.mapInArrow(_postings(order, similarity, shared), "shingle long, node long, set long")
+    shared = stored(posted().groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).filter("least < most").select("shingle"), "shared-shingles")
     if 0 < shared.count() <= SENT_KEYS:
         rows = posted(spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy())))
     else:
         rows = posted().join(shared, "shingle")
-    rows = stored(rows.join(roots, "node", "left").select("shingle", "node", F.coalesce("root", "node").alias("root")), "postings")
+    owners = nodes.select("node", F.xxhash64("digest").alias("set")).join(roots, "node", "left").select("node", "set", F.coalesce("root", "node").alias("root"))
+    rows = stored(rows.join(owners, ["node", "set"]).select("shingle", "node", "root"), "postings")
     keys = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least < most").select("shingle", "n")
     rows = stored(rows.join(keys, "shingle"), "postings")
 
@@ -499,7 +509,7 @@ def missed(sets: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, bo
     cold = rows.filter(F.col("n") <= block).select("shingle", F.lit(0).alias("way"), F.lit(0).alias("part"), F.lit(BOTH).alias("role"), "node", "root")
     cells = cold.unionByName(home).unionByName(visits)
 
-    cells = cells.join(sets.select("node", "n", "parity"), "node").select("shingle", "way", "part", "role", "node", "root", "n", "parity")
+    cells = cells.join(nodes.select("node", "n", "parity"), "node").select("shingle", "way", "part", "role", "node", "root", "n", "parity")
     dealt = cells.repartition("shingle", "way", "part").sortWithinPartitions("shingle", "way", "part")
     return dealt.mapInArrow(_apart(similarity, bounds), "a long, b long").distinct()
 
@@ -514,12 +524,11 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     ids = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     layout = layout or (WIDE if docs.count() > MANY else Layout())
-    rows = stored(ids.select("id", _signed(shingle, layout)(F.col("text")).alias("s")).select("id", "s.digest", "s.n", "s.sig"), "signatures")
-    nodes = stored(rows.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    rows = stored(ids.select("id", _signed(shingle, layout)(F.col("text")).alias("s")).select("id", "s.digest", "s.n", "s.sig", "s.parity"), "signatures")
+    nodes = stored(rows.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("parity").alias("parity")), "nodes")
     many = nodes.filter(F.col("n") >= similarity * (F.col("n") + 1))  # smaller sets are similar to equal ones only
     pairs = stored(candidates(many, layout, bounds), "candidates")
-    found = ids.join(many.select("node", "digest"), F.col("id") == F.col("node")).select("node", "digest", _hashes(shingle)(F.col("text")).alias("s"))
-    sets = stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first("s.shingles").alias("shingles"), F.first("s.parity").alias("parity")).withColumn("n", F.size("shingles")), "shingles")
+    sets = _sets_of(ids, pairs, many, shingle)
     # the nearest neighbour of each node first; then what is left between different components
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     nearest = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
@@ -530,7 +539,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     good = stored(good.unionByName(_verified(different.join(nearest, ["a", "b"], "left_anti"), sets, similarity)), "links")
     roots = stored(components(good), "roots")
     # and all that was never a candidate
-    more = stored(_verified(missed(sets, roots, similarity, bounds), sets, similarity), "links")
+    rest = stored(missed(ids, many, roots, shingle, similarity, bounds), "missed")
+    more = stored(_verified(rest, _sets_of(ids, rest, many, shingle), similarity), "links")
     if not more.isEmpty():
         roots = components(good.unionByName(more))
     named = nodes.join(roots, "node", "left").select("digest", "copies", F.coalesce("root", "node").alias("component_id"))
