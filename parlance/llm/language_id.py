@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed
+from .common import mixed, released
 
 #: The classifier learns from about so many labelled rows at most, a share of all by the hash of their id,
 MAX_TRAIN_DOCS = 20_000
@@ -174,7 +174,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     buckets = buckets_for(len(langs))
     grams = np.zeros((len(langs), buckets + OTHER + 1), np.int32)
     if langs:
-        found = sample.mapInArrow(_counts(langs, buckets), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
+        found = sample.mapInArrow(released(_counts(langs, buckets)), "lang int, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
         grams[found["lang"].to_numpy(), found["feature"].to_numpy()] = found["n"].to_numpy()
     taught = grams.any(axis=1)
     return Model([x for x, good in zip(langs, taught.tolist(), strict=True) if good], grams[taught, :buckets], grams[taught, buckets:])
@@ -257,8 +257,12 @@ def language_udf(docs: DataFrame, model: Model, switch: float = SWITCH) -> Calla
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(RESULT)
-    def language(texts: pa.Array) -> pa.Array:
-        return pa.array(_predict(held.value, texts.to_pylist(), switch), _RESULT)
+    def language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(predictions)(batches)
+
+    def predictions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(_predict(held.value, texts.to_pylist(), switch), _RESULT)
 
     return language
 

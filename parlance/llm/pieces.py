@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 #: The vocabulary file on the driver's machine; a parameter of all functions. It is sent to the workers.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -32,7 +34,7 @@ SPACE = "▁"
 LEAST_SCORE = -1e8
 #: A character without a piece costs this more than the worst piece, and is spelled in bytes.
 UNKNOWN_COST = 10.0
-#: So many words with their segmentations are kept by each worker; then it starts anew.
+#: So many words with their segmentations are kept by each worker; then, and when a task ends, it starts anew.
 KEPT_WORDS = 500_000
 #: Words up to this length are searched together.
 LONGEST_TOGETHER = 40
@@ -389,21 +391,30 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     """
     out = T.StructType([docs.schema[key], docs.schema[text], *ENCODED.fields])
     name = _sent(docs.sparkSession, path)
+    return docs.select(key, text).mapInArrow(released(_encoding(name, best, out.names)), out)
+
 
+def _encoding(name: str, best: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(name, best)
-        for batch in rows:
-            size = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                found = model.encode_all([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum(np.fromiter((len(x[0]) // 4 for x in found), np.int64, b - a))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _int32(b"".join([x[0] for x in found])))
-                nbest = [[{"score": s, "n_pieces": n, "ids_sha256": h} for s, n, h in x[2]] for x in found]
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids, pa.array([x[1] for x in found], pa.float64()), pa.array(nbest, _NBEST)]
-                yield pa.RecordBatch.from_arrays(columns, names=out.names)
-
-    return docs.select(key, text).mapInArrow(batches, out)
+        try:
+            for batch in rows:
+                yield from encoded(model, batch)
+        finally:
+            model.forget()  # the worker may wait long for its next task, or get one of another kind
+
+    def encoded(model: Pieces, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = np.cumsum(pa.compute.binary_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            found = model.encode_all([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter((len(x[0]) // 4 for x in found), np.int64, b - a))])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _int32(b"".join([x[0] for x in found])))
+            nbest = [[{"score": s, "n_pieces": n, "ids_sha256": h} for s, n, h in x[2]] for x in found]
+            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), ids, pa.array([x[1] for x in found], pa.float64()), pa.array(nbest, _NBEST)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return batches
 
 
 def decode_udf(path: str = MODEL) -> Callable[[Column], Column]:

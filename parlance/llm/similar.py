@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, WORDS_BY_SPACE, Powers, joined_hot, mixed, slices, stored, utf8, window_hashes, word_bounds, word_hashes
+from .common import ASCII_LOWER, WORDS_BY_SPACE, Powers, joined_hot, mixed, released, slices, stored, utf8, window_hashes, word_bounds, word_hashes
 from .simhash import components
 
 SHINGLE = 5
@@ -318,7 +318,7 @@ def hot_keys(nodes: DataFrame, total: int, layout: Layout, bounds: Bounds) -> Da
     """(key, ways) of keys that hold over HOT_SHARE of the signatures, and to how many tasks they are dealt: a few
     thousand rows at most, by a sample of bounded size. Rows of a key in different tasks aren't compared for this segment."""
     share = -(-total // HOT_SAMPLE) or 1
-    sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("node", "sig").mapInArrow(_bands(layout), BAND)
+    sample = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("node", "sig").mapInArrow(released(_bands(layout)), BAND)
     counts = sample.groupBy(F.shiftright("band", 8).alias("key")).count()
     least = max(2 * bounds.short, HOT_SHARE * total / share)
     return counts.filter(F.col("count") > least).select("key", F.ceil(F.col("count") / least).cast("int").alias("ways"))
@@ -327,11 +327,11 @@ def hot_keys(nodes: DataFrame, total: int, layout: Layout, bounds: Bounds) -> Da
 def candidates(nodes: DataFrame, layout: Layout = Layout(), bounds: Bounds = Bounds()) -> DataFrame:
     """(a, b, d): candidate links of nodes (node, sig), each once, with the differing bits of their sketches."""
     hot = stored(hot_keys(nodes, nodes.count(), layout, bounds), "hot-keys")
-    rows = nodes.select("node", "sig").mapInArrow(_bands(layout), BAND).withColumn("key", F.shiftright("band", 8))
+    rows = nodes.select("node", "sig").mapInArrow(released(_bands(layout)), BAND).withColumn("key", F.shiftright("band", 8))
     rows = rows.join(F.broadcast(hot), "key", "left").withColumn("at", F.xxhash64("node", "key"))
     rows = rows.select("band", "node", "sketch", "key", "at", F.pmod("at", F.coalesce("ways", F.lit(1))).cast("int").alias("way"))
     dealt = rows.repartition("key", "way").sortWithinPartitions("key", "at").select("band", "node", "sketch")
-    return dealt.mapInArrow(_links(layout, bounds), LINK).groupBy("a", "b").agg(F.min("d").alias("d"))
+    return dealt.mapInArrow(released(_links(layout, bounds)), LINK).groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def _sets_of(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -486,7 +486,7 @@ def missed(ids: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int = SH
     spark = ids.sparkSession
     order = spark.sparkContext.broadcast(popular(ids, ids.count(), shingle))
     sets = ids.select(F.col("id").alias("node"), _hashes(shingle)(F.col("text")).alias("s")).select("node", F.xxhash64("s.digest").alias("set"), "s.shingles")
-    posted = lambda shared=None: sets.mapInArrow(_postings(order, similarity, shared), "shingle long, node long, set long")
+    posted = lambda shared=None: sets.mapInArrow(released(_postings(order, similarity, shared)), "shingle long, node long, set long")
     shared = stored(posted().groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).filter("least < most").select("shingle"), "shared-shingles")
     if 0 < shared.count() <= SENT_KEYS:
         rows = posted(spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy())))
@@ -511,7 +511,7 @@ def missed(ids: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int = SH
 
     cells = cells.join(nodes.select("node", "n", "parity"), "node").select("shingle", "way", "part", "role", "node", "root", "n", "parity")
     dealt = cells.repartition("shingle", "way", "part").sortWithinPartitions("shingle", "way", "part")
-    return dealt.mapInArrow(_apart(similarity, bounds), "a long, b long").distinct()
+    return dealt.mapInArrow(released(_apart(similarity, bounds)), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, layout: Layout | None = None, bounds: Bounds = Bounds()) -> DataFrame:

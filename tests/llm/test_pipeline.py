@@ -1,10 +1,14 @@
 """The pipeline against a plain version of its stages."""
 
+import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline
+from parlance.llm import common
 from parlance.llm import pieces as pc
 from parlance.llm import pii
 
@@ -49,3 +53,26 @@ def test_language_stage_rejects_scripts_that_no_language_writes(spark, tmp_path)
     docs = spark.createDataFrame([*rows, *odd, (105, "a cat แมว", None, "s", 1), (None, "кот", None, "s", 1)], DOCS)
     kept = corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in kept} == {*range(80), 105, None}
+
+
+def test_a_task_leaves_no_searched_words_in_its_worker(spark):
+    pc.encode(spark.createDataFrame(documents(n=40), DOCS).repartition(8)).collect()
+    name = os.path.basename(pc.MODEL)
+
+    def held(batches):
+        for _ in batches:
+            pass
+        yield pa.record_batch([pa.array([len(pc.pieces(name, pc.BEST).place)])], ["n"])
+
+    assert {r.n for r in spark.range(64).repartition(16).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_freed_memory_goes_back_when_a_task_ends_or_breaks_off(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "release", lambda: calls.append(1))
+    assert [*common.released(iter)([1, 2])] == [1, 2] and calls == [1]
+    broken = common.released(lambda rows: (1 // r for r in rows))([1, 0])
+    assert next(broken) == 1 and calls == [1]
+    with pytest.raises(ZeroDivisionError):
+        next(broken)
+    assert calls == [1, 1]
