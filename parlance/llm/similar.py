@@ -18,13 +18,13 @@ share one are compared, however many do: popular shingles are dealt to cells in
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,8 @@ class Bounds(NamedTuple):
 POPULAR_SAMPLE, POPULAR = 20_000, 1 << 16
 #: Bits of a set's parities, and pairs that are compared together.
 PARITIES, PAIRS = 512, 1 << 19
+#: Counters of a set's shingles, a byte each, that decide of which pairs the sets themselves are fetched.
+COUNTERS = 512
 #: Shingles that hold a larger share of all are dealt to cells, if that is more than a block; and so many keys (32 MB), and nodes with their digests, at most are sent to all tasks.
 CELL_SHARE, SENT_KEYS, SENT_NODES = 1e-5, 1 << 22, 1 << 17
 
@@ -150,6 +152,27 @@ def parities(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(n), PARITIES), axis=1)
 
 
+def tally(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles fall to each of COUNTERS counters, which stop at 255: two sets differ in at least as many shingles as their counters."""
+    return np.minimum(np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8)
+
+
+def _tallied(shingle: int):
+    @F.arrow_udf("struct<digest: binary, tally: binary>")
+    def tallied(texts: pa.Array) -> pa.Array:
+        sets = list(_sets(texts, shingle))
+        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([tally(x).tobytes() for x in sets], pa.binary())], names=["digest", "tally"])
+
+    return tallied
+
+
+@F.arrow_udf(T.IntegerType())
+def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The sum of the differences of the counters of two sets."""
+    x, y = (np.frombuffer(b"".join(t.to_pylist()), np.uint8).reshape(-1, COUNTERS).astype(np.int16) for t in (a, b))
+    return pa.array(np.abs(x - y).sum(axis=1, dtype=np.int32))
+
+
 def _hashes(shingle: int):
     @F.arrow_udf("struct<digest: binary, shingles: array<bigint>>")
     def hashes(texts: pa.Array) -> pa.Array:
@@ -334,12 +357,26 @@ def candidates(nodes: DataFrame, layout: Layout = Layout(), bounds: Bounds = Bou
     return dealt.mapInArrow(released(_links(layout, bounds)), LINK).groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def _sets_of(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes of the pairs; texts are shuffled only if these are many."""
+def _of_texts(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, made: Callable[[Column], Column], name: str) -> DataFrame:
+    """(node, name) of the nodes of the pairs, a field of what is made of their texts; these are shuffled only if the nodes are many."""
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node"), "needed")
     needed = F.broadcast(needed) if needed.count() <= SENT_NODES else needed
-    found = ids.join(needed, F.col("id") == F.col("node")).select("node", "digest", _hashes(shingle)(F.col("text")).alias("s"))
-    return stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first("s.shingles").alias("shingles")), "shingles")
+    found = ids.join(needed, F.col("id") == F.col("node")).select("node", "digest", made(F.col("text")).alias("s"))
+    return stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first(f"s.{name}").alias(name)), name)
+
+
+def _sets_of(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the nodes of the pairs."""
+    return _of_texts(ids, pairs, nodes, _hashes(shingle), "shingles")
+
+
+def possible(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that the counters of their sets don't show to be less similar. Parities can't tell long sets apart; and sets, which have
+    eight bytes a shingle, go through two shuffles for each pair that is left."""
+    of = _of_texts(ids, pairs, nodes, _tallied(shingle), "tally").join(nodes.select("node", "n"), "node")
+    a, b = (of.select(F.col("node").alias(k), F.col("tally").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    return pairs.join(a, "a").join(b, "b").filter(_differ("ta", "tb") <= most).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -540,6 +577,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     roots = stored(components(good), "roots")
     # and all that was never a candidate
     rest = stored(missed(ids, many, roots, shingle, similarity, bounds), "missed")
+    rest = stored(possible(ids, rest, many, shingle, similarity), "possible")
     more = stored(_verified(rest, _sets_of(ids, rest, many, shingle), similarity), "links")
     if not more.isEmpty():
         roots = components(good.unionByName(more))

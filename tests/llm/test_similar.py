@@ -245,3 +245,19 @@ def _sets(texts):
     import pyarrow as pa
 
     return list(similar._sets(pa.array(texts), 5))
+
+
+def test_counters_leave_pairs_of_long_sets_out_but_no_similar_one(spark):
+    rng = random.Random(8)
+    texts = near_copies(rng, 2, 1, 60, 3000) + near_copies(rng, 2, 1, 0, 3000)
+    texts[2] = " ".join(texts[0].split()[:300] + texts[2].split()[300:])  # a passage in common, which parities can't tell from a copy
+    ids = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    nodes = ids.select(F.col("id").alias("node"), similar._signed(5, similar.Layout())(F.col("text")).alias("s")).select("node", "s.digest", "s.n")
+    pairs = spark.createDataFrame([(a, b) for b in range(4) for a in range(b)], "a long, b long")
+    assert jaccard(shingles(texts[0]), shingles(texts[1])) >= 0.8 > 0.8 * jaccard(shingles(texts[2]), shingles(texts[3])) > 0.5
+    left = {tuple(r) for r in similar.possible(ids, pairs, nodes, 5, 0.8).collect()}
+    assert left == {(0, 1), (2, 3)}
+    for n in (3, 700, 200_000):  # the last one's counters overflow
+        x = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
+        y = np.concatenate([x[n // 9 :], x[: n // 9] + np.uint64(1)])
+        assert np.abs(similar.tally(x).astype(int) - similar.tally(y)).sum() <= 2 * (n // 9)
