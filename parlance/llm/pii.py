@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import released
+
 BASE = ("email", "ip", "card", "phone")
 #: Added: account numbers, and card numbers that a date or a code follows, cut to their longest end that the checksum confirms.
 KINDS = (*BASE, "iban", "cut_card")
@@ -190,8 +193,12 @@ def redacted(text: str, least: float) -> str:
 
 def _redacted(least: float):
     @F.arrow_udf(T.StringType())
-    def udf(texts: pa.Array) -> pa.Array:
-        return pa.array([None if (t := x.as_py()) is None else redacted(t, least) for x in texts], pa.string())
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(each)(batches)
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if (t := x.as_py()) is None else redacted(t, least) for x in texts], pa.string())
 
     return udf
 

@@ -133,7 +133,10 @@ def _signed(shingle: int, layout: Layout):
     own = seeds(layout.size)
 
     @F.arrow_udf(SIGNED)
-    def signed(texts: pa.Array) -> pa.Array:
+    def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from released(lambda rows: map(each, rows))(batches)
+
+    def each(texts: pa.Array) -> pa.Array:
         digests, sizes, sigs, odd = [], [], [], []
         for x in _sets(texts, shingle):
             digests.append(hashlib.md5(x.tobytes()).digest())
