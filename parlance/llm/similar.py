@@ -68,6 +68,8 @@ class Bounds(NamedTuple):
 POPULAR_SAMPLE, POPULAR = 20_000, 1 << 16
 #: Bits of a set's parities, and pairs that are compared together.
 PARITIES, PAIRS = 512, 1 << 19
+#: Parities of so many pairs are held at once.
+COMPARED = 1 << 15
 #: Counters of a set's shingles, a byte each, that decide of which pairs the sets themselves are fetched.
 COUNTERS = 512
 #: Shingles that hold a larger share of all are dealt to cells, if that is more than a block; and so many keys (32 MB), and nodes with their digests, at most are sent to all tasks.
@@ -122,11 +124,31 @@ def signature(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
 SIGNED = T.StructType().add("digest", "binary").add("n", "integer").add("sig", "binary").add("parity", "binary")
 
 
-def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+def _sliced(texts: pa.Array, shingle: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(from, to, sets) of slices of the texts."""
     data, offsets = utf8(texts)
     powers = Powers()
     for a, b in slices(offsets):
-        yield from shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle, powers)
+        yield a, b, shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle, powers)
+
+
+def _sets(texts: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    for _, _, sets in _sliced(texts, shingle):
+        yield from sets
+
+
+def digest(hashes: np.ndarray) -> bytes:
+    return hashlib.md5(hashes.tobytes()).digest()
+
+
+def set_key(of: Column) -> Column:
+    """The first eight bytes of a digest as a number."""
+    return F.conv(F.hex(F.substring(of, 1, 8)), 16, -10).cast("long")
+
+
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """set_key() of the digests of sets."""
+    return np.frombuffer(b"".join(map(digest, sets)), ">u8")[::2].astype(np.uint64).view(np.int64)
 
 
 def _signed(shingle: int, layout: Layout):
@@ -139,7 +161,7 @@ def _signed(shingle: int, layout: Layout):
     def each(texts: pa.Array) -> pa.Array:
         digests, sizes, sigs, odd = [], [], [], []
         for x in _sets(texts, shingle):
-            digests.append(hashlib.md5(x.tobytes()).digest())
+            digests.append(digest(x))
             sizes.append(len(x))
             sigs.append(signature(x, own).tobytes())
             odd.append(parities(x.view(np.int64), np.array([len(x)])).tobytes())
@@ -160,15 +182,6 @@ def tally(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8)
 
 
-def _tallied(shingle: int):
-    @F.arrow_udf("struct<digest: binary, tally: binary>")
-    def tallied(texts: pa.Array) -> pa.Array:
-        sets = list(_sets(texts, shingle))
-        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.array([tally(x).tobytes() for x in sets], pa.binary())], names=["digest", "tally"])
-
-    return tallied
-
-
 @F.arrow_udf(T.IntegerType())
 def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
     """The sum of the differences of the counters of two sets."""
@@ -176,15 +189,38 @@ def _differ(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.abs(x - y).sum(axis=1, dtype=np.int32))
 
 
-def _hashes(shingle: int):
-    @F.arrow_udf("struct<digest: binary, shingles: array<bigint>>")
-    def hashes(texts: pa.Array) -> pa.Array:
-        sets = list(_sets(texts, shingle))
-        ends = np.cumsum([0, *map(len, sets)])
-        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array([hashlib.md5(x.tobytes()).digest() for x in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["digest", "shingles"])
+def _flat(sets: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+
+
+def _arrays(sets: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(_flat(sets)))
+
+
+def _tallies(sets: list[np.ndarray]) -> pa.Array:
+    return pa.array([tally(x).tobytes() for x in sets], pa.binary())
+
+
+def _made(shingle: int, made: Callable[[list[np.ndarray]], pa.Array], name: str):
+    """From (node, digest, text) to (node, name): what is made of the sets of the texts that have this digest. A filter by a function's result would have
+    Spark call the function twice a row, in two workers a task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, sets in _sliced(batch.column(2), shingle):
+                own = [i for i, (x, d) in enumerate(zip(sets, batch.column(1).slice(a, b - a).to_pylist(), strict=True)) if digest(x) == d]
+                yield pa.record_batch([batch.column(0).slice(a, b - a).take(pa.array(own, pa.int64())), made([sets[i] for i in own])], names=["node", name])
+
+    return rows
+
+
+def _each_shingle(shingle: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, sets in _sliced(batch.column(0), shingle):
+                yield pa.record_batch([pa.array(_flat(sets))], names=["shingle"])
 
-    return hashes
+    return rows
 
 
 BAND = "band long, node long, sketch long"
@@ -360,23 +396,23 @@ def candidates(nodes: DataFrame, layout: Layout = Layout(), bounds: Bounds = Bou
     return dealt.mapInArrow(released(_links(layout, bounds)), LINK).groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
-def _of_texts(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, made: Callable[[Column], Column], name: str) -> DataFrame:
-    """(node, name) of the nodes of the pairs, a field of what is made of their texts; these are shuffled only if the nodes are many."""
+def _of_texts(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, made: Callable[[list[np.ndarray]], pa.Array], name: str, kind: str) -> DataFrame:
+    """(node, name) of the nodes of the pairs, what is made of their sets; the texts are shuffled only if the nodes are many."""
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node"), "needed")
     needed = F.broadcast(needed) if needed.count() <= SENT_NODES else needed
-    found = ids.join(needed, F.col("id") == F.col("node")).select("node", "digest", made(F.col("text")).alias("s"))
-    return stored(found.filter(F.col("digest") == F.col("s.digest")).groupBy("node").agg(F.first(f"s.{name}").alias(name)), name)
+    found = ids.join(needed, F.col("id") == F.col("node")).select("node", "digest", "text").mapInArrow(released(_made(shingle, made, name)), f"node long, {name} {kind}")
+    return stored(found.groupBy("node").agg(F.first(name).alias(name)), name)
 
 
 def _sets_of(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(node, shingles) of the nodes of the pairs."""
-    return _of_texts(ids, pairs, nodes, _hashes(shingle), "shingles")
+    return _of_texts(ids, pairs, nodes, shingle, _arrays, "shingles", "array<long>")
 
 
 def possible(ids: DataFrame, pairs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) that the counters of their sets don't show to be less similar. Parities can't tell long sets apart; and sets, which have
     eight bytes a shingle, go through two shuffles for each pair that is left."""
-    of = _of_texts(ids, pairs, nodes, _tallied(shingle), "tally").join(nodes.select("node", "n"), "node")
+    of = _of_texts(ids, pairs, nodes, shingle, _tallies, "tally", "binary").join(nodes.select("node", "n"), "node")
     a, b = (of.select(F.col("node").alias(k), F.col("tally").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
     most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
     return pairs.join(a, "a").join(b, "b").filter(_differ("ta", "tb") <= most).select("a", "b")
@@ -399,7 +435,7 @@ class Order(NamedTuple):
 def popular(ids: DataFrame, total: int, shingle: int) -> Order:
     """The shingles that most texts of a sample share, the most popular last."""
     share = -(-total // POPULAR_SAMPLE) or 1
-    sample = ids.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.explode(_hashes(shingle)(F.col("text"))["shingles"]).alias("shingle"))
+    sample = ids.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("text").mapInArrow(released(_each_shingle(shingle)), "shingle long")
     top = sample.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(POPULAR).toArrow()
     shingles = top.column(0).to_numpy()
     order = np.argsort(shingles)
@@ -419,18 +455,20 @@ def first_shingles(flat: np.ndarray, n: np.ndarray, order: Order, similarity: fl
     return row[keep], flat[by][keep]
 
 
-def _postings(order, similarity: float, shared):
-    """From (node, set, shingles) to a row (shingle, node, set) for each of the first ones; of these, if `shared` is given, only those in it."""
+def _postings(order, shingle: int, similarity: float, shared):
+    """From (node, text) to a row (shingle, node, set) for each of the first shingles; of these, if `shared` is given, only those in it. A slice's sets
+    are made, used and left in the worker: they are never rows."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = pa.compute.list_value_length(batch.column(2)).to_numpy().astype(np.int64)
-            row, shingle = first_shingles(batch.column(2).flatten().to_numpy(), n, order.value, similarity)
-            if shared is not None:
-                at = np.minimum(np.searchsorted(shared.value, shingle), len(shared.value) - 1)
-                keep = shared.value[at] == shingle
-                row, shingle = row[keep], shingle[keep]
-            yield pa.record_batch([pa.array(shingle), *(pa.array(batch.column(k).to_numpy()[row]) for k in range(2))], names=["shingle", "node", "set"])
+            for a, b, sets in _sliced(batch.column(1), shingle):
+                row, first = first_shingles(_flat(sets), np.fromiter(map(len, sets), np.int64, b - a), order.value, similarity)
+                if shared is not None:
+                    at = np.minimum(np.searchsorted(shared.value, first), len(shared.value) - 1)
+                    keep = shared.value[at] == first
+                    row, first = row[keep], first[keep]
+                columns = first, batch.column(0).to_numpy()[a:b][row], set_keys(sets)[row]
+                yield pa.record_batch(list(map(pa.array, columns)), names=["shingle", "node", "set"])
 
     return postings
 
@@ -455,7 +493,9 @@ class Cells(NamedTuple):
         i, j = self.n[x], self.n[y]
         at = np.flatnonzero(met & (self.root[x] != self.root[y]) & (np.minimum(i, j) >= similarity * np.maximum(i, j) - 1e-6))
         x, y = x[at], y[at]
-        differ = np.bitwise_count(self.parity[x] ^ self.parity[y]).sum(axis=1, dtype=np.int64)
+        differ = np.zeros(len(x), np.int64)
+        for a in range(0, len(x), COMPARED):  # the parities of all pairs would take many times their memory
+            differ[a : a + COMPARED] = np.bitwise_count(self.parity[x[a : a + COMPARED]] ^ self.parity[y[a : a + COMPARED]]).sum(axis=1, dtype=np.int64)
         at = np.flatnonzero(differ <= (1 - similarity) / (1 + similarity) * (self.n[x] + self.n[y]) + 1e-6)
         return x[at], y[at]
 
@@ -525,14 +565,14 @@ def missed(ids: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int = SH
     a cell for each part, those of a part visit the cell of each way. So each pair meets, and a cell has about a block on either side."""
     spark = ids.sparkSession
     order = spark.sparkContext.broadcast(popular(ids, ids.count(), shingle))
-    sets = ids.select(F.col("id").alias("node"), _hashes(shingle)(F.col("text")).alias("s")).select("node", F.xxhash64("s.digest").alias("set"), "s.shingles")
-    posted = lambda shared=None: sets.mapInArrow(released(_postings(order, similarity, shared)), "shingle long, node long, set long")
+    texts = ids.select(F.col("id").alias("node"), "text")
+    posted = lambda shared=None: texts.mapInArrow(released(_postings(order, shingle, similarity, shared)), "shingle long, node long, set long")
     shared = stored(posted().groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).filter("least < most").select("shingle"), "shared-shingles")
     if 0 < shared.count() <= SENT_KEYS:
         rows = posted(spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy())))
     else:
         rows = posted().join(shared, "shingle")
-    owners = nodes.select("node", F.xxhash64("digest").alias("set")).join(roots, "node", "left").select("node", "set", F.coalesce("root", "node").alias("root"))
+    owners = nodes.select("node", set_key(F.col("digest")).alias("set")).join(roots, "node", "left").select("node", "set", F.coalesce("root", "node").alias("root"))
     rows = stored(rows.join(owners, ["node", "set"]).select("shingle", "node", "root"), "postings")
     keys = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least < most").select("shingle", "n")
     rows = stored(rows.join(keys, "shingle"), "postings")

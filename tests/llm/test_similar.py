@@ -261,3 +261,66 @@ def test_counters_leave_pairs_of_long_sets_out_but_no_similar_one(spark):
         x = np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64)
         y = np.concatenate([x[n // 9 :], x[: n // 9] + np.uint64(1)])
         assert np.abs(similar.tally(x).astype(int) - similar.tally(y)).sum() <= 2 * (n // 9)
+
+
+def python_nodes(plan):
+    """The most Python nodes on a path of a plan, as text, that no exchange parts: so many workers a task has at once."""
+    open_, most = [], 0
+    for line in plan.splitlines():
+        name = line.lstrip(" :+-")
+        depth = len(line) - len(name)
+        open_ = [x for x in open_ if x[0] < depth]
+        n = 0 if "Exchange" in name.split(" ")[0] else (open_[-1][1] if open_ else 0) + name.startswith(("ArrowEvalPython", "MapInArrow"))
+        open_.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_sets_are_made_once_a_row_by_one_worker_a_task(spark, monkeypatch):
+    """No filter by a function's result, which Spark calls twice, and no sets that go from one worker to another."""
+    assert python_nodes("A\n+- MapInArrow f\n   +- Exchange x\n      +- ArrowEvalPython [g]\n         +- Project\n            +- ArrowEvalPython [g]") == 2
+    seen = {}
+
+    def stored(df, name, real=similar.stored):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[name] = max(seen.get(name, 0), python_nodes(plan))
+        return real(df, name)
+
+    monkeypatch.setattr(similar, "stored", stored)
+    ids = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g i"), (3, "x y")], "id long, text string")
+    nodes = ids.select(F.col("id").alias("node"), similar._signed(5, similar.Layout())(F.col("text")).alias("s")).select("node", "s.digest", "s.n", "s.parity").localCheckpoint()
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert {r.node: len(r.shingles) for r in similar._sets_of(ids, pairs, nodes, 5).collect()} == {1: 4, 2: 4}
+    assert similar.possible(ids, pairs, nodes, 5, 0.5).count() == 1
+    assert [tuple(r) for r in similar.missed(ids, nodes, spark.createDataFrame([], "node long, root long"), 5, 0.5).collect()] == [(1, 2)]
+    assert {"shingles", "tally", "postings", "shared-shingles"} <= seen.keys() and max(seen.values()) == 1, seen
+
+
+def test_texts_without_the_digest_have_no_set(spark):
+    """Of rows that repeat a key, the one with the digest counts."""
+    rows = [(1, "a b c d e f"), (1, "other words of its own here"), (2, None), (3, "")]
+    ids = spark.createDataFrame(rows, "id long, text string")
+    digests = [(1, similar.digest(_sets([rows[0][1]])[0])), (2, similar.digest(_sets([None])[0])), (3, b"none")]
+    nodes = spark.createDataFrame([(n, bytearray(d)) for n, d in digests], "node long, digest binary")
+    got = similar._sets_of(ids, spark.createDataFrame([(1, 2), (1, 3)], "a long, b long"), nodes, 5).collect()
+    assert {r.node: r.shingles for r in got} == {1: _sets([rows[0][1]])[0].view(np.int64).tolist(), 2: []}
+
+
+def test_keys_of_sets_are_the_same_in_sql_and_in_workers(spark):
+    sets = [np.arange(n, dtype=np.uint64) for n in range(200)]
+    digests = spark.createDataFrame([(i, bytearray(similar.digest(x))) for i, x in enumerate(sets)], "i int, d binary")
+    got = {r.i: r.k for r in digests.select("i", similar.set_key(F.col("d")).alias("k")).collect()}
+    want = similar.set_keys(sets).tolist()
+    assert [got[i] for i in range(200)] == want and min(want) < 0 < max(want)
+
+
+def test_parities_compared_in_pieces_leave_the_same_pairs(monkeypatch):
+    rng = np.random.default_rng(12)
+    n = 300
+    parity = rng.integers(0, 1 << 62, (6, similar.PARITIES // 64)).astype(np.uint64)[rng.integers(0, 6, n)]
+    parity[:, 0] ^= np.uint64(1) << rng.integers(0, 60, n).astype(np.uint64)
+    cells = similar.Cells(np.sort(rng.integers(0, 4, n)), np.full(n, similar.BOTH), np.arange(n), np.arange(n) // 3, np.full(n, 40), parity)
+    pairs = lambda: {tuple(sorted(p)) for a, b in similar.apart(cells, 0.8, 16) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    whole = pairs()
+    monkeypatch.setattr(similar, "COMPARED", 7)
+    assert len(whole) > 100 and pairs() == whole
