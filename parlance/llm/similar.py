@@ -66,7 +66,7 @@ class Bounds(NamedTuple):
 
 #: Of so many texts the shingles are counted, and so many of the most popular are put last. Both decide the time that the exact search takes, never what it finds.
 POPULAR_SAMPLE, POPULAR = 20_000, 1 << 16
-#: Bits of a set's parities, and pairs that are compared together.
+#: Bits of a set's first parities, and pairs that are compared together. Larger sets have more, see parity_bits().
 PARITIES, PAIRS = 512, 1 << 19
 #: Parities of so many pairs are held at once.
 COMPARED = 1 << 15
@@ -164,17 +164,56 @@ def _signed(shingle: int, layout: Layout):
             digests.append(digest(x))
             sizes.append(len(x))
             sigs.append(signature(x, own).tobytes())
-            odd.append(parities(x.view(np.int64), np.array([len(x)])).tobytes())
+            odd.append(parities(x.view(np.int64), np.array([len(x)]), parity_bits(len(x))).tobytes())
         return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(odd, pa.binary())], names=SIGNED.names)
 
     return signed
 
 
-def parities(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each set PARITIES bits, whether an odd number of its shingles falls to each: two sets differ in at least as many shingles as bits."""
-    at = np.repeat(np.arange(len(n)) * PARITIES, n) + (flat & (PARITIES - 1))
-    odd = np.bincount(at, minlength=len(n) * PARITIES).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(len(n), PARITIES), axis=1)
+def parity_bits(n: int) -> int:
+    """The bits of a set of n shingles, a power of two: at least twice n, so that unlike sets differ in enough of them however long they are, and
+    eight times n up to 2048, as chance weighs more on smaller sets."""
+    return max(PARITIES, 1 << (max(2 * n, min(8 * n, 2048), 1) - 1).bit_length())
+
+
+def parities(flat: np.ndarray, n: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """Of each set so many bits, whether an odd number of its shingles falls to each: two sets differ in at least as many shingles as bits."""
+    at = np.repeat(np.arange(len(n)) * bits, n) + (flat & (bits - 1))
+    odd = np.bincount(at, minlength=len(n) * bits).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(n), bits), axis=1)
+
+
+class Parities(NamedTuple):
+    """Parities of different lengths: eight bytes each, and for each row where they begin and how many they are."""
+
+    flat: np.ndarray
+    start: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.ChunkedArray) -> Parities:
+        words = pa.compute.binary_length(column).to_numpy().astype(np.int64) >> 3
+        return cls(np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.cumsum(words) - words, words)
+
+    def folded(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """The parities of the rows as if they had been made with so many: bits that then fall together are added."""
+        out = np.empty((len(rows), words), np.uint64)
+        for own in np.unique(self.words[rows]).tolist():
+            at = np.flatnonzero(self.words[rows] == own)
+            whole = self.flat[self.start[rows[at], None] + np.arange(own)]
+            out[at] = np.bitwise_xor.reduce(whole.reshape(len(at), own // words, words), axis=1)
+        return out
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many bits the pairs differ, with the bits of the one that has fewer."""
+        out, fewer = np.zeros(len(x), np.int64), np.minimum(self.words[x], self.words[y])
+        for words in np.unique(fewer).tolist():
+            at = np.flatnonzero(fewer == words)
+            step = max(1, COMPARED * PARITIES // 64 // words)  # the parities of all pairs would take many times their memory
+            for a in range(0, len(at), step):
+                k = at[a : a + step]
+                out[k] = np.bitwise_count(self.folded(x[k], words) ^ self.folded(y[k], words)).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def tally(hashes: np.ndarray) -> np.ndarray:
@@ -442,33 +481,38 @@ def popular(ids: DataFrame, total: int, shingle: int) -> Order:
     return Order(shingles[order], (len(shingles) - order).astype(np.int64))
 
 
+def _ranks(flat: np.ndarray, order: Order) -> np.ndarray:
+    """The rank of each shingle, 0 if it is not listed."""
+    if not len(order.shingles):
+        return np.zeros(len(flat), np.int64)
+    at = np.minimum(np.searchsorted(order.shingles, flat), len(order.shingles) - 1)
+    return np.where(order.shingles[at] == flat, order.ranks[at], 0)
+
+
 def first_shingles(flat: np.ndarray, n: np.ndarray, order: Order, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, shingle): of each set, n of `flat` in turn, the first ones in the order; two sets that are similar enough share one of them."""
     row = np.repeat(np.arange(len(n)), n)
-    rank = np.zeros(len(flat), np.int64)
-    if len(order.shingles):
-        at = np.minimum(np.searchsorted(order.shingles, flat), len(order.shingles) - 1)
-        rank = np.where(order.shingles[at] == flat, order.ranks[at], 0)
-    by = np.lexsort((flat, rank, row))
+    by = np.lexsort((flat, _ranks(flat, order), row))
     least = np.ceil(similarity * n - 1e-9).astype(np.int64)  # shared with any set that is similar enough
     keep = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n - least, n)
     return row[keep], flat[by][keep]
 
 
 def _postings(order, shingle: int, similarity: float, shared):
-    """From (node, text) to a row (shingle, node, set) for each of the first shingles; of these, if `shared` is given, only those in it. A slice's sets
-    are made, used and left in the worker: they are never rows."""
+    """From (node, text) to a row (shingle, rank, place, node, set) for each of the first shingles; of these, if `shared` is given, only those in it.
+    place: how many of the set's shingles come before it. A slice's sets are made, used and left in the worker: they are never rows."""
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _sliced(batch.column(1), shingle):
                 row, first = first_shingles(_flat(sets), np.fromiter(map(len, sets), np.int64, b - a), order.value, similarity)
+                place = np.arange(len(row)) - np.searchsorted(row, row)
                 if shared is not None:
                     at = np.minimum(np.searchsorted(shared.value, first), len(shared.value) - 1)
                     keep = shared.value[at] == first
-                    row, first = row[keep], first[keep]
-                columns = first, batch.column(0).to_numpy()[a:b][row], set_keys(sets)[row]
-                yield pa.record_batch(list(map(pa.array, columns)), names=["shingle", "node", "set"])
+                    row, first, place = row[keep], first[keep], place[keep]
+                columns = first, _ranks(first, order.value), place, batch.column(0).to_numpy()[a:b][row], set_keys(sets)[row]
+                yield pa.record_batch(list(map(pa.array, columns)), names=["shingle", "rank", "place", "node", "set"])
 
     return postings
 
@@ -486,18 +530,33 @@ class Cells(NamedTuple):
     root: np.ndarray
     n: np.ndarray
     parity: np.ndarray
+    #: How many shingles of the row's set come before the cell's, and all parities, if these are known.
+    place: np.ndarray | None = None
+    wide: Parities | None = None
 
     def similar(self, x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the pairs that are of different groups and that neither sizes nor parities show to be less similar."""
+        """Those of the pairs that are of different groups and that neither sizes nor places nor parities show to be less similar.
+
+        Places are judged as if the cell's shingle were the first that the two share. In the cell where it is, this leaves out no similar pair;
+        in a later cell it may, but there the pair has been met before."""
         met = (self.role[x] != VISITS) & (self.role[y] != HOME) | (self.role[y] != VISITS) & (self.role[x] != HOME)
         i, j = self.n[x], self.n[y]
         at = np.flatnonzero(met & (self.root[x] != self.root[y]) & (np.minimum(i, j) >= similarity * np.maximum(i, j) - 1e-6))
         x, y = x[at], y[at]
+        most = (1 - similarity) / (1 + similarity) * (self.n[x] + self.n[y]) + 1e-6
+        if self.place is not None:
+            i, j = self.place[x], self.place[y]
+            at = np.flatnonzero(i + j + abs((self.n[x] - i) - (self.n[y] - j)) <= most)
+            x, y, most = x[at], y[at], most[at]
         differ = np.zeros(len(x), np.int64)
         for a in range(0, len(x), COMPARED):  # the parities of all pairs would take many times their memory
             differ[a : a + COMPARED] = np.bitwise_count(self.parity[x[a : a + COMPARED]] ^ self.parity[y[a : a + COMPARED]]).sum(axis=1, dtype=np.int64)
-        at = np.flatnonzero(differ <= (1 - similarity) / (1 + similarity) * (self.n[x] + self.n[y]) + 1e-6)
-        return x[at], y[at]
+        at = np.flatnonzero(differ <= most)
+        x, y, most = x[at], y[at], most[at]
+        if self.wide is not None:
+            at = np.flatnonzero(self.wide.differ(x, y) <= most)
+            x, y = x[at], y[at]
+        return x, y
 
 
 def apart(rows: Cells, similarity: float, short: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -522,7 +581,7 @@ def apart(rows: Cells, similarity: float, short: int) -> Iterator[tuple[np.ndarr
 
 
 def _apart(similarity: float, bounds: Bounds):
-    """Pairs from rows (shingle, way, part, role, node, root, n, parity) that come cell by cell."""
+    """Pairs from rows (shingle, way, part, role, node, root, n, place, parity) that come cell by cell."""
 
     def pairs(held: list[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).slice(0, rows).combine_chunks()
@@ -530,8 +589,9 @@ def _apart(similarity: float, bounds: Bounds):
         changes = np.zeros(rows, bool)
         for k in range(3):
             changes[1:] |= np.diff(column(k)) != 0
-        parity = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint64).reshape(rows, PARITIES // 64)
-        for a, b in apart(Cells(np.cumsum(changes), *map(column, range(3, 7)), parity), similarity, bounds.short):
+        wide = Parities.of(table.column(8))
+        parity = wide.folded(np.arange(rows), PARITIES // 64)
+        for a, b in apart(Cells(np.cumsum(changes), *map(column, range(3, 7)), parity, column(7), wide), similarity, bounds.short):
             if len(a):
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
                 yield pa.record_batch([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
@@ -560,22 +620,26 @@ def _apart(similarity: float, bounds: Bounds):
 def missed(ids: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bounds: Bounds = Bounds()) -> DataFrame:
     """(a, b): every pair of nodes (node, digest, n, parity), sets of the texts (id, text), of different groups (node, root; others are alone) that may be
     similar enough, and few others. Sets that share one of their first shingles are compared: all of them with all but the largest group.
+    Of shingles that are among the first ones of the very same sets, told by two sums of hashes, the first in the order stands for all.
 
     A popular shingle's rows have a way and those outside its largest group a part, by hash; the rows of a way are at home in
     a cell for each part, those of a part visit the cell of each way. So each pair meets, and a cell has about a block on either side."""
     spark = ids.sparkSession
     order = spark.sparkContext.broadcast(popular(ids, ids.count(), shingle))
     texts = ids.select(F.col("id").alias("node"), "text")
-    posted = lambda shared=None: texts.mapInArrow(released(_postings(order, shingle, similarity, shared)), "shingle long, node long, set long")
+    posted = lambda shared=None: texts.mapInArrow(released(_postings(order, shingle, similarity, shared)), "shingle long, rank long, place long, node long, set long")
     shared = stored(posted().groupBy("shingle").agg(F.min("set").alias("least"), F.max("set").alias("most")).filter("least < most").select("shingle"), "shared-shingles")
     if 0 < shared.count() <= SENT_KEYS:
         rows = posted(spark.sparkContext.broadcast(np.sort(shared.toArrow().column(0).to_numpy())))
     else:
         rows = posted().join(shared, "shingle")
     owners = nodes.select("node", set_key(F.col("digest")).alias("set")).join(roots, "node", "left").select("node", "set", F.coalesce("root", "node").alias("root"))
-    rows = stored(rows.join(owners, ["node", "set"]).select("shingle", "node", "root"), "postings")
-    keys = rows.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n")).filter("least < most").select("shingle", "n")
-    rows = stored(rows.join(keys, "shingle"), "postings")
+    rows = stored(rows.join(owners, ["node", "set"]).select("shingle", "rank", F.col("place").cast("int").alias("place"), "node", "root"), "postings")
+    hashed = lambda seed: F.sum(F.shiftright(F.xxhash64("node", F.lit(seed)), 28))
+    members = {"n": F.count("*"), "low": F.min("node"), "high": F.max("node"), "h": hashed(1), "g": hashed(2)}
+    keys = rows.groupBy("shingle", "rank").agg(F.min("root").alias("least"), F.max("root").alias("most"), *(v.alias(k) for k, v in members.items())).filter("least < most")
+    keys = keys.groupBy(*members).agg(F.min(F.struct("rank", "shingle")).alias("first")).select("first.shingle", "n")
+    rows = stored(rows.drop("rank").join(keys, "shingle"), "postings")
 
     block = max(bounds.block, int(CELL_SHARE * rows.count()))
     sizes = rows.filter(F.col("n") > block).groupBy("shingle", "root").agg(F.count("*").alias("n"))
@@ -584,12 +648,12 @@ def missed(ids: DataFrame, nodes: DataFrame, roots: DataFrame, shingle: int = SH
     hot = stored(sizes.select("shingle", "main", parts(F.col("n")).alias("ways"), parts(F.col("n") - F.col("most")).alias("parts")), "popular-shingles")
     split = rows.drop("n").join(F.broadcast(hot), "shingle").withColumns({"way": F.pmod(F.xxhash64("node", "shingle"), "ways").cast("int"), "part": F.pmod(F.xxhash64("shingle", "node"), "parts").cast("int")})
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    home = split.select("shingle", "way", each("parts").alias("part"), F.lit(HOME).alias("role"), "node", "root")
-    visits = split.filter("root != main").select("shingle", each("ways").alias("way"), "part", F.lit(VISITS).alias("role"), "node", "root")
-    cold = rows.filter(F.col("n") <= block).select("shingle", F.lit(0).alias("way"), F.lit(0).alias("part"), F.lit(BOTH).alias("role"), "node", "root")
+    home = split.select("shingle", "way", each("parts").alias("part"), F.lit(HOME).alias("role"), "node", "root", "place")
+    visits = split.filter("root != main").select("shingle", each("ways").alias("way"), "part", F.lit(VISITS).alias("role"), "node", "root", "place")
+    cold = rows.filter(F.col("n") <= block).select("shingle", F.lit(0).alias("way"), F.lit(0).alias("part"), F.lit(BOTH).alias("role"), "node", "root", "place")
     cells = cold.unionByName(home).unionByName(visits)
 
-    cells = cells.join(nodes.select("node", "n", "parity"), "node").select("shingle", "way", "part", "role", "node", "root", "n", "parity")
+    cells = cells.join(nodes.select("node", "n", "parity"), "node").select("shingle", "way", "part", "role", "node", "root", "n", "place", "parity")
     dealt = cells.repartition("shingle", "way", "part").sortWithinPartitions("shingle", "way", "part")
     return dealt.mapInArrow(released(_apart(similarity, bounds)), "a long, b long").distinct()
 

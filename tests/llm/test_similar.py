@@ -324,3 +324,43 @@ def test_parities_compared_in_pieces_leave_the_same_pairs(monkeypatch):
     whole = pairs()
     monkeypatch.setattr(similar, "COMPARED", 7)
     assert len(whole) > 100 and pairs() == whole
+
+
+def test_texts_that_share_a_passage_are_told_apart_in_the_task(spark):
+    """Long texts with a passage in common: only those that are similar come out of the cells. 512 bits let all pairs of them through."""
+    rng = random.Random(51)
+    passage = words(rng, 250).split()
+    texts = [words(rng, 1300).split() + passage + words(rng, 1300).split() for _ in range(9)]
+    near = texts[0][:]
+    for k in range(0, len(near), 70):
+        near[k] = "edited"
+    ids = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, near])], "id long, text string").localCheckpoint()
+    nodes = ids.select(F.col("id").alias("node"), similar._signed(5, similar.Layout())(F.col("text")).alias("s")).select("node", "s.digest", "s.n", "s.parity").localCheckpoint()
+    assert [tuple(r) for r in similar.missed(ids, nodes, spark.createDataFrame([], "node long, root long")).collect()] == [(0, 9)]
+
+
+def test_places_and_longer_parities_leave_out_no_similar_pair():
+    """All sets in all their cells: each similar pair is met, in the cell of the first shingle that both have, and few others."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(52)
+    sets = []
+    for size in (9, 60, 130, 700, 2500):
+        base = rng.integers(-(1 << 62), 1 << 62, size)
+        for k in range(8):
+            own = base.copy()
+            own[rng.random(size) < 0.03 * k] = rng.integers(1 << 62)
+            sets.append(np.unique(np.concatenate([own, rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 1 + size // 12))])))
+    n = np.array([*map(len, sets)])
+    row, first = similar.first_shingles(np.concatenate(sets), n, similar.Order(np.zeros(0, np.int64), np.zeros(0, np.int64)), 0.8)
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    order = np.lexsort((row, first))
+    row, cell, place = row[order], first[order], place[order]
+    wide = similar.Parities.of(pa.chunked_array([pa.array([similar.parities(sets[i], n[i : i + 1], similar.parity_bits(len(sets[i]))).tobytes() for i in row], pa.binary())]))
+    assert np.array_equal(wide.folded(np.arange(len(row)), similar.PARITIES // 64)[0], similar.parities(sets[row[0]], n[row[:1]]).view(np.uint64)[0])
+    given = cell, np.full(len(row), similar.BOTH), row, row, n[row], wide.folded(np.arange(len(row)), similar.PARITIES // 64)
+    found = [[tuple(sorted(p)) for a, b in similar.apart(similar.Cells(*given, *more), 0.8, 16) for p in zip(a.tolist(), b.tolist(), strict=True)] for more in ((), (place, wide))]
+    shared = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
+    want = {(x, y) for x in range(len(sets)) for y in range(x + 1, len(sets)) if shared(x, y) >= 0.8 * (n[x] + n[y] - shared(x, y))}
+    assert len(want) > 20 and want <= set(found[1]) <= set(found[0])
+    assert len(found[1]) < len(found[0]) / 2
