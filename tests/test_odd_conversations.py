@@ -29,7 +29,7 @@ def both(spark, path, name):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr), sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["f5_codes_to_chars", "f11_agent_prompt", "f12_strip_non_audio", "f13_shorten_codes", "f23_example_seconds", "a4_dataset_stats", "x9_audio_first_examples", "x9_text_first_examples"])
+@pytest.mark.parametrize("name", ["f5_codes_to_chars", "f11_agent_prompt", "f12_strip_non_audio", "f13_shorten_codes", "f23_example_seconds", "a4_dataset_stats", "x9_audio_first_examples", "x9_text_first_examples", "x9_mono_and_stereo_examples"])
 def test_a_first_code_that_looks_like_a_byte_order_mark_stays(spark, marked, name):
     got, want = both(spark, marked, name)
     assert got == want and got
