@@ -33,3 +33,29 @@ def both(spark, path, name):
 def test_a_first_code_that_looks_like_a_byte_order_mark_stays(spark, marked, name):
     got, want = both(spark, marked, name)
     assert got == want and got
+
+
+#: Conversations (number, words of their turns) whose first speaker has a tenth of the file's words: as a sum of doubles the share is a tenth or a
+#: little less, by the order of the total.
+TIED = {27041: [6, 14, 40], 35131: [30, 42, 175, 53], 36799: [44, 5, 220, 28, 130, 13], 42241: [42, 37, 176, 48, 82, 35], 44166: [42, 42, 151, 20, 150, 15], 62109: [47, 57, 94, 4, 180, 52, 28, 8]}
+
+
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("tied")
+    role = lambda turn: "system" if turn == 0 else "user" if turn % 2 else "assistant"
+    rows = [(conv, turn, role(turn), " ".join(["w"] * n)) for conv, sizes in TIED.items() for turn, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["a7_channel_isolated"])
+def test_a_share_at_the_threshold_does_not_depend_on_partitions(spark, tied, name):
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 16, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted((tuple(r) for r in entry.queries()[name](spark, str(tied)).collect()), key=repr))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] and found[0] == found[1] == found[2]
