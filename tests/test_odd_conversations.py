@@ -49,7 +49,7 @@ def tied(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["a7_channel_isolated", "j5_attach_channel_map", "o6_audio_stretch_events", "x9_text_only_examples"])
+@pytest.mark.parametrize("name", ["a7_channel_isolated", "j5_attach_channel_map", "o6_audio_stretch_events", "x9_text_only_examples", "s8_channel_map_kept"])
 def test_a_share_at_the_threshold_does_not_depend_on_partitions(spark, tied, name):
     found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
     try:
